@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import _scratch, itq, mixing, pii, simhash, tokens, warc
+from . import _scratch, crf, itq, langid, mixing, pii, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_remainder(modulus: int, column: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``modulus``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -22,6 +28,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.normalise(warc.write_archives(_table(spark, sf_dir, "pages"), folder)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = crf.toxicity(docs, labels, id_remainder(3) != 1)
+    return found.withColumn("held_out", id_remainder(3) == 1)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, id_remainder(5) != 0)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +64,8 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pii": op7_pii,
