@@ -1,14 +1,14 @@
 """Toxic spans by a linear-chain conditional random field.
 
-1. Token labels.  Labels come per document, so words are weighed first: document frequencies of
-   every word in toxic and in clean learning documents (distinct texts) are counted in Spark, and
-   words whose smoothed log ratio is large and sure are the toxic words.  A token of a toxic
-   learning document is labelled 1 if its word is one of these; all other tokens are 0.
+1. Token labels.  Labels come per document, so words and stems (first four letters) are weighed
+   first: their document frequencies in toxic and in clean learning documents (distinct texts)
+   are counted in Spark, and those whose smoothed log ratio is large and sure are toxic.  A token
+   of a toxic learning document is labelled 1 if its word or stem is; all other tokens are 0.
 2. The field.  Two labels; features of a token are its word, affixes and neighbours, hashed into
    ``1 << BITS`` weights, and there are weights for label pairs.  It is fitted by AdaGrad on the
    exact gradient, from forward-backward marginals, on a bounded sample of labelled documents.
-3. Documents.  Marginals of all tokens of the whole text are summed and their largest taken; a
-   logistic regression on the two, weighted to the true share of toxic documents, gives the
+3. Documents.  Marginals over the whole text are summed and the two largest taken; a logistic
+   regression on these, weighted to the true share of toxic documents, gives the
    score.  Runs of tokens with a marginal of at least one half are the offending spans.
 
 Forward and backward passes are scans of linear-fractional maps: a document's first (last)
@@ -36,8 +36,10 @@ from ._chars import blocks, tables
 BITS = 18
 #: Documents of each label on which the field is fitted (those with the smallest hashes).
 FIT_ROWS = 400
-#: A toxic word: in at least this share of toxic texts, and with at least this log ratio and z value.
-LEAST_SHARE, LEAST_RATIO, LEAST_Z = 0.01, 2.0, 3.0
+#: A toxic word or stem: in at least this share of toxic texts, and with at least this log ratio and z value.
+LEAST_SHARE, LEAST_RATIO, LEAST_Z = 0.01, 3.0, 2.5
+#: Marginals below this are left out of a document's sum, which would else follow its length.
+PLAINLY_CLEAN = 0.1
 _POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64), dtype=np.uint64)
 
 
@@ -46,6 +48,7 @@ class Tokens:
     starts: np.ndarray
     ends: np.ndarray
     words: np.ndarray
+    stems: np.ndarray
     features: np.ndarray
     first: np.ndarray
     of: np.ndarray
@@ -69,7 +72,7 @@ def tokenize(codes: np.ndarray, starts: np.ndarray) -> Tokens:
     of = np.searchsorted(starts, lo, side="right") - 1
     if not len(lo):
         none = np.zeros(0, np.uint64)
-        return Tokens(lo, hi, none, np.zeros((6, 0), np.int64), np.zeros(0, bool), of)
+        return Tokens(lo, hi, none, none, np.zeros((6, 0), np.int64), np.zeros(0, bool), of)
     folded = lower[codes].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     folded ^= folded >> np.uint64(29)
     place = np.arange(len(codes)) - np.repeat(np.concatenate([[0], lo]), np.diff(np.concatenate([[0], lo, [len(codes)]])))
@@ -79,14 +82,15 @@ def tokenize(codes: np.ndarray, starts: np.ndarray) -> Tokens:
     words ^= words >> np.uint64(31)
     first = np.concatenate([[True], of[1:] != of[:-1]])
     last = np.concatenate([first[1:], [True]])
-    prefix = folded[lo] * np.uint64(3) + folded[np.minimum(lo + 1, hi - 1)] * np.uint64(5) + folded[np.minimum(lo + 2, hi - 1)] * np.uint64(7)
+    stems = sum(np.where(lo + k < hi, folded[np.minimum(lo + k, hi - 1)], np.uint64(0)) * _POWERS[k + 8] for k in range(4))
+    stems ^= stems >> np.uint64(33)
     suffix = folded[hi - 1] * np.uint64(11) + folded[np.maximum(hi - 2, lo)] * np.uint64(13) + folded[np.maximum(hi - 3, lo)] * np.uint64(17)
     before = np.where(first, np.uint64(1), np.roll(words, 1))
     after = np.where(last, np.uint64(2), np.roll(words, -1))
-    raw = np.stack([np.zeros_like(words), words, prefix, suffix, before, after])
+    raw = np.stack([np.zeros_like(words), words, stems, suffix, before, after])
     raw += np.arange(len(raw), dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
     features = (raw * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - BITS)).astype(np.int64)
-    return Tokens(lo - starts[of], hi - starts[of], words, features, first, of)
+    return Tokens(lo - starts[of], hi - starts[of], words, stems, features, first, of)
 
 
 def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -127,7 +131,7 @@ def marginals(energy: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple
     return odds / (1.0 + odds), forward, backward
 
 
-def fit_field(tokens: Tokens, labels: np.ndarray, rounds: int = 25, rate: float = 0.5, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(tokens: Tokens, labels: np.ndarray, rounds: int = 60, rate: float = 0.5, l2: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
     """Weights and label-pair weights by AdaGrad on the full gradient of the log likelihood."""
     weights, pairs = np.zeros(1 << BITS), np.zeros((2, 2))
     seen, seen_pairs = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
@@ -150,10 +154,16 @@ def fit_field(tokens: Tokens, labels: np.ndarray, rounds: int = 25, rate: float
 
 
 def _summaries(tokens: Tokens, p: np.ndarray, docs: int) -> np.ndarray:
-    """Columns: log of one plus the expected number of toxic tokens; the largest marginal."""
-    total, most = np.bincount(tokens.of, p, docs), np.zeros(docs)
-    np.maximum.at(most, tokens.of, p)
-    return np.stack([np.log1p(total), most], axis=1)
+    """Columns: log of one plus the expected number of toxic tokens, over those that are not plainly
+    clean; the largest marginal; the second largest."""
+    at = np.flatnonzero(p >= PLAINLY_CLEAN)
+    of, p = tokens.of[at], p[at]
+    total, most, second = np.bincount(of, p, docs), np.zeros(docs), np.zeros(docs)
+    order = np.lexsort((-p, of))
+    place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+    most[of[order[place == 0]]] = p[order[place == 0]]
+    second[of[order[place == 1]]] = p[order[place == 1]]
+    return np.stack([np.log1p(total), most, second], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -167,20 +177,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
-    """(word, toxic, clean): documents of either label that hold the word (by its hash)."""
+    """(unit, toxic, clean): documents of either label that hold the word or stem (by its hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for rows, codes, starts in blocks(batch.column(0), 1):
                 tokens = tokenize(codes, starts)
-                pairs = np.unique(np.stack([tokens.words.view(np.int64), tokens.of]), axis=1) if len(tokens.words) else np.zeros((2, 0), np.int64)
-                word, at = np.unique(pairs[0], return_inverse=True)
-                hit = toxic[rows][pairs[1]]
-                a, b = np.bincount(at, hit, len(word)).astype(np.int64), np.bincount(at, ~hit, len(word)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(a), pa.array(b)], ["word", "toxic", "clean"])
+                for units in (tokens.words, tokens.stems):
+                    _, once = np.unique(units + tokens.of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+                    unit, at = np.unique(units[once].view(np.int64), return_inverse=True)
+                    hit = toxic[rows][tokens.of[once]]
+                    a, b = np.bincount(at, hit, len(unit)).astype(np.int64), np.bincount(at, ~hit, len(unit)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(a), pa.array(b)], ["unit", "toxic", "clean"])
 
-    return texts.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.mapInArrow(run, "unit long, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Field | None:
@@ -197,9 +208,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     n1, n0 = texts[True] + 1.0, texts[False] + 1.0
     ratio = F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)
     z = ratio / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    chosen = _word_counts(once).filter((F.col("toxic") >= F.greatest(F.lit(2.0), F.lit(LEAST_SHARE * n1))) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z))
-    # A word that is in a share of the toxic texts: there are at most (words of a text / share) of them.
-    words = np.array([r.word for r in chosen.select("word").collect()], np.int64).view(np.uint64)
+    chosen = _word_counts(once).filter((F.col("toxic") >= max(3.0, LEAST_SHARE * n1)) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z))
+    # A unit that is in a share of the toxic texts: there are at most (units of a text / share) of them.
+    units = np.array([r.unit for r in chosen.select("unit").collect()], np.int64).view(np.uint64)
     sample = [r for toxic in (True, False) for r in rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()]
     toxic = np.array([r.toxic for r in sample])
     parts, offset = [], 0
@@ -207,10 +218,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         tokens = tokenize(codes, starts)
         tokens.of = tokens.of + kept.start
         parts.append(tokens)
-    tokens = Tokens(*(np.concatenate([getattr(t, f) for t in parts], axis=-1) for f in ("starts", "ends", "words", "features", "first", "of")))
+    tokens = Tokens(*(np.concatenate([getattr(t, f) for t in parts], axis=-1) for f in Tokens.__dataclass_fields__))
     if not len(tokens.words):
         return None
-    labels = (np.isin(tokens.words, words) & toxic[tokens.of]).astype(np.int64)
+    labels = ((np.isin(tokens.words, units) | np.isin(tokens.stems, units)) & toxic[tokens.of]).astype(np.int64)
     weights, pairs = fit_field(tokens, labels)
     p, _, _ = marginals(weights[tokens.features].sum(axis=0), tokens.first, pairs)
     share = {label: totals[label] / max(1, int((toxic == label).sum())) for label in (True, False)}
@@ -229,7 +240,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
             scores, expected, spans = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.full(batch.num_rows, "", object)
             for rows, codes, starts in blocks(batch.column(1), 1) if field else ():
                 tokens = tokenize(codes, starts)
-                summary = np.zeros((len(starts), 2))
+                summary = np.zeros((len(starts), 3))
                 if len(tokens.words):
                     p, _, _ = marginals(field.weights[tokens.features].sum(axis=0), tokens.first, field.pairs)
                     summary = _summaries(tokens, p, len(starts))

@@ -117,7 +117,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, rate:
 
 def _temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     """The temperature of least log loss, by refining a grid."""
-    lo, hi = np.log(0.02), np.log(20.0)
+    lo, hi = np.log(0.25), np.log(20.0)
     for _ in range(4):
         grid = np.linspace(lo, hi, 25)
         loss = [-np.log(np.maximum(_softmax(scores / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
