@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._chars import blocks, tables
+from ._chars import blocks, folded, run_hashes, runs, tables
 
 BITS = 18
 #: Documents of each label on which the field is fitted (those with the smallest hashes).
@@ -40,7 +40,6 @@ FIT_ROWS = 400
 LEAST_SHARE, LEAST_RATIO, LEAST_Z = 0.01, 3.0, 2.5
 #: Marginals below this are left out of a document's sum, which would else follow its length.
 PLAINLY_CLEAN = 0.1
-_POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64), dtype=np.uint64)
 
 
 @dataclass
@@ -65,26 +64,19 @@ class Field:
 def tokenize(codes: np.ndarray, starts: np.ndarray) -> Tokens:
     """Runs of letters of a block of texts: offsets in the text, word hashes, feature buckets, and
     the text and whether it is the text's first token."""
-    letter, lower = tables()
-    inside = np.concatenate([[False], letter[codes], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    lo, hi = edge[::2], edge[1::2]
+    inside = tables()[0][codes]
+    lo, hi = runs(inside)
     of = np.searchsorted(starts, lo, side="right") - 1
     if not len(lo):
         none = np.zeros(0, np.uint64)
         return Tokens(lo, hi, none, none, np.zeros((6, 0), np.int64), np.zeros(0, bool), of)
-    folded = lower[codes].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    folded ^= folded >> np.uint64(29)
-    place = np.arange(len(codes)) - np.repeat(np.concatenate([[0], lo]), np.diff(np.concatenate([[0], lo, [len(codes)]])))
-    weighted = np.where(letter[codes], folded * _POWERS[place % 64], np.uint64(0))
-    words = np.add.reduceat(weighted, lo)
-    words ^= (hi - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    words ^= words >> np.uint64(31)
+    char = folded(codes)
+    words = run_hashes(char, inside, lo, hi)
     first = np.concatenate([[True], of[1:] != of[:-1]])
     last = np.concatenate([first[1:], [True]])
-    stems = sum(np.where(lo + k < hi, folded[np.minimum(lo + k, hi - 1)], np.uint64(0)) * _POWERS[k + 8] for k in range(4))
+    stems = sum(np.where(lo + k < hi, char[np.minimum(lo + k, hi - 1)], np.uint64(0)) * np.uint64(2 * k + 3) ** np.uint64(7) for k in range(4))
     stems ^= stems >> np.uint64(33)
-    suffix = folded[hi - 1] * np.uint64(11) + folded[np.maximum(hi - 2, lo)] * np.uint64(13) + folded[np.maximum(hi - 3, lo)] * np.uint64(17)
+    suffix = char[hi - 1] * np.uint64(11) + char[np.maximum(hi - 2, lo)] * np.uint64(13) + char[np.maximum(hi - 3, lo)] * np.uint64(17)
     before = np.where(first, np.uint64(1), np.roll(words, 1))
     after = np.where(last, np.uint64(2), np.roll(words, -1))
     raw = np.stack([np.zeros_like(words), words, stems, suffix, before, after])

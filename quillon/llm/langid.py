@@ -44,7 +44,7 @@ class LanguageModel:
 
 def _buckets(codes: np.ndarray, orders: int) -> Iterator[np.ndarray]:
     """For each order, the bucket of the n-gram at every position."""
-    letter, lower = tables()
+    letter, lower, _ = tables()
     folded = np.where(letter[codes], lower[codes], np.uint32(SPACE))
     padded = np.concatenate([folded, np.full(orders, SPACE, np.uint32)])
     rolling = np.zeros(len(codes), np.uint32)

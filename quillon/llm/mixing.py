@@ -64,7 +64,7 @@ def mix(
     share: float = 1.5,
     most_epochs: float = 2.0,
     seed: int = 17,
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 2_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
