@@ -159,10 +159,9 @@ def fit(
     return LanguageModel(languages, idf, weights, bias, _temperature(scores, np.array([row[2] for row in held])), orders, scale)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the rows, whose other columns pass through."""
-    named = {"lang_pred", "score"}
-    kept = [c for c in docs.columns if c not in named]
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Adds the language and its probability to the rows (in place of columns of these names); others pass through."""
+    kept = [c for c in docs.columns if c not in {lang_name, score_name}]
     idf = model.idf.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((idf, (model.weights * model.idf[:, None]).astype(np.float32).T.copy(), model))
     place = kept.index(text_col)
@@ -184,8 +183,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
                 best = p.argmax(axis=1)
                 langs[rows] = np.where(has_letter, np.array(model.languages, object)[best], UNKNOWN)
                 scores[rows] = np.where(has_letter, p[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, lang_name, score_name])
 
     source = docs.select(*kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{fields}, `{lang_name}` string, `{score_name}` double")

@@ -112,10 +112,10 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: one row for each whole copy of a document and one for a cut copy, with all
     columns of ``docs``.  ``id_col`` must name documents uniquely."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).filter("taken > 0").select(F.col("doc_id").alias("__id"), "size", "epochs", "cut")
-    copies = F.when(F.col("cut") == F.col("size"), F.array_repeat(F.col("size"), (F.col("epochs") + 1).cast("int"))).otherwise(
-        F.filter(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.array(F.col("cut"))), lambda w: w > 0)
-    )
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options).filter("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("epochs").cast("int").alias("__epochs"), F.col("cut").alias("__cut"))
+    whole = F.array_repeat(F.col("__size"), F.col("__epochs"))
+    copies = F.filter(F.concat(whole, F.array("__cut")), lambda w: w > 0)
     rows = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).withColumn("__words", F.explode(copies))
-    text = F.when(F.col("__words") < F.col("size"), first_words(F.col(text_col), F.col("__words"))).otherwise(F.col(text_col))
+    text = F.when(F.col("__words") < F.col("__size"), first_words(F.col(text_col), F.col("__words"))).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*docs.columns)
