@@ -69,7 +69,7 @@ class PieceEncoder:
             pass
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set(pieces) - self.known.keys())
+        new = [piece for piece in set(pieces) if piece not in self.known]
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(found.ids, "<u4").tobytes()
         return b"".join(map(self.known.__getitem__, pieces))
