@@ -53,12 +53,15 @@ _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r
 class PieceEncoder:
     """Byte-level BPE ids of whole texts, as bytes of little-endian 32-bit numbers."""
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000):
+    def __init__(self, path: str, pattern: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The model itself, on pieces in its alphabet: one printable character for each byte.
+        self.model = Tokenizer.from_file(path).model
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = [chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)]
         self.slow, self.most, self.known = regex.compile(pattern), most, {}
 
     def encode(self, text: str) -> bytes:
@@ -69,9 +72,11 @@ class PieceEncoder:
             pass
         if len(self.known) > self.most:
             self.known.clear()
-        new = [piece for piece in set(pieces) if piece not in self.known]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        for piece in pieces:
+            if piece not in self.known:
+                simple = piece.isascii() and piece.isprintable()
+                found = self.model.tokenize(piece.replace(" ", self.alphabet[32]) if simple else "".join([self.alphabet[b] for b in piece.encode()]))
+                self.known[piece] = struct.pack(f"<{len(found)}I", *(t.id for t in found))
         return b"".join(map(self.known.__getitem__, pieces))
 
 
