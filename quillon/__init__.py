@@ -1 +1 @@
-"""Part of quillon."""
+"""Calibrated scoring, threshold decisions, monitoring and ranking on Spark DataFrames."""
