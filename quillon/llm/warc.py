@@ -58,8 +58,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     repeats = shared.join(firsts, "digest").select("digest", F.coalesce("id", F.lit(-1)).alias("place"), "refers_to").distinct()
     ordered = (
         rows.withColumn("place", F.coalesce("id", F.lit(-1)))
-        .join(repeats, ["place", "digest"], "left")
-        .repartition("place")
+        .join(repeats.hint("merge"), ["place", "digest"], "left")  # brings repeated rows together
         .sortWithinPartitions("place", "digest", "url")
         .select("id", "url", "payload", "digest", "refers_to")
     )
@@ -169,7 +168,12 @@ def normalise(archives: DataFrame) -> DataFrame:
                         count += 1
                 yield _manifest_row(part, name, count, out.size)
 
-    return _scratch.stage(archives.select("part", "archive").repartition("archive").mapInArrow(run, MANIFEST), "members")
+    return _scratch.stage(_one_task_each(archives).mapInArrow(run, MANIFEST), "members")
+
+
+def _one_task_each(archives: DataFrame) -> DataFrame:
+    """(part, archive) with each archive in a partition of its own, whatever its row's size."""
+    return archives.select("part", "archive").repartitionByRange(max(1, archives.count()), "part")
 
 
 def _page(named: str | None) -> int | None:
@@ -183,7 +187,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split(" ")[0] for part in ROW.split(", ")]
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name in batch.column(1).to_pylist():
                 fs, inner = _scratch.file_system(name)
                 rows = []
                 with fs.open_input_stream(inner + ".idx", compression=None) as index, fs.open_input_file(inner) as archive:
@@ -196,7 +200,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, names)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, ROW)
+    return _one_task_each(archives).mapInArrow(run, ROW)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
