@@ -216,8 +216,9 @@ def write_tokens(
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), read back from the files of a manifest."""
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("start"))
-    files = _scratch.stage(files, "starts").repartition("file")
+    files = manifest.select("part", "file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("start"))
+    # A partition for each file: its row is small, its work is not.
+    files = _scratch.stage(files, "starts").repartitionByRange(max(1, manifest.count()), "part").select("file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
