@@ -68,7 +68,7 @@ def _codes(classes: DataFrame, fit_rows: int) -> DataFrame:
     spark = classes.sparkSession
     fits = {}
     for (dim,) in classes.select("dim").distinct().collect():
-        rows = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").collect()
+        rows = _scratch.hashed_sample(classes.filter(F.col("dim") == dim), fit_rows, "id", "label").select("vec").collect()
         fits[dim] = fit_rotation(_unit(np.array([r[0] for r in rows]).ravel(), dim), min(64, dim))
     shared = spark.sparkContext.broadcast(fits)
 

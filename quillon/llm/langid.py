@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from ._chars import SPACE, blocks, tables
 
 BITS = 18
-FIT_ROWS = 6_000
+FIT_ROWS = 3_000
 UNKNOWN = "und"
 
 
@@ -83,7 +84,7 @@ def _features(text: str, idf: np.ndarray, orders: int, scale: float) -> tuple[np
     _, codes, _ = next(blocks(pa.array([text]), orders))
     at, n = np.unique(np.concatenate(list(_buckets(codes, orders))), return_counts=True)
     value = n * idf[at]
-    return at, scale * value / value.sum()
+    return at.astype(np.int32), (scale * value / value.sum()).astype(np.float32)
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def fit(
     ).filter(F.col("text").rlike(r"\p{L}"))
     counts, total = _document_frequencies(learning, orders)
     idf = np.log((1 + total) / (1 + counts)) + 1.0
-    sample = learning.orderBy(F.xxhash64("id"), "id", "lang").limit(fit_rows).select("text", "lang").collect()
+    sample = _scratch.hashed_sample(learning, fit_rows, "id", "lang").select("text", "lang").collect()
     languages = sorted({row.lang for row in sample})
     place = {lang: i for i, lang in enumerate(languages)}
     rows = [(*_features(row.text, idf, orders, scale), place[row.lang]) for row in sample]
