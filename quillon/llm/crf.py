@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from ._chars import blocks, folded, run_hashes, runs, tables
 
 BITS = 18
@@ -191,19 +192,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) == 1).alias("toxic")
     )
-    # Copies of a text would make all its words look toxic: each text counts once.
-    once = rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min_by("text", "id").alias("text")).select("text", "toxic")
+    # Written once, as everything below reads it; the digest beside the text spares reading texts.
+    rows = _scratch.stage(rows.withColumn("h", F.xxhash64("text")), "labelled")
     totals = dict(rows.groupBy("toxic").count().collect())
     if len(totals) < 2:
         return None
-    texts = dict(rows.select("toxic", F.xxhash64("text").alias("h")).distinct().groupBy("toxic").count().collect())
+    # Copies of a text would make all its words look toxic: each text counts once.
+    copies = rows.groupBy("h", "toxic").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    texts = dict(copies.groupBy("toxic").count().collect())
+    others = rows.select("id", "h", "toxic").join(copies.filter("n > 1"), ["h", "toxic"]).filter("id > least").select(F.col("id").alias("other"), F.col("toxic").alias("other_toxic"))
+    once = rows.join(others, (F.col("id") == F.col("other")) & (F.col("toxic") == F.col("other_toxic")), "left_anti").select("text", "toxic")
     n1, n0 = texts[True] + 1.0, texts[False] + 1.0
     ratio = F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)
     z = ratio / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     chosen = _word_counts(once).filter((F.col("toxic") >= max(3.0, LEAST_SHARE * n1)) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z))
     # A unit that is in a share of the toxic texts: there are at most (units of a text / share) of them.
     units = np.array([r.unit for r in chosen.select("unit").collect()], np.int64).view(np.uint64)
-    sample = [r for toxic in (True, False) for r in rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()]
+    sample = [r for toxic in (True, False) for r in _scratch.hashed_sample(rows.filter(F.col("toxic") == toxic), fit_rows, "id").collect()]
     toxic = np.array([r.toxic for r in sample])
     parts, offset = [], 0
     for kept, codes, starts in blocks(pa.array([r.text for r in sample]), 1):
