@@ -4,7 +4,9 @@ Regular expressions propose spans, checks confirm them (part sizes, digit counts
 mod 97), and words that stand near a span raise its score.  Offsets are code points: a text
 split by a pattern gives the gaps between its matches, so starts are running sums of gap and
 match lengths.  Patterns are written with possessive quantifiers where that changes no match,
-which keeps the matcher's stack flat on very long runs.
+which keeps the matcher's stack flat on very long runs.  A run of characters that may open a
+match is tried from its start only (or from the end of the match before), as a later start in
+the same run could not succeed where that fails; so the work stays linear in the text.
 
 Spans of the four base kinds are kept whatever their score.  The two further kinds, ``iban``
 and ``ssn``, are added if their check holds and their score reaches ``least_score``.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Kind, pattern, character or class that must occur at all, score without and with context, context words.
 BASE = (
-    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.99, "e-?mail|contact|write to|correo|courriel|kontakt"),
-    ("ip", r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", ".", 0.6, 0.9, "ip|address|host|server|login|adresse|direcci"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.99, "e-?mail|contact|write to|correo|courriel|kontakt"),
+    ("ip", r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", ".", 0.6, 0.9, "ip|address|host|server|login|adresse|direcci"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.7, 0.99, "card|visa|credit|pay|karte|carte|tarjeta"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, 0.95, "phone|call|tel|mobile|fax|anruf|appel"),
 )
