@@ -31,6 +31,8 @@ ADDED = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.9, 0.99, "iban|account|bank|konto|compte|cuenta"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, 0.8, "ssn|social security|taxpayer"),
 )
+#: Matches whose places are summed at once.
+BLOCK = 256
 #: Code points before a span in which its context words count.
 CONTEXT = 40
 
@@ -67,32 +69,45 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str, needs: str | None, alone: float, near: float, words: str) -> Column:
-    """Array of (kind, start, end, score) of the valid matches, in order of start."""
+def _running(items: Column, length, entry, kind: str) -> Column:
+    """``entry(item, start)`` of each item, where start is the summed length of the items before it."""
+    empty = F.array().cast(f"array<{kind}>")
+    step = lambda a, p: F.struct((a["at"] + length(p)).alias("at"), F.concat(a["out"], F.array(entry(p, a["at"]))).alias("out"))
+    return F.aggregate(items, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+
+def _placed(pairs: Column) -> Column:
+    """Start, end, value and context of each match.  Sums run inside blocks and over blocks, as an
+    array is copied whenever it grows."""
+    kind = "struct<start:int,end:int,value:string,before:string>"
+    entry = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["length"]).alias("end"), p["value"].alias("value"), p["before"].alias("before"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(pairs) / BLOCK).cast("int")),
+        lambda b: _running(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), lambda p: p["gap"] + p["length"], entry, kind),
+    )
+    based = _running(blocks, lambda b: b["at"], lambda b, at: F.struct(at.alias("base"), b["out"].alias("out")), f"struct<base:int,out:array<{kind}>>")["out"]
+    moved = lambda s, base: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["value"].alias("value"), s["before"].alias("before"))
+    return F.flatten(F.transform(based, lambda b: F.transform(b["out"], lambda s: moved(s, b["base"]))))
+
+
+def _matches(text: Column, kind: str, pattern: str, needs: str | None, *_) -> Column:
+    """Array of (gap before, length, value, text before) of all matches; empty where none is possible."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(
         F.slice(gaps, F.lit(1), F.size(matches)),
         matches,
         lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("length"), m.alias("value"), F.lower(F.right(g, F.lit(CONTEXT))).alias("before")),
     )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["length"]).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["length"]).alias("end"), p["value"].alias("value"), p["before"].alias("before"))),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    valid = F.filter(placed, lambda s: _valid(kind, s["value"]))
+    possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
+    return F.when(possible, pairs).otherwise(F.array().cast("array<struct<gap:int,length:int,value:string,before:string>>"))
+
+
+def _spans(pairs: Column, kind: str, pattern: str, needs: str | None, alone: float, near: float, words: str) -> Column:
+    """Array of (kind, start, end, score) of the valid matches, in order of start."""
+    valid = F.filter(_placed(pairs), lambda s: _valid(kind, s["value"]))
     score = lambda s: F.when(s["before"].rlike(rf"\b(?:{words})"), near).otherwise(alone)
     found = F.transform(valid, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
-    possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    return F.when(possible, found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+    return F.when(F.size(pairs) > 0, found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
 def _joined(spans: Column) -> Column:
@@ -102,7 +117,9 @@ def _joined(spans: Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.5) -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end, score), by kind as listed above, then start."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    by_kind = source.select("doc_id", *(_spans(F.col("text"), *rule).alias(rule[0]) for rule in (*BASE, *ADDED)))
+    # Matches are columns of their own: what places them reads them more than once.
+    matched = source.select("doc_id", *(_matches(F.col("text"), *rule).alias(f"{rule[0]}_matches") for rule in (*BASE, *ADDED)))
+    by_kind = matched.select("doc_id", *(_spans(F.col(f"{rule[0]}_matches"), *rule).alias(rule[0]) for rule in (*BASE, *ADDED)))
     sure = [F.filter(rule[0], lambda s: s["score"] >= least_score) for rule in ADDED]
     return by_kind.select("doc_id", F.concat(*(rule[0] for rule in BASE)).alias("base"), F.concat(*sure).alias("added"))
 
