@@ -201,7 +201,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     copies = rows.groupBy("h", "toxic").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     texts = dict(copies.groupBy("toxic").count().collect())
     others = rows.select("id", "h", "toxic").join(copies.filter("n > 1"), ["h", "toxic"]).filter("id > least").select(F.col("id").alias("other"), F.col("toxic").alias("other_toxic"))
-    once = rows.join(others, (F.col("id") == F.col("other")) & (F.col("toxic") == F.col("other_toxic")), "left_anti").select("text", "toxic")
+    once = rows.join(others.hint("merge"), (F.col("id") == F.col("other")) & (F.col("toxic") == F.col("other_toxic")), "left_anti").select("text", "toxic")
     n1, n0 = texts[True] + 1.0, texts[False] + 1.0
     ratio = F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)
     z = ratio / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -268,7 +268,8 @@ def toxicity(
     """(doc_id, score, predicted, expected, spans) of every document, learnt from rows where ``learn`` holds."""
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     chosen = docs.select(F.col(id_col), F.col(text_col)).filter(learn)
-    labelled = chosen.join(marked, chosen[id_col] == marked["__id"]).select(id_col, text_col, F.col("__label").alias(label_col))
+    # A merge join at every size: texts move once, in proportion to the input.
+    labelled = chosen.join(marked.hint("merge"), chosen[id_col] == marked["__id"]).select(id_col, text_col, F.col("__label").alias(label_col))
     field = fit(labelled, id_col, text_col, label_col, fit_rows)
     return score(docs, field, id_col, text_col).select(
         F.col("id").alias("doc_id"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "expected", "spans"
