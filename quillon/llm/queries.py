@@ -20,12 +20,12 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return itq.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return itq.near_vectors(_table(spark, sf_dir, "embeddings")).drop("code")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch.new_path(spark, "warc")
-    return warc.read_archives(warc.normalise(warc.write_archives(_table(spark, sf_dir, "pages"), folder)))
+    return warc.read_archives(warc.normalise(warc.write_archives(_table(spark, sf_dir, "pages"), folder))).drop("offset", "length")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+ reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON least.a = vec_id"""
+
+_HEX = "(strpos('0123456789abcdef', substr(h, (5 * k) // 4 + {i}, 1)) - 1)"
+_OP2 = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+ SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((16 * {_HEX.format(i=1)} + {_HEX.format(i=2)}) >> (3 - (5 * k) % 4)) & 31) + 1), 1)), '') AS payload_digest,
+ CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM f"""
+
+_OP5 = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM s),
+ w AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM p),
+ l AS (SELECT *, (total - coalesce(sum(most) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) * weight >= most AS is_full FROM w
+  WINDOW earlier AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE weight * ((total - sum(CASE WHEN is_full THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ()) END AS target FROM l),
+ b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+ o AS (SELECT d.*, b.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+ c AS (SELECT *, least(size, greatest(0, floor(target)::BIGINT - epochs * source_size - before))::BIGINT AS cut FROM o)
+ SELECT doc_id, source, size, source_size, target, (epochs * size + cut)::BIGINT AS taken, epochs, cut FROM c"""
+
+#: The others are hashes, fitted models and file formats; tests hold them against brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op2_warc": _OP2, "op5_mixing": _OP5}
