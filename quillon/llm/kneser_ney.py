@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             (counts,) = words.look_up(keys, 1)
             whole, n1, n2, n3 = (c[half_at].astype(np.float64) for c in opened.look_up(halves, 4))
             endings = ended.look_up(halves, 1)[0][half_at].astype(np.float64)
-            lower = (_discounted(endings, model.lower) / model.pair_types if model.pair_types else 0.0) + model.lower_mass / (model.types + 1)
+            lower = _discounted(endings, model.lower) / max(1, model.pair_types) + model.lower_mass / (model.types + 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 back = np.where(whole > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole, 1.0)
             ids = pair_keys(tokens)
