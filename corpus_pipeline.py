@@ -14,7 +14,7 @@ from quillon.llm import _scratch, decontam, langid, mixing, simhash, tokens
 from quillon.llm.queries import id_remainder
 
 #: Documents whose language is less sure than this are rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
