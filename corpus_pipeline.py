@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in seekable files; returns what reading them back gives."""
     folder = _scratch.new_path(spark, "pipeline-tokens")
-    manifest = tokens.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    manifest = tokens.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, added=True)
     return tokens.read_tokens(spark, manifest)
 
 

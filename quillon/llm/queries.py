@@ -60,7 +60,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     manifest = tokens.write_tokens(
-        _table(spark, sf_dir, "documents"), _scratch.new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2
+        _table(spark, sf_dir, "documents"), _scratch.new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, added=True
     )
     return tokens.read_tokens(spark, manifest)
 

@@ -13,7 +13,9 @@ A file appears under its name only when complete, and a repeated task writes the
 
 Texts are cut into the tokenizer's own pieces and the ids of pieces are kept in a bounded
 per-process table, so each distinct piece is encoded once or a few times; the ids equal those
-of encoding the text whole.
+of encoding the text whole.  With ``added`` that holds for the tokenizer's added tokens too:
+texts that contain one are encoded by the tokenizer itself, without special tokens at the ends.
+Without it their characters are ordinary text.
 
 Edge cases: a null or empty text has the end id alone; null ids sort first and are read back
 as null; repeated rows are all written; an empty table writes no file and reads back empty;
@@ -53,18 +55,23 @@ _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r
 class PieceEncoder:
     """Byte-level BPE ids of whole texts, as bytes of little-endian 32-bit numbers."""
 
-    def __init__(self, path: str, pattern: str, most: int = 700_000):
+    def __init__(self, path: str, pattern: str, added: bool = False, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         # The model itself, on pieces in its alphabet: one printable character for each byte.
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         others = [b for b in range(256) if b not in plain]
         self.alphabet = [chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)]
         self.slow, self.most, self.known = regex.compile(pattern), most, {}
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
         pieces = (self.slow if _PLAIN.search(text) else _FAST).findall(text)
         try:
             return b"".join(map(self.known.__getitem__, pieces))
@@ -80,14 +87,14 @@ class PieceEncoder:
         return b"".join(map(self.known.__getitem__, pieces))
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> PieceEncoder:
+def _encoder(path: str, pattern: str, added: bool) -> PieceEncoder:
     """One per worker process, kept over tasks."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = PieceEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    if (path, pattern, added) not in _ENCODERS:
+        _ENCODERS[path, pattern, added] = PieceEncoder(path, pattern, added)
+    return _ENCODERS[path, pattern, added]
 
 
 class SeekableWriter:
@@ -189,6 +196,7 @@ def write_tokens(
     frame_bytes: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """Encode and write; returns the manifest (one row per file, parts in ascending order of id)."""
 
@@ -196,7 +204,7 @@ def write_tokens(
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, part = _encoder(tokenizer, pattern), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer, pattern, added), TaskContext.get().partitionId()
         name, end = f"{folder}/part-{part:06d}.ids.zst", b"" if end_id is None else struct.pack("<I", end_id)
         with _scratch.CommittedFile(name) as out:
             writer = SeekableWriter(out, frame_bytes)

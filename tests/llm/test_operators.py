@@ -313,6 +313,23 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokens.read_tokens(spark, tokens.write_tokens(none, "file://" + str(tmp_path / "e"), path, public_tokenizers.PATTERN)).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    """The query's ids are those of the tokenizer as it is, which matches its added tokens."""
+    from tokenizers import Tokenizer
+
+    from quillon.llm import queries
+
+    texts = ["<|endoftext|> a", "a b<|endoftext|><|endoftext|>\n c", "<|endoftext| > a", "plain", "", None, "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain, start, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i, text in enumerate(texts):
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert 50256 in plain.encode(texts[0], add_special_tokens=False).ids
+    assert sorted(map(tuple, queries.op9_token_output(spark, str(tmp_path)).collect())) == expected
+
+
 def test_token_reader_sees_damage(tmp_path):
     with _scratch.CommittedFile(str(tmp_path / "f")) as out:
         writer = tokens.SeekableWriter(out, frame_bytes=64)
