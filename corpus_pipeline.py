@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import _scratch, decontam, langid, mixing, simhash, tokens
+from quillon.llm import _scratch, copies, decontam, langid, mixing, tokens
 from quillon.llm.queries import id_remainder
 
 #: Documents whose language is less sure than this are rejected.
@@ -25,12 +25,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, once; documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    others = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    first = docs.join(others, F.col("doc_id") == F.col("__id"), "left_anti")
-    once = first.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(first.filter("doc_id is null"))
+    """Keeps one row of each group of exact and edited copies, that of the smallest id.
+
+    Links are five-word Jaccard similarities of 0.8 or more, not op6's four differing bits."""
+    return copies.without_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

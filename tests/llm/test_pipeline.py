@@ -1,5 +1,6 @@
 """Each stage of the corpus pipeline against a brute-force version, each on its own input."""
 
+import random
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -56,6 +57,48 @@ def test_near_copies_stage(steps):
     assert ids(after) == Counter(least.values())
 
 
+def test_near_copies_are_those_of_jaccard(spark):
+    """Edited copies go (also those far apart in SimHash), looser ones stay; ids may be null or repeated."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts = []
+    for n in range(30):
+        base = [word() for _ in range(120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 12):
+            changed = list(base)
+            for at in rng.sample(range(120), edits):
+                changed[at] = word()
+            texts.append(" ".join(changed))
+    texts += ["same short text"] * 5 + [None, "", "Same  SHORT text"]
+    rows = [(None if i % 9 == 4 else i - 1 if i % 9 == 7 else i, t, i % 4) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[4], (None, "only one without id", 1), (5, "another text of that id", 1)]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t, _ in rows]
+    part = groups_of(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    assert any(part[i] == part[j] and (fps[i] ^ fps[j]).bit_count() > 4 for i in range(len(rows)) for j in range(i))
+    groups = {}
+    for r, p in zip(rows, part, strict=True):
+        groups.setdefault(p, []).append(r)
+    expected = Counter(min((r[0] for r in g if r[0] is not None), default=None) for g in groups.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(5)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(DATA))
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert ids_of(kept) == expected
+    assert all(any((r.doc_id, r.text, r.n) == x for x in rows) for r in kept)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), str(DATA)).count() == 0
+
+
+def ids_of(rows):
+    return Counter(r.doc_id for r in rows)
+
+
 def test_leak_stage(spark, steps):
     before, after = steps[2]
     items = [r.text.lower().split() for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
