@@ -71,36 +71,44 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, epochs, cut): ``taken`` words of the document
     enter the mix, as ``epochs`` whole copies and one of its first ``cut`` words."""
+    return _mix(docs, (), weights, share, most_epochs, seed, rows_per_range, id_col, text_col, source_col)
+
+
+def _mix(docs: DataFrame, carried: Sequence[str], weights, share, most_epochs, seed, rows_per_range, id_col, text_col, source_col) -> DataFrame:
+    """``mix``, with the columns ``carried`` of each row in a struct ``row`` beside its own cut."""
     doc_id = F.col(id_col)
-    sized = docs.select(
+    every = docs.select(
         doc_id.alias("doc_id"),
         F.col(source_col).alias("source"),
         _source_key(F.col(source_col)).alias("source_key"),
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")).alias("key"),
+        *([F.struct(*(F.col(c) for c in carried)).alias("row"), F.xxhash64(text_col).alias("tie")] if carried else []),
     )
-    sized = _scratch.stage(sized, "sizes")
+    sized = _scratch.stage(every.drop("row", "tie"), "sizes")
     sources = sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = _scratch.stage(targets(sources, weights, share, most_epochs).drop("source", "weight"), "targets")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    ranged = sized.join(plan, "source_key").withColumn("range", F.floor(place * F.ceil(F.col("n") / rows_per_range)))
+    in_ranges = lambda rows: rows.join(plan, "source_key").withColumn("range", F.floor(place * F.ceil(F.col("n") / rows_per_range)))
+    ranged = in_ranges(sized)
     sums = ranged.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_key", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("before_range"))
-    inside = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size", *(["tie"] if carried else [])).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     cut = F.least("size", F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("before_range") - F.col("before")))
     return (
-        ranged.withColumn("before", before)
+        (in_ranges(every) if carried else ranged)
+        .withColumn("before", before)
         .join(sums, ["source_key", "range"])
         .withColumn("epochs", epochs)
         .withColumn("cut", cut)
         .withColumn("taken", F.col("epochs") * F.col("size") + F.col("cut"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "cut")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "cut", *(["row"] if carried else []))
     )
 
 
@@ -109,13 +117,21 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)"), F.lit(1)), F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most_epochs: float = 2.0,
+    seed: int = 17,
+    rows_per_range: int = 2_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The mix itself: one row for each whole copy of a document and one for a cut copy, with all
-    columns of ``docs``.  ``id_col`` must name documents uniquely."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).filter("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("epochs").cast("int").alias("__epochs"), F.col("cut").alias("__cut"))
-    whole = F.array_repeat(F.col("__size"), F.col("__epochs"))
-    copies = F.filter(F.concat(whole, F.array("__cut")), lambda w: w > 0)
-    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).withColumn("__words", F.explode(copies))
-    text = F.when(F.col("__words") < F.col("__size"), first_words(F.col(text_col), F.col("__words"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    columns of ``docs``.  Each row brings its columns to its own cut, so ids may be null or repeated."""
+    taken = _mix(docs, docs.columns, weights, share, most_epochs, seed, rows_per_range, id_col, text_col, source_col).filter("taken > 0")
+    whole = F.array_repeat(F.col("size"), F.col("epochs").cast("int"))
+    rows = taken.select("row", "size", F.explode(F.filter(F.concat(whole, F.array("cut")), lambda w: w > 0)).alias("words"))
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("row")[text_col], F.col("words"))).otherwise(F.col("row")[text_col])
+    return rows.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

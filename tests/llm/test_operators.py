@@ -214,6 +214,26 @@ def test_mixed_documents(docs):
     assert words == {d: n for d, n in taken.items() if n}
 
 
+def test_mixed_documents_with_null_and_repeated_ids(docs):
+    """Every row meets its own cut once, whatever its id."""
+    mixed = mixing.mixed_documents(docs, rows_per_range=5).collect()
+    sizes, words, texts = defaultdict(int), defaultdict(int), defaultdict(set)
+    for r in docs.collect():
+        sizes[r.source] += len(words_of(r.text))
+        texts[r.doc_id, r.source].add(r.text or "")
+    for r in mixed:
+        words[r.source] += len(words_of(r.text))
+        assert any(t.startswith(r.text) for t in texts[r.doc_id, r.source])
+    targets = brute_targets(sizes)
+    assert all(0 <= targets[s] - words[s] < 1 for s in sizes)
+    by_row = lambda rows: sorted((str(r.doc_id), r.text) for r in rows)
+    assert by_row(mixed) == by_row(mixing.mixed_documents(docs.repartition(7), rows_per_range=5).collect())
+    # Rows that share an id and a source but not a text, in the order of their sizes.
+    same = docs.sparkSession.createDataFrame([(None, "a " * n, "s") for n in (1, 2, 3, 4)] + [(1, "b " * n, "s") for n in (2, 5)], "doc_id long, text string, source string")
+    budget = sum(r.taken for r in mixing.mix(same).collect())
+    assert sum(len(words_of(r.text)) for r in mixing.mixed_documents(same).collect()) == budget
+
+
 BASE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
