@@ -493,26 +493,27 @@ def _training_table(spark, sf_dir):
 
 @query()
 def lr_train_exact(spark, sf_dir):
-    runs = training.train_all(_training_table(spark, sf_dir), {"baseline": TrainingConfig(max_epochs=3)})
+    runs = training.train_all(_training_table(spark, sf_dir), {"baseline": TrainingConfig()})
     return runs.select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), F.get_json_object("model", "$.best_epoch").cast("int").alias("best_epoch"), "history")
 
 
 @query()
 def ablation_suite(spark, sf_dir):
-    configs = training.suite(TrainingConfig(max_epochs=2))
+    configs = training.suite()
     return training.train_all(_training_table(spark, sf_dir), configs).select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), "history")
 
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    configs = {f"run{i}": TrainingConfig(max_epochs=1, seed=100 + i) for i in range(4)}
+    configs = {f"run{i}": TrainingConfig(seed=100 + i) for i in range(4)}
     return training.stability(training.train_all(_training_table(spark, sf_dir), configs, bootstrap=list(configs)), DENSE_FEATURES)
 
 
 @query()
 def lr_train_distributed(spark, sf_dir):
-    model = training.train_distributed(_training_table(spark, sf_dir), hash_dimension=0, max_iterations=20)
-    return spark.createDataFrame([("bias", model.bias), *zip(DENSE_FEATURES, model.dense, strict=True)], "feature string, weight double")
+    model = training.train_distributed(_training_table(spark, sf_dir))
+    sparse = [(f"sparse_{i}", w) for i, w in sorted(model.sparse.items())]
+    return spark.createDataFrame([("bias", model.bias), *zip(DENSE_FEATURES, model.dense, strict=True), *sparse], "feature string, weight double")
 
 
 # Streams, run to the end of what is there

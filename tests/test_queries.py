@@ -42,5 +42,17 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_fits_are_whole(spark, monkeypatch):
+    """The registered fits use the default settings, and the distributed one the sparse features."""
+    used = []
+    fit = catalog.training.train_all
+    monkeypatch.setattr(catalog.training, "train_all", lambda rows, configs, **k: used.extend(configs.values()) or fit(rows, configs, **k))
+    for name in ("lr_train_exact", "ablation_suite", "bootstrap_stability"):
+        catalog.QUERIES[name](spark, str(DATA))
+    assert len(used) == 10 and {c.max_epochs for c in used} == {catalog.TrainingConfig().max_epochs}
+    found = [r.feature for r in catalog.QUERIES["lr_train_distributed"](spark, str(DATA)).collect()]
+    assert found[0] == "bias" and sum(f.startswith("sparse_") for f in found) > 9
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
