@@ -13,15 +13,21 @@ An item's question ends with its last question mark; without one, with the last
 or line that leaves words on both sides; otherwise both parts are the whole item.  Parts of fewer
 than five words are compared as one sequence.
 
-The index is sent to the executors while the items' texts are at most ``index_bytes``; larger
-benchmarks are cut into slices of that size, each searched in turn.
-
-Edge cases: null texts count as empty; items without words match nothing; null ids and repeated
-rows are each answered; empty tables give no leaks; columns other than those named are not read.
+Items are cut by hash into slices of about ``index_bytes`` of text; each slice's index is built in
+a task of its own and written to the shared folder.  The numbers of items, their mean length and
+each word's items are counted once over all items, so scores do not depend on the slices.  The
+documents are read once: a worker gathers bounded runs of texts and passes each through the
+slices, of which it holds one at a time.
+
+Edge cases: null texts count as empty; items without words match nothing; items that are equal in
+id and text count once; documents with null ids and repeated rows are each answered; a very long
+text is cut into passages like any other; empty tables give no leaks; columns other than those
+named are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -32,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from ._chars import blocks, words
 
 SHINGLE = 5
+#: Bytes of texts that a worker gathers before it passes them through more than one slice.
+GATHERED = 32 << 20
 
 
 @dataclass
@@ -97,7 +106,26 @@ def parts(text: str) -> tuple[str, str]:
     return text, text
 
 
-def build_index(items: list[tuple[int, str | None]], k1: float = 1.2, b: float = 0.75, block: int = 8) -> IndexSet:
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: how many there are, their mean length and each word's items."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(items: list[tuple[int, str | None]]) -> Statistics:
+    """Those of a list of items (a slice that is the whole benchmark)."""
+    found = [keys for _, text in items if len(keys := _hashed(text or ""))]
+    terms, df = np.unique(np.concatenate([np.unique(k) for k in found]), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Statistics(len(found), sum(map(len, found)) / len(found) if found else 0.0, terms, df)
+
+
+def build_index(items: list[tuple[int, str | None]], whole: Statistics | None = None, k1: float = 1.2, b: float = 0.75, block: int = 8) -> IndexSet:
+    """The index of a slice's items, scored by the statistics of the whole benchmark."""
+    whole = whole or statistics(items)
     kept = []
     for item_id, text in items:
         keys = _hashed(text or "")
@@ -106,13 +134,13 @@ def build_index(items: list[tuple[int, str | None]], k1: float = 1.2, b: float =
             kept.append(Item(item_id, keys, np.unique(shingles(_hashed(question))), np.unique(shingles(_hashed(answer)))))
     if not kept:
         return IndexSet(np.zeros(0, np.uint64), [])
-    terms, df = np.unique(np.concatenate([np.unique(item.words) for item in kept]), return_counts=True)
-    idf = np.log(1 + (len(kept) - df + 0.5) / (df + 0.5))
-    mean = sum(len(item.words) for item in kept) / len(kept)
+    terms = np.unique(np.concatenate([item.words for item in kept]))
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
     groups: dict[int, list[Item]] = {}
     for item in kept:
         groups.setdefault(len(item.words).bit_length(), []).append(item)
-    return IndexSet(terms, [_index(groups[n], terms, idf, mean, k1, b, block) for n in sorted(groups)])
+    return IndexSet(terms, [_index(groups[n], terms, idf, whole.mean, k1, b, block) for n in sorted(groups)])
 
 
 def _index(items: list[Item], terms: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float, block: int) -> Index:
@@ -235,23 +263,56 @@ def remove_leaks(
     index_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The documents, with all their columns, in which no item's question and answer are found."""
-    place, schema = docs.columns.index(text_col), docs.schema
-    for items in _slices(benchmark, item_col, item_text_col, index_bytes):
-        docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(build_index(items)), place, least, overlap), schema)
-    return docs
-
+    place, files = docs.columns.index(text_col), index_files(benchmark, item_col, item_text_col, index_bytes)
 
-def _keeper(shared, place: int, least: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for at, codes, starts in blocks(batch.column(place), 1):
-                _, _, of, keys = words(codes, starts)
-                for doc, _, _ in search(shared.value, keys, of, len(starts), least, overlap):
-                    clean[at.start + doc] = False
-            yield batch.filter(pa.array(clean))
+        for gathered in _gathered(batches, place, len(files)):
+            clean = [np.ones(batch.num_rows, bool) for batch in gathered]
+            for n, doc, _, _ in _leaks([batch.column(place) for batch in gathered], files, least, overlap):
+                clean[n][doc] = False
+            for batch, keep in zip(gathered, clean, strict=True):
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], place: int, slices: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches: single ones for one slice, about GATHERED bytes of texts for several."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(place).nbytes
+        if slices <= 1 or size >= GATHERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+_HELD: dict[str, IndexSet] = {}
 
-    return run
+
+def _load(path: str) -> IndexSet:
+    """The index of a slice; a worker process keeps the last one."""
+    if path not in _HELD:
+        _HELD.clear()
+        fs, inner = _scratch.file_system(path)
+        with fs.open_input_stream(inner, compression=None) as source:
+            _HELD[path] = pickle.loads(source.read())
+    return _HELD[path]
+
+
+def _leaks(texts: list[pa.Array], files: list[str], least: float, overlap: float) -> Iterator[tuple[int, int, int, float]]:
+    """(array, row, item id, score) of the leaks in arrays of texts."""
+    if not files:
+        return
+    for path in files:
+        index = _load(path)
+        for n, array in enumerate(texts):
+            for at, codes, starts in blocks(array, 1):
+                _, _, of, keys = words(codes, starts)
+                for doc, item, score in search(index, keys, of, len(starts), least, overlap):
+                    yield n, at.start + doc, item, score
 
 
 def _share(part: np.ndarray, keys: np.ndarray, passage: np.ndarray) -> float:
@@ -268,14 +329,46 @@ def _share(part: np.ndarray, keys: np.ndarray, passage: np.ndarray) -> float:
     return float(hits.mean())
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """Items in runs of at most ``index_bytes`` of text, one run at a time on the driver."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+def index_files(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", index_bytes: int = 8 << 20) -> list[str]:
+    """Builds the index of each slice and returns the files' names.  Only these and two sums over
+    the items reach the driver."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // index_bytes))
-    for n in range(slices):
-        part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == n)
-        yield [tuple(row) for row in part.collect()]
+    slices, folder = max(1, -(-size // index_bytes)), _scratch.new_path(spark, "bm25")
+    items = _scratch.stage(items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)).cast("int")), "items")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each of an item's terms, and one without a term that holds its length."""
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = _hashed(text or "")
+                if len(keys):
+                    terms = [*np.unique(keys).view(np.int64).tolist(), None]
+                    lengths = [0] * (len(terms) - 1) + [len(keys)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(terms), pa.int32()), pa.array(terms, pa.int64()), pa.array(lengths, pa.int64())], ["slice", "term", "length"])
+
+    counted = items.select("slice", "text").mapInArrow(count, "slice int, term long, length long")
+    held = _scratch.stage(counted.groupBy("slice", "term").agg(F.count("*").alias("n"), F.sum("length").alias("length")), "terms")
+    with_words, total = held.filter("term is null").agg(F.sum("n"), F.sum("length")).first()
+    if not with_words:
+        return []
+    mean, held = total / with_words, held.filter("term is not null")
+    df = held.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = held.select("slice", "term").join(df, "term").select("slice", "term", "df")
+
+    def build(key: tuple, items: pa.Table, terms: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        found, counts = terms["term"].to_numpy().view(np.uint64), terms["df"].to_numpy()
+        order = np.argsort(found)
+        rows = sorted(zip(items["item"].to_pylist(), items["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        index, path = build_index(rows, Statistics(with_words, mean, found[order], counts[order])), f"{folder}/slice-{number:06d}.idx"
+        with _scratch.CommittedFile(path) as out:
+            out.write(pickle.dumps(index, protocol=5))
+        return pa.table({"file": [path]})
+
+    built = items.groupBy("slice").cogroup(terms.groupBy("slice")).applyInArrow(build, "file string")
+    return sorted(r.file for r in _scratch.stage(built, "slices").collect())
 
 
 def find_leaks(
@@ -289,37 +382,22 @@ def find_leaks(
     item_text_col: str = "text",
     index_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """(doc_id, leaked, items, best_score): one row per document, with the sorted ids of the items in it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [_search(rows.withColumn("digest", F.xxhash64("text")), build_index(items), least, overlap) for items in _slices(benchmark, item_col, item_text_col, index_bytes)]
-    if len(found) == 1:
-        return found[0].drop("digest")
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id", "digest").agg(
-        F.max("leaked").alias("leaked"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("best_score").alias("best_score"), F.count("*").alias("n")
-    )
-    copies = F.explode(F.array_repeat(F.lit(1), (F.col("n") / len(found)).cast("int")))
-    return merged.withColumn("copy", copies).select("doc_id", "leaked", "items", "best_score")
-
-
-def _search(rows: DataFrame, index: IndexSet, least: float, overlap: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+    """(doc_id, leaked, items, best_score): one row per document, with the sorted ids of the items in it
+    (an item without an id counts for ``leaked`` and the score)."""
+    files = index_files(benchmark, item_col, item_text_col, index_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            items, best = [set() for _ in range(batch.num_rows)], np.zeros(batch.num_rows)
-            for at, codes, starts in blocks(batch.column(1), 1):
-                _, _, of, keys = words(codes, starts)
-                for doc, item, score in search(index, keys, of, len(starts), least, overlap):
-                    items[at.start + doc].add(item)
-                    best[at.start + doc] = max(best[at.start + doc], score)
-            lists = [sorted(s) for s in items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([bool(s) for s in lists]), pa.array(lists, pa.list_(pa.int64())), pa.array(best)],
-                ["doc_id", "digest", "leaked", "items", "best_score"],
-            )
-
-    return rows.mapInArrow(run, "doc_id long, digest long, leaked boolean, items array<long>, best_score double")
+        for gathered in _gathered(batches, 1, len(files)):
+            items = [[set() for _ in range(batch.num_rows)] for batch in gathered]
+            best = [np.zeros(batch.num_rows) for batch in gathered]
+            for n, doc, item, score in _leaks([batch.column(1) for batch in gathered], files, least, overlap):
+                items[n][doc].add(item)
+                best[n][doc] = max(best[n][doc], score)
+            for batch, found, scores in zip(gathered, items, best, strict=True):
+                lists = [sorted(i for i in s if i is not None) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([bool(s) for s in found], pa.bool_()), pa.array(lists, pa.list_(pa.int64())), pa.array(scores)], ["doc_id", "leaked", "items", "best_score"]
+                )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, leaked boolean, items array<long>, best_score double")

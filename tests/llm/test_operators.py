@@ -437,6 +437,34 @@ def test_decontamination(spark, docs, none, index_bytes):
     assert decontam.find_leaks(none, benchmark).count() == 0
 
 
+def test_scores_do_not_depend_on_slices(spark):
+    """Borderline passages: parts of items, which score near the threshold."""
+    rng = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(10, 60)))) for i in range(40)] + [(None, "an item without any id at all")]
+    texts = [(i, " ".join((words := items[i % 40][1].split())[: int(len(words) * rng.uniform(0.6, 0.95))]) + " and more words" * (i % 5)) for i in range(200)]
+    texts += [(900, " ".join(rng.choices(vocabulary, k=60_000)) + " " + items[7][1]), (901, items[40][1])]
+    docs, benchmark = (spark.createDataFrame(rows, schema) for rows, schema in ((texts, "doc_id long, text string"), (items + items[:9], "item_id long, text string")))
+    found = [{r.doc_id: (r.leaked, r.items, r.best_score) for r in decontam.find_leaks(docs, benchmark, overlap=0.3, index_bytes=size).collect()} for size in (8 << 20, 2500, 700, 150)]
+    assert 20 < sum(leaked for leaked, _, _ in found[0].values()) < 195 and 7 in found[0][900][1] and found[0][901][:2] == (True, [])
+    for other in found[1:]:
+        for doc, (leaked, ids, score) in found[0].items():
+            assert other[doc][:2] == (leaked, ids) and math.isclose(other[doc][2], score, rel_tol=1e-12), doc
+    # And against BM25 written out plainly, over all items.
+    split = {i: words_of(t) for i, t in items}
+    df, mean = Counter(w for ws in split.values() for w in set(ws)), sum(map(len, split.values())) / len(split)
+
+    def part(word, ws):
+        tf = ws.count(word)
+        return math.log(1 + (len(split) - df[word] + 0.5) / (df[word] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+
+    for doc, text in texts[:200]:
+        score = lambda ws, have: sum(part(w, ws) for w in set(ws) & have) / sum(part(w, ws) for w in set(ws))
+        if len(words_of(text)) <= min(map(len, split.values())):
+            best = max(score(ws, set(words_of(text))) for ws in split.values())
+            assert found[0][doc][2] == 0 or math.isclose(found[0][doc][2], best, rel_tol=1e-9)
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]
