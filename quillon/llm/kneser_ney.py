@@ -1,25 +1,27 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in sorted hash arrays.
 
-Counting.  Each task counts tokens and token pairs of bounded pieces of its texts, and ships
-them as packed sorted arrays by hash shard; the number of shards follows the size of the input,
-so a shard stays within memory.  A shard of pairs is chosen by a hash of the whole pair: the
-followers of one very common word are spread over all shards.  Reducing a pair shard writes its
-sorted arrays (pair key, count) and ships on, by word, how many pairs of each count a word opens
-and how many it ends; reducing a word shard joins these with the token counts and writes sorted
-arrays as well.  Numbers that reach the driver are sums of fixed width.
-
-Scoring.  Workers map the shards' files into memory and look the tokens and pairs of a piece of
-texts up by binary search, in order of the key.  Files that are not on a mounted file system are
-copied to the worker's disk for the time of the mapping.
-
-Keys.  A word's key is the XXH64 of its bytes; a pair's key holds half of the bits of either
-word's key, so its context can be read off it.  Two words that agree in these 32 bits share pair
-counts (about one word in a thousand with five million words); token counts use all 64 bits.
+Counting.  Words come first: tasks count bounded pieces of their texts and ship sorted packed
+arrays; reducing a shard of words writes its sorted hashes and counts.  A word's number is its shard
+and its place there, so a pair of words is one 64-bit key from which both can be read, and no two
+pairs share one.  Pairs are then counted in the same way.  A shard of pairs is chosen by a hash of
+the whole pair: the followers of one very common word are spread over all shards.  Reducing a
+pair shard writes its sorted arrays and ships on, by word, how many pairs of each count a word opens
+and how many it ends, which reducing a word shard puts beside its hashes.
+
+The number of shards follows the size of the input, so a shard stays within memory.  A piece is
+cut into at most ``1 << fan_bits`` packed arrays; where there are more shards, bundles of bounded
+size are merged and cut again, one more step for each ``fan_bits`` bits.  So the number of
+packed arrays grows in proportion to the input.  Numbers that reach the driver are sums of fixed width.
+
+Scoring.  Workers map the shards' files into memory and look the words and pairs of a piece of
+texts up by binary search, in order of the key; only shards that occur in the piece are opened.
+Files that are not on a mounted file system are copied to the worker's disk for the time of the mapping.
 
 Tokens are words without ASCII white space, A-Z lower-cased, then one end; a text is scored from
-a start that is no token.  Edge cases: a null text counts as empty (its end alone is scored);
-null ids are learnt from as ``learn`` says; repeated rows count each; with nothing learnt every
-token has probability one over one (score 0); an empty table gives an empty result; other columns are not read.
+a start that is no token.  Words are told apart by the XXH64 of their bytes.  Edge cases: a null text
+counts as empty (its end alone is scored); null ids are learnt from as ``learn`` says; repeated rows
+count each; with nothing learnt every token has probability one over one (score 0); an empty table
+gives an empty result; other columns are not read.  More than 2 to the 32 word numbers are an error.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -44,10 +47,15 @@ from . import _scratch
 PIECE = 1_500_000
 #: Bytes of text for which there is one shard of pairs; words have a quarter as many shards.
 SHARD_BYTES = 16 << 20
+#: Bits of a shard's number by which packed arrays are cut at once, and bytes that are merged in one group before the next cut.
+FAN_BITS, BUNDLE_BYTES = 8, 64 << 20
+#: Files that a worker keeps mapped.
+MOST_OPEN = 4096
 END, START = np.uint64(xxhash.xxh64_intdigest(b"</s>\n")), np.uint64(xxhash.xxh64_intdigest(b"<s>\n"))
-LOW = np.uint64(0xFFFFFFFF)
-HALF = np.uint64(32)
-WORD_COUNTS, PAIR_COUNTS, OPENED, ENDED = range(4)
+HALF, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+#: Counts from here on are kept beside the column of bytes.
+LARGE = 255
+BLOB = "shard long, data binary"
 
 
 # Packed arrays: sorted keys as differences and any number of count columns, bytes of equal weight together.
@@ -73,9 +81,8 @@ def merge(packed: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [keys[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in columns[1:])]
 
 
-def _turned(words: np.ndarray) -> np.ndarray:
-    """Word keys with their low half in front, which is the half that pair keys hold."""
-    return words << HALF | words >> HALF
+def _same(keys: np.ndarray) -> np.ndarray:
+    return keys
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -87,13 +94,40 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def _by_shard(shards: np.ndarray, bits: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _by_shard(shards: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each shard that occurs, in the order they have."""
     order = np.argsort(shards, kind="stable")
-    bounds = np.searchsorted(shards[order], np.arange((1 << bits) + 1))
-    for shard in range(1 << bits):
-        lo, hi = bounds[shard], bounds[shard + 1]
-        if lo < hi:
-            yield shard, [c[order[lo:hi]] for c in columns]
+    sorted_shards = shards[order]
+    cuts = np.flatnonzero(np.diff(sorted_shards, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
+        yield int(sorted_shards[lo]), [c[order[lo:hi]] for c in columns]
+
+
+def _blobs(turned: np.ndarray, bits: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    found = [(shard, pack(*c)) for shard, c in _by_shard(shard_of(turned, bits), *columns)]
+    return [shard for shard, _ in found], [data for _, data in found]
+
+
+def _cut_further(blobs: DataFrame, turn: Callable, bits: int, fan_bits: int, bundle_bytes: int) -> DataFrame:
+    """Packed arrays cut by the first ``fan_bits`` bits, cut on until each is of one shard of ``bits`` bits."""
+    done = min(fan_bits, bits)
+    while done < bits:
+        following = min(bits, done + fan_bits)
+        blobs = _scratch.stage(blobs, "blobs")
+        size = blobs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        bundles = max(1, -(-size // (bundle_bytes << done)))
+        blobs = blobs.groupBy("shard", F.pmod(F.xxhash64("data"), F.lit(bundles)).alias("bundle")).applyInArrow(_cutter(turn, following), BLOB)
+        done = following
+    return blobs
+
+
+def _cutter(turn: Callable, bits: int) -> Callable:
+    def cut(table: pa.Table) -> pa.Table:
+        keys, *columns = merge([unpack(d.as_py()) for d in table["data"]])
+        shards, data = _blobs(turn(keys), bits, keys, *columns)
+        return pa.table([pa.array(shards, pa.int64()), pa.array(data, pa.binary())], ["shard", "data"])
+
+    return cut
 
 
 def token_keys(text: str | None) -> np.ndarray:
@@ -104,9 +138,14 @@ def token_keys(text: str | None) -> np.ndarray:
     return keys
 
 
-def pieces(batches: Iterator[pa.RecordBatch], id_at: int | None = None) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Runs of texts of about PIECE tokens: other columns' values and token keys of each."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Runs of texts of about PIECE tokens: other columns' values, token keys and where each text starts."""
     rows, held, n = [], [], 0
+
+    def made():
+        lengths = np.array([len(k) for k in held])
+        return rows, np.concatenate(held), np.cumsum(lengths) - lengths
+
     for batch in batches:
         others = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True) if batch.num_columns > 1 else repeat(())
         for text, other in zip(batch.column(0), others, strict=False):
@@ -115,28 +154,37 @@ def pieces(batches: Iterator[pa.RecordBatch], id_at: int | None = None) -> Itera
             held.append(keys)
             n += len(keys)
             if n >= PIECE:
-                yield rows, held
+                yield made()
                 rows, held, n = [], [], 0
     if held:
-        yield rows, held
+        yield made()
 
 
-def pair_keys(tokens: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[END], tokens[:-1]])
-    return np.where(before == END, START, before) << HALF | tokens & LOW
+def _pairs(place: np.ndarray, start: int, starts: np.ndarray) -> np.ndarray:
+    """For each token, the word before it (places among a piece's distinct words)."""
+    before = np.concatenate([[start], place[:-1]])
+    before[starts] = start
+    return before
 
 
 @dataclass
 class Model:
+    """``place_bits`` are the bits of a word's number that hold its place in its shard."""
+
     folder: str
     pair_bits: int
     word_bits: int
+    place_bits: int
     tokens: int
     types: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
-    pair_types: int
-    lower_mass: float
+    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    lower: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    pair_types: int = 0
+    lower_mass: float = 1.0
+
+    def turn_number(self, numbers: np.ndarray) -> np.ndarray:
+        """Word numbers with the bits of their shard in front."""
+        return numbers << np.uint64(64 - self.word_bits - self.place_bits)
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -152,109 +200,192 @@ def _count_columns(counts: np.ndarray) -> list[int]:
     return [int(c) for c in found[1:5]]
 
 
-def _write_shard(path: str, *columns: np.ndarray) -> None:
-    """A count, then the columns one after the other, eight bytes an entry."""
+# Files: a count of entries and of large counts, keys, a byte for each count, large counts by place.
+def _write_counts(path: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    large = np.flatnonzero(counts >= LARGE)
     with _scratch.CommittedFile(path) as out:
-        out.write(struct.pack("<QQ", len(columns[0]), len(columns)))
-        for column in columns:
-            out.write(np.ascontiguousarray(column, "<u8").tobytes())
+        out.write(struct.pack("<QQ", len(keys), len(large)))
+        out.write(np.ascontiguousarray(keys, "<u8").tobytes())
+        out.write(np.minimum(counts, LARGE).astype(np.uint8).tobytes() + bytes(-len(keys) % 8))
+        out.write(large.astype("<u8").tobytes() + np.ascontiguousarray(counts[large], "<u8").tobytes())
+
+
+class Counts:
+    """A file of ``_write_counts``, mapped."""
+
+    def __init__(self, raw: np.ndarray):
+        n, large = (int(x) for x in raw[:16].view("<u8"))
+        at = 16 + 8 * n
+        self.keys, self.bytes = raw[16:at].view("<u8"), raw[at : at + n]
+        rest = raw[at + n + -n % 8 :].view("<u8")
+        self.places, self.values = rest[:large], rest[large:]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted keys are there, and the places of these."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit, at[hit]
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        out = self.bytes[at].astype(np.uint64)
+        if len(self.places):
+            more = np.flatnonzero(out == LARGE)
+            out[more] = self.values[np.searchsorted(self.places, at[more])]
+        return out
+
+
+SUMS = "keys long, total long, n1 long, n2 long, n3 long, n4 long"
+
+
+def _sums_row(*numbers: int) -> pa.Table:
+    names = [part.split(" ")[0] for part in SUMS.split(", ")]
+    return pa.table([pa.array([n], pa.int64()) for n in (*numbers, *(0,) * (6 - len(numbers)))], names)
+
+
+def _blob_batch(turned: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch:
+    shards, data = _blobs(turned, bits, *columns)
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(data, pa.binary())], ["shard", "data"])
 
 
-SHIPPED = "kind int, shard long, data binary, keys long, total long, n1 long, n2 long, n3 long, n4 long"
+def _count_words(texts: DataFrame, model: Model, fan_bits: int, bundle_bytes: int) -> tuple[int, int, int]:
+    """Writes the word shards; how many words and tokens there are, and the words of the largest shard.
 
+    The start is entered with the number of texts as its count, which is no token's."""
+    bits, folder = model.word_bits, model.folder
 
-def _shipped(rows: list[tuple]) -> pa.Table:
-    names = [part.split(" ")[0] for part in SHIPPED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), *(pa.int64(),) * 6]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens, starts in pieces(batches):
+            words, counts = np.unique(np.append(tokens, np.full(len(starts), START)), return_counts=True)
+            yield _blob_batch(words, min(bits, fan_bits), words, counts)
+
+    def reduce(key: tuple, table: pa.Table) -> pa.Table:
+        words, counts = merge([unpack(d.as_py()) for d in table["data"]])
+        _write_counts(f"{folder}/words-{key[0].as_py():08d}", words, counts)
+        real = words != START
+        return _sums_row(int(real.sum()), int(counts[real].sum()), len(words))
+
+    counted = _cut_further(texts.mapInArrow(count, BLOB), _same, bits, fan_bits, bundle_bytes)
+    reduced = _scratch.stage(counted.groupBy("shard").applyInArrow(reduce, SUMS), "words")
+    found = reduced.agg(F.sum("keys"), F.sum("total"), F.max("n1")).first()
+    return tuple(int(x or 0) for x in found)
+
+
+def _count_pairs(texts: DataFrame, model: Model, fan_bits: int, bundle_bytes: int) -> None:
+    """Writes the pair shards and what the word shards need of them; sets the model's sums."""
+    bits, folder = model.pair_bits, model.folder
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(model)
+        for _, tokens, starts in pieces(batches):
+            words, place = np.unique(np.append(tokens, START), return_inverse=True)
+            numbers = shards.words(words).numbers
+            before = _pairs(place[:-1], place[-1], starts)
+            pairs, counts = np.unique(numbers[before] << HALF | numbers[place[:-1]], return_counts=True)
+            yield _blob_batch(_mixed(pairs), min(bits, fan_bits), pairs, counts)
+
+    def reduce(key: tuple, table: pa.Table) -> pa.Table:
+        pairs, counts = merge([unpack(d.as_py()) for d in table["data"]])
+        _write_counts(f"{folder}/pairs-{key[0].as_py():08d}", pairs, counts)
+        context, starts = np.unique(pairs >> HALF, return_index=True)
+        opened = [np.add.reduceat(c, starts) for c in (*((counts == n).astype(np.uint64) for n in (1, 2)), (counts > 2).astype(np.uint64))]
+        ended, endings = np.unique(pairs & LOW, return_counts=True)
+        numbers, *columns = merge([[context, *opened, np.zeros(len(context), np.uint64)], [ended, *(np.zeros(len(ended), np.uint64),) * 3, endings.astype(np.uint64)]])
+        found, data = _blobs(model.turn_number(numbers), min(model.word_bits, fan_bits), numbers, *columns)
+        sums = (len(pairs), int(counts.sum()), *_count_columns(counts))
+        # The sums of the shard stand in the first row only.
+        return pa.table([pa.array(found, pa.int64()), pa.array(data, pa.binary()), *(pa.array([s] + [None] * (len(found) - 1), pa.int64()) for s in sums)], ["shard", "data", *_sums_row(*sums).column_names])
+
+    counted = _cut_further(texts.mapInArrow(count, BLOB), _mixed, bits, fan_bits, bundle_bytes)
+    reduced = _scratch.stage(counted.groupBy("shard").applyInArrow(reduce, f"{BLOB}, {SUMS}"), "pairs")
+
+    def reduce_words(key: tuple, table: pa.Table) -> pa.Table:
+        numbers, *columns = merge([unpack(d.as_py()) for d in table["data"]])
+        shard, place = key[0].as_py(), (numbers & np.uint64((1 << model.place_bits) - 1)).astype(np.int64)
+        words = _mapped(f"{folder}/words-{shard:08d}")
+        dense = np.zeros((4, int(words[:8].view("<u8")[0])), np.uint32)
+        for row, column in zip(dense, columns, strict=True):
+            row[place] = column
+        with _scratch.CommittedFile(f"{folder}/stats-{shard:08d}") as out:
+            out.write(dense.astype("<u4").tobytes())
+        ended = columns[3][columns[3] > 0]
+        return _sums_row(len(ended), int(ended.sum()), *_count_columns(ended))
+
+    by_word = _cut_further(reduced.select("shard", "data"), model.turn_number, model.word_bits, fan_bits, bundle_bytes)
+    ended = _scratch.stage(by_word.groupBy("shard").applyInArrow(reduce_words, SUMS), "stats")
+    names = ("keys", "n1", "n2", "n3", "n4")
+    pair_types, *pair_n = (int(x or 0) for x in reduced.agg(*(F.sum(c) for c in names)).first())
+    ended_types, *ended_n = (int(x or 0) for x in ended.agg(*(F.sum(c) for c in names)).first())
+    model.discounts, model.lower, model.pair_types = _discounts(pair_n), _discounts(ended_n), pair_types
+    more = ended_types - ended_n[0] - ended_n[1]
+    if pair_types:
+        model.lower_mass = (model.lower[0] * ended_n[0] + model.lower[1] * ended_n[1] + model.lower[2] * more) / pair_types
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", shard_bytes: int = SHARD_BYTES, fan_bits: int = FAN_BITS, bundle_bytes: int = BUNDLE_BYTES) -> Model:
     """Count the texts of the rows where ``learn`` holds and write the model to the shared folder."""
-    spark = docs.sparkSession
     texts = docs.filter(learn).select(F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pair_bits = max(0, int(np.ceil(np.log2(max(1.0, size / shard_bytes)))))
-    word_bits, folder = max(0, pair_bits - 2), _scratch.new_path(spark, "kneser-ney")
+    model = Model(_scratch.new_path(docs.sparkSession, "kneser-ney"), pair_bits, max(0, pair_bits - 2), 0, 0, 0)
+    model.types, model.tokens, largest = _count_words(texts, model, fan_bits, bundle_bytes)
+    model.place_bits = max(1, int(largest).bit_length())
+    if model.word_bits + model.place_bits > 32:
+        raise ValueError(f"{model.types} words need more than 32 bits for their numbers")
+    if model.tokens:
+        _count_pairs(texts, model, fan_bits, bundle_bytes)
+    return model
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in pieces(batches):
-            tokens = np.concatenate(held)
-            pairs, pair_counts = np.unique(pair_keys(tokens), return_counts=True)
-            words, word_counts = np.unique(_turned(tokens), return_counts=True)
-            rows = [(WORD_COUNTS, shard, pack(*c)) for shard, c in _by_shard(shard_of(words, word_bits), word_bits, words, word_counts)]
-            rows += [(PAIR_COUNTS, shard, pack(*c)) for shard, c in _by_shard(shard_of(_mixed(pairs), pair_bits), pair_bits, pairs, pair_counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "shard", "data"])
-
-    def reduce_counts(key: tuple, table: pa.Table) -> pa.Table:
-        kind, shard = (k.as_py() for k in key)
-        keys, counts = merge([unpack(d.as_py()) for d in table["data"]])
-        if kind == WORD_COUNTS:
-            return _shipped([(kind, shard, pack(keys, counts), len(keys), int(counts.sum()), 0, 0, 0, 0)])
-        _write_shard(f"{folder}/pairs-{shard:08d}", keys, counts)
-        context, starts = np.unique(keys >> HALF, return_index=True)
-        sums = [np.add.reduceat(c, starts) for c in (counts, *((counts == n).astype(np.uint64) for n in (1, 2)), (counts > 2).astype(np.uint64))]
-        ended, endings = np.unique(keys & LOW, return_counts=True)
-        rows = [(PAIR_COUNTS, shard, None, len(keys), int(counts.sum()), *_count_columns(counts))]
-        for to, found, columns in ((OPENED, context, sums), (ENDED, ended, [endings])):
-            for at, c in _by_shard(shard_of(found << HALF, word_bits), word_bits, found << HALF, *columns):
-                rows.append((to, at, pack(*c), 0, 0, 0, 0, 0, 0))
-        return _shipped(rows)
-
-    counted = texts.mapInArrow(count, "kind int, shard long, data binary")
-    reduced = _scratch.stage(counted.groupBy("kind", "shard").applyInArrow(reduce_counts, SHIPPED), "counts")
 
-    def reduce_words(key: tuple, table: pa.Table) -> pa.Table:
-        kinds, data, none = table["kind"].to_pylist(), table["data"].to_pylist(), np.zeros(0, np.uint64)
-        of = lambda kind, columns: merge([unpack(d) for k, d in zip(kinds, data, strict=True) if k == kind] or [[none] * (columns + 1)])
-        keys, counts = of(WORD_COUNTS, 1)
-        opened, ended = of(OPENED, 4), of(ENDED, 1)
-        # A file of its own for each: pair statistics are by half keys, which words may share.
-        name = f"{folder}/%s-{key[0].as_py():08d}"
-        _write_shard(name % "words", keys, counts)
-        _write_shard(name % "opened", *opened)
-        _write_shard(name % "ended", *ended)
-        return _shipped([(ENDED, key[0].as_py(), None, len(ended[0]), int(ended[1].sum()), *_count_columns(ended[1]))])
-
-    words = reduced.filter(F.col("kind") != PAIR_COUNTS).groupBy("shard").applyInArrow(reduce_words, SHIPPED)
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("keys", "total", "n1", "n2", "n3", "n4")]
-    found = {r[0]: r[1:] for r in reduced.unionByName(_scratch.stage(words, "words")).groupBy("kind").agg(*sums).collect()}
-    types, tokens, *_ = found.get(WORD_COUNTS, (0,) * 6)
-    pair_types, _, *pair_n = found.get(PAIR_COUNTS, (0,) * 6)
-    ended_types, _, *ended_n = found.get(ENDED, (0,) * 6)
-    lower = _discounts(ended_n)
-    more = ended_types - ended_n[0] - ended_n[1]
-    mass = (lower[0] * ended_n[0] + lower[1] * ended_n[1] + lower[2] * more) / pair_types if pair_types else 1.0
-    return Model(folder, pair_bits, word_bits, int(tokens), int(types), _discounts(pair_n), lower, int(pair_types), float(mass))
+@dataclass
+class Words:
+    """Of sorted word keys: numbers, counts, how many pairs of count 1, 2, more each opens, and how many it ends."""
+
+    numbers: np.ndarray
+    counts: np.ndarray
+    stats: np.ndarray
 
 
 class Shards:
-    """Sorted arrays of the shards of one kind, mapped when first looked at."""
-
-    def __init__(self, folder: str, kind: str, bits: int, turn):
-        self.folder, self.kind, self.bits, self.turn, self.open = folder, kind, bits, turn, {}
-
-    def _map(self, shard: int) -> np.ndarray | None:
-        if shard not in self.open:
-            self.open[shard] = _mapped(f"{self.folder}/{self.kind}-{shard:08d}")
-        return self.open[shard]
-
-    def look_up(self, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        """The columns for sorted distinct keys, 0 where a key is not there."""
-        out = [np.zeros(len(keys), np.uint64) for _ in range(columns)]
-        shards = shard_of(self.turn(keys), self.bits)
-        order = np.argsort(shards, kind="stable")
-        bounds = np.searchsorted(shards[order], np.arange((1 << self.bits) + 1))
-        for shard in range(1 << self.bits):
-            rows = order[bounds[shard] : bounds[shard + 1]]
-            table = self._map(shard) if len(rows) else None
-            if table is None or not table.shape[1]:
+    """A model's files, mapped when first looked at; the least recently used are let go."""
+
+    def __init__(self, model: Model):
+        self.model, self.open = model, OrderedDict()
+
+    def _file(self, kind: str, shard: int):
+        name = f"{self.model.folder}/{kind}-{shard:08d}"
+        if name not in self.open:
+            raw = _mapped(name)
+            self.open[name] = raw if raw is None or kind == "stats" else Counts(raw)
+            if len(self.open) > MOST_OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
+        return self.open[name]
+
+    def words(self, keys: np.ndarray) -> Words:
+        """``keys`` are sorted and distinct; a word that was not learnt has count 0 (and a number of no meaning)."""
+        out = Words(*(np.zeros(len(keys), np.uint64) for _ in range(2)), np.zeros((4, len(keys)), np.uint64))
+        for shard, (rows,) in _by_shard(shard_of(keys, self.model.word_bits), np.arange(len(keys))):
+            table = self._file("words", shard)
+            if table is None:
                 continue
-            at = np.minimum(np.searchsorted(table[0], keys[rows]), table.shape[1] - 1)
-            rows, at = rows[hit := table[0][at] == keys[rows]], at[hit]
-            for column, values in zip(out, table[1:], strict=True):
-                column[rows] = values[at]
+            hit, at = table.find(keys[rows])
+            out.counts[rows[hit]] = table.counts(at)
+            out.numbers[rows[hit]] = np.uint64(shard << self.model.place_bits) | at.astype(np.uint64)
+            stats = self._file("stats", shard)
+            if stats is not None:
+                out.stats[:, rows[hit]] = stats.view("<u4").reshape(4, -1)[:, at]
+        return out
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct pairs."""
+        out = np.zeros(len(keys), np.uint64)
+        for shard, (rows,) in _by_shard(shard_of(_mixed(keys), self.model.pair_bits), np.arange(len(keys))):
+            table = self._file("pairs", shard)
+            if table is not None:
+                hit, at = table.find(keys[rows])
+                out[rows[hit]] = table.counts(at)
         return out
 
 
@@ -263,17 +394,16 @@ def _mapped(path: str) -> np.ndarray | None:
     if not fs.get_file_info(inner).is_file:
         return None
     if fs.type_name == "local":
-        return _as_columns(np.memmap(inner, np.uint64, "r"))
-    with tempfile.NamedTemporaryFile(delete=False) as copy, fs.open_input_stream(inner, compression=None) as source:
-        while data := source.read(1 << 22):
-            copy.write(data)
-    mapped = np.memmap(copy.name, np.uint64, "r")
-    os.unlink(copy.name)  # the mapping keeps the content
-    return _as_columns(mapped)
-
-
-def _as_columns(flat: np.ndarray) -> np.ndarray:
-    return flat[2:].reshape(int(flat[1]), int(flat[0]))
+        return np.memmap(inner, np.uint8, "r")
+    with tempfile.NamedTemporaryFile(delete=False) as copy:
+        try:
+            with fs.open_input_stream(inner, compression=None) as source:
+                while data := source.read(1 << 22):
+                    copy.write(data)
+            copy.flush()
+            return np.memmap(copy.name, np.uint8, "r")
+        finally:
+            os.unlink(copy.name)  # a mapping keeps the content
 
 
 def _discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:
@@ -284,34 +414,30 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, n_tokens, n_known, base_score, score, perplexity) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        same = lambda keys: keys
-        words, opened, ended = (Shards(model.folder, kind, model.word_bits, same) for kind in ("words", "opened", "ended"))
-        pairs = Shards(model.folder, "pairs", model.pair_bits, _mixed)
-        base_whole, d = model.tokens + 0.1 * (model.types + 1), model.discounts
-        for rows, held in pieces(batches):
-            lengths = np.array([len(k) for k in held])
-            tokens, starts = np.concatenate(held), np.cumsum(lengths) - lengths
-            keys, at = np.unique(_turned(np.append(tokens, START)), return_inverse=True)
-            halves, half_at = np.unique(keys & ~LOW, return_inverse=True)
-            (counts,) = words.look_up(keys, 1)
-            whole, n1, n2, n3 = (c[half_at].astype(np.float64) for c in opened.look_up(halves, 4))
-            endings = ended.look_up(halves, 1)[0][half_at].astype(np.float64)
+        shards, d = Shards(model), model.discounts
+        base_whole = model.tokens + 0.1 * (model.types + 1)
+        for rows, tokens, starts in pieces(batches):
+            keys, place = np.unique(np.append(tokens, START), return_inverse=True)
+            found = shards.words(keys)
+            n1, n2, n3, endings = found.stats.astype(np.float64)
+            whole = found.counts.astype(np.float64)
             lower = _discounted(endings, model.lower) / max(1, model.pair_types) + model.lower_mass / (model.types + 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 back = np.where(whole > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole, 1.0)
-            ids = pair_keys(tokens)
-            distinct, pair_at = np.unique(ids, return_inverse=True)
-            pair_counts = _discounted(pairs.look_up(distinct, 1)[0].astype(np.float64), d)[pair_at]
-            token_at, start_at = at[:-1], at[-1]
-            before = np.concatenate([[start_at], token_at[:-1]])
-            before[starts] = start_at
-            direct = np.divide(pair_counts, whole[before], out=np.zeros(len(tokens)), where=whole[before] > 0)
-            logs = np.log10(direct + back[before] * lower[token_at])
-            base = np.log10((counts + 0.1) / base_whole)[token_at]
-            known = np.add.reduceat((counts > 0)[token_at].astype(np.int64), starts)
+            at = place[:-1]
+            before = _pairs(at, place[-1], starts)
+            counts = np.zeros(len(at))
+            known = np.flatnonzero((whole[before] > 0) & (whole[at] > 0))
+            distinct, pair_at = np.unique(found.numbers[before[known]] << HALF | found.numbers[at[known]], return_inverse=True)
+            counts[known] = _discounted(shards.pairs(distinct).astype(np.float64), d)[pair_at]
+            direct = np.divide(counts, whole[before], out=np.zeros(len(at)), where=whole[before] > 0)
+            logs = np.log10(direct + back[before] * lower[at])
+            base = np.log10((whole + 0.1) / base_whole)[at]
+            lengths = np.diff(starts, append=len(at))
+            n_known = np.add.reduceat((whole > 0)[at].astype(np.int64), starts)
             base_score, scores = np.add.reduceat(base, starts), np.add.reduceat(logs, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(lengths), pa.array(known), pa.array(base_score), pa.array(scores), pa.array(10 ** (-scores / lengths))],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array(lengths), pa.array(n_known), pa.array(base_score), pa.array(scores), pa.array(10 ** (-scores / lengths))],
                 ["id", "n_tokens", "n_known", "base_score", "score", "perplexity"],
             )
 

@@ -372,10 +372,11 @@ def discounts(counts):
     return [0.0] + [min(max(d, 0.01), k - 0.01) for k, d in enumerate(raw, 1)]
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 24, 1 << 13])
-def test_language_model(docs, none, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, fan_bits", [(1 << 24, 8), (1 << 13, 8), (1 << 13, 2)])
+def test_language_model(docs, none, shard_bytes, fan_bits):
     learn = id_remainder(10) != 0
-    model = kneser_ney.fit(docs, learn, shard_bytes=shard_bytes)
+    model = kneser_ney.fit(docs, learn, shard_bytes=shard_bytes, fan_bits=fan_bits, bundle_bytes=1 << 12)
+    assert shard_bytes > 1 << 13 or model.word_bits > 2  # shards that are cut in several steps
     found = kneser_ney.score(docs, model).collect()
     texts = [(r.doc_id, [*words_of(r.text), None]) for r in docs.collect()]
     crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
