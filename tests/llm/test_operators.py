@@ -111,7 +111,29 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_simhash_links_lose_nothing(spark):
+def test_simhash_masks():
+    """Fingerprints that differ in k bits agree under some mask, for every choice of spare blocks."""
+    rng = random.Random(9)
+    for k, spare in ((4, 1), (4, 2), (4, 3), (4, 4), (2, 3), (7, 2)):
+        found = simhash.masks(k, spare)
+        assert len(found) == math.comb(k + spare, spare) and all(m.bit_count() >= 64 * spare // (k + spare) - spare for m in found)
+        for _ in range(300):
+            apart = sum(1 << b for b in rng.sample(range(64), k))
+            assert any(apart & m == 0 for m in found)
+
+
+def test_simhash_spare_blocks(spark):
+    rng = np.random.default_rng(12)
+    fps = spark.createDataFrame([(int(f),) for f in rng.integers(-(1 << 63), 1 << 63, 2000)], "fp long").cache()
+    # About 0.35 members a child with one spare block: cheap pairs need no more blocks, dear ones do.
+    assert simhash.spare_blocks(fps, 4) == 1
+    assert simhash.spare_blocks(fps, 4, pairs_an_entry=0.1) > 1
+    assert simhash.spare_blocks(fps.limit(0), 4) == 1
+
+
+@pytest.mark.parametrize("spare", [None, 2, 4])
+def test_simhash_links_lose_nothing(spark, spare, monkeypatch):
+    monkeypatch.setattr(simhash, "NODES_A_GROUP", 3)  # groups of nodes are salted
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(c) for c in centres}
@@ -124,7 +146,7 @@ def test_simhash_links_lose_nothing(spark):
     fps = sorted(fps)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     # Nodes of eight members: hot segments are cut into many.
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), k=4, node_size=8, leaf_size=2)
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), k=4, node_size=8, leaf_size=2, spare=spare)
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
     part = groups_of(fps, lambda a, b: (a ^ b).bit_count() <= 4)
     sizes = Counter(part)
