@@ -1,9 +1,11 @@
-"""Edited copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Groups of exact and edited copies: SimHash near-duplicates widened to a five-word Jaccard of 0.8.
 
-SimHash of 64 bits cannot find these: at 0.8 two texts differ in about ten bits, and an index
-that loses none of them must meet nearly every pair.  Candidates come from MinHash bands instead
-(24 bands of 5: a pair at exactly 0.8 is missed once in 13,000), and each candidate is confirmed
-by the exact similarity of the two sets before it becomes a link.
+Documents whose five-word shingles have close SimHash fingerprints meet first, through the Gray-order
+index of ``simhash``: each of its components is a bucket of candidates.  That alone cannot find all
+edited copies: at a similarity of 0.8 two fingerprints differ in about ten of 64 bits, and an index
+that loses none of these must meet nearly every pair.  So MinHash bands of the same shingles are
+buckets too (24 bands of 5: a pair at exactly 0.8 is missed once in 13,000).  Each candidate pair is
+confirmed by the exact similarity of the two sets before it becomes a link.
 
 Texts with equal sets are one class and need no candidates.  In a bucket that many classes share,
 members are first compared with a leader of the bucket (another one in each bucket and round);
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _scratch
+from . import _scratch, simhash
 from .components import connected_components
 
 BANDS, ROWS, STAR_ROUNDS = 24, 5, 2
@@ -51,25 +53,34 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(signed)], np.uint64)
 
 
+def fingerprint(found: np.ndarray) -> np.uint64:
+    """SimHash of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 4096):
+        ones += np.unpackbits(found[at : at + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")[0]
+
+
 def _row_hashes(columns: list[str]) -> list[Column]:
     every = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
     return [F.xxhash64(F.lit(seed), *every).alias(name) for seed, name in ((1, "__h1"), (2, "__h2"))]
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2, class, n, bands) of every row."""
+    """(id, h1, h2, class, n, fp, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(3)]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
+            fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
             signed = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
             signed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names), pa.array(sizes), signed], ["id", "h1", "h2", "class", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names), pa.array(sizes), pa.array(fps), signed], ["id", "h1", "h2", "class", "n", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *_row_hashes(docs.columns), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, h1 long, h2 long, class long, n long, bands array<long>")
+    return rows.mapInArrow(run, "id long, h1 long, h2 long, class long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
@@ -103,8 +114,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def class_links(signed: DataFrame, docs: DataFrame, text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(node, component) over the classes that have a link."""
-    classes = signed.groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = classes.filter("n > 0").select("class", "n", F.explode("bands").alias("bucket"))
+    classes = signed.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bands")))
+    near = _scratch.stage(classes.select("class", "n", "fp"), "copy-fingerprints")
+    near = near.join(simhash.components(_scratch.stage(near.select("fp").distinct(), "copy-distinct")), "fp", "left")
+    near = near.select("class", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
+    members = classes.select("class", "n", F.explode("bands").alias("bucket")).unionByName(near)
     shared = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
     members = _scratch.stage(members.join(shared, "bucket"), "copy-buckets")
     sets = _scratch.stage(_sets(docs, members.select("class").distinct(), signed, text_col), "copy-sets")
