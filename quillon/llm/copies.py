@@ -7,9 +7,12 @@ that loses none of these must meet nearly every pair.  So MinHash bands of the s
 buckets too (24 bands of 5: a pair at exactly 0.8 is missed once in 13,000).  Each candidate pair is
 confirmed by the exact similarity of the two sets before it becomes a link.
 
-Texts with equal sets are one class and need no candidates.  In a bucket that many classes share,
-members are first compared with a leader of the bucket (another one in each bucket and round);
-only members that still lie in different components are then compared in pairs.
+Texts with equal sets are one class and need no candidates.  In a bucket, members are first compared
+with its leader, the member that meets most others over all its buckets.  Those that are then not in
+the leader's component are compared with all members of the bucket.  That is done inside tasks,
+by exact counts of common shingles, in groups of bounded size: a bucket's members are cut into parts
+by hash, and a group holds one part of either side and returns a spanning forest of its links, so
+no pair that is not a link is ever a row.
 
 Edge cases: rows are told apart by two hashes of all their columns, never by id, so null and
 repeated ids are rows like any other; a null text counts as empty; texts without words are one
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from . import _scratch, simhash
 from .components import connected_components
 
-BANDS, ROWS, STAR_ROUNDS = 24, 5, 2
+BANDS, ROWS = 24, 5
+#: Members, and shingles of all members, of one part of a bucket; columns of a block of counts.
+PART_MEMBERS, PART_SHINGLES, BLOCK = 1024, 1_000_000, 2048
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -112,6 +117,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``."""
+    values = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)]
+    both = np.intersect1d(*values)
+    out = np.zeros((len(a), len(b)))
+    rows, columns = [], []
+    for side, value in zip((a, b), values, strict=True):
+        at = np.minimum(np.searchsorted(both, value), max(0, len(both) - 1))
+        hit = np.flatnonzero(both[at] == value) if len(both) else np.zeros(0, np.int64)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        rows.append(np.repeat(np.arange(len(side)), [len(x) for x in side])[order])
+        columns.append(at[order])
+    for lo in range(0, len(both), BLOCK):
+        block = []
+        for side, row, column in zip((a, b), rows, columns, strict=True):
+            run = slice(*np.searchsorted(column, [lo, lo + BLOCK]))
+            matrix = np.zeros((len(side), BLOCK), np.float32)
+            matrix[row[run], column[run] - lo] = 1
+            block.append(matrix)
+        out += block[0] @ block[1].T
+    return out
+
+
+def _in_buckets(members: DataFrame, leaders: DataFrame, parts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of spanning forests of the links between members of a bucket that lie in different components."""
+    names = parts.withColumnRenamed("node", "class")
+    named = members.join(names, "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component", "meets")
+    main = leaders.select("bucket", F.col("leader").alias("class")).join(names, "class", "left").select("bucket", F.coalesce("component", "class").alias("main"))
+    placed = named.join(main, "bucket").withColumn("out", F.col("part") != F.col("main"))
+    pieces = lambda some: F.greatest(F.ceil(F.count_if(some) / PART_MEMBERS), F.ceil(F.sum(F.when(some, F.col("n"))) / PART_SHINGLES)).cast("int")
+    open_buckets = placed.groupBy("bucket").agg(pieces(F.col("out")).alias("outer"), pieces(F.lit(True)).alias("all")).filter("outer > 0")
+    placed = _scratch.stage(placed.join(open_buckets, "bucket"), "copy-open")
+    cut = lambda c: F.pmod(F.xxhash64("class", F.lit(5)), c).cast("int")
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = placed.filter("out").select("bucket", "class", "part", F.lit(True).alias("outside"), cut("outer").alias("p"), span("all").alias("q"))
+    right = placed.select("bucket", "class", "part", F.lit(False).alias("outside"), span("outer").alias("p"), cut("all").alias("q"))
+    grouped = left.unionByName(right).join(sets, "class")
+
+    def run(table: pa.Table) -> pa.Table:
+        outside = table["outside"].to_numpy()
+        found = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
+        a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+        both, sizes, part = common([found[i] for i in a], [found[j] for j in b]), np.array([len(x) for x in found]), table["part"].to_numpy()
+        near = (both >= least * (sizes[a][:, None] + sizes[b][None, :] - both)) & (part[a][:, None] != part[b][None, :])
+        i, j = np.nonzero(near)
+        name = table["class"].to_numpy()
+        root = simhash.spanning_roots(len(name), a[i], b[j])
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([pa.array(name[at]), pa.array(name[root[at]])], ["a", "b"])
+
+    return grouped.groupBy("bucket", "p", "q").applyInArrow(run, "a long, b long")
+
+
 def class_links(signed: DataFrame, docs: DataFrame, text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(node, component) over the classes that have a link."""
     classes = signed.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bands")))
@@ -119,43 +177,32 @@ def class_links(signed: DataFrame, docs: DataFrame, text_col: str = "text", leas
     near = near.join(simhash.components(_scratch.stage(near.select("fp").distinct(), "copy-distinct")), "fp", "left")
     near = near.select("class", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
     members = classes.select("class", "n", F.explode("bands").alias("bucket")).unionByName(near)
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1")
     members = _scratch.stage(members.join(shared, "bucket"), "copy-buckets")
-    sets = _scratch.stage(_sets(docs, members.select("class").distinct(), signed, text_col), "copy-sets")
-    sizes_fit = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    links = parts = None
-    for turn in range(STAR_ROUNDS + 1):
-        named = members.withColumn("part", F.col("class"))
-        if parts is not None:
-            named = members.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
-        open_buckets = named.groupBy("bucket").agg(
-            F.min_by(F.struct("class", "n", "part"), F.xxhash64(F.lit(turn), "bucket", "class")).alias("lead"), (F.min("part") != F.max("part")).alias("open")
-        ).filter("open")
-        left = named.select("bucket", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-        if turn < STAR_ROUNDS:
-            right = open_buckets.select("bucket", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.part").alias("part_b"))
-        else:
-            left = left.join(open_buckets.select("bucket"), "bucket")
-            right = left.select("bucket", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("part_a").alias("part_b"))
-        pairs = left.join(right, "bucket").filter(F.col("part_a") != F.col("part_b")).filter(sizes_fit).select(*ordered).distinct()
-        found = _scratch.stage(_confirmed(pairs, sets, least), "copy-links")
-        links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-    return parts
+    meets = members.groupBy("class").agg(F.sum("met").alias("meets"))
+    members = members.drop("met").join(meets, "class")
+    leaders = _scratch.stage(members.groupBy("bucket").agg(F.max(F.struct("meets", "class", "n")).alias("l")).select("bucket", F.col("l.class").alias("leader"), F.col("l.n").alias("n_leader")), "copy-leaders")
+    sets = _scratch.stage(_sets(docs, meets.select("class"), signed, text_col), "copy-sets")
+    sizes_fit = F.least("n", "n_leader") >= least * F.greatest("n", "n_leader")
+    pairs = members.join(leaders, "bucket").filter("class <> leader").filter(sizes_fit).select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
+    links = _scratch.stage(_confirmed(pairs, sets, least), "copy-links")
+    parts = connected_components(links)
+    return connected_components(links.unionByName(_scratch.stage(_in_buckets(members, leaders, parts, sets, least), "copy-more")))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row of each group of copies: that of the smallest id (a null id is the largest)."""
     signed = _scratch.stage(_signatures(docs, id_col, text_col), "copy-signatures")
     parts = class_links(signed, docs, text_col, least).withColumnRenamed("node", "class")
+    # The best row of each class, then of each group: a text with very many copies is added up first.
     rows = signed.groupBy("h1", "h2").agg(F.first("id").alias("id"), F.first("class").alias("class"), F.count("*").alias("times"))
-    named = rows.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class")).select("part", "times", F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2").alias("row"))
-    named = named.join(named.groupBy("part").agg(F.min("row").alias("best")), "part")
-    is_best = (F.col("row.h1") == F.col("best.h1")) & (F.col("row.h2") == F.col("best.h2"))
+    best = lambda table, by: table.groupBy(by).agg(F.min("row").alias("row"))
+    of_class = best(rows.select("class", F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2").alias("row")), "class")
+    stay = best(of_class.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class")), "part").select(F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2"), F.lit(True).alias("__stays"))
     # Rows to drop, and rows that are there several times and stay once.
-    special = named.filter(~is_best | (F.col("times") > 1)).select(F.col("row.h1").alias("__h1"), F.col("row.h2").alias("__h2"), is_best.alias("__stays"))
-    special = _scratch.stage(special, "copy-rows")
-    marked = docs.select("*", *_row_hashes(docs.columns)).join(special, ["__h1", "__h2"], "left")
-    single = marked.filter("__stays is null").select(*docs.columns)
-    return single.unionByName(marked.filter("__stays").dropDuplicates(["__h1", "__h2"]).select(*docs.columns))
+    special = rows.select("h1", "h2", "times").join(stay, ["h1", "h2"], "left").filter("__stays is null or times > 1")
+    special = _scratch.stage(special.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.coalesce("__stays", F.lit(False)).alias("__stays")), "copy-rows")
+    # The row's own columns go in a struct, so that none of their names can clash.
+    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *_row_hashes(docs.columns)).join(special, ["__h1", "__h2"], "left")
+    single = marked.filter("__stays is null").select("row.*")
+    return single.unionByName(marked.filter("__stays").dropDuplicates(["__h1", "__h2"]).select("row.*"))

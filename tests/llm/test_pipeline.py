@@ -5,11 +5,12 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import mixing
+from quillon.llm import copies, mixing
 from test_operators import WORD, brute_fingerprint, groups_of
 
 DATA = Path("/root/testdata/sf0.001")
@@ -63,8 +64,17 @@ def test_near_copies_stage(steps):
     assert ids(after) == Counter(least.values())
 
 
-def test_near_copies_are_those_of_jaccard(spark):
+def test_common():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 4000, 8000, 3000)]
+    assert copies.common(sets[:3], sets[2:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+    assert copies.common(sets, sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
+@pytest.mark.parametrize("part", [1024, 4])
+def test_near_copies_are_those_of_jaccard(spark, part, monkeypatch):
     """Edited copies go (also those far apart in SimHash), looser ones stay; ids may be null or repeated."""
+    monkeypatch.setattr(copies, "PART_MEMBERS", part)
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
     texts = []
@@ -76,6 +86,11 @@ def test_near_copies_are_those_of_jaccard(spark):
             for at in rng.sample(range(120), edits):
                 changed[at] = word()
             texts.append(" ".join(changed))
+    # Copies of copies: a chain in which each step changes two more words.
+    base = [word() for _ in range(120)]
+    for step in range(12):
+        base[step * 10 + 3], base[step * 10 + 4] = word(), word()
+        texts.append(" ".join(base))
     texts += ["same short text"] * 5 + [None, "", "Same  SHORT text"]
     rows = [(None if i % 9 == 4 else i - 1 if i % 9 == 7 else i, t, i % 4) for i, t in enumerate(texts)]
     rows += [rows[0], rows[4], (None, "only one without id", 1), (5, "another text of that id", 1)]
