@@ -6,29 +6,33 @@ all learning documents.  A document's features are term frequency times inverse
 frequency, divided by their sum, so its score needs sums over its n-grams only.
 
 Weights are fitted by follow-the-regularised-leader (proximal, per-coordinate rates) with both
-penalties, on at most ``FIT_ROWS`` learning documents (those with the smallest hashes); a fifth of
-these is held back to fit the temperature that calibrates the probabilities.
+penalties, on a sample of about ``FIT_ROWS`` learning documents: of each language the same number
+(``LEAST_ROWS`` at least, or all it has), those with the smallest hashes, weighed back to its true
+share.  A fifth of each language's sample is held back to fit the temperature that calibrates the
+probabilities; languages of fewer than five documents are learnt from whole.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows with a null
-language or id are never learnt from; without learning documents every text is ``und``; repeated
-rows are each answered; an empty table gives an empty result; other columns are not read.
+language or id are never learnt from; without learning documents every text is ``und``; with one
+learning document its language is every text's; equal scores go to the first language by code
+point; repeated rows are each answered and count each; very long texts are worked on whole; an empty
+table gives an empty result; other columns are not read and pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _scratch
 from ._chars import SPACE, blocks, tables
 
 BITS = 18
-FIT_ROWS = 3_000
+FIT_ROWS, LEAST_ROWS = 3_000, 50
 UNKNOWN = "und"
 
 
@@ -92,8 +96,8 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, rate: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias (the bias is not penalised)."""
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], classes: int, rate: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias (the bias is not penalised) from rows of (buckets, values, class, weight)."""
     size = (1 << BITS) + 1
     z, n = np.zeros((size, classes)), np.zeros((size, classes))
     penalty1, penalty2 = np.full((size, 1), l1), np.full((size, 1), l2)
@@ -103,12 +107,12 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, rate:
         return np.where(np.abs(z[at]) <= penalty1[at], 0.0, -(z[at] - np.sign(z[at]) * penalty1[at]) / ((beta + np.sqrt(n[at])) / rate + penalty2[at]))
 
     for _ in range(epochs):
-        for at, value, label in rows:
+        for at, value, label, weight in rows:
             at, value = np.append(at, size - 1), np.append(value, 1.0)
             w = weights(at)
             error = _softmax(value @ w)
             error[label] -= 1.0
-            gradient = value[:, None] * error[None, :]
+            gradient = weight * value[:, None] * error[None, :]
             before, after = np.sqrt(n[at]), np.sqrt(n[at] + gradient**2)
             z[at] += gradient - (after - before) / rate * w
             n[at] += gradient**2
@@ -116,12 +120,12 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, rate:
     return w[:-1], w[-1]
 
 
-def _temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by refining a grid."""
+def _temperature(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The temperature of least weighted log loss, by refining a grid."""
     lo, hi = np.log(0.25), np.log(20.0)
     for _ in range(4):
         grid = np.linspace(lo, hi, 25)
-        loss = [-np.log(np.maximum(_softmax(scores / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
+        loss = [-np.log(np.maximum(_softmax(scores / np.exp(t))[np.arange(len(labels)), labels], 1e-12)) @ weights for t in grid]
         best = int(np.argmin(loss))
         lo, hi = grid[max(0, best - 1)], grid[min(24, best + 1)]
     return float(np.exp(grid[best]))
@@ -148,16 +152,29 @@ def fit(
     ).filter(F.col("text").rlike(r"\p{L}"))
     counts, total = _document_frequencies(learning, orders)
     idf = np.log((1 + total) / (1 + counts)) + 1.0
-    sample = _scratch.hashed_sample(learning, fit_rows, "id", "lang").select("text", "lang").collect()
-    languages = sorted({row.lang for row in sample})
-    place = {lang: i for i, lang in enumerate(languages)}
-    rows = [(*_features(row.text, idf, orders, scale), place[row.lang]) for row in sample]
-    held, learnt = rows[::5], [row for i, row in enumerate(rows) if i % 5]
-    if not learnt:
-        return LanguageModel(languages[:0], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, orders, scale)
-    weights, bias = fit_ftrl(learnt, len(languages), rate, beta, l1, l2, epochs)
-    scores = np.array([value @ weights[at] + bias for at, value, _ in held])
-    return LanguageModel(languages, idf, weights, bias, _temperature(scores, np.array([row[2] for row in held])), orders, scale)
+    totals = dict(learning.groupBy("lang").count().collect())
+    languages = sorted(totals)
+    if not languages:
+        return LanguageModel([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, orders, scale)
+    sample = _sample(learning, totals, max(LEAST_ROWS, fit_rows // len(languages))).collect()
+    place, taken = {lang: i for i, lang in enumerate(languages)}, Counter(row.lang for row in sample)
+    weight = {lang: totals[lang] * len(sample) / (taken[lang] * total) for lang in taken}
+    rows = [(*_features(row.text, idf, orders, scale), place[row.lang], weight[row.lang]) for row in sample]
+    held = [row for row, found in zip(rows, sample, strict=True) if found.nth % 5 == 0]
+    weights, bias = fit_ftrl([row for row, found in zip(rows, sample, strict=True) if found.nth % 5], len(languages), rate, beta, l1, l2, epochs)
+    scores = np.array([value @ weights[at] + bias for at, value, _, _ in held])
+    temperature = _temperature(scores, np.array([row[2] for row in held]), np.array([row[3] for row in held])) if held else 1.0
+    return LanguageModel(languages, idf, weights, bias, temperature, orders, scale)
+
+
+def _sample(learning: DataFrame, totals: dict[str, int], most: int) -> DataFrame:
+    """(text, lang, nth): at most ``most`` rows of each language, in the order of their hashes; ``nth``
+    counts from 1.  Rows are thinned by hash first, so no task sorts more than a little above ``most``."""
+    cells = 1 << 30
+    shares = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, int(cells * min(1.0, (most + 4 * most**0.5 + 10) / n)))))
+    thinned = learning.withColumn("place", F.pmod(F.xxhash64("id", "lang"), F.lit(cells))).filter(F.col("place") < shares[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
+    return thinned.withColumn("nth", nth).filter(F.col("nth") <= most).orderBy("place", "id", "lang", "nth").select("text", "lang", "nth")
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
