@@ -17,8 +17,9 @@ vector steps.
 
 Edge cases: a null or empty text is scored as a text without tokens; without toxic or without
 clean learning documents every score is 0; documents whose label or id is null are not learnt
-from; repeated rows are each answered; an empty table gives an empty result; other columns are
-not read.  Offsets are code points, end exclusive.
+from; rows of equal text and label count once for the words; a text with both labels counts for
+either; repeated rows are each answered; very long texts are worked on whole; an empty table gives an
+empty result; other columns are not read.  Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -124,23 +125,29 @@ def marginals(energy: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple
     return odds / (1.0 + odds), forward, backward
 
 
+def likelihood_gradient(tokens: Tokens, labels: np.ndarray, weights: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean log likelihood a token, for the weights and the label-pair weights."""
+    inner = np.flatnonzero(~tokens.first)
+    real = np.bincount(labels[inner - 1] * 2 + labels[inner], minlength=4).reshape(2, 2)
+    energy = weights[tokens.features].sum(axis=0)
+    p, forward, backward = marginals(energy, tokens.first, pairs)
+    gradient = sum(np.bincount(f, labels - p, len(weights)) for f in tokens.features)
+    w, m = np.exp(np.clip(energy[inner], -30, 30)), np.exp(pairs)
+    r, b = forward[inner - 1], backward[inner] * w
+    joint = np.stack([m[0, 0] * np.ones_like(r), m[0, 1] * b, m[1, 0] * r, m[1, 1] * r * b])
+    expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    return gradient / len(p), (real - expected) / len(p)
+
+
 def fit_field(tokens: Tokens, labels: np.ndarray, rounds: int = 60, rate: float = 0.5, l2: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
     """Weights and label-pair weights by AdaGrad on the full gradient of the log likelihood."""
     weights, pairs = np.zeros(1 << BITS), np.zeros((2, 2))
     seen, seen_pairs = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
-    inner = np.flatnonzero(~tokens.first)
-    real = np.bincount(labels[inner - 1] * 2 + labels[inner], minlength=4).reshape(2, 2)
     for _ in range(rounds):
-        energy = weights[tokens.features].sum(axis=0)
-        p, forward, backward = marginals(energy, tokens.first, pairs)
-        gradient = sum(np.bincount(f, labels - p, 1 << BITS) for f in tokens.features) / len(p) - l2 * weights
-        w, m = np.exp(np.clip(energy[inner], -30, 30)), np.exp(pairs)
-        r, b = forward[inner - 1], backward[inner] * w
-        joint = np.stack([m[0, 0] * np.ones_like(r), m[0, 1] * b, m[1, 0] * r, m[1, 1] * r * b])
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        gradient, step = likelihood_gradient(tokens, labels, weights, pairs)
+        gradient -= l2 * weights
         seen += gradient**2
         weights += rate * gradient / np.sqrt(seen)
-        step = (real - expected) / len(p)
         seen_pairs += step**2
         pairs += 0.2 * rate * step / np.sqrt(seen_pairs)
     return weights, pairs
@@ -189,26 +196,31 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Field | None:
     """Learn from documents with a label of 0 or 1; None if one of the labels is missing."""
+    with _scratch.temporary(labelled.sparkSession):
+        return _fit(labelled, id_col, text_col, label_col, fit_rows)
+
+
+def _fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> Field | None:
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) == 1).alias("toxic")
     )
-    # Written once, as everything below reads it; the digest beside the text spares reading texts.
-    rows = _scratch.stage(rows.withColumn("h", F.xxhash64("text")), "labelled")
+    # Written once, as everything below reads it; digest and number beside the text spare reading texts.
+    rows = _scratch.stage(rows.withColumns({"h": F.xxhash64("text"), "number": F.monotonically_increasing_id()}), "labelled")
     totals = dict(rows.groupBy("toxic").count().collect())
     if len(totals) < 2:
         return None
-    # Copies of a text would make all its words look toxic: each text counts once.
-    copies = rows.groupBy("h", "toxic").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    texts = dict(copies.groupBy("toxic").count().collect())
-    others = rows.select("id", "h", "toxic").join(copies.filter("n > 1"), ["h", "toxic"]).filter("id > least").select(F.col("id").alias("other"), F.col("toxic").alias("other_toxic"))
-    once = rows.join(others.hint("merge"), (F.col("id") == F.col("other")) & (F.col("toxic") == F.col("other_toxic")), "left_anti").select("text", "toxic")
+    # Copies of a text would make all its words look toxic: each text counts once, by the row with the
+    # smallest number.  Numbers are distinct, so no copy's key gathers rows.
+    firsts = rows.groupBy("h", "toxic").agg(F.min("number").alias("number"))
+    texts = dict(firsts.groupBy("toxic").count().collect())
+    once = rows.join(firsts.select("number").hint("merge"), "number", "left_semi").select("text", "toxic")
     n1, n0 = texts[True] + 1.0, texts[False] + 1.0
     ratio = F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)
     z = ratio / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     chosen = _word_counts(once).filter((F.col("toxic") >= max(3.0, LEAST_SHARE * n1)) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z))
     # A unit that is in a share of the toxic texts: there are at most (units of a text / share) of them.
     units = np.array([r.unit for r in chosen.select("unit").collect()], np.int64).view(np.uint64)
-    sample = [r for toxic in (True, False) for r in _scratch.hashed_sample(rows.filter(F.col("toxic") == toxic), fit_rows, "id").collect()]
+    sample = [r for toxic in (True, False) for r in _scratch.hashed_sample(rows.filter(F.col("toxic") == toxic), fit_rows, "id", "h").collect()]
     toxic = np.array([r.toxic for r in sample])
     parts, offset = [], 0
     for kept, codes, starts in blocks(pa.array([r.text for r in sample]), 1):
