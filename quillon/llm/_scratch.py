@@ -1,19 +1,24 @@
 """Intermediate tables and files in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
-that setting is absent (tests, a laptop) a temporary one is made and registered.
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that setting is absent
+and the master is local (tests, a laptop) a temporary one is made and registered; on a cluster its
+absence is an error, as executors do not see the driver's own folders.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,13 +28,40 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = _OWN.get(context.applicationId)
         if base is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
             context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillon-{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in getattr(_OPEN, "lists", ()):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at the end what was made inside, but for paths taken off the list it gives.  What is
+    needed later must by then be collected or written elsewhere."""
+    made: list[str] = []
+    _OPEN.lists = [*getattr(_OPEN, "lists", ()), made]
+    try:
+        yield made
+    finally:
+        _OPEN.lists = _OPEN.lists[:-1]
+        for path in made:
+            drop(spark, path)
+
+
+def staged_in(spark: SparkSession, name: str, make) -> DataFrame:
+    """``stage`` of what ``make`` returns; other tables and files made on the way are deleted."""
+    with temporary(spark) as made:
+        table = stage(make(), name)
+        made.pop()
+    return table
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +89,14 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete the folder of a table that ``stage`` returned; other tables stay."""
+    own = shared_dir(table.sparkSession).rpartition("/")[2]
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        if folder.split("/")[-2] == own:
+            drop(table.sparkSession, folder)
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and inner path for code that runs inside tasks."""
     return pafs.FileSystem.from_uri(path.replace("file:///", "/") if path.startswith("file:///") else path)

@@ -332,10 +332,15 @@ def _share(part: np.ndarray, keys: np.ndarray, passage: np.ndarray) -> float:
 def index_files(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", index_bytes: int = 8 << 20) -> list[str]:
     """Builds the index of each slice and returns the files' names.  Only these and two sums over
     the items reach the driver."""
-    spark = benchmark.sparkSession
+    folder = _scratch.new_path(benchmark.sparkSession, "bm25")
+    with _scratch.temporary(benchmark.sparkSession):
+        return _build_files(benchmark, item_col, text_col, index_bytes, folder)
+
+
+def _build_files(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int, folder: str) -> list[str]:
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices, folder = max(1, -(-size // index_bytes)), _scratch.new_path(spark, "bm25")
+    slices = max(1, -(-size // index_bytes))
     items = _scratch.stage(items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)).cast("int")), "items")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -329,12 +329,13 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", shard_bytes: int
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pair_bits = max(0, int(np.ceil(np.log2(max(1.0, size / shard_bytes)))))
     model = Model(_scratch.new_path(docs.sparkSession, "kneser-ney"), pair_bits, max(0, pair_bits - 2), 0, 0, 0)
-    model.types, model.tokens, largest = _count_words(texts, model, fan_bits, bundle_bytes)
-    model.place_bits = max(1, int(largest).bit_length())
-    if model.word_bits + model.place_bits > 32:
-        raise ValueError(f"{model.types} words need more than 32 bits for their numbers")
-    if model.tokens:
-        _count_pairs(texts, model, fan_bits, bundle_bytes)
+    with _scratch.temporary(docs.sparkSession):
+        model.types, model.tokens, largest = _count_words(texts, model, fan_bits, bundle_bytes)
+        model.place_bits = max(1, int(largest).bit_length())
+        if model.word_bits + model.place_bits > 32:
+            raise ValueError(f"{model.types} words need more than 32 bits for their numbers")
+        if model.tokens:
+            _count_pairs(texts, model, fan_bits, bundle_bytes)
     return model
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -525,6 +527,47 @@ def test_crf_marginals():
     assert np.allclose(p, np.concatenate([brute_marginals(e, pairs) for e in energy]))
 
 
+def test_crf_gradient():
+    """The gradient against finite differences of the log likelihood, summed over all labellings."""
+    rng = np.random.default_rng(8)
+    texts = ["vile words run here", "clean", "some more clean words here now"]
+    (_, codes, starts), *_ = crf.blocks(pa.array(texts), 1)
+    tokens = crf.tokenize(codes, starts)
+    labels = rng.integers(0, 2, len(tokens.words))
+    buckets, at = np.unique(tokens.features, return_inverse=True)
+    tokens.features = at.reshape(tokens.features.shape)
+    weights, pairs = rng.normal(size=len(buckets)), rng.normal(size=(2, 2))
+
+    def likelihood(weights, pairs):
+        energy, total = weights[tokens.features].sum(axis=0), 0.0
+        cuts = [*np.flatnonzero(tokens.first), len(labels)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            value = lambda y: energy[lo:hi] @ np.array(y) + sum(pairs[a, b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+            total += value(labels[lo:hi].tolist()) - np.log(sum(np.exp(value(y)) for y in itertools.product((0, 1), repeat=hi - lo)))
+        return total / len(labels)
+
+    found, found_pairs = crf.likelihood_gradient(tokens, labels, weights, pairs)
+    for i in range(len(weights)):
+        step = np.zeros(len(weights))
+        step[i] = 1e-5
+        assert math.isclose(found[i], (likelihood(weights + step, pairs) - likelihood(weights - step, pairs)) / 2e-5, rel_tol=1e-5, abs_tol=1e-8)
+    for i, j in itertools.product((0, 1), (0, 1)):
+        step = np.zeros((2, 2))
+        step[i, j] = 1e-5
+        assert math.isclose(found_pairs[i, j], (likelihood(weights, pairs + step) - likelihood(weights, pairs - step)) / 2e-5, rel_tol=1e-5, abs_tol=1e-8)
+
+
+def test_toxic_words_count_texts_once(spark, monkeypatch):
+    """Repeated rows, copies under other ids, one id with two texts, texts of both labels."""
+    rows = [(i, f"vile grub number{i}", 1) for i in range(12)] + [(100 + i, f"clean word number{i}", 0) for i in range(30)]
+    rows += [rows[0]] * 5 + [(50 + i, "vile copy of a text", 1) for i in range(9)] + [(3, "another text of that id", 0), (200, "both labels", 1), (200, "both labels", 0), (300, "word " * 30_000, 0), (None, "no id", 1), (301, None, 0)]
+    seen, real = [], crf._word_counts
+    monkeypatch.setattr(crf, "_word_counts", lambda texts: seen.extend(map(tuple, texts.collect())) or real(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    assert crf.fit(frame) is not None
+    assert Counter(seen) == Counter({((t or ""), y == 1) for i, t, y in rows if i is not None})
+
+
 def toxic_rows():
     rng = random.Random(9)
     clean = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
@@ -571,5 +614,52 @@ def test_language(spark, docs, none):
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (1000, 1001, 1002))
     assert got[1003].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got.values())
     assert langid.predict(docs, model).count() == docs.count() and langid.predict(none, model).count() == 0
+    # A single document; a language that few documents have; very long texts.
+    one = langid.fit(frame.filter("doc_id = 3"), F.lit(True))
+    assert {r.lang_pred for r in langid.predict(frame.filter("doc_id < 400"), one).collect()} == {rows[3][2]}
+    rare = [(2000 + i, "zzyzx qwxyq xxyzz zyxq " * (i + 1), "zz", 1, "x") for i in range(3)] + [(3000, "the tion ing er " * 20_000, "aa", 1, "x")]
+    wide = langid.fit(frame.unionByName(spark.createDataFrame(rare, frame.schema)), F.lit(True), fit_rows=60)
+    asked = spark.createDataFrame([(1, "qwxyq zzyzx zyxq"), (2, "the tion er ing " * 30_000), (3, "sch ung ich keit ungich")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(asked, wide).orderBy("doc_id").collect()] == ["zz", "aa", "cc"]
     nothing = langid.fit(none, F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_language_weights():
+    """The fit against follow-the-regularised-leader written out coordinate by coordinate."""
+    rng = np.random.default_rng(13)
+    buckets, classes, rate, beta, l1, l2 = 7, 3, 0.5, 1.0, 0.05, 0.02
+    rows = []
+    for _ in range(40):
+        at = np.sort(rng.choice(buckets, rng.integers(1, 5), replace=False)).astype(np.int32)
+        rows.append((at, rng.random(len(at)).astype(np.float32), int(rng.integers(classes)), float(rng.uniform(0.5, 2))))
+    weights, bias = langid.fit_ftrl(rows, classes, rate, beta, l1, l2, epochs=3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, k):
+        one, two = (0.0, 0.0) if i == "bias" else (l1, l2)
+        if abs(z[i, k]) <= one:
+            return 0.0
+        return -(z[i, k] - math.copysign(one, z[i, k])) / ((beta + math.sqrt(n[i, k])) / rate + two)
+
+    for _ in range(3):
+        for at, value, label, share in rows:
+            features = [*zip(at.tolist(), value.tolist()), ("bias", 1.0)]
+            scores = [math.exp(sum(weight(i, k) * v for i, v in features)) for k in range(classes)]
+            before = {(i, k): weight(i, k) for i, _ in features for k in range(classes)}
+            for i, v in features:
+                for k in range(classes):
+                    g = share * v * (scores[k] / sum(scores) - (k == label))
+                    sigma = (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / rate
+                    z[i, k] += g - sigma * before[i, k]
+                    n[i, k] += g * g
+    for k in range(classes):
+        assert math.isclose(bias[k], weight("bias", k), rel_tol=1e-6, abs_tol=1e-9)
+        for i in range(buckets):
+            assert math.isclose(weights[i, k], weight(i, k), rel_tol=1e-5, abs_tol=1e-7)
+    assert (weights == 0).any() and (weights != 0).any()
+    scores, labels = rng.normal(size=(200, 3)) * 8, rng.integers(0, 3, 200)
+    scores[np.arange(200), labels] += 4.0
+    found, ones = langid._temperature(scores, labels, np.ones(200)), np.ones(200)
+    loss = lambda t: -np.log(langid._softmax(scores / t)[np.arange(200), labels]) @ ones
+    assert all(loss(found) <= loss(found * f) + 1e-9 for f in (0.9, 0.95, 1.05, 1.1))
