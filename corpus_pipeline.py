@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the
 documents that the next one works on (the last returns the report of the written files).
+
+Edge cases, in every stage: a row is a row whatever its id, so null and repeated ids neither join with
+each other nor lose a text; a null or empty text has no letter and goes at the first stage; of rows
+that are equal in all columns one stays (they are copies); very long texts are worked on whole;
+further columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +25,16 @@ LEAST_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that have no letter or whose language is not sure."""
     model = langid.fit(docs, id_remainder(5) != 0)
-    named = langid.predict(docs, model, lang_name="__lang", score_name="__score")
-    return named.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = (_free(docs, name) for name in ("found_lang", "found_score"))
+    named = langid.predict(docs, model, lang_name=lang, score_name=score)
+    return named.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = _scratch.stage(function(spark, docs, sf_dir), f"stage-{name}")
+        # A stage's working tables, and the stage before it, go once it is written.
+        before = docs
+        docs = _scratch.staged_in(spark, f"stage-{name}", lambda f=function, d=before: f(spark, d, sf_dir))
+        if name != STAGES[0][0]:
+            _scratch.drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
