@@ -6,10 +6,14 @@ vector is entered in one hash table for each.  Vectors whose codes differ in few
 there are tables share at least one substring.  Inside a bucket, pairs within ``radius`` code
 bits are compared by the cosine of the original vectors in double precision.
 
-Equal vectors are one class before the search.  A bucket with many classes is cut into parts
-by hash, and each pair of parts is its own group, so no task holds a whole hot bucket.  A group
-returns counts per class and a spanning forest, never all pairs; a pair that meets in several
-tables counts in the first only.
+Equal vectors are one class before the search, named by a number of its own.  A bucket with many
+classes is cut into parts by hash, and each pair of parts is its own group, so no task holds a whole
+hot bucket.  A group returns counts per class and a spanning forest, never all pairs; a pair that
+meets in several tables counts in the first only.
+
+A pair of cosine 0.98 differs in about 4 of 64 code bits, and shares a substring for certain only up
+to 7; what the tables miss is measured in the tests.  ``exact=True`` compares all vectors of a label
+instead, by the same groups and counts.
 
 Edge cases: vectors that are null, empty, zero or hold a null or a component that is not finite
 link with nothing, as do rows with a null label; vectors of different lengths never link;
@@ -22,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _scratch
 from .components import connected_components
 from .simhash import spanning_roots
 
-#: Rows (those with the smallest hashes) on which the rotation is fitted.
+#: Rows (those with the smallest hashes) on which rotations are fitted, over all lengths of vectors.
 FIT_ROWS = 20_000
 
 
@@ -64,12 +68,19 @@ def table_masks(bits: int, tables: int) -> list[int]:
 
 
 def _codes(classes: DataFrame, fit_rows: int) -> DataFrame:
-    """Adds ``code``.  A rotation is fitted for each length of vector."""
+    """Adds ``code``.  A rotation is fitted for each length of vector, all from one bounded sample."""
     spark = classes.sparkSession
+    totals, cells = dict(classes.groupBy("dim").count().collect()), 1 << 30
     fits = {}
-    for (dim,) in classes.select("dim").distinct().collect():
-        rows = _scratch.hashed_sample(classes.filter(F.col("dim") == dim), fit_rows, "id", "label").select("vec").collect()
-        fits[dim] = fit_rotation(_unit(np.array([r[0] for r in rows]).ravel(), dim), min(64, dim))
+    if totals:
+        most = max(1, fit_rows // len(totals))
+        shares = F.create_map(*(F.lit(x) for dim, n in totals.items() for x in (dim, int(cells * min(1.0, (most + 4 * most**0.5 + 10) / n)))))
+        thinned = classes.withColumn("place", F.pmod(F.xxhash64("id", "label"), F.lit(cells))).filter(F.col("place") < shares[F.col("dim")])
+        nth = F.row_number().over(Window.partitionBy("dim").orderBy("place", "id", "label"))
+        held: dict[int, list] = {}
+        for dim, vec in thinned.withColumn("nth", nth).filter(F.col("nth") <= most).select("dim", "vec").collect():
+            held.setdefault(dim, []).append(vec)
+        fits = {dim: fit_rotation(_unit(np.array(rows).ravel(), dim), min(64, dim)) for dim, rows in held.items()}
     shared = spark.sparkContext.broadcast(fits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +92,7 @@ def _codes(classes: DataFrame, fit_rows: int) -> DataFrame:
                 codes[rows] = encode(_unit(vectors.take(pa.array(rows)).flatten().to_numpy(), int(dim)), *shared.value[int(dim)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], [*batch.schema.names, "code"])
 
-    return classes.mapInArrow(run, "label string, vec array<double>, dim int, id long, copies long, code long")
+    return classes.mapInArrow(run, "label string, vec array<double>, dim int, id long, copies long, key long, code long")
 
 
 def near_vectors(
@@ -94,26 +105,28 @@ def near_vectors(
     radius: int = 16,
     part_size: int = 512,
     fit_rows: int = FIT_ROWS,
+    exact: bool = False,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, code (null where it links with nothing)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0), F.lit(False)))
-    rows = _scratch.stage(rows.withColumn("vec", F.when(F.col("usable"), F.col("vec"))).withColumn("digest", F.xxhash64("vec")), "vectors")
+    rows = _scratch.stage(rows.withColumn("vec", F.when(F.col("usable"), F.col("vec"))).withColumns({"digest": F.xxhash64("vec"), "second": F.xxhash64(F.lit(1), "label", "vec")}), "vectors")
     # The digest spreads the shuffle; equality is that of the vectors themselves.
-    classes = rows.filter("usable").groupBy("label", "digest", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = classes.select("label", "vec", F.size("vec").alias("dim"), F.coalesce("id", F.lit(0)).alias("id"), "copies")
-    coded = _scratch.stage(_codes(_scratch.stage(classes, "classes"), fit_rows).withColumn("key", F.xxhash64("label", "vec")), "codes")
-    groups = _groups(coded, tables, part_size)
-    found = _scratch.stage(_compare(groups, least, tables, radius), "links")
+    classes = rows.filter("usable").groupBy("label", "digest", "vec").agg(F.min("vec_id").alias("id"), F.first("second").alias("second"), F.count("*").alias("copies"))
+    classes = classes.select("label", "vec", "digest", "second", F.size("vec").alias("dim"), F.coalesce("id", F.lit(0)).alias("id"), "copies")
+    classes = _scratch.stage(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    coded = _scratch.stage(_codes(classes.drop("digest", "second"), fit_rows), "codes")
+    groups = _groups(coded, tables, part_size, exact)
+    found = _scratch.stage(_compare(groups, least, tables, 64 if exact else radius), "links")
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     parts = connected_components(found.filter("root is not null"), "key", "root").withColumnRenamed("node", "key")
     named = coded.select("key", "id", "copies", "code").join(counts, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least_id = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(least_id, "component").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "code")
     return (
-        rows.select("vec_id", F.when(F.col("usable"), F.xxhash64("label", "vec")).alias("key"))
-        .join(named, "key", "left")
+        rows.select("vec_id", *(F.when(F.col("usable"), F.col(c)).alias(c) for c in ("digest", "second")))
+        .join(classes.select("digest", "second", "key").join(named, "key"), ["digest", "second"], "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -124,7 +137,7 @@ def near_vectors(
     )
 
 
-def _groups(coded: DataFrame, tables: int, part_size: int) -> DataFrame:
+def _groups(coded: DataFrame, tables: int, part_size: int, exact: bool) -> DataFrame:
     """Rows (dim, label, slot, sub, p, q, members): the classes of parts p and q of one bucket."""
     spark = coded.sparkSession
     by_dim = {dim: table_masks(min(64, dim), tables) for (dim,) in coded.select("dim").distinct().collect()}
@@ -132,6 +145,8 @@ def _groups(coded: DataFrame, tables: int, part_size: int) -> DataFrame:
     for dim, masks in by_dim.items():
         entry = F.array(*(F.col("code").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks))
         slots = F.when(F.col("dim") == dim, entry).otherwise(slots)
+    if exact:
+        slots = F.array(F.lit(0).cast("long"))
     bucket = ["dim", "label", "slot", "sub"]
     entered = coded.select("*", F.posexplode(slots).alias("slot", "sub"))
     hot = entered.groupBy(bucket).agg(F.count("*").alias("n")).filter(F.col("n") > part_size).withColumn("parts", F.ceil(F.col("n") / part_size).cast("int")).drop("n")
