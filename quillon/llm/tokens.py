@@ -18,8 +18,9 @@ texts that contain one are encoded by the tokenizer itself, without special toke
 Without it their characters are ordinary text.
 
 Edge cases: a null or empty text has the end id alone; null ids sort first and are read back
-as null; repeated rows are all written; an empty table writes no file and reads back empty;
-columns other than the two named are not read.
+as null; rows of one id are in the order of their texts, over as many files as they need; repeated
+rows are all written; very long texts are a frame of their own; an empty table writes no file and
+reads back empty; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -217,7 +218,9 @@ def write_tokens(
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), *(pa.int64(),) * 3), strict=True)], ["part", "file", "docs", "tokens", "frames"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Rows of one id (a null id may be many rows') are dealt on by the beginnings of their texts.
+    begins = F.substring("text", 1, 32)
+    ordered = rows.repartitionByRange("id", begins).sortWithinPartitions("id", "text")
     return _scratch.stage(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 
