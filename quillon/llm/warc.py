@@ -55,11 +55,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     # Only ids and digests take part in the grouping; payloads move once, by id.
     shared = rows.filter(F.octet_length("payload") >= least_bytes).select("id", "digest")
     firsts = shared.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
-    repeats = shared.join(firsts, "digest").select("digest", F.coalesce("id", F.lit(-1)).alias("place"), "refers_to").distinct()
+    place = {"none": F.col("id").isNull(), "place": F.coalesce("id", F.lit(0))}
+    repeats = shared.join(firsts, "digest").withColumns(place).select("none", "place", "digest", "refers_to").distinct()
     ordered = (
-        rows.withColumn("place", F.coalesce("id", F.lit(-1)))
-        .join(repeats.hint("merge"), ["place", "digest"], "left")  # brings repeated rows together
-        .sortWithinPartitions("place", "digest", "url")
+        rows.withColumns(place)
+        .join(repeats.hint("merge"), ["none", "place", "digest"], "left")  # brings repeated rows together
+        .sortWithinPartitions("none", "place", "digest", "url")
         .select("id", "url", "payload", "digest", "refers_to")
     )
 
