@@ -192,9 +192,36 @@ def test_vectors(spark):
     for r in found.values():
         assert r.n_links <= len(links[r.vec_id]) and r.kept == (r.vec_id == r.component_id)
     assert {r.component_id for i, r in found.items() if 1000 <= i < 1090} == {1000}
+    # Outside the hot group too, most links are found by the tables, and all by comparing everything.
+    spread = [i for i in found if i < 1000]
+    assert sum(found[i].n_links for i in spread) >= 0.95 * sum(len(links[i]) for i in spread) > 500
+    whole = {r.vec_id: r for r in itq.near_vectors(frame, part_size=16, exact=True).collect()}
+    ids = sorted(found)
+    part = groups_of(ids, lambda a, b: b in links[a])
+    least = {}
+    for i, p in zip(ids, part, strict=True):
+        least[p] = min(least.get(p, i), i)
+    assert {i: (r.n_links, r.component_id) for i, r in whole.items()} == {i: (len(links[i]), least[p]) for i, p in zip(ids, part, strict=True)}
     assert itq.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    """Pairs planted just above (and just below) the threshold, in directions of no structure."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(3000):
+        v = rng.normal(size=64)
+        v /= np.linalg.norm(v)
+        w = rng.normal(size=64)
+        w -= (w @ v) * v
+        cosine = rng.uniform(0.9801, 0.985) if i % 3 else rng.uniform(0.97, 0.9799)
+        rows += [(2 * i, v.tolist(), 1), (2 * i + 1, (cosine * v + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w)).tolist(), 1)]
+    found = {r.vec_id: r.n_links for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    near = [i for i in range(3000) if i % 3]
+    assert sum(found[2 * i] == 1 for i in near) >= 0.99 * len(near)
+    assert not any(found[2 * i] for i in range(0, 3000, 3))
+
+
 def brute_targets(sizes, share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -306,7 +333,7 @@ def test_pii(spark, docs, none):
 def test_warc(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, f"http://h/{i}\r\nx%", "".join(rng.choice("ab<>é\r\n") for _ in range(rng.randint(0, 400)))) for i in range(80)]
-    rows += [(200 + i, None, "same page") for i in range(50)] + [(300, "u", None), (301, "u", ""), (302, None, "z" * 900_000), (None, "n", "only null"), (None, "n", "same page"), (400, "u", "twice"), (400, "u", "twice")]
+    rows += [(200 + i, None, "same page") for i in range(50)] + [(300, "u", None), (301, "u", ""), (302, None, "z" * 900_000), (None, "n", "only null"), (None, "n", "same page"), (-1, "m", "only null"), (-1, "m", "minus one"), (None, "n", "minus one"), (400, "u", "twice"), (400, "u", "twice")]
     pages = spark.createDataFrame([(a, b, c, "x", 1) for a, b, c in rows], "page_id long, url string, html string, digest string, id int").repartition(3)
     archives = warc.write_archives(pages, "file://" + str(tmp_path / "w"))
     found = warc.read_archives(warc.normalise(archives)).collect()
