@@ -72,6 +72,7 @@ class TrainingConfig:
     epsilon: float = 1e-8
     class_weighting: bool = True
     oversample: bool = False
+    shuffle: bool = True
     seed: int = 13
     patience: int = 3
 

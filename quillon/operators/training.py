@@ -1,20 +1,24 @@
 """Logistic regression on dense and hashed sparse features.
 
-``train`` follows the rows one by one (stochastic steps, per-coordinate rates, early stopping) in
-one task for each configuration, so an ablation suite or a set of bootstrap runs trains in
-parallel.  ``train_distributed`` fits the same model class over the whole cluster for data that
-no single task should walk through.
+``train_all`` fits any number of configurations together.  Rows are dealt by hash into shards of
+bounded size.  In each epoch every shard starts from the common model, walks through its rows in
+mini-batches (steps of plain or per-coordinate rates, penalties, either loss) and hands back by how
+much each weight has moved; the moves are averaged by rows in Spark.  With one shard and batches of
+one row this is the sequential method; with one batch a shard and plain rates it is gradient
+descent on all rows.  The same pass measures the losses of the model it starts from, on which early
+stopping rests.  ``train_distributed`` fits the same model class by another optimizer.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -84,129 +88,256 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.agg(balanced(F.nullif(n - p, F.lit(0))).cast("double").alias("weight_negative"), balanced(F.nullif(p, F.lit(0))).cast("double").alias("weight_positive"))
 
 
-# One task: the sequential trainer.
-Row = tuple[int, float, list[float], list[tuple[int, float]]]
+#: Rows of a shard and of a mini-batch, and the most distinct sparse ids of a model.
+SHARD_ROWS, BATCH_ROWS, MOST_FEATURES = 100_000, 32, 1 << 22
+#: What a row of a pass's result is about, besides the place of a weight: losses of the model that the pass started from
+#: on train and validation rows, and the train loss on the way.
+ON_TRAIN, ON_VALIDATION, ON_THE_WAY = -3, -2, -1
+MOVES = "config int, place long, first double, second double"
 
 
-def _stable_sigmoid(x: float) -> float:
-    if x >= 0:
-        return 1.0 / (1.0 + math.exp(-x))
-    small = math.exp(x)
-    return small / (1.0 + small)
+@dataclass
+class _Shard:
+    """Rows of one split of a shard; sparse values are one after the other, with the row of each."""
 
+    labels: np.ndarray
+    weights: np.ndarray
+    dense: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
 
-def _loss(label: int, p: float) -> float:
-    p = min(max(p, 1e-15), 1 - 1e-15)
-    return -math.log(p) if label else -math.log(1 - p)
 
+def _raw(shard: _Shard, w: np.ndarray, rows: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Linear scores of some rows, and the places, values and rows of their sparse features.  ``w``
+    holds the bias, the dense and the sparse weights."""
+    counts = (shard.starts[1:] - shard.starts[:-1])[rows]
+    at = np.repeat(shard.starts[:-1][rows] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    of, places, values = np.repeat(np.arange(len(counts)), counts), shard.places[at], shard.values[at]
+    dense = shard.dense[rows]
+    return w[0] + dense @ w[1 : 1 + dense.shape[1]] + np.bincount(of, w[places] * values, len(counts)), places, values, of
 
-def _raw(model: Model, row: Row) -> float:
-    return model.bias + sum(w * x for w, x in zip(model.dense, row[2], strict=True)) + sum(model.sparse.get(i, 0.0) * v for i, v in row[3])
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    small = np.exp(-np.abs(x))
+    return np.where(x >= 0, 1 / (1 + small), small / (1 + small))
 
-def fit_sequential(train: Sequence[Row], validation: Sequence[Row], config: TrainingConfig) -> tuple[Model, list[dict]]:
-    """Rows are (label, weight, dense, sparse pairs).  Returns the model of the epoch with the least
-    validation loss (the last epoch without validation rows) and the history."""
-    if not train:
-        raise ValueError("no training rows")
-    rng = random.Random(config.seed)
-    rows = list(train)
-    if config.oversample:
-        rows = _oversampled(rows, rng)
-    positives = sum(r[0] for r in rows)
-    balanced = config.class_weighting and 0 < positives < len(rows)
-    share = {1: len(rows) / (2 * positives), 0: len(rows) / (2 * (len(rows) - positives))} if balanced else {0: 1.0, 1: 1.0}
-    model = Model(0.0, [0.0] * len(rows[0][2]))
-    squares: dict = {}
-
-    def moved(key, weight: float, gradient: float) -> float:
-        rate = config.learning_rate
+
+def _cross_entropy(labels: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return -np.log(np.clip(np.where(labels == 1, p, 1 - p), 1e-15, 1 - 1e-15))
+
+
+def walk(shard: _Shard, row_weights: np.ndarray, order: np.ndarray, w: np.ndarray, squares: np.ndarray, config: TrainingConfig, batch: int) -> tuple[float, float]:
+    """One epoch over the rows, in mini-batches; changes ``w`` and ``squares``.  Returns the weighted sum of
+    the losses before each step, and the weights."""
+    d = shard.dense.shape[1]
+
+    def step(at, gradient: np.ndarray) -> None:
         if config.optimizer == "adagrad":
-            squares[key] = squares.get(key, 0.0) + gradient * gradient
-            rate /= math.sqrt(squares[key] + config.epsilon)
-        return weight - rate * gradient
-
-    def penalty(weight: float) -> float:
-        return config.l2 * weight + config.l1 * ((weight > 0) - (weight < 0))
-
-    best, best_loss, waited, history = None, math.inf, 0, []
-    for epoch in range(config.max_epochs):
-        order = list(range(len(rows)))
-        random.Random(config.seed + epoch).shuffle(order)
-        total = 0.0
-        for at in order:
-            label, weight, dense, sparse = rows[at]
-            weight *= share[label]
-            p = _stable_sigmoid(_raw(model, rows[at]))
-            total += _loss(label, p) if config.loss == "cross_entropy" else (p - label) ** 2
-            error = weight * (p - label) * (p * (1 - p) if config.loss == "mse" else 1.0)
-            model.bias = moved("bias", model.bias, error)
-            for j, x in enumerate(dense):
-                model.dense[j] = moved(j, model.dense[j], error * x + penalty(model.dense[j]))
-            for i, v in sparse:
-                w = model.sparse.get(i, 0.0)
-                model.sparse[i] = moved(("s", i), w, error * v + penalty(w))
-        entry = {"epoch": epoch + 1, "train_loss": total / len(rows)}
-        if validation:
-            entry["validation_log_loss"] = sum(_loss(r[0], _stable_sigmoid(_raw(model, r))) for r in validation) / len(validation)
-            if entry["validation_log_loss"] < best_loss:
-                best, best_loss, waited = replace(model, dense=list(model.dense), sparse=dict(model.sparse), best_epoch=epoch + 1), entry["validation_log_loss"], 0
-            else:
-                waited += 1
-        history.append(entry)
-        if validation and config.patience and waited >= config.patience:
-            break
-    return best or replace(model, best_epoch=len(history)), history
-
-
-def _oversampled(rows: list[Row], rng: random.Random) -> list[Row]:
-    """Rows of the smaller class drawn again until both are as many."""
-    ones, zeros = [r for r in rows if r[0]], [r for r in rows if not r[0]]
-    few, many = sorted((ones, zeros), key=len)
-    if not few:
-        return rows
-    out = rows + [rng.choice(few) for _ in range(len(many) - len(few))]
-    rng.shuffle(out)
-    return out
-
-
-def _rows(part: pd.DataFrame) -> list[Row]:
-    columns = (part[c] for c in ("label", "sample_weight", "dense_features", "sparse_feature_ids", "sparse_feature_values"))
-    out = []
-    for label, weight, dense, ids, values in zip(*columns, strict=True):
-        merged: dict[int, float] = {}
-        for i, v in zip(ids, values, strict=True):
-            merged[int(i)] = merged.get(int(i), 0.0) + float(v)
-        out.append((int(label), float(weight), [float(x) for x in dense], list(merged.items())))
-    return out
+            squares[at] += gradient * gradient
+            gradient = gradient / np.sqrt(squares[at] + config.epsilon)
+        w[at] -= config.learning_rate * gradient
+
+    def penalised(at, gradient: np.ndarray) -> np.ndarray:
+        return gradient + config.l2 * w[at] + config.l1 * np.sign(w[at])
+
+    total = 0.0
+    for lo in range(0, len(order), batch):
+        rows = order[lo : lo + batch]
+        raw, places, values, of = _raw(shard, w, rows)
+        p, y, rw = _sigmoid(raw), shard.labels[rows], row_weights[rows]
+        error = p - y
+        loss = _cross_entropy(y, p) if config.loss == "cross_entropy" else 0.5 * error * error
+        total += float(rw @ loss)
+        scale = rw * error * (p * (1 - p) if config.loss == "mse" else 1.0) / len(rows)
+        active, place_of = np.unique(places, return_inverse=True)
+        moves = [(np.array([0]), np.array([scale.sum()]))]
+        moves.append((np.arange(1, 1 + d), penalised(slice(1, 1 + d), scale @ shard.dense[rows])))
+        moves.append((active, penalised(active, np.bincount(place_of, scale[of] * values, len(active)))))
+        for at, gradient in moves:
+            step(at, gradient)
+    return total, float(row_weights[order].sum())
+
+
+def _parsed(table: pa.Table, ids: np.ndarray, d: int) -> _Shard:
+    """Arrow rows as arrays; a sparse id that was not among the training rows' has no weight."""
+    column = lambda name: table[name].combine_chunks()
+    sparse, values = column("ids"), column("values")
+    found = sparse.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, found), max(0, len(ids) - 1))
+    known = ids[at] == found if len(ids) else np.zeros(len(found), bool)
+    counts = np.asarray(sparse.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    amounts = np.where(known, values.flatten().to_numpy(zero_copy_only=False), 0.0)
+    flat = column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) != d * table.num_rows:
+        raise ValueError("dense features differ in length")
+    labels, weights = (column(name).to_numpy(zero_copy_only=False).astype(np.float64) for name in ("label", "weight"))
+    return _Shard(labels, weights, flat.reshape(-1, d), np.where(known, at, 0) + 1 + d, amounts, np.concatenate([[0], np.cumsum(counts)]))
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each shard of a partition that is sorted by shard."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                if held and held[-1].column(0)[0].as_py() != shard[lo]:
+                    yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+def _factors(n: int, positives: int, config: TrainingConfig) -> tuple[float, float]:
+    """What class weighting (from the rows as they are) and oversampling multiply the weights of 0 and 1 by."""
+    zeros, zero, one = n - positives, 1.0, 1.0
+    if positives and zeros:
+        if config.class_weighting:
+            zero, one = n / (2 * zeros), n / (2 * positives)
+        if config.oversample:
+            few = max(positives, zeros) / min(positives, zeros)
+            zero, one = (zero, one * few) if positives < zeros else (zero * few, one)
+    return zero, one
+
+
+def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live: list[int], configs: list[TrainingConfig], boot: list[bool], factors: list[tuple[float, float]], ids: np.ndarray, d: int, epoch: int, last: bool, batch: int | None) -> DataFrame:
+    """(config, place, first, second): moves of weights and squares times rows, and losses with weights."""
+    shared = sharded.sparkSession.sparkContext.broadcast((models, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, ids = shared.value
+        for number, table in _shards(batches):
+            table = table.sort_by("order")
+            is_train = table["train"].to_numpy()
+            train, validation = (_parsed(table.filter(pa.array(side)), ids, d) for side in (is_train, ~is_train))
+            out = []
+            for c in live:
+                config, (w, squares) = configs[c], models[c]
+                own = np.random.default_rng([config.seed, number, 1]).poisson(1.0, len(train.labels)) if boot[c] else np.ones(len(train.labels))
+                for what, rows, weights in ((ON_TRAIN, train, train.weights * own), (ON_VALIDATION, validation, validation.weights)):
+                    if len(rows.labels):
+                        p = _sigmoid(_raw(rows, w, slice(None))[0])
+                        out.append(([c], [what], [float(weights @ _cross_entropy(rows.labels, p))], [float(weights.sum())]))
+                n = len(train.labels)
+                if last or not n:
+                    continue
+                order = np.random.default_rng([config.seed + epoch, number]).permutation(n) if config.shuffle else np.arange(n)
+                order = order[own[order] > 0]
+                moved, moved_squares = w.copy(), squares.copy()
+                weights = train.weights * own * np.where(train.labels == 1, factors[c][1], factors[c][0])
+                loss, weight = walk(train, weights, order, moved, moved_squares, config, batch or max(1, len(order)))
+                at = np.flatnonzero((moved != w) | (moved_squares != squares))
+                out.append((np.full(len(at), c), at, (moved - w)[at] * n, (moved_squares - squares)[at] * n))
+                out.append(([c], [ON_THE_WAY], [loss], [weight]))
+            if out:
+                columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["config", "place", "first", "second"])
+
+    return sharded.mapInArrow(run, MOVES).groupBy("config", "place").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
 
 
-RUN = "config string, model string, history string"
+@dataclass
+class Fit:
+    model: Model
+    history: list[dict]
+
+
+def fit_all(
+    rows: DataFrame,
+    configs: dict[str, TrainingConfig],
+    bootstrap: Sequence[str] = (),
+    order: str = "training_row_id",
+    shard_rows: int = SHARD_ROWS,
+    batch_rows: int | None = BATCH_ROWS,
+) -> dict[str, Fit]:
+    """Every configuration fitted on ``split`` train and stopped by ``split`` validation, in one pass an epoch.
+
+    The model is that of the epoch with the least validation loss (the last epoch without validation
+    rows).  ``history`` has the weighted train loss on the way and the log losses of the epoch's model.
+    Configurations named in ``bootstrap`` weigh each training row by a Poisson draw, by their seed.
+    ``batch_rows`` None takes a shard as one batch."""
+    train = rows.filter("split = 'train'")
+    n, positives, dense_size, narrow = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.max(F.size("dense_features")), F.min(F.size("dense_features"))).first()
+    if not n:
+        raise ValueError("no training rows")
+    if dense_size != narrow:
+        raise ValueError("dense features differ in length")
+    distinct = train.select(F.explode("sparse_feature_ids").alias("id")).distinct()
+    found = [r.id for r in distinct.limit(MOST_FEATURES + 1).collect()]
+    if len(found) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} distinct sparse ids; hash them into fewer")
+    ids, d, names, settings = np.array(sorted(found), np.int64), int(dense_size), list(configs), list(configs.values())
+    shards = max(1, -(-n // shard_rows))
+    sharded = (
+        rows.filter("split in ('train', 'validation')")
+        .select(
+            F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), (F.col("split") == "train").alias("train"), F.col("label").cast("double").alias("label"),
+            F.col("sample_weight").cast("double").alias("weight"), F.col("dense_features").cast("array<double>").alias("dense"),
+            F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
+        )
+        .repartition("shard").sortWithinPartitions("shard").persist(StorageLevel.DISK_ONLY)
+    )
+    size, factors, boot = 1 + d + max(1, len(ids)), [_factors(n, int(positives), c) for c in settings], [name in set(bootstrap) for name in names]
+    models = [(np.zeros(size), np.zeros(size)) for _ in settings]
+    best: list[tuple[float, int, np.ndarray]] = [(math.inf, 0, m[0]) for m in models]
+    waited, histories, live = [0] * len(settings), [[] for _ in settings], list(range(len(settings)))
+    try:
+        for epoch in range(1, max(c.max_epochs for c in settings) + 2):
+            going = [c for c in live if len(histories[c]) == epoch - 1]
+            last = all(settings[c].max_epochs < epoch for c in going)
+            result = {(r.config, r.place): (r.first, r.second) for r in _pass(sharded, models, going, settings, boot, factors, ids, d, epoch, last, batch_rows).collect()} if going else {}
+            share = lambda pair: pair[0] / pair[1] if pair and pair[1] else 0.0
+            for c in going:
+                config = settings[c]
+                if epoch > 1:
+                    # The losses of the model that this pass started from: that of the epoch before.
+                    seen, entry = result.get((c, ON_VALIDATION)), histories[c][-1]
+                    entry["train_log_loss"] = share(result.get((c, ON_TRAIN)))
+                    if seen:
+                        entry["validation_log_loss"] = share(seen)
+                        if share(seen) < best[c][0]:
+                            best[c], waited[c] = (share(seen), epoch - 1, models[c][0]), 0
+                        else:
+                            waited[c] += 1
+                    else:
+                        best[c] = (math.inf, epoch - 1, models[c][0])
+                if epoch > config.max_epochs or (config.patience and waited[c] >= config.patience):
+                    live.remove(c)
+                    continue
+                w, squares = models[c][0].copy(), models[c][1].copy()
+                moves = [(place, *pair) for (k, place), pair in result.items() if k == c and place >= 0]
+                if moves:
+                    at, first, second = (np.array(column) for column in zip(*moves, strict=True))
+                    w[at] += first / n
+                    squares[at] += second / n
+                models[c] = (w, squares)
+                histories[c].append({"epoch": epoch, "train_loss": share(result.get((c, ON_THE_WAY)))})
+            if not live:
+                break
+    finally:
+        sharded.unpersist()
+    fits = {}
+    for name, (_, epoch, w), history in zip(names, best, histories, strict=True):
+        sparse = {int(i): float(x) for i, x in zip(ids, w[1 + d :], strict=False) if x}
+        fits[name] = Fit(Model(float(w[0]), w[1 : 1 + d].tolist(), sparse, best_epoch=epoch), history)
+    return fits
 
 
-def train_all(rows: DataFrame, configs: dict[str, TrainingConfig], bootstrap: Sequence[str] = (), order: str = "training_row_id") -> DataFrame:
-    """(config, model, history): each configuration trained in a task of its own on ``split`` train,
-    stopped by ``split`` validation.  Configurations named in ``bootstrap`` draw as many training
-    rows with replacement, by their seed."""
-    columns = ["split", order, "label", "sample_weight", "dense_features", "sparse_feature_ids", "sparse_feature_values"]
-    used = rows.filter(F.col("split") != "test").select(*columns)
-    every = used.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
+RUN = "config string, model string, history string"
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        config, part = configs[key[0]], part.sort_values(order)
-        train, validation = _rows(part[part["split"] == "train"]), _rows(part[part["split"] == "validation"])
-        if key[0] in bootstrap:
-            draw = random.Random(config.seed)
-            train = [train[draw.randrange(len(train))] for _ in train]
-        model, history = fit_sequential(train, validation, config)
-        return pd.DataFrame([(key[0], model.to_json(), json.dumps(history))], columns=["config", "model", "history"])
 
-    return every.groupBy("config").applyInPandas(fit, RUN)
+def train_all(rows: DataFrame, configs: dict[str, TrainingConfig], bootstrap: Sequence[str] = (), order: str = "training_row_id", **sizes) -> DataFrame:
+    """(config, model, history) of ``fit_all``, as JSON: one row a configuration."""
+    fits = fit_all(rows, configs, bootstrap, order, **sizes)
+    return rows.sparkSession.createDataFrame([(name, f.model.to_json(), json.dumps(f.history)) for name, f in fits.items()], RUN)
 
 
-def train(rows: DataFrame, config: TrainingConfig = TrainingConfig(), **stamps) -> tuple[Model, list[dict]]:
-    found = train_all(rows, {"only": config}).first()
-    return replace(Model.from_json(found.model), **stamps), json.loads(found.history)
+def train(rows: DataFrame, config: TrainingConfig = TrainingConfig(), order: str = "training_row_id", **stamps) -> tuple[Model, list[dict]]:
+    found = fit_all(rows, {"only": config}, order=order)["only"]
+    return replace(found.model, **stamps), found.history
 
 
 def suite(config: TrainingConfig = TrainingConfig()) -> dict[str, TrainingConfig]:

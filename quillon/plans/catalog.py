@@ -6,6 +6,7 @@ Numbers that depend on the order of summation are rounded to six places on both
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -486,26 +487,57 @@ def top_coefficients(spark, sf_dir):
     return spark.createDataFrame(WEIGHTS.top(5), "feature string, weight double")
 
 
-# Fits (order-dependent or iterative: no SQL)
+# Fits
 def _training_table(spark, sf_dir):
     return dataset.training_rows(_contacts(spark, sf_dir), DATASET)
 
 
+_STEPS, _RATE, _L2 = 4, 0.3, 0.01
+_X = " + ".join(f"w{j} * {n}" for j, n in enumerate(DENSE_FEATURES))
+
+
+def _descent(name: str, error: str) -> str:
+    return f"""{name}(i, b, {", ".join(f"w{j}" for j in range(7))}) AS (SELECT 0, {", ".join(["0.0::DOUBLE"] * 8)} UNION ALL
+  SELECT i + 1, b - {_RATE} * avg(e), {", ".join(f"w{j} - {_RATE} * (avg(e * {n}) + {_L2} * w{j})" for j, n in enumerate(DENSE_FEATURES))}
+  FROM (SELECT *, share * {error} AS e FROM (SELECT s.*, t.*, 1 / (1 + exp(-(b + {_X}))) AS q FROM {name} s, t WHERE i < {_STEPS})) GROUP BY i, b, {", ".join(f"w{j}" for j in range(7))})"""
+
+
+def _weights_of(name: str) -> str:
+    columns = ["b", *(f"w{j}" for j in range(7))]
+    return f"SELECT '{name}' AS loss, unnest([{', '.join(repr(n) for n in ('bias', *DENSE_FEATURES))}]) AS feature, round(unnest([{', '.join(columns)}]), 6) AS weight FROM {name} WHERE i = {_STEPS}"
+
+
+@query(f"""WITH RECURSIVE {_DENSE}, kept AS (SELECT * FROM dense WHERE {_FRACTION} < 0.8::DOUBLE),
+ t AS MATERIALIZED (SELECT label, {", ".join(DENSE_FEATURES)}, CASE WHEN label = 1 THEN (SELECT count(*) / (2.0::DOUBLE * sum(label)) FROM kept) ELSE (SELECT count(*) / (2.0::DOUBLE * (count(*) - sum(label))) FROM kept) END AS share FROM kept),
+ {_descent("cross_entropy", "(q - label)")}, {_descent("mse", "(q - label) * q * (1 - q)")} {_weights_of("cross_entropy")} UNION ALL {_weights_of("mse")}""")
+def lr_gradient_steps(spark, sf_dir):
+    """The trainer as plain gradient descent (one batch a shard, plain rates): steps on all training rows."""
+    none = {"sparse_feature_ids": F.array().cast("array<bigint>"), "sparse_feature_values": F.array().cast("array<double>")}
+    rows = _training_table(spark, sf_dir).withColumns(none).filter("split = 'train'")
+    config = TrainingConfig(max_epochs=_STEPS, learning_rate=_RATE, l2=_L2, optimizer="sgd", patience=0)
+    fits = training.fit_all(rows, {"cross_entropy": config, "mse": replace(config, loss="mse")}, batch_rows=None)
+    found = [(loss, name, float(w)) for loss, fit in fits.items() for name, w in zip(("bias", *DENSE_FEATURES), (fit.model.bias, *fit.model.dense), strict=True)]
+    return rounded(spark.createDataFrame(found, "loss string, feature string, weight double"), "weight")
+
+
+def _runs(runs: DataFrame) -> DataFrame:
+    return runs.select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), F.get_json_object("model", "$.best_epoch").cast("int").alias("best_epoch"), "history")
+
+
 @query()
 def lr_train_exact(spark, sf_dir):
-    runs = training.train_all(_training_table(spark, sf_dir), {"baseline": TrainingConfig()})
-    return runs.select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), F.get_json_object("model", "$.best_epoch").cast("int").alias("best_epoch"), "history")
+    """The baseline with the default settings: mini-batches in shuffled order, so no SQL."""
+    return _runs(training.train_all(_training_table(spark, sf_dir), {"baseline": TrainingConfig()}))
 
 
 @query()
 def ablation_suite(spark, sf_dir):
-    configs = training.suite()
-    return training.train_all(_training_table(spark, sf_dir), configs).select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), "history")
+    return _runs(training.train_all(_training_table(spark, sf_dir), training.suite()))
 
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    configs = {f"run{i}": TrainingConfig(seed=100 + i) for i in range(4)}
+    configs = {f"run{i}": TrainingConfig(seed=100 + i, patience=0) for i in range(4)}
     return training.stability(training.train_all(_training_table(spark, sf_dir), configs, bootstrap=list(configs)), DENSE_FEATURES)
 
 

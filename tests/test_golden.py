@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,15 +185,115 @@ def test_exploration_slots(spark):
         RankingConfig(exploration_rate=1.5)
 
 
-def test_trainer_learns_and_keeps_its_best_model():
-    rng = random.Random(4)
-    rows = [(int(x + 0.3 * rng.gauss(0, 1) > 0), 1.0, [x], [(i % 3, 1.0)]) for i in range(300) for x in [rng.gauss(0, 1)]]
-    model, history = training.fit_sequential(rows[:200], rows[200:], TrainingConfig(max_epochs=6, learning_rate=0.3))
-    assert model.dense[0] > 1 and set(model.sparse) == {0, 1, 2}
-    assert model.best_epoch == min(history, key=lambda h: h["validation_log_loss"])["epoch"]
-    assert training.Model.from_json(model.to_json()) == model
-    again, _ = training.fit_sequential(rows[:200], rows[200:], TrainingConfig(max_epochs=6, learning_rate=0.3))
-    assert again == model
+TRAINING = "training_row_id string, split string, label int, sample_weight double, dense_features array<double>, sparse_feature_ids array<bigint>, sparse_feature_values array<double>"
+
+
+def training_rows(n=300, seed=4):
+    rng = random.Random(seed)
+    made = []
+    for i in range(n):
+        x = rng.gauss(0, 1)
+        split = "train" if i < n * 2 // 3 else "validation"
+        made.append((f"trn_{i:06d}", split, int(x + 0.5 * rng.gauss(0, 1) > 0.4), rng.choice([0.5, 1.0, 2.0]), [x, rng.gauss(0, 1)], [i % 3, 7, i % 3][: i % 4], [1.0, 0.5, 2.0][: i % 4]))
+    return made
+
+
+def plain_training(rows, config, epochs):
+    """Steps row by row, written out: (bias, dense, sparse), and the weighted train loss of each epoch."""
+    n, ones = len(rows), sum(r[2] for r in rows)
+    share = {0: n / (2 * (n - ones)), 1: n / (2 * ones)} if config.class_weighting else {0: 1.0, 1: 1.0}
+    if config.oversample:
+        share[1 if ones < n - ones else 0] *= max(ones, n - ones) / min(ones, n - ones)
+    weights, squares, losses = {}, {}, []
+
+    def move(key, gradient):
+        rate = config.learning_rate
+        if config.optimizer == "adagrad":
+            squares[key] = squares.get(key, 0.0) + gradient**2
+            rate /= math.sqrt(squares[key] + config.epsilon)
+        weights[key] = weights.get(key, 0.0) - rate * gradient
+
+    for _ in range(epochs):
+        total = mass = 0.0
+        for _, _, y, weight, dense, ids, values in sorted(rows):
+            found = {("d", j): x for j, x in enumerate(dense)}
+            for i, v in zip(ids, values):
+                found["s", i] = found.get(("s", i), 0.0) + v
+            p = 1 / (1 + math.exp(-(weights.get("bias", 0.0) + sum(weights.get(k, 0.0) * x for k, x in found.items()))))
+            weight *= share[y]
+            total += weight * (-math.log(p if y else 1 - p) if config.loss == "cross_entropy" else 0.5 * (p - y) ** 2)
+            mass += weight
+            error = weight * (p - y) * (p * (1 - p) if config.loss == "mse" else 1.0)
+            now = dict(weights)
+            move("bias", error)
+            for k, x in found.items():
+                w = now.get(k, 0.0)
+                move(k, error * x + config.l2 * w + config.l1 * ((w > 0) - (w < 0)))
+        losses.append(total / mass)
+    return weights, losses
+
+
+CONFIGS = {
+    "adagrad": TrainingConfig(max_epochs=3, learning_rate=0.2, l1=1e-3, shuffle=False),
+    "sgd_mse": TrainingConfig(max_epochs=4, learning_rate=0.1, loss="mse", optimizer="sgd", l2=0.01, class_weighting=False, shuffle=False),
+    "oversampled": TrainingConfig(max_epochs=2, oversample=True, class_weighting=False, shuffle=False),
+    "both": TrainingConfig(max_epochs=2, oversample=True, shuffle=False),
+}
+
+
+def test_trainer_with_one_shard_goes_row_by_row(spark):
+    rows = [r for r in training_rows() if r[1] == "train"]
+    fits = training.fit_all(spark.createDataFrame(rows, TRAINING).repartition(3), CONFIGS, batch_rows=1)
+    for name, config in CONFIGS.items():
+        weights, losses = plain_training(rows, config, config.max_epochs)
+        model = fits[name].model
+        assert math.isclose(model.bias, weights["bias"], rel_tol=1e-9), name
+        assert all(math.isclose(x, weights["d", j], rel_tol=1e-9) for j, x in enumerate(model.dense))
+        assert set(model.sparse) == {0, 1, 2, 7} and all(math.isclose(x, weights["s", i], rel_tol=1e-9) for i, x in model.sparse.items())
+        assert [math.isclose(h["train_loss"], loss, rel_tol=1e-9) for h, loss in zip(fits[name].history, losses, strict=True)].count(False) == 0
+        assert model.best_epoch == config.max_epochs
+
+
+def test_trainer_with_plain_rates_is_gradient_descent_over_all_shards(spark):
+    rows = [r for r in training_rows() if r[1] == "train"]
+    config = TrainingConfig(max_epochs=5, learning_rate=0.7, optimizer="sgd", l2=0.02, class_weighting=False)
+    model = training.fit_all(spark.createDataFrame(rows, TRAINING).repartition(5), {"a": config}, shard_rows=17, batch_rows=None)["a"].model
+    x = np.zeros((len(rows), 2 + 8))
+    for i, (_, _, _, _, dense, ids, values) in enumerate(rows):
+        x[i, :2] = dense
+        np.add.at(x[i], 2 + np.array(ids, int), values)
+    y, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    b, w = 0.0, np.zeros(10)
+    seen = (x != 0).any(axis=0)
+    for _ in range(5):
+        error = weight * (1 / (1 + np.exp(-(b + x @ w))) - y) / len(rows)
+        b, w = b - 0.7 * error.sum(), w - 0.7 * (x.T @ error + 0.02 * w * seen)
+    assert math.isclose(model.bias, b, rel_tol=1e-9) and np.allclose(model.dense, w[:2], rtol=1e-9)
+    # A shard without a sparse id does not shrink its weight, so the penalty may differ in shards that lack it.
+    assert set(model.sparse) == {0, 1, 2, 7} and all(math.isclose(v, w[2 + i], rel_tol=0.02) for i, v in model.sparse.items())
+
+
+def test_trainer_stops_early_and_keeps_its_best_model(spark):
+    rows = spark.createDataFrame(training_rows(), TRAINING)
+    configs = {"long": TrainingConfig(max_epochs=12, learning_rate=2.0, patience=2), "short": TrainingConfig(max_epochs=3), "patient": TrainingConfig(max_epochs=9, learning_rate=2.0, patience=0)}
+    fits = training.fit_all(rows, configs, shard_rows=60)
+    for name, fit in fits.items():
+        best = min(fit.history, key=lambda h: h["validation_log_loss"])
+        assert fit.model.best_epoch == best["epoch"] and all("train_log_loss" in h for h in fit.history)
+        # The loss in the history is that of the model, measured on its own.
+        if best["epoch"] == fit.history[-1]["epoch"] or name == "long":
+            scored = training.with_probability(rows.filter("split = 'validation'"), fit.model).withColumn("weight", F.col("sample_weight"))
+            assert math.isclose(metrics.losses(metrics.score_groups(scored, score="probability")).first().log_loss, best["validation_log_loss"], rel_tol=1e-9)
+    assert len(fits["short"].history) == 3 and len(fits["patient"].history) == 9
+    assert len(fits["long"].history) in (12, fits["long"].model.best_epoch + 2)
+    assert fits["short"].model.dense[0] > abs(fits["short"].model.dense[1])
+    again = training.fit_all(rows.repartition(7), configs, shard_rows=60)["long"]
+    assert again.model.best_epoch == fits["long"].model.best_epoch and np.allclose(again.model.dense, fits["long"].model.dense)
+    assert training.Model.from_json(again.model.to_json()) == again.model
+    runs = training.fit_all(rows, {f"run{i}": TrainingConfig(max_epochs=2, seed=i) for i in range(3)}, bootstrap=["run0", "run1"])
+    assert len({r.model.bias for r in runs.values()}) == 3
+    with pytest.raises(ValueError):
+        training.fit_all(rows.filter("split = 'test'"), configs)
 
 
 def test_phases(spark, tmp_path):
