@@ -2,7 +2,7 @@
 
 Candidates have ``split``, ``candidate_id``, ``label``, ``stage1_raw_score``,
 ``stage1_calibrated_probability``, ``reranker_probability`` and ``uncertainty_score``.  Only the
-first ``k`` of each order matter for the shortlist, and Spark keeps no more of each partition.
+first entries of each order matter, and Spark keeps no more of each task's rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DENSE_FEATURES
 from ..functions.columns import safe_rate, uncertainty
+from ..sources.scratch import stage
 
 INTERACTIONS = (
     ("age_balance", "age", "balance"),
@@ -47,47 +48,71 @@ STAGE1_ORDER = ("stage1_calibrated_probability", "stage1_raw_score")
 RERANKER_ORDER = ("reranker_probability", "stage1_calibrated_probability")
 
 
-def with_ranks(candidates: DataFrame) -> DataFrame:
-    rank = lambda *c: F.row_number().over(Window.partitionBy("split").orderBy(*_order(*c)))
-    return candidates.withColumns({"stage1_rank": rank(*STAGE1_ORDER), "reranker_rank": rank(*RERANKER_ORDER)})
+EXPLORE_ORDER = ("uncertainty_score", "reranker_probability")
+#: The lists that are taken from all candidates: their orders, and how many times ``k`` of each are kept.  The shortlist
+#: explores below its first entries, at most ``k`` of which may stand in front of the exploration order too.
+LISTS = {"stage1": (STAGE1_ORDER, 1), "reranker": (RERANKER_ORDER, 1), "explore": (EXPLORE_ORDER, 2)}
 
 
-def _first(rows: DataFrame, name: str, k: int, *order: str) -> DataFrame:
-    """The first ``k`` rows of each split in an order, with their rank: a limit inside the window."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("split").orderBy(*_order(*order)))).filter(F.col(name) <= k)
+def top_lists(candidates: DataFrame, k: int = 25, lists: Sequence[str] = tuple(LISTS)) -> DataFrame:
+    """(list, place, candidate columns): the first entries of each split in each order, in one pass over
+    the candidates; each task keeps no more than these of its own rows."""
+    keys = [F.struct(F.lit(name).alias("list"), F.lit(k * LISTS[name][1]).alias("most"), *(F.col(c).cast("double").alias(f"key{i}") for i, c in enumerate(LISTS[name][0]))) for name in lists]
+    entered = candidates.withColumn("__in", F.explode(F.array(*keys)))
+    order = Window.partitionBy("split", F.col("__in.list")).orderBy(F.col("__in.key0").desc(), F.col("__in.key1").desc(), F.col("candidate_id").asc())
+    found = entered.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k * max(LISTS[name][1] for name in lists)).filter(F.col("place") <= F.col("__in.most"))
+    return found.withColumn("list", F.col("__in.list")).drop("__in")
 
 
 def exploration_slots(k: Column, rate: float) -> Column:
     return F.least(k, F.bround(k * F.lit(rate)).cast("int"))
 
 
-def shortlist(candidates: DataFrame, k: int = 25, rate: float = 0.15) -> DataFrame:
-    """The ``min(k, n)`` chosen candidates of each split: the best by the reranker and, in the
-    exploration slots, the least certain of the others, whose score gets a bonus."""
+def _sizes(candidates: DataFrame, k: int, rate: float) -> DataFrame:
     sizes = candidates.groupBy("split").agg(F.count("*").alias("candidate_count"))
-    sizes = sizes.withColumn("k", F.least(F.col("candidate_count"), F.lit(k)).cast("int")).withColumn("slots", exploration_slots(F.col("k"), rate))
-    best = _first(candidates, "reranker_rank", k, *RERANKER_ORDER).join(F.broadcast(sizes), "split")
-    exploit = best.filter("reranker_rank <= k - slots").drop("reranker_rank").withColumn("was_explored", F.lit(False))
-    taken = exploit.select("split", "candidate_id")
-    rest = candidates.join(F.broadcast(taken), ["split", "candidate_id"], "left_anti")
-    explore = _first(rest, "place", k, "uncertainty_score", "reranker_probability").join(F.broadcast(sizes), "split").filter("place <= slots").drop("place").withColumn("was_explored", F.lit(True))
-    chosen = exploit.unionByName(explore)
+    return sizes.withColumn("k", F.least(F.col("candidate_count"), F.lit(k)).cast("int")).withColumn("slots", exploration_slots(F.col("k"), rate))
+
+
+def _chosen(tops: DataFrame, sizes: DataFrame, rate: float) -> DataFrame:
+    placed = tops.join(F.broadcast(sizes), "split")
+    exploit = placed.filter("list = 'reranker' and place <= k - slots").withColumn("was_explored", F.lit(False))
+    rest = placed.filter("list = 'explore'").join(exploit.select("split", "candidate_id"), ["split", "candidate_id"], "left_anti")
+    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("place"))).filter("place <= slots").withColumn("was_explored", F.lit(True))
     bonus = F.when(F.col("was_explored"), F.col("uncertainty_score") * rate).otherwise(0.0)
-    final = chosen.withColumn("exploration_bonus", bonus).withColumn("final_score", F.col("reranker_probability") + F.col("exploration_bonus"))
+    final = exploit.unionByName(rest).drop("list", "place").withColumn("exploration_bonus", bonus).withColumn("final_score", F.col("reranker_probability") + F.col("exploration_bonus"))
     return final.withColumn("final_rank", F.row_number().over(Window.partitionBy("split").orderBy(*_order("final_score", "reranker_probability"))))
 
 
+def shortlist(candidates: DataFrame, k: int = 25, rate: float = 0.15) -> DataFrame:
+    """The ``min(k, n)`` chosen candidates of each split: the best by the reranker and, in the
+    exploration slots, the least certain of the others, whose score gets a bonus."""
+    return _chosen(top_lists(candidates, k, ("reranker", "explore")), _sizes(candidates, k, rate), rate)
+
+
+def first_by_stage1(candidates: DataFrame, k: int = 25) -> DataFrame:
+    """The first candidates of each split by stage one, with both ranks."""
+    return with_ranks_of(top_lists(candidates, k, ("stage1",)).drop("list", "place"), candidates)
+
+
+def _gain(rank: Column) -> Column:
+    return (F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(rank + 1)
+
+
+def _list_metrics(rows: DataFrame, name: str, rank: str, expected: str) -> DataFrame:
+    """Rates, expected positives and discounted gain of one list, by split."""
+    ideal = F.row_number().over(Window.partitionBy("split").orderBy(F.col("label").desc(), rank))
+    return rows.withColumn("ideal", ideal).groupBy("split").agg(
+        F.sum("label").alias(f"{name}_positives"), F.avg(F.col("label").cast("double")).alias(f"{name}_positive_rate"), F.sum(expected).alias(f"{name}_expected_positives"),
+        safe_rate(F.sum(_gain(F.col(rank))), F.sum(_gain(F.col("ideal")))).alias(f"{name}_ndcg"),
+    )
+
+
 def ranking_metrics(candidates: DataFrame, k: int = 25, rate: float = 0.15) -> DataFrame:
-    """One row for each split: rates and expectations at k for the three orders, lifts, discounted
-    gains, overlaps and shifts."""
-    stage1, rerank = _first(candidates, "rank", k, *STAGE1_ORDER), _first(candidates, "rank", k, *RERANKER_ORDER)
-    final = shortlist(candidates, k, rate)
-    sums = lambda rows, name: rows.groupBy("split").agg(F.sum("label").alias(f"{name}_positives"), F.avg(F.col("label").cast("double")).alias(f"{name}_positive_rate"), F.sum("stage1_calibrated_probability").alias(f"{name}_expected_positives"))
-    gain = lambda rank: (F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(rank + 1)
-    ideal = Window.partitionBy("split").orderBy(F.col("label").desc(), "candidate_id")
-    ranks = with_ranks_of(final, candidates)
-    ndcg = final.withColumn("ideal_rank", F.row_number().over(ideal)).groupBy("split").agg(safe_rate(F.sum(gain(F.col("final_rank"))), F.sum(gain(F.col("ideal_rank")))).alias("ndcg"))
-    chosen = ranks.groupBy("split").agg(
+    """One row for each split: rates, expectations and discounted gains at k for the three orders, lifts,
+    overlaps and shifts.  All candidates are read for the sizes, for the lists and for the ranks."""
+    sizes, tops = _sizes(candidates, k, rate), stage(top_lists(candidates, k), "top-lists")
+    final = _chosen(tops, sizes, rate)
+    chosen = with_ranks_of(final, candidates).groupBy("split").agg(
         F.first("candidate_count").alias("candidate_count"), F.first("k").alias("k"), F.count_if("was_explored").alias("explored"),
         safe_rate(F.sum(F.when(F.col("was_explored"), F.col("label"))), F.count_if("was_explored")).alias("explored_positive_rate"),
         safe_rate(F.sum(F.when(~F.col("was_explored"), F.col("label"))), F.count_if(~F.col("was_explored"))).alias("exploited_positive_rate"),
@@ -96,29 +121,46 @@ def ranking_metrics(candidates: DataFrame, k: int = 25, rate: float = 0.15) -> D
         safe_rate(F.count_if(F.col("reranker_rank") <= F.col("k")), F.first("k")).alias("overlap_with_reranker"),
         F.avg(F.col("stage1_rank") - F.col("final_rank")).alias("mean_shift_from_stage1"),
         F.avg(F.col("reranker_rank") - F.col("final_rank")).alias("mean_shift_from_reranker"),
+        safe_rate(F.count_if("was_explored"), F.lit(k)).alias("exploration_rate"),
     )
-    out = chosen.join(sums(stage1, "stage1"), "split").join(sums(rerank, "reranker"), "split").join(sums(final, "final"), "split").join(ndcg, "split")
+    lists = [
+        _list_metrics(tops.filter("list = 'stage1'"), "stage1", "place", "stage1_calibrated_probability"), _list_metrics(tops.filter("list = 'reranker'"), "reranker", "place", "reranker_probability"),
+        _list_metrics(final, "final", "final_rank", "stage1_calibrated_probability"),
+    ]
+    out = chosen
+    for part in lists:
+        out = out.join(part, "split")
+    out = out.withColumn("ndcg", F.col("final_ndcg"))
     return out.withColumns({"lift_vs_stage1": F.col("final_positive_rate") - F.col("stage1_positive_rate"), "lift_vs_reranker": F.col("final_positive_rate") - F.col("reranker_positive_rate")})
 
 
 def with_ranks_of(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Adds both full ranks to chosen candidates: for each, the candidates that come before it are
-    counted (the chosen are at most ``k`` a split), so no split is sorted as a whole."""
-    keys = chosen.select("split", F.col("candidate_id").alias("c"), *(F.col(x).alias(f"c_{x}") for x in ("stage1_calibrated_probability", "stage1_raw_score", "reranker_probability")))
-
-    def before(*columns: str) -> Column:
-        same, out = F.lit(True), F.lit(False)
-        for c in columns:
-            out = out | (same & (F.col(c) > F.col(f"c_{c}")))
-            same = same & (F.col(c) == F.col(f"c_{c}"))
-        return out | (same & (F.col("candidate_id") < F.col("c")))
-
-    met = candidates.select("split", "candidate_id", *STAGE1_ORDER, "reranker_probability").join(F.broadcast(keys), "split")
-    ranks = met.groupBy("split", "c").agg((F.count_if(before(*STAGE1_ORDER)) + 1).alias("stage1_rank"), (F.count_if(before(*RERANKER_ORDER)) + 1).alias("reranker_rank"))
-    return chosen.join(ranks.withColumnRenamed("c", "candidate_id"), ["split", "candidate_id"])
-
-
-def overall(metrics: DataFrame, columns: Sequence[str] = ("final_positive_rate", "stage1_positive_rate", "reranker_positive_rate", "ndcg", "lift_vs_stage1", "lift_vs_reranker")) -> DataFrame:
+    """Adds both full ranks to chosen candidates (at most ``k`` a split): each candidate finds its place
+    among its split's sorted chosen keys, candidates are counted by place, and the counts added up.
+    No split is sorted as a whole and no row is multiplied."""
+    orders = {"stage1_rank": STAGE1_ORDER, "reranker_rank": RERANKER_ORDER}
+    key = lambda order: F.struct(*((-F.col(c).cast("double")).alias(f"k{i}") for i, c in enumerate(order)), F.col("candidate_id").alias("id"))
+    keys = chosen.groupBy("split").agg(*(F.array_sort(F.collect_list(key(order))).alias(f"__{name}") for name, order in orders.items()))
+    placed = candidates.select("split", *(key(order).alias(f"__row_{name}") for name, order in orders.items())).join(F.broadcast(keys), "split")
+    # Counted by the number of chosen keys in front: those with no more than j stand at or before the j-th key.
+    before = lambda name: lambda x: x < F.col(f"__row_{name}")
+    fronts = [F.size(F.filter(f"__{name}", before(name))).alias(name) for name in orders]
+    counts = placed.select("split", *fronts).groupBy("split", *orders).agg(F.count("*").alias("n"))
+    out = chosen
+    for name in orders:
+        sums = counts.groupBy("split", name).agg(F.sum("n").alias("n")).withColumn("rank", F.sum("n").over(Window.partitionBy("split").orderBy(name)))
+        entries = keys.select("split", F.posexplode(f"__{name}").alias("j", "entry")).select("split", "j", F.col("entry.id").alias("candidate_id"))
+        met = entries.join(sums, "split").filter(F.col(name) <= F.col("j")).groupBy("split", "candidate_id").agg(F.max("rank").alias(name))
+        out = out.join(met, ["split", "candidate_id"])
+    return out
+
+
+OVERALL = (
+    "final_positive_rate", "stage1_positive_rate", "reranker_positive_rate", "ndcg", "stage1_ndcg", "reranker_ndcg", "final_ndcg", "lift_vs_stage1", "lift_vs_reranker", "exploration_rate",
+)
+
+
+def overall(metrics: DataFrame, columns: Sequence[str] = OVERALL) -> DataFrame:
     """Means over splits, weighted by candidates (an empty split weighs one)."""
     w = F.when(F.col("candidate_count") > 0, F.col("candidate_count")).otherwise(1).cast("double")
     return metrics.agg(*(safe_rate(F.sum(F.col(c) * w), F.sum(w)).alias(c) for c in columns))

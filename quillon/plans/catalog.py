@@ -8,14 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, DatasetConfig, FeatureConfig, TrainingConfig
 from ..functions import columns as C
 from ..operators import calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, training
-from ..sources import tables
+from ..sources import scratch, tables
 from ..streaming import serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,8 +383,8 @@ def _candidates(spark, sf_dir):
     made = ranking.with_hybrid_features(staged)
     reranker = F.round(C.sigmoid(F.col("stage1_raw_score") * 0.8 - F.col("campaign") * 0.1 + F.col("age") * 0.05), 9)
     made = made.withColumns({"reranker_probability": reranker, "uncertainty_score": F.round("uncertainty_score", 9), "candidate_id": C.numbered("trn", F.col("row_id"))})
-    # Several orders and sums read the candidates: compute them once.
-    return made.persist(StorageLevel.MEMORY_AND_DISK)
+    # Several lists and sums read the candidates: compute them once.
+    return scratch.stage(made, "candidates")
 
 
 _CAND = f"""{_LOGIT}, cand AS (SELECT 'trn_' || lpad(row_id::VARCHAR, 12, '0') AS candidate_id, row_id, label, CASE WHEN (row_id + 1) / (count(*) OVER ())::DOUBLE < 0.5 THEN 'train' WHEN (row_id + 1) / (count(*) OVER ())::DOUBLE < 0.75 THEN 'validation' ELSE 'test' END AS split,
@@ -399,7 +398,7 @@ _CAND = f"""{_LOGIT}, cand AS (SELECT 'trn_' || lpad(row_id::VARCHAR, 12, '0') A
 
 @query(f"WITH {_CAND} SELECT split, candidate_id, stage1_rank, reranker_rank FROM ranked WHERE stage1_rank <= 25")
 def stage1_rank(spark, sf_dir):
-    return ranking.with_ranks(_candidates(spark, sf_dir)).filter("stage1_rank <= 25").select("split", "candidate_id", "stage1_rank", "reranker_rank")
+    return ranking.first_by_stage1(_candidates(spark, sf_dir)).select("split", "candidate_id", "stage1_rank", "reranker_rank")
 
 
 @query(f"WITH {_CAND} SELECT split, candidate_id, was_explored, final_rank, round(final_score, 6) AS final_score FROM final")
@@ -409,22 +408,38 @@ def topk_explore(spark, sf_dir):
 
 _RANK = f"""{_CAND}, m AS (SELECT split, avg(label) AS final_rate, count(*) FILTER (was_explored) AS explored, avg((stage1_rank <= 25)::INT) AS overlap_with_stage1, avg(stage1_rank - final_rank) AS mean_shift_from_stage1, avg(reranker_rank - final_rank) AS mean_shift_from_reranker, avg(final_score) AS mean_final_score FROM final GROUP BY 1),
  s1 AS (SELECT split, avg(label) FILTER (stage1_rank <= 25) AS stage1_rate, avg(label) FILTER (reranker_rank <= 25) AS rr_rate, count(*) AS n FROM ranked GROUP BY 1),
- nd AS (SELECT split, CASE WHEN sum(label) = 0 THEN 0 ELSE sum((pow(2, label) - 1) / log2(final_rank + 1)) / sum((pow(2, label) - 1) / log2(ideal + 1)) END AS ndcg FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY label DESC, candidate_id) AS ideal FROM final) GROUP BY 1)"""
+ nd AS (SELECT split, CASE WHEN sum(label) = 0 THEN 0 ELSE sum((pow(2, label) - 1) / log2(final_rank + 1)) / sum((pow(2, label) - 1) / log2(ideal + 1)) END AS ndcg FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY label DESC, candidate_id) AS ideal FROM final) GROUP BY 1),
+ nd1 AS (SELECT split, CASE WHEN sum(label) = 0 THEN 0 ELSE sum((pow(2, label) - 1) / log2(stage1_rank + 1)) / sum((pow(2, label) - 1) / log2(ideal + 1)) END AS stage1_ndcg FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY label DESC, candidate_id) AS ideal FROM ranked WHERE stage1_rank <= 25) GROUP BY 1),
+ nd2 AS (SELECT split, CASE WHEN sum(label) = 0 THEN 0 ELSE sum((pow(2, label) - 1) / log2(reranker_rank + 1)) / sum((pow(2, label) - 1) / log2(ideal + 1)) END AS reranker_ndcg FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY label DESC, candidate_id) AS ideal FROM ranked WHERE reranker_rank <= 25) GROUP BY 1)"""
 
 
-@query(f"""WITH {_RANK} SELECT split, n AS candidate_count, explored, round(final_rate, 6) AS final_positive_rate, round(final_rate - stage1_rate, 6) AS lift_vs_stage1, round(final_rate - rr_rate, 6) AS lift_vs_reranker,
- round(overlap_with_stage1, 6) AS overlap_with_stage1, round(mean_shift_from_stage1, 6) AS mean_shift_from_stage1, round(mean_shift_from_reranker, 6) AS mean_shift_from_reranker, round(mean_final_score, 6) AS mean_final_score, round(ndcg, 6) AS ndcg FROM m JOIN s1 USING (split) JOIN nd USING (split)""")
+@query(f"""WITH {_RANK} SELECT split, n AS candidate_count, explored, round(final_rate, 6) AS final_positive_rate, round(stage1_rate, 6) AS stage1_positive_rate, round(rr_rate, 6) AS reranker_positive_rate,
+ round(final_rate - stage1_rate, 6) AS lift_vs_stage1, round(final_rate - rr_rate, 6) AS lift_vs_reranker, round(overlap_with_stage1, 6) AS overlap_with_stage1, round(mean_shift_from_stage1, 6) AS mean_shift_from_stage1,
+ round(mean_shift_from_reranker, 6) AS mean_shift_from_reranker, round(mean_final_score, 6) AS mean_final_score, round(ndcg, 6) AS ndcg, round(stage1_ndcg, 6) AS stage1_ndcg, round(reranker_ndcg, 6) AS reranker_ndcg
+ FROM m JOIN s1 USING (split) JOIN nd USING (split) JOIN nd1 USING (split) JOIN nd2 USING (split)""")
 def ranking_metrics(spark, sf_dir):
-    names = ("final_positive_rate", "lift_vs_stage1", "lift_vs_reranker", "overlap_with_stage1", "mean_shift_from_stage1", "mean_shift_from_reranker", "mean_final_score", "ndcg")
+    names = (
+        "final_positive_rate", "stage1_positive_rate", "reranker_positive_rate", "lift_vs_stage1", "lift_vs_reranker", "overlap_with_stage1", "mean_shift_from_stage1", "mean_shift_from_reranker",
+        "mean_final_score", "ndcg", "stage1_ndcg", "reranker_ndcg",
+    )
     return rounded(ranking.ranking_metrics(_candidates(spark, sf_dir)).select("split", "candidate_count", "explored", *names), *names)
 
 
-@query(f"WITH {_RANK} SELECT round(sum(final_rate * n) / sum(n), 6) AS final_positive_rate, round(sum(ndcg * n) / sum(n), 6) AS ndcg, round(sum((final_rate - stage1_rate) * n) / sum(n), 6) AS lift_vs_stage1 FROM m JOIN s1 USING (split) JOIN nd USING (split)")
+@query(f"""WITH {_RANK} SELECT round(sum(final_rate * n) / sum(n), 6) AS final_positive_rate, round(sum(ndcg * n) / sum(n), 6) AS ndcg, round(sum(stage1_ndcg * n) / sum(n), 6) AS stage1_ndcg,
+ round(sum(reranker_ndcg * n) / sum(n), 6) AS reranker_ndcg, round(sum((final_rate - stage1_rate) * n) / sum(n), 6) AS lift_vs_stage1, round(sum((final_rate - rr_rate) * n) / sum(n), 6) AS lift_vs_reranker,
+ round(sum(explored / 25.0::DOUBLE * n) / sum(n), 6) AS exploration_rate FROM m JOIN s1 USING (split) JOIN nd USING (split) JOIN nd1 USING (split) JOIN nd2 USING (split)""")
 def overall_weighted(spark, sf_dir):
-    names = ("final_positive_rate", "ndcg", "lift_vs_stage1")
+    names = ("final_positive_rate", "ndcg", "stage1_ndcg", "reranker_ndcg", "lift_vs_stage1", "lift_vs_reranker", "exploration_rate")
     return rounded(ranking.overall(ranking.ranking_metrics(_candidates(spark, sf_dir)), names), *names)
 
 
+@query(f"""WITH {_RANK}, l AS (SELECT coalesce(max(CASE WHEN split = 'validation' THEN final_rate - stage1_rate END), 0) AS v, coalesce(max(CASE WHEN split = 'test' THEN final_rate - stage1_rate END), 0) AS t FROM m JOIN s1 USING (split))
+ SELECT round(v, 6) AS validation_lift, round(t, 6) AS test_lift, array_to_string(list_filter([CASE WHEN v < 0 THEN 'validation_reranker_lift_vs_stage1' END, CASE WHEN t < -0.02 THEN 'test_reranker_lift_vs_stage1' END], lambda x: x IS NOT NULL), ',') AS reasons, v >= 0 AND t >= -0.02 AS ready FROM l""")
+def ranking_readiness(spark, sf_dir):
+    found = ranking.readiness(ranking.ranking_metrics(_candidates(spark, sf_dir)))
+    return rounded(found.withColumn("reasons", F.array_join("reasons", ",")), "validation_lift", "test_lift")
+
+
 _COMPRESS = {"raw_balance": "raw * balance", "calibrated_campaign": "cal * campaign", "uncertainty_previous": "(1 - abs(2 * cal - 1)) * previous", "age_balance": "age * balance"}
 
 
