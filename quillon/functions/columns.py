@@ -121,12 +121,33 @@ def dot(values: Sequence[Column], weights: Sequence[float]) -> Column:
     return total
 
 
+#: Thresholds up to which a lookup compares with all of them; beyond, it halves the range.
+FEW_THRESHOLDS = 32
+
+
+def _constant(values: Sequence[float]) -> Column:
+    """An array that the optimizer folds into one literal, whatever its length."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+
+
 def step_lookup(score: Column, thresholds: Sequence[float], values: Sequence[float]) -> Column:
     """Value of the first threshold that is not below the score (the last one above all); 0.5 without any."""
     if not thresholds:
         return F.lit(0.5)
-    below = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t < score))
-    return F.element_at(F.array(*map(F.lit, values)), F.least(below, F.lit(len(thresholds) - 1)) + 1)
+    steps, last = _constant(thresholds), len(thresholds) - 1
+    if len(thresholds) <= FEW_THRESHOLDS:
+        below = F.size(F.filter(steps, lambda t: t < score))
+        return F.element_at(_constant(values), F.least(below, F.lit(last)) + 1)
+    # Binary search: (lo, hi) encloses the place of the first threshold that is not below, or the last.
+    start = F.struct(F.lit(0).alias("lo"), F.lit(last).alias("hi"))
+
+    def halve(range_, _):
+        middle = F.floor((range_["lo"] + range_["hi"]) / 2).cast("int")
+        below = F.get(steps, middle) < score
+        return F.struct(F.when(below, F.least(middle + 1, range_["hi"])).otherwise(range_["lo"]).alias("lo"), F.when(below, range_["hi"]).otherwise(middle).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(last.bit_length() + 1)), start, halve)
+    return F.when(score.isNotNull(), F.get(_constant(values), found["lo"]))
 
 
 # Decisions

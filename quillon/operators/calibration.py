@@ -82,8 +82,8 @@ def isotonic_blocks(groups: DataFrame) -> list[tuple[float, float, float]]:
         rows = part.sort_values("score")
         return pd.DataFrame(pool(zip(rows["score"], rows["pos"], rows["pos"] + rows["neg"], strict=True)), columns=["upper", "positive", "weight"])
 
-    weighted = groups.filter("pos + neg > 0").select("score", "pos", "neg")
-    ranged = weighted.withColumn("range", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) * (metrics.RANGES - 1)))
+    # Ranges at quantiles that Spark samples, so each holds about as many distinct scores.
+    ranged = groups.filter("pos + neg > 0").select("score", "pos", "neg").repartitionByRange("score").withColumn("range", F.spark_partition_id())
     local = ranged.groupBy("range").applyInPandas(lambda part: inside(part), "upper double, positive double, weight double")
     return pool(sorted(tuple(row) for row in local.collect()))
 

@@ -1,60 +1,66 @@
 """Weighted metrics of scored rows, whole or by group.
 
 Rows have ``label`` (0/1), ``score`` and ``weight``.  Rows of equal score are added up first; sums
-over lower (or higher) scores are taken inside ranges of scores and over the ranges, so no task
-sorts all distinct scores.
+over lower scores are taken inside ranges of scores and over the ranges, so no task sorts all
+distinct scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clipped, cross_entropy, safe_rate
-
-#: Ranges of scores between 0 and 1; scores outside fall into the first or last.
-RANGES = 4096
+from ..sources.scratch import stage
+from .prefix import sums_before
 
 
 def score_groups(rows: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", weight: str = "weight") -> DataFrame:
-    """(by, score, pos, neg, n): weight of either label at each distinct score."""
+    """(by, score, pos, neg, n, ones): weight of either label, rows and positive rows at each distinct score."""
     w, y = F.col(weight).cast("double"), F.col(label)
-    return rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 1, 0.0).otherwise(w)).alias("neg"), F.count("*").alias("n"))
-
-
-def cumulated(groups: DataFrame, by: Sequence[str], descending: bool) -> DataFrame:
-    """Adds ``pos_before`` and ``neg_before``: sums over the scores that come earlier in the order."""
-    sign = -1 if descending else 1
-    ranged = groups.withColumn("range", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) * (RANGES - 1)).cast("int") * sign)
-    inside = Window.partitionBy(*by, "range").orderBy(F.col("score") * sign).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    sums = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    sums = sums.select(*by, "range", zero(F.sum("p").over(earlier)).alias("p"), zero(F.sum("q").over(earlier)).alias("q"))
-    return (
-        ranged.withColumns({"pos_in": zero(F.sum("pos").over(inside)), "neg_in": zero(F.sum("neg").over(inside))})
-        .join(sums, [*by, "range"])
-        .withColumns({"pos_before": F.col("pos_in") + F.col("p"), "neg_before": F.col("neg_in") + F.col("q")})
-        .drop("range", "pos_in", "neg_in", "p", "q")
+    return rows.groupBy(*by, F.col(score).alias("score")).agg(
+        F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 1, 0.0).otherwise(w)).alias("neg"), F.count("*").alias("n"), F.count_if(y == 1).alias("ones")
     )
 
 
-def roc_auc(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Ties count half; 0.5 where one label is missing, 0 where both are."""
+def cumulated(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``pos_before`` and ``neg_before``: sums over the lower scores of the group."""
+    return sums_before(groups, by, ["score"], pos_before=F.col("pos"), neg_before=F.col("neg"))
+
+
+def _with_totals(placed: DataFrame, by: Sequence[str]) -> DataFrame:
+    totals = placed.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    return placed.join(totals, list(by)) if by else placed.crossJoin(F.broadcast(totals))
+
+
+def _roc_auc() -> Column:
     area = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     p, n = F.sum("pos"), F.sum("neg")
-    value = F.when(F.coalesce(p + n, F.lit(0.0)) <= 0, 0.0).when((p <= 0) | (n <= 0), 0.5).otherwise(F.try_divide(area, p * n))
-    return cumulated(groups, by, False).groupBy(*by).agg(value.alias("roc_auc"))
+    return F.when(F.coalesce(p + n, F.lit(0.0)) <= 0, 0.0).when((p <= 0) | (n <= 0), 0.5).otherwise(F.try_divide(area, p * n))
+
+
+def _pr_auc() -> Column:
+    """Over descending scores: what comes at or before a score is all that is not below it."""
+    taken = F.col("all_pos") - F.col("pos_before")
+    precision = F.try_divide(taken, taken + F.col("all_neg") - F.col("neg_before"))
+    return F.coalesce(F.try_divide(F.sum(precision * F.col("pos")), F.sum("pos")), F.lit(0.0))
+
+
+def roc_auc(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Ties count half; 0.5 where one label is missing, 0 where both are."""
+    return cumulated(groups, by).groupBy(*by).agg(_roc_auc().alias("roc_auc"))
 
 
 def pr_auc(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Step area over descending distinct scores; 0 without positives."""
-    taken = F.col("pos_before") + F.col("pos")
-    precision = F.try_divide(taken, taken + F.col("neg_before") + F.col("neg"))
-    value = F.coalesce(F.try_divide(F.sum(precision * F.col("pos")), F.sum("pos")), F.lit(0.0))
-    return cumulated(groups, by, True).groupBy(*by).agg(value.alias("pr_auc"))
+    return _with_totals(cumulated(groups, by), by).groupBy(*by).agg(_pr_auc().alias("pr_auc"))
+
+
+def curves(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Both areas from one order of the scores."""
+    return _with_totals(cumulated(groups, by), by).groupBy(*by).agg(_roc_auc().alias("roc_auc"), _pr_auc().alias("pr_auc"))
 
 
 def bin_of(score: Column, bins: int) -> Column:
@@ -82,8 +88,8 @@ def calibration_errors(groups: DataFrame, by: Sequence[str] = (), bins: int = 10
 
 
 def losses(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted log loss, Brier score, positive rate and mean score (the last two unweighted when
-    all weights are one), and the number of rows."""
+    """Weighted log loss, Brier score, positive rate and mean score; the last two of rows as well, and
+    the number of rows."""
     p, w = F.col("score"), F.col("pos") + F.col("neg")
     loss = -(F.col("pos") * F.log(clipped(p)) + F.col("neg") * F.log(1 - clipped(p)))
     brier = F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p
@@ -93,13 +99,15 @@ def losses(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         safe_rate(F.sum(brier), F.sum(w)).alias("brier_score"),
         safe_rate(F.sum("pos"), F.sum(w)).alias("weighted_positive_rate"),
         safe_rate(F.sum(p * w), F.sum(w)).alias("weighted_mean_score"),
+        safe_rate(F.sum("ones"), F.sum("n")).alias("positive_rate"),
+        safe_rate(F.sum(p * F.col("n")), F.sum("n")).alias("mean_prediction"),
     )
 
 
 def report(rows: DataFrame, by: Sequence[str] = (), bins: int = 10, **names: str) -> DataFrame:
-    """One row for each group with all metrics.  The grouped scores are computed once and shared."""
-    groups = score_groups(rows, by, **names)
-    parts = [losses(groups, by), roc_auc(groups, by), pr_auc(groups, by), calibration_errors(groups, by, bins)]
+    """One row for each group with all metrics, from one table of scores that are added up once."""
+    groups = stage(score_groups(rows, by, **names), "scores")
+    parts = [losses(groups, by), curves(groups, by), calibration_errors(groups, by, bins)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, list(by), "left") if by else out.crossJoin(part)

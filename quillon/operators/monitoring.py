@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from ..config import AlertThresholds
 from ..functions.columns import is_positive_action, safe_rate
 from . import metrics
-
-
-def percentiles(column: Column, points: Sequence[float] = (0.5, 0.95, 0.99)) -> Column:
-    """Exact, interpolated linearly; 0 without values."""
-    return F.coalesce(F.percentile(column, F.array(*map(F.lit, points))), F.array(*(F.lit(0.0) for _ in points)))
+from .prefix import percentiles
 
 
 def for_context(log: DataFrame, context: str) -> DataFrame:
@@ -29,14 +25,12 @@ def prediction_summary(log: DataFrame, by: Sequence[str] = (), latency: str = "l
     if dense:
         zeros = F.size(F.filter(dense, lambda v: v == 0))
         shares = [F.coalesce(F.avg(F.try_divide(zeros, F.size(dense))), F.lit(0.0)).alias("dense_zero_fraction"), F.coalesce(F.max(F.size(dense)), F.lit(0)).alias("dense_length")]
-    out = log.groupBy(*by).agg(
-        F.count("*").alias("prediction_count"),
-        F.count_distinct("prediction_id").alias("distinct_predictions"),
-        percentiles(F.col(latency)).alias("p"),
-        *shares,
-    )
-    points = {f"p{n}_latency_ms": F.col("p")[i] for i, n in enumerate((50, 95, 99))}
-    return out.withColumns(points | {"error_rate": F.lit(0.0), "completeness": F.when(F.col("prediction_count") > 0, 1.0).otherwise(0.0), "freshness_seconds": F.lit(None).cast("double")}).drop("p")
+    out = log.groupBy(*by).agg(F.count("*").alias("prediction_count"), F.count_distinct("prediction_id").alias("distinct_predictions"), *shares)
+    names = {50: "p0", 95: "p1", 99: "p2"}
+    found = percentiles(log, by, latency, (0.5, 0.95, 0.99)).select(*by, *(F.col(c).alias(f"p{n}_latency_ms") for n, c in names.items()))
+    out = out.join(found, list(by), "left") if by else out.join(found, how="left")
+    zero = {f"p{n}_latency_ms": F.coalesce(f"p{n}_latency_ms", F.lit(0.0)) for n in names}
+    return out.withColumns(zero | {"error_rate": F.lit(0.0), "completeness": F.when(F.col("prediction_count") > 0, 1.0).otherwise(0.0), "freshness_seconds": F.lit(None).cast("double")})
 
 
 def sparse_histogram(log: DataFrame, ids: str = "sparse_feature_ids", buckets: int = 32) -> DataFrame:
@@ -79,10 +73,21 @@ def audit_coverage(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def live_rows(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Labelled decisions with the probability of their prediction, each with weight one."""
-    scored = predictions.select("prediction_id", F.col("calibrated_score").alias("score"))
-    return decisions.join(scored, "prediction_id").filter("realized_label is not null and score is not null").withColumns({"label": F.col("realized_label"), "weight": F.lit(1.0)})
+def live_rows(predictions: DataFrame, decisions: DataFrame, raw: str | None = None) -> DataFrame:
+    """Labelled decisions with the probability of their prediction, each with weight one; with ``raw``
+    also that column of the predictions, as ``raw_probability``."""
+    scored = predictions.select("prediction_id", F.col("calibrated_score").alias("score"), *([F.col(raw).alias("raw_probability")] if raw else []))
+    kept = [c for c in decisions.columns if c not in {"score", "raw_probability", "label", "weight"}]
+    return decisions.select(*kept).join(scored, "prediction_id").filter("realized_label is not null and score is not null").withColumns({"label": F.col("realized_label"), "weight": F.lit(1.0)})
+
+
+def live_metrics(live: DataFrame) -> DataFrame:
+    """(kind, metrics): of the calibrated probabilities, and of the raw ones where these are known."""
+    found = metrics.report(live).select(F.lit("calibrated").alias("kind"), "*")
+    if "raw_probability" not in live.columns:
+        return found
+    raw = metrics.report(live.filter("raw_probability is not null"), score="raw_probability").select(F.lit("raw").alias("kind"), "*")
+    return found.unionByName(raw)
 
 
 def governance(decisions: DataFrame, group: str = "task_context", probability: str = "probability", bins: int = 10) -> DataFrame:

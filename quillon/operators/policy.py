@@ -36,16 +36,13 @@ def summarise(decisions: DataFrame, by: Sequence[str] = ("task_context",), label
 
     The positive rate divides by all decisions, so a missing label counts as negative."""
     sets = [[*by, "action"], list(by)]
-    return (
-        decisions.groupingSets([[F.col(c) for c in s] for s in sets], *by, "action")
-        .agg(
-            F.count("*").alias("decision_count"),
-            safe_rate(F.sum(F.col("manual_review_required").cast("int")), F.count("*")).alias("manual_review_rate"),
-            safe_rate(F.sum(label), F.count("*")).alias("positive_rate"),
-            safe_rate(F.sum(probability), F.count("*")).alias("mean_calibrated_probability"),
-            safe_rate(F.sum(is_positive_action(F.col("action"), F.col("task_context")).cast("int")), F.count("*")).alias("positive_action_rate"),
-            F.grouping("action").alias("all_actions"),
-        )
-        if "task_context" in by
-        else decisions.groupBy(*by, "action").agg(F.count("*").alias("decision_count"))
+    # The context decides which action is positive, so it must be known of each row, named in ``by`` or not.
+    positive = is_positive_action(F.col("action"), F.col("task_context")).cast("int")
+    return decisions.withColumn("__positive", positive).groupingSets([[F.col(c) for c in s] for s in sets], *by, "action").agg(
+        F.count("*").alias("decision_count"),
+        safe_rate(F.sum(F.col("manual_review_required").cast("int")), F.count("*")).alias("manual_review_rate"),
+        safe_rate(F.sum(label), F.count("*")).alias("positive_rate"),
+        safe_rate(F.sum(probability), F.count("*")).alias("mean_calibrated_probability"),
+        safe_rate(F.sum("__positive"), F.count("*")).alias("positive_action_rate"),
+        F.grouping("action").alias("all_actions"),
     )

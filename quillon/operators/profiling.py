@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_rate
-from .monitoring import percentiles
+from .prefix import percentiles
 
 
 def numeric_long(rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -20,10 +20,11 @@ def text_long(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def numeric_summary(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    found = numeric_long(rows, names).groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), percentiles(F.col("value"), (0.05, 0.5, 0.95)).alias("p"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
-    return found.select("feature", "count", "mean", F.col("p")[0].alias("p05"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p95"), "min", "max")
+    long = numeric_long(rows, names)
+    found = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    points = percentiles(long, ["feature"], "value", (0.05, 0.5, 0.95)).select("feature", F.col("p0").alias("p05"), F.col("p1").alias("median"), F.col("p2").alias("p95"))
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("p05", "median", "p95")}
+    return found.join(points, "feature", "left").withColumns(zero).select("feature", "count", "mean", "p05", "median", "p95", "min", "max")
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 12) -> DataFrame:
@@ -55,4 +56,6 @@ def split_summary(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def preview(rows: DataFrame, n: int = 3) -> DataFrame:
-    return rows.limit(n)
+    """The first rows, with the lengths of their vectors where they have any."""
+    lengths = {f"{c}_length": F.size(c) for c in ("dense_features", "sparse_feature_ids") if c in rows.columns}
+    return rows.limit(n).withColumns(lengths) if lengths else rows.limit(n)
