@@ -1,13 +1,7 @@
-"""Intermediate tables and files in the folder that driver and executors share.
-
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that setting is absent
-and the master is local (tests, a laptop) a temporary one is made and registered; on a cluster its
-absence is an error, as executors do not see the driver's own folders.
-"""
+"""Intermediate tables and files in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -17,22 +11,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_OPEN = threading.local()
-
+from ..sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this application, as a URI or path without a trailing slash."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.get(context.applicationId)
-        if base is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            base = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-            context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillon-{context.applicationId}"
+_OPEN = threading.local()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

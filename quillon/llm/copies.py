@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _scratch, simhash
-from .components import connected_components
+from .components import connected_components, spanning_roots
 
 BANDS, ROWS = 24, 5
 #: Members, and shingles of all members, of one part of a bucket; columns of a block of counts.
@@ -163,7 +163,7 @@ def _in_buckets(members: DataFrame, leaders: DataFrame, parts: DataFrame, sets:
         near = (both >= least * (sizes[a][:, None] + sizes[b][None, :] - both)) & (part[a][:, None] != part[b][None, :])
         i, j = np.nonzero(near)
         name = table["class"].to_numpy()
-        root = simhash.spanning_roots(len(name), a[i], b[j])
+        root = spanning_roots(len(name), a[i], b[j])
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([pa.array(name[at]), pa.array(name[root[at]])], ["a", "b"])
 

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _scratch
-from .components import connected_components
-from .simhash import spanning_roots
+from .components import connected_components, spanning_roots
 
 #: Rows (those with the smallest hashes) on which rotations are fitted, over all lengths of vectors.
 FIT_ROWS = 20_000

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _scratch
-from .components import connected_components
+from .components import connected_components, spanning_roots
 
 BITS = 64
 #: Pairs of fingerprints that cost as much as one entry in the index, and the most spare blocks.
@@ -251,21 +251,6 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, i: np.ndarray, j: np.ndarr
     return values[touched], values[root[touched]]
 
 
-def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component in a graph of n nodes with links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if np.array_equal(before, root):
-            return root
-
-
 def components(classes: DataFrame, k: int = 4) -> DataFrame:
     """(fp, component) of the distinct ``fp`` of a written table that have a link."""
     return connected_components(links(classes.select("fp"), k)).withColumnRenamed("node", "fp")

@@ -58,7 +58,9 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW_LINKS, 3])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(500, 500)]
     pairs += [(600 + i, 601 + i) for i in range(40)] + [(900, 900 + i) for i in range(1, 60)]
