@@ -7,9 +7,10 @@ remain (the size of the fitted step function) are pooled again on the driver.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,19 +96,49 @@ def fit_isotonic(groups: DataFrame) -> Isotonic:
     return Isotonic(tuple(b[0] for b in blocks), tuple(b[1] / b[2] for b in blocks))
 
 
+def calibrator_from(found: dict) -> Platt | Isotonic:
+    """The calibrator of a document; an unknown method is an error."""
+    if found["method"] == "platt":
+        return Platt(float(found["slope"]), float(found["intercept"]))
+    if found["method"] == "isotonic":
+        return Isotonic(tuple(map(float, found["thresholds"])), tuple(map(float, found["values"])))
+    raise ValueError(f"unknown calibration method {found['method']}")
+
+
 @dataclass(frozen=True)
 class Selection:
+    """The chosen calibrator, what it was chosen by, and which model it belongs to."""
+
     calibrator: Platt | Isotonic
     method: str
     metric: str
     reports: dict[str, dict[str, float]]
+    raw: dict[str, float] = field(default_factory=dict)
+    calibration_version: str = "calibration_v1"
+    model_version: str = ""
+    feature_set_version: str = ""
+    task_context: str = ""
+
+    @property
+    def source(self) -> str:
+        """What the calibrator reads: Platt the raw score, isotonic the probability."""
+        return "score" if self.method == "platt" else "probability"
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
 
-def select(rows: DataFrame, methods: Sequence[str] = ("platt", "isotonic"), metric: str = "validation_ece", label: str = "label", score: str = "score", probability: str = "probability", weight: str = "weight") -> Selection:
+    @staticmethod
+    def from_json(text: str) -> Selection:
+        found = json.loads(text)
+        return Selection(**(found | {"calibrator": calibrator_from(found["calibrator"])}))
+
+
+def select(rows: DataFrame, methods: Sequence[str] = ("platt", "isotonic"), metric: str = "validation_ece", label: str = "label", score: str = "score", probability: str = "probability", weight: str = "weight", **stamps: str) -> Selection:
     """Fit every method on the rows and keep the one with the best metric (the first of equals).
 
-    Platt reads the raw score, isotonic the probability."""
+    Platt reads the raw score, isotonic the probability.  ``stamps`` are versions that the choice carries."""
     key, reports, fitted, best = metric.removeprefix("validation_"), {}, {}, None
+    raw = metrics.report(rows, label=label, score=probability, weight=weight).first().asDict()
     for method in methods:
         if method == "platt":
             source, made = score, fit_platt(metrics.score_groups(rows, label=label, score=score, weight=weight))
@@ -121,4 +152,10 @@ def select(rows: DataFrame, methods: Sequence[str] = ("platt", "isotonic"), metr
         value = reports[method][key]
         better = best is None or (value > reports[best][key] if key in ("roc_auc", "pr_auc") else value < reports[best][key])
         best = method if better else best
-    return Selection(fitted[best], best, metric, reports)
+    return Selection(fitted[best], best, metric, reports, raw, **stamps)
+
+
+def evaluate(rows: DataFrame, by: Sequence[str] = (), raw: str = "raw_probability", calibrated: str = "probability", label: str = "label", weight: str = "weight") -> DataFrame:
+    """(by, kind, metrics) of raw and calibrated probabilities."""
+    found = [metrics.report(rows, by, label=label, score=c, weight=weight).withColumn("kind", F.lit(kind)) for kind, c in (("raw", raw), ("calibrated", calibrated))]
+    return found[0].unionByName(found[1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL, LEAKAGE, NUMERIC, DatasetConfig
@@ -39,8 +39,9 @@ def _label_ts(config: DatasetConfig):
     return F.col("event_ts") + F.make_dt_interval(secs=F.lit(config.label_delay_seconds))
 
 
-def subscription_labels(rows: DataFrame, config: DatasetConfig) -> DataFrame:
-    return rows.withColumn("label_ts", _label_ts(config)).select(
+def subscription_labels(rows: DataFrame, config: DatasetConfig, delay: Column | None = None) -> DataFrame:
+    """A label for each row, late by the configured delay or by an interval of its own."""
+    return rows.withColumn("label_ts", _label_ts(config) if delay is None else F.col("event_ts") + delay).select(
         C.numbered("lbl", F.col("row_id")).alias("label_event_id"), F.col("event_id").alias("parent_event_id"), "label_ts", F.to_date("label_ts").alias("label_date"), F.col("label").alias("subscribed"),
         F.lit(config.attribution_window_hours).alias("attribution_window_hours"), F.lit(config.label_delay_seconds).alias("label_delay_seconds"), F.lit(config.source_name).alias("source_name"),
     )

@@ -46,3 +46,18 @@ def summarise(decisions: DataFrame, by: Sequence[str] = ("task_context",), label
         safe_rate(F.sum("__positive"), F.count("*")).alias("positive_action_rate"),
         F.grouping("action").alias("all_actions"),
     )
+
+
+def summary_document(summary: DataFrame, by: Sequence[str] = ("split", "task_context")) -> dict:
+    """A summary as nested documents by its groups, each with counts, rates and probabilities by action."""
+    out: dict = {}
+    for r in summary.collect():
+        group = out
+        for c in by:
+            group = group.setdefault(str(r[c]), {})
+        if r.all_actions:
+            group.update({c: r[c] for c in ("decision_count", "manual_review_rate", "positive_rate", "mean_calibrated_probability", "positive_action_rate")})
+        else:
+            for name, value in (("action_counts", r.decision_count), ("action_positive_rates", r.positive_rate), ("action_mean_probability", r.mean_calibrated_probability)):
+                group.setdefault(name, {})[r.action] = value
+    return out

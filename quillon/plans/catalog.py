@@ -169,10 +169,14 @@ def training_rows(spark, sf_dir):
     return rows.select("training_row_id", "label", F.size("dense_features").alias("dense_count"), F.size("sparse_feature_ids").alias("sparse_count"), F.round(total, 5).alias("dense_sum"))
 
 
-@query(f"""WITH {_CONTACTS} SELECT count(*) AS matched FROM contacts""")
+@query(f"""WITH {_CONTACTS} SELECT label, count(*) AS matched, max(row_id % 50) AS longest_hours FROM contacts WHERE row_id % 7 <> 0 AND row_id % 50 <= 24 GROUP BY 1""")
 def labels_within_window(spark, sf_dir):
+    """Labels come up to 49 hours late and some never, so about half are inside the window of a day."""
     rows = _contacts(spark, sf_dir)
-    return dataset.labelled_events(dataset.contact_events(rows, DATASET), dataset.subscription_labels(rows, DATASET)).agg(F.count("*").alias("matched"))
+    late = (F.col("row_id") % 50).cast("int")
+    labels = dataset.subscription_labels(rows.filter("row_id % 7 <> 0").withColumn("late", late), DATASET, delay=F.make_dt_interval(hours=F.col("late")))
+    hours = (F.unix_timestamp("label_ts") - F.unix_timestamp("event_ts")) / 3600
+    return dataset.labelled_events(dataset.contact_events(rows, DATASET), labels).groupBy(F.col("subscribed").alias("label")).agg(F.count("*").alias("matched"), F.max(hours).cast("long").alias("longest_hours"))
 
 
 # Scores and metrics
@@ -256,11 +260,23 @@ def platt_fit(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(fitted.slope), 5).alias("slope"), F.round(F.lit(fitted.intercept), 5).alias("intercept"))
 
 
-@query()
+_NEWTON = """logits AS MATERIALIZED (SELECT ln(p) - ln(1 - p) AS x, p, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM scored GROUP BY p),
+ newton(k, a, b) AS (SELECT 0, 0.0::DOUBLE, ln((sum(pos) + 1) / (sum(n) + 2)) - ln(1 - (sum(pos) + 1) / (sum(n) + 2)) FROM logits UNION ALL
+  SELECT k + 1, a - ((1e-6 + h00) * ga - h01 * gb) / ((1e-6 + h11) * (1e-6 + h00) - h01 * h01), b - ((1e-6 + h11) * gb - h01 * ga) / ((1e-6 + h11) * (1e-6 + h00) - h01 * h01) FROM (
+   SELECT k, a, b, sum(n * q * (1 - q) * x * x) AS h11, sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q)) AS h00, 1e-6 * a + sum((n * q - pos) * x) AS ga, 1e-6 * b + sum(n * q - pos) AS gb
+   FROM (SELECT *, 1 / (1 + exp(-(a * x + b))) AS q FROM newton, logits WHERE k < 12) GROUP BY k, a, b))"""
+
+
+@query(f"""WITH RECURSIVE {_ISO}, {_NEWTON}, chosen AS (SELECT 'isotonic' AS method, s.pos, s.n, fit.value AS q FROM s JOIN fit USING (i) UNION ALL SELECT 'platt', pos, n, 1 / (1 + exp(-(a * x + b))) FROM logits, newton WHERE k = 12),
+ bins AS (SELECT method, least(CAST(floor(q * 10) AS INTEGER), 9) AS bin, sum(n) AS n, sum(n * q) / sum(n) AS mp, sum(pos) / sum(n) AS obs FROM chosen GROUP BY 1, 2), e AS (SELECT method, sum(abs(mp - obs) * n) / sum(n) AS ece FROM bins GROUP BY 1),
+ c AS (SELECT *, greatest(least(q, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE) AS z FROM chosen)
+ SELECT c.method, any_value(e.ece) < (SELECT max(ece) FROM e) AS selected, round(any_value(e.ece), 5) AS ece, round(sum(-(pos * ln(z) + (n - pos) * ln(1 - z))) / sum(n), 5) AS log_loss, round(sum(pos * (1 - q) * (1 - q) + (n - pos) * q * q) / sum(n), 5) AS brier_score FROM c JOIN e ON c.method = e.method GROUP BY 1""")
 def calibrator_selection(spark, sf_dir):
     rows = _events(spark, sf_dir).withColumn("score", C.logit(F.col("probability")))
     chosen = calibration.select(rows)
-    return spark.createDataFrame([(m, m == chosen.method, r["ece"], r["log_loss"], r["brier_score"]) for m, r in chosen.reports.items()], "method string, selected boolean, ece double, log_loss double, brier_score double")
+    found = [(m, m == chosen.method, r["ece"], r["log_loss"], r["brier_score"]) for m, r in chosen.reports.items()]
+    table = spark.createDataFrame(found, "method string, selected boolean, ece double, log_loss double, brier_score double")
+    return table.withColumns({c: F.round(c, 5) for c in ("ece", "log_loss", "brier_score")})
 
 
 # Monitoring
@@ -335,37 +351,50 @@ def governance_gaps(spark, sf_dir):
     return rounded(monitoring.governance_gaps(monitoring.governance(tables.decisions(spark, sf_dir))), "subgroup_calibration_gap", "approval_rate_gap")
 
 
-@query(f"""WITH {_DECIDED}, live AS (SELECT s.p, d.realized_label AS y FROM decided d JOIN scored s USING (prediction_id) WHERE d.realized_label IS NOT NULL),
- b AS (SELECT least(CAST(floor(p * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM live GROUP BY 1)
- SELECT (SELECT count(*) FROM live) AS example_count, (SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) FROM live) AS log_loss, round(sum(abs(mp - obs) * n) / sum(n), 6) AS ece FROM b""")
+_KINDS = "SELECT 'calibrated' AS kind, p AS q, y FROM live UNION ALL SELECT 'raw', p * 0.9::DOUBLE + 0.02::DOUBLE, y FROM live"
+
+
+@query(f"""WITH {_DECIDED}, live AS (SELECT s.p, d.realized_label AS y FROM decided d JOIN scored s USING (prediction_id) WHERE d.realized_label IS NOT NULL), k AS ({_KINDS}),
+ b AS (SELECT kind, least(CAST(floor(q * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(q) AS mp, avg(y) AS obs FROM k GROUP BY 1, 2), e AS (SELECT kind, sum(abs(mp - obs) * n) / sum(n) AS ece FROM b GROUP BY 1)
+ SELECT kind, count(*) AS example_count, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss, round(any_value(ece), 6) AS ece, round(avg(y), 6) AS positive_rate, round(avg(q), 6) AS mean_prediction FROM k JOIN e USING (kind) GROUP BY 1""")
 def live_metrics(spark, sf_dir):
-    live = monitoring.live_rows(_events(spark, sf_dir), tables.decisions(spark, sf_dir).drop("score", "label", "weight", "calibrated_score"))
-    return rounded(metrics.report(live).select("example_count", "log_loss", "ece"), "log_loss", "ece")
+    """Of the calibrated and of the raw probabilities."""
+    predictions = _events(spark, sf_dir).withColumn("raw", F.col("calibrated_score") * 0.9 + 0.02)
+    found = monitoring.live_metrics(monitoring.live_rows(predictions, tables.decisions(spark, sf_dir), "raw"))
+    return rounded(found.select("kind", "example_count", "log_loss", "ece", "positive_rate", "mean_prediction"), "log_loss", "ece", "positive_rate", "mean_prediction")
 
 
 def _wide(spark, sf_dir):
+    """One row of metrics.  The live population has the larger balances and other users, so both drift rules fire."""
     events, decided = _events(spark, sf_dir), tables.decisions(spark, sf_dir)
     gaps = monitoring.governance_gaps(monitoring.governance(decided))
-    sparse = psi_sparse_buckets(spark, sf_dir).select(F.col("psi").alias("sparse_bucket_psi"))
-    live = live_metrics(spark, sf_dir).select(F.col("ece").alias("live_primary_calibrated_metrics_ece"))
+    users = events.select((F.col("user_id") % 32 < 12).alias("live"), F.array("user_id").alias("sparse_feature_ids"))
+    sparse = drift.sparse_drift(users).select(F.col("psi").alias("sparse_bucket_psi"))
+    rows = _drift_rows(spark, sf_dir).withColumns({n: F.round(n, 9) for n in DENSE_FEATURES}).withColumn("live", F.col("balance") > 8)
+    dense = drift.dense_drift(rows, DENSE_FEATURES).agg(F.max("psi").alias("max_dense_psi"))
+    live = live_metrics(spark, sf_dir).filter("kind = 'calibrated'").select(F.col("ece").alias("live_primary_calibrated_metrics_ece"))
     summary = monitoring.prediction_summary(events).select(F.col("p95_latency_ms").alias("prediction_p95_latency_ms"))
-    parts = [monitoring.decision_summary(decided).select("manual_review_rate"), gaps, sparse, live, monitoring.links(events, decided).select("prediction_link_rate"), psi_numeric(spark, sf_dir).agg(F.max("psi").alias("max_dense_psi"))]
-    for part in parts:
+    for part in (monitoring.decision_summary(decided).select("manual_review_rate"), gaps, sparse, live, monitoring.links(events, decided).select("prediction_link_rate"), dense):
         summary = summary.crossJoin(part)
-    return summary
+    return scratch.stage(summary, "wide")
 
 
+_DRIFT = f"""{_DENSE}, dense_long AS (SELECT round(balance, 9) > 8 AS live, unnest([{", ".join(f"'{n}'" for n in DENSE_FEATURES)}]) AS feature, round(unnest([{", ".join(DENSE_FEATURES)}]), 9) AS v FROM dense),
+ sparse_long AS (SELECT user_id % 32 < 12 AS live, 'bucket' AS feature, CAST(user_id % 32 AS DOUBLE) AS v FROM scored),
+ {_PSI.format(bins=10).replace("lim AS", "d_lim AS").replace("FROM long", "FROM dense_long").replace("JOIN lim", "JOIN d_lim").replace("binned", "d_binned").replace("psi AS (", "d_psi AS (")},
+ {_PSI.format(bins=32).replace("lim AS", "s_lim AS").replace("FROM long", "FROM sparse_long").replace("JOIN lim", "JOIN s_lim").replace("binned", "s_binned").replace("psi AS (", "s_psi AS (")}"""
 _ALERTS = f"""vals AS (SELECT 0 AS place, 'prediction_p95_latency_ms' AS metric, quantile_cont(latency_ms, 0.95) AS value, 10.0::DOUBLE AS threshold FROM scored
+ UNION ALL SELECT 1, 'max_dense_psi', (SELECT max(psi) FROM d_psi), 0.2 UNION ALL SELECT 2, 'sparse_bucket_psi', (SELECT psi FROM s_psi), 0.2
  UNION ALL SELECT 3, 'live_primary_calibrated_metrics.ece', (SELECT sum(abs(mp - obs) * n) / sum(n) FROM (SELECT least(CAST(floor(s.p * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(s.p) AS mp, avg(d.realized_label) AS obs FROM decided d JOIN scored s USING (prediction_id) WHERE d.realized_label IS NOT NULL GROUP BY 1)), 0.03
  UNION ALL SELECT 4, 'manual_review_rate', (SELECT avg(review::INT) FROM decided), 0.85 UNION ALL SELECT 5, 'subgroup_calibration_gap', (SELECT max(ece) - min(ece) FROM gov), 0.05
  UNION ALL SELECT 6, 'approval_rate_gap', (SELECT max(positive_action_rate) - min(positive_action_rate) FROM gov), 0.05),
  fired AS (SELECT * FROM vals WHERE value > threshold UNION ALL SELECT 7, 'audit_log_coverage', linked / predictions, 0.99 FROM l, n WHERE linked / predictions < 0.99)"""
-_ALERT_SQL = f"WITH {_GOV}, {_LINKS.split('FROM routed WHERE event_id % 10 <> 0), ')[1]}, {_ALERTS}"
+_ALERT_SQL = f"WITH {_GOV}, {_DRIFT}, {_LINKS.split('FROM routed WHERE event_id % 10 <> 0), ')[1]}, {_ALERTS}"
 
 
 @query(f"{_ALERT_SQL} SELECT metric, round(value, 6) AS value, threshold, 'critical' AS severity FROM fired")
 def alerts(spark, sf_dir):
-    """The drift rules stay below their thresholds on these tables."""
+    """The rules that fire, both drift rules among them."""
     return rounded(monitoring.alerts(_wide(spark, sf_dir)).drop("place"), "value")
 
 
@@ -469,16 +498,39 @@ def missing_counts(spark, sf_dir):
     return profiling.missing_counts(tables.contacts(spark, sf_dir), ("job", "poutcome", "balance"))
 
 
-@query(f"""WITH {_SCORED}, {_CONTACTS} SELECT 'raw_contact_event' AS "table", unnest(['event_id_unique', 'event_id_present', 'event_ts_present', 'request_id_present', 'contact_id_present']) AS rule, 0::BIGINT AS broken
- UNION ALL SELECT 'raw_subscription_label', unnest(['parent_event_exists', 'subscribed_is_binary', 'delay_not_negative']), 0 UNION ALL SELECT 'training_row', unnest(['sparse_lengths_agree', 'weight_positive', 'version_present']), 0
- UNION ALL SELECT 'prediction_log', unnest(['score_is_probability', 'latency_not_negative', 'model_version_present']), unnest([0, count(*) FILTER (latency_ms < 0), count(*) FILTER (event_id % 11 = 0)]) FROM scored
- UNION ALL SELECT 'decision_outcome', unnest(['action_known', 'review_present']), 0""")
+@query(f"""WITH {_DECIDED}, {_CONTACTS}, r AS (SELECT row_id AS i FROM contacts)
+ SELECT 'raw_contact_event' AS "table", unnest(['event_id_unique', 'event_id_present', 'event_ts_present', 'request_id_present', 'contact_id_present']) AS rule,
+  unnest([count(*) FILTER (i % 100 = 3 AND i % 17 <> 0) + (count(*) FILTER (i % 17 = 0) > 0)::BIGINT, (count(*) FILTER (i % 17 = 0)) + count(*) FILTER (i % 100 = 3 AND i % 17 = 0), count(*) FILTER (i % 19 = 0) + count(*) FILTER (i % 100 = 3 AND i % 19 = 0),
+   count(*) FILTER (i % 23 = 0) + count(*) FILTER (i % 100 = 3 AND i % 23 = 0), count(*) FILTER (i % 29 = 0) + count(*) FILTER (i % 100 = 3 AND i % 29 = 0)]) AS broken FROM r
+ UNION ALL SELECT 'raw_subscription_label', unnest(['parent_event_exists', 'subscribed_is_binary', 'delay_not_negative']), unnest([count(*) FILTER (i % 31 = 0 OR i % 17 = 0), count(*) FILTER (i % 37 = 0), count(*) FILTER (i % 41 = 0)]) FROM r
+ UNION ALL SELECT 'training_row', unnest(['sparse_lengths_agree', 'weight_positive', 'version_present']), unnest([count(*) FILTER (i % 43 = 0), count(*) FILTER (i % 47 = 0), count(*) FILTER (i % 53 = 0)]) FROM r
+ UNION ALL SELECT 'prediction_log', unnest(['score_is_probability', 'latency_not_negative', 'model_version_present']), unnest([count(*) FILTER (event_id % 13 = 0), count(*) FILTER (latency_ms < 0 OR event_id % 12 = 0), count(*) FILTER (event_id % 11 = 0)]) FROM scored
+ UNION ALL SELECT 'decision_outcome', unnest(['action_known', 'review_present']), unnest([count(*) FILTER (event_id % 14 = 0), count(*) FILTER (event_id % 15 = 0)]) FROM decided""")
 def dq_rules(spark, sf_dir):
+    """Every rule is broken by some rows: repeated and missing ids, missing times, orphans, wrong values."""
     rows = _contacts(spark, sf_dir)
+    lost = lambda c, n, key="row_id": F.when(F.col(key) % n != 0, F.col(c))
     events = dataset.contact_events(rows, DATASET)
-    log = _events(spark, sf_dir).withColumn("model_version", F.when(F.col("event_id") % 11 != 0, "v1"))
-    parts = [quality.labels(dataset.subscription_labels(rows, DATASET), events), quality.training_rows(dataset.training_rows(rows, DATASET)), quality.predictions(log), quality.decisions(tables.decisions(spark, sf_dir))]
-    out = quality.contact_events(events)
+    number = F.regexp_extract("request_id", r"(\d+)", 1).cast("long")
+    marked = events.withColumn("n", number)
+    marked = marked.unionByName(marked.filter("n % 100 = 3")).withColumns({"event_id": lost("event_id", 17, "n"), "event_ts": lost("event_ts", 19, "n"), "request_id": lost("request_id", 23, "n"), "contact_id": lost("contact_id", 29, "n")})
+    labels = dataset.subscription_labels(rows, DATASET).withColumn("n", F.regexp_extract("label_event_id", r"(\d+)", 1).cast("long"))
+    labels = labels.withColumns({
+        "parent_event_id": F.when(F.col("n") % 31 == 0, "evt_of_nobody").otherwise(F.col("parent_event_id")), "subscribed": F.when(F.col("n") % 37 == 0, 2).otherwise(F.col("subscribed")),
+        "label_delay_seconds": F.when(F.col("n") % 41 == 0, -1).otherwise(F.col("label_delay_seconds")),
+    })
+    trained = dataset.training_rows(rows, DATASET).withColumn("n", F.regexp_extract("training_row_id", r"(\d+)", 1).cast("long"))
+    trained = trained.withColumns({
+        "sparse_feature_values": F.when(F.col("n") % 43 == 0, F.array(F.lit(1.0))).otherwise(F.col("sparse_feature_values")), "sample_weight": F.when(F.col("n") % 47 == 0, 0.0).otherwise(F.col("sample_weight")),
+        "feature_set_version": lost("feature_set_version", 53, "n"),
+    })
+    log = _events(spark, sf_dir).withColumns({
+        "model_version": F.when(F.col("event_id") % 11 != 0, "v1"), "calibrated_score": F.when(F.col("event_id") % 13 == 0, 1.5).otherwise(F.col("calibrated_score")),
+        "latency_ms": F.when(F.col("event_id") % 12 == 0, -1.0).otherwise(F.col("latency_ms")),
+    })
+    decided = tables.decisions(spark, sf_dir).withColumns({"action": F.when(F.col("event_id") % 14 == 0, "shrug").otherwise(F.col("action")), "manual_review_required": lost("manual_review_required", 15, "event_id")})
+    parts = [quality.labels(labels, marked), quality.training_rows(trained), quality.predictions(log), quality.decisions(decided)]
+    out = quality.contact_events(marked)
     for part in parts:
         out = out.unionByName(part)
     return out
@@ -497,11 +549,6 @@ def embedding_dot(spark, sf_dir):
     return tables.table(spark, sf_dir, "embeddings").select("vec_id", F.round(product, 5).alias("score"))
 
 
-@query("SELECT feature, weight FROM (VALUES " + ", ".join(f"('{n}', {w}::DOUBLE)" for n, w in zip(DENSE_FEATURES, WEIGHTS.dense, strict=True)) + ") t(feature, weight) ORDER BY abs(weight) DESC, feature LIMIT 5")
-def top_coefficients(spark, sf_dir):
-    return spark.createDataFrame(WEIGHTS.top(5), "feature string, weight double")
-
-
 # Fits
 def _training_table(spark, sf_dir):
     return dataset.training_rows(_contacts(spark, sf_dir), DATASET)
@@ -522,19 +569,33 @@ def _weights_of(name: str) -> str:
     return f"SELECT '{name}' AS loss, unnest([{', '.join(repr(n) for n in ('bias', *DENSE_FEATURES))}]) AS feature, round(unnest([{', '.join(columns)}]), 6) AS weight FROM {name} WHERE i = {_STEPS}"
 
 
-@query(f"""WITH RECURSIVE {_DENSE}, kept AS (SELECT * FROM dense WHERE {_FRACTION} < 0.8::DOUBLE),
+_STEPPED = f"""WITH RECURSIVE {_DENSE}, kept AS (SELECT * FROM dense WHERE {_FRACTION} < 0.8::DOUBLE),
  t AS MATERIALIZED (SELECT label, {", ".join(DENSE_FEATURES)}, CASE WHEN label = 1 THEN (SELECT count(*) / (2.0::DOUBLE * sum(label)) FROM kept) ELSE (SELECT count(*) / (2.0::DOUBLE * (count(*) - sum(label))) FROM kept) END AS share FROM kept),
- {_descent("cross_entropy", "(q - label)")}, {_descent("mse", "(q - label) * q * (1 - q)")} {_weights_of("cross_entropy")} UNION ALL {_weights_of("mse")}""")
-def lr_gradient_steps(spark, sf_dir):
+ {_descent("cross_entropy", "(q - label)")}, {_descent("mse", "(q - label) * q * (1 - q)")}"""
+
+
+def _stepped(spark, sf_dir):
     """The trainer as plain gradient descent (one batch a shard, plain rates): steps on all training rows."""
     none = {"sparse_feature_ids": F.array().cast("array<bigint>"), "sparse_feature_values": F.array().cast("array<double>")}
     rows = _training_table(spark, sf_dir).withColumns(none).filter("split = 'train'")
     config = TrainingConfig(max_epochs=_STEPS, learning_rate=_RATE, l2=_L2, optimizer="sgd", patience=0)
-    fits = training.fit_all(rows, {"cross_entropy": config, "mse": replace(config, loss="mse")}, batch_rows=None)
+    return training.fit_all(rows, {"cross_entropy": config, "mse": replace(config, loss="mse")}, batch_rows=None)
+
+
+@query(f"""{_STEPPED} {_weights_of("cross_entropy")} UNION ALL {_weights_of("mse")}""")
+def lr_gradient_steps(spark, sf_dir):
+    fits = _stepped(spark, sf_dir)
     found = [(loss, name, float(w)) for loss, fit in fits.items() for name, w in zip(("bias", *DENSE_FEATURES), (fit.model.bias, *fit.model.dense), strict=True)]
     return rounded(spark.createDataFrame(found, "loss string, feature string, weight double"), "weight")
 
 
+@query(f"""{_STEPPED} SELECT feature, weight FROM ({_weights_of("cross_entropy")}) WHERE feature <> 'bias' ORDER BY abs(weight) DESC, feature LIMIT 5""")
+def top_coefficients(spark, sf_dir):
+    """The largest weights of a fitted model."""
+    model = replace(_stepped(spark, sf_dir)["cross_entropy"].model, dense_names=list(DENSE_FEATURES))
+    return rounded(spark.createDataFrame(model.top(5), "feature string, weight double"), "weight")
+
+
 def _runs(runs: DataFrame) -> DataFrame:
     return runs.select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), F.get_json_object("model", "$.best_epoch").cast("int").alias("best_epoch"), "history")
 
@@ -567,14 +628,14 @@ def lr_train_distributed(spark, sf_dir):
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, sf_dir):
     stream = serving.as_stream(spark, sf_dir, tables.table(spark, sf_dir, "events").schema, "events.parquet")
-    rows = serving.run_to_memory(spark, serving.daily_counts(stream), f"daily_{abs(hash(sf_dir))}", "complete")
+    rows = serving.run_to_files(spark, serving.daily_counts(stream), "daily", "complete")
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def stream_dedup(spark, sf_dir):
     stream = serving.as_stream(spark, sf_dir, tables.table(spark, sf_dir, "events").schema, "events.parquet")
-    rows = serving.run_to_memory(spark, serving.first_seen(stream.select("event_id", "ts")), f"dedup_{abs(hash(sf_dir))}")
+    rows = serving.run_to_files(spark, serving.first_seen(stream.select("event_id", "ts")), "dedup")
     return rows.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -584,6 +645,6 @@ def stream_score_route(spark, sf_dir):
     stream = serving.as_stream(spark, sf_dir, tables.table(spark, sf_dir, "events").schema, "events.parquet")
     context = F.element_at(F.array(*map(F.lit, POLICIES)), (F.col("user_id") % 3 + 1).cast("int"))
     scored = stream.select(F.concat(F.lit("prediction_"), F.col("event_id").cast("string")).alias("prediction_id"), context.alias("task_context"), ((F.get_json_object("props", "$.k").cast("int") + 0.5) / 100).alias("probability"))
-    return serving.run_to_memory(spark, policy.decide(scored).select("prediction_id", "action", "manual_review_required"), f"route_{abs(hash(sf_dir))}")
+    return serving.run_to_files(spark, policy.decide(scored).select("prediction_id", "action", "manual_review_required"), "route")
 
 

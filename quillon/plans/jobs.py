@@ -5,15 +5,16 @@ Each returns DataFrames; with ``out`` it also writes the artifacts of its phase
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import asdict
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DENSE_FEATURES, POLICIES, AlertThresholds, DatasetConfig, RankingConfig, TrainingConfig
 from ..operators import calibration, dataset, drift, metrics, monitoring, policy, ranking, training
-from ..sources import files
+from ..sources import files, scratch
 
 
 def build_dataset(contacts: DataFrame, config: DatasetConfig = DatasetConfig(), out: str | None = None) -> dict[str, DataFrame]:
@@ -44,21 +45,40 @@ def train_model(rows: DataFrame, config: TrainingConfig = TrainingConfig(), out:
     model, history = training.train(rows, config, **stamps, dense_names=list(DENSE_FEATURES))
     if out:
         spark = rows.sparkSession
-        scored = training.with_probability(rows, model).withColumnRenamed("sample_weight", "weight")
-        report = {r.split: r.asDict() for r in metrics.report(scored, ["split"], score="probability").collect()}
         files.write_document(spark, asdict(model), f"{out}/model.json")
-        files.write_document(spark, report, f"{out}/metrics.json")
+        files.write_document(spark, _by_split(rows, model), f"{out}/metrics.json")
         files.write_document(spark, {"history": history}, f"{out}/history.json")
     return model, history
 
 
+def _by_split(rows: DataFrame, model: training.Model) -> dict[str, dict]:
+    scored = training.with_probability(rows, model).withColumnRenamed("sample_weight", "weight")
+    return {r.split: r.asDict() for r in metrics.report(scored, ["split"], score="probability").collect()}
+
+
+def run_experiments(rows: DataFrame, config: TrainingConfig = TrainingConfig(), repeats: int = 0, out: str | None = None) -> dict:
+    """The baseline and its ablations, all fitted together, with their metrics by split; with more than one
+    repeat also how stable the weights are over bootstrap draws."""
+    stamps, spark = check_uniform(rows), rows.sparkSession
+    fits = training.fit_all(rows, training.suite(config))
+    runs = {name: {"best_epoch": f.model.best_epoch, "history": f.history, "metrics": _by_split(rows, f.model), "top": f.model.top(10), "top_sparse": f.model.top(10, sparse=True)} for name, f in fits.items()}
+    report = {**stamps, "baseline": runs["baseline"], "ablation_runs": runs, "stability_report": None}
+    if repeats > 1:
+        draws = {f"run{i}": replace(config, seed=config.seed + i, patience=0) for i in range(repeats)}
+        found = training.stability(training.train_all(rows.filter("split = 'train'"), draws, bootstrap=list(draws)), DENSE_FEATURES)
+        report["stability_report"] = {"repeats": repeats, "weights": [r.asDict() for r in found.collect()]}
+    if out:
+        files.write_document(spark, report, f"{out}/experiment_report.json")
+    return report
+
+
 def calibrate_and_route(rows: DataFrame, model: training.Model, contexts: Sequence[str] = tuple(POLICIES), metric: str = "validation_ece", out: str | None = None) -> tuple[calibration.Selection, DataFrame, DataFrame]:
     """(selection, decisions, summary): calibrated on validation, then validation and test routed in
     every context (the other contexts reuse the same probabilities: a simulation)."""
     scored = training.with_probability(rows.filter("split <> 'train'"), model).withColumnRenamed("sample_weight", "weight").withColumn("score", F.col("raw_score"))
-    chosen = calibration.select(scored.filter("split = 'validation'"), metric=metric)
-    source = "score" if chosen.method == "platt" else "probability"
-    calibrated = scored.withColumns({"raw_probability": F.col("probability"), "probability": chosen.calibrator.apply(F.col(source))})
+    stamps = {c: getattr(model, c) for c in ("model_version", "feature_set_version", "task_context")}
+    chosen = calibration.select(scored.filter("split = 'validation'"), metric=metric, **stamps)
+    calibrated = scored.withColumns({"raw_probability": F.col("probability"), "probability": chosen.calibrator.apply(F.col(chosen.source))})
     decided = policy.simulate(calibrated.drop("task_context"), contexts).withColumns(
         {"decision_id": F.concat(F.lit("decision_"), F.col("event_id")), "prediction_id": F.concat(F.lit("prediction_"), F.col("event_id")), "realized_label": F.col("label"),
          "decision_ts": F.col("event_ts"), "decision_date": F.to_date("event_ts"), "realized_value": F.lit(None).cast("double"),
@@ -68,21 +88,52 @@ def calibrate_and_route(rows: DataFrame, model: training.Model, contexts: Sequen
     if out:
         from ..schemas import DECISION_OUTCOME
 
+        spark = rows.sparkSession
         files.write_json(decided.select(*DECISION_OUTCOME.names, "split"), f"{out}/decisions")
-        files.write_document(rows.sparkSession, {"method": chosen.method, "calibrator": asdict(chosen.calibrator), "reports": chosen.reports}, f"{out}/calibration.json")
+        files.write_document(spark, json.loads(chosen.to_json()), f"{out}/calibration.json")
+        files.write_document(spark, policy.summary_document(summary), f"{out}/policy_summary.json")
+        reports: dict[str, dict] = {}
+        for r in calibration.evaluate(calibrated, ["split"]).collect():
+            reports.setdefault(r.split, {"example_count": r.example_count})[f"{r.kind}_metrics"] = r.asDict()
+        for split, report in reports.items():
+            files.write_document(spark, report, f"{out}/calibrated_{split}.json")
     return chosen, decided, summary
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """What serving needs: a model and the calibrator that was chosen for it."""
+
+    model: training.Model
+    selection: calibration.Selection
+
+    @property
+    def calibrator(self) -> calibration.Platt | calibration.Isotonic:
+        return self.selection.calibrator
+
+
+def load_bundle(spark: SparkSession, model_path: str, calibration_path: str) -> Bundle:
+    """Reads both artifacts back; a calibrator of another model, feature set or context is an error."""
+    model = training.Model.from_json(json.dumps(files.read_document(spark, model_path)))
+    selection = calibration.Selection.from_json(json.dumps(files.read_document(spark, calibration_path)))
+    for name in ("model_version", "feature_set_version", "task_context"):
+        if getattr(model, name) != getattr(selection, name):
+            raise ValueError(f"{name} of the model is {getattr(model, name)!r}, of the calibrator {getattr(selection, name)!r}")
+    return Bundle(model, selection)
+
+
 def monitor(predictions: DataFrame, decisions: DataFrame, dense: DataFrame, sparse: DataFrame, context: str | None = None, thresholds: AlertThresholds = AlertThresholds()) -> dict[str, DataFrame]:
     """All summaries of the logs; ``dense`` and ``sparse`` are results of ``drift``."""
     if context:
         predictions, decisions = monitoring.for_context(predictions, context), monitoring.for_context(decisions, context)
-    live = monitoring.live_rows(predictions, decisions)
+    # Every summary reads the logs: they are joined and narrowed once.
+    predictions, decisions = scratch.stage(predictions, "predictions"), scratch.stage(decisions, "decisions")
+    live = monitoring.live_rows(predictions, decisions, "raw_probability" if "raw_probability" in predictions.columns else None)
     groups = monitoring.governance(decisions)
     made = {
         "predictions": monitoring.prediction_summary(predictions),
         "decisions": monitoring.decision_summary(decisions),
-        "live": metrics.report(live),
+        "live": monitoring.live_metrics(live),
         "drift": drift.drift_summary(dense, sparse),
         "governance": groups,
         "gaps": monitoring.governance_gaps(groups),
@@ -92,7 +143,7 @@ def monitor(predictions: DataFrame, decisions: DataFrame, dense: DataFrame, spar
     wide = (
         made["predictions"].select(F.col("p95_latency_ms").alias("prediction_p95_latency_ms"))
         .crossJoin(made["decisions"].select("manual_review_rate"))
-        .crossJoin(made["live"].select(F.when(F.col("example_count") > 0, F.col("ece")).alias("live_primary_calibrated_metrics_ece")))
+        .crossJoin(made["live"].filter("kind = 'calibrated'").select(F.when(F.col("example_count") > 0, F.col("ece")).alias("live_primary_calibrated_metrics_ece")))
         .crossJoin(made["drift"].select("max_dense_psi", "sparse_bucket_psi"))
         .crossJoin(made["gaps"])
         .crossJoin(made["links"].select("prediction_link_rate"))
@@ -120,7 +171,7 @@ def rank_candidates(rows: DataFrame, model: training.Model, calibrator, source:
     empty = {"sparse_feature_ids": F.array().cast("array<bigint>"), "sparse_feature_values": F.array().cast("array<double>")}
     reranker, history = training.train(hybrid.withColumns(empty), config.reranker, dense_names=list(ranking.HYBRID_FEATURES))
     probability = F.lit(1.0) / (1 + F.exp(-training.score_column(reranker, ranking.HYBRID_FEATURES)))
-    candidates = hybrid.withColumns({"reranker_probability": probability, "candidate_id": F.col("training_row_id")})
+    candidates = scratch.stage(hybrid.withColumns({"reranker_probability": probability, "candidate_id": F.col("training_row_id")}), "candidates")
     found = ranking.ranking_metrics(candidates, config.k, config.exploration_rate)
     return {
         "candidates": candidates, "shortlist": ranking.shortlist(candidates, config.k, config.exploration_rate), "metrics": found, "overall": ranking.overall(found), "readiness": ranking.readiness(found),
@@ -134,5 +185,6 @@ def run_all(spark: SparkSession, raw_path: str, out: str, dataset_config: Datase
     rows = files.read_splits(spark, f"{out}/dataset/training")
     model, history = train_model(rows, training_config, f"{out}/model")
     chosen, decided, summary = calibrate_and_route(rows, model, out=f"{out}/calibration")
-    ranked = rank_candidates(rows, model, chosen.calibrator, "score" if chosen.method == "platt" else "probability")
+    bundle = load_bundle(spark, f"{out}/model/model.json", f"{out}/calibration/calibration.json")
+    ranked = rank_candidates(rows, bundle.model, bundle.calibrator, bundle.selection.source)
     return {"model": model, "history": history, "selection": chosen, "summary": summary, "ranking": ranked}

@@ -6,23 +6,27 @@ import json
 from collections.abc import Sequence
 from dataclasses import fields, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import LABEL, RAW_COLUMNS, AlertThresholds
+from . import scratch
 
 
 # Delimited raw files
-def read_raw_csv(spark: SparkSession, path: str, on_error: str = "raise") -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, on_error: str = "raise", quoted_breaks: bool = True) -> DataFrame:
     """Rows of a ``;`` file with ``row_id`` (from 0, over kept rows in order of file and line) and ``label``.
 
     Blank rows and rows that repeat the header are left out wherever they are.  A row of another
     width or with a label other than yes/no is an error, or with ``on_error='quarantine'`` keeps its
-    place with ``is_bad`` set.  Empty cells are null."""
+    place with ``is_bad`` set.  Empty cells are null.
+
+    Cells may hold quoted line breaks, for which each file must be read by one task; files without
+    such cells are split among tasks with ``quoted_breaks`` False."""
     raw = (
         spark.read.schema(schemas.RAW_FILE)
-        .options(sep=";", header=False, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", encoding="UTF-8")
+        .options(sep=";", header=False, multiLine=quoted_breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", encoding="UTF-8")
         .csv(path)
         .withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()})
     )
@@ -48,16 +52,12 @@ def count_raw_rows(spark: SparkSession, path: str) -> int:
 
 def with_row_id(rows: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """Consecutive ids from 0 in the order of the columns, without sorting all rows in one task: rows
-    are range-partitioned and sorted, and each partition starts after the rows of those before it."""
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ordered = ordered.persist()
-    sizes = {r["__part"]: r["n"] for r in ordered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for part in sorted(sizes):
-        starts.append((part, total))
-        total += sizes[part]
-    offsets = rows.sparkSession.createDataFrame(starts or [(0, 0)], "__part int, __start long")
-    return ordered.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start")
+    are range-partitioned, written once, and each partition starts after the rows of those before it."""
+    parts = scratch.stage(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.withColumn("__in", inside).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start")
 
 
 # JSON lines
@@ -73,8 +73,9 @@ def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_decision_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All decision files of a folder, with the name of each row's file."""
-    return spark.read.schema(schemas.DECISION_OUTCOME).option("pathGlobFilter", "*.json*").json(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    """All decision files of a folder in the order of their names, with the name of each row's file."""
+    found = spark.read.schema(schemas.DECISION_OUTCOME).option("pathGlobFilter", "*.json*").json(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    return found.orderBy("file_name")
 
 
 def head_or_empty(spark: SparkSession, path: str, schema, limit: int) -> DataFrame:

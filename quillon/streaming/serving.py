@@ -5,6 +5,8 @@ Streams share the column functions of the batch jobs.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .. import schemas
 from ..config import POLICIES, FeatureConfig
 from ..functions import columns as C
 from ..operators import policy, training
-from ..sources import files
+from ..sources import files, scratch
 
 
 def look_up_features(requests: DataFrame, config: FeatureConfig) -> DataFrame:
@@ -43,16 +45,16 @@ def predict(requests: DataFrame, model: training.Model, calibrator, source: str
     return good.withColumns(blank | {"prediction_id": F.concat(F.lit("prediction_"), F.col("event_id")), "decision_id": F.concat(F.lit("decision_"), F.col("event_id"))})
 
 
-def prediction_log(rows: DataFrame, model: training.Model, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Contract rows of the prediction log (requests with features only).  Latency is null: a batch
-    of requests has no time of its own for each."""
+def prediction_log(rows: DataFrame, model: training.Model, config: FeatureConfig = FeatureConfig(), latency_ms: float | None = None) -> DataFrame:
+    """Contract rows of the prediction log (requests with features only).  ``latency_ms`` is the time that
+    the batch of requests took, which each of them waited for; null where it was not measured."""
     stamps = {"feature_set_version": F.lit(model.feature_set_version), "hash_dimension": F.lit(config.hash_dimension).cast("long"), "dense_feature_names": F.array(*map(F.lit, config.dense_names))}
     ts = F.col("event_ts").cast("timestamp")
     full = rows.filter("error is null and has_features").withColumns(stamps)
     return full.withColumns(
         {
             "feature_vector": F.struct(*schemas.FEATURE_VECTOR.names), "prediction_ts": ts, "prediction_date": F.to_date(ts), "model_version": F.lit(model.model_version),
-            "calibration_version": F.lit("calibration_v1"), "calibrated_score": F.col("probability"), "latency_ms": F.lit(None).cast("double"),
+            "calibration_version": F.lit("calibration_v1"), "calibrated_score": F.col("probability"), "latency_ms": F.lit(latency_ms).cast("double"),
         }
     ).select(*schemas.PREDICTION_LOG.names)
 
@@ -68,8 +70,11 @@ def serve(spark: SparkSession, folder: str, out: str, checkpoint: str, model: tr
     requests = files.parse_requests(spark.readStream.text(folder))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        began = time.perf_counter()
         scored = predict(batch, model, calibrator, source, config).persist()
-        for name, rows in (("predictions", prediction_log(scored, model, config)), ("decisions", decision_log(scored)), ("rejected", scored.filter("error is not null").select("request_id", "event_id", "error"))):
+        scored.count()
+        took = (time.perf_counter() - began) * 1000
+        for name, rows in (("predictions", prediction_log(scored, model, config, took)), ("decisions", decision_log(scored)), ("rejected", scored.filter("error is not null").select("request_id", "event_id", "error"))):
             rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}/batch={batch_id}")
         scored.unpersist()
 
@@ -82,15 +87,15 @@ def as_stream(spark: SparkSession, folder: str, schema, pattern: str | None = No
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
 
 
-def daily_counts(events: DataFrame, time: str = "ts", lateness: str = "1 day", window: str = "1 day") -> DataFrame:
+def daily_counts(events: DataFrame, at: str = "ts", lateness: str = "1 day", window: str = "1 day") -> DataFrame:
     """(window start, event_type, n, value) over event time."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, lateness).groupBy(F.window(time, window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("day"), "event_type", "n", "value")
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    return timed.withWatermark(at, lateness).groupBy(F.window(at, window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("day"), "event_type", "n", "value")
 
 
-def first_seen(events: DataFrame, key: str = "event_id", time: str = "ts", lateness: str = "1 day") -> DataFrame:
+def first_seen(events: DataFrame, key: str = "event_id", at: str = "ts", lateness: str = "1 day") -> DataFrame:
     """Events whose key has not come before within the lateness."""
-    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def matched_labels(events: DataFrame, labels: DataFrame, hours: int = 24) -> DataFrame:
@@ -100,8 +105,20 @@ def matched_labels(events: DataFrame, labels: DataFrame, hours: int = 24) -> Dat
     return left.join(right, inside)
 
 
-def run_to_memory(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there now and return it as a table (for tests and small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_to_files(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Process what is there now into Parquet files of the shared folder, with the checkpoint beside them,
+    and read these back.  No row passes through the driver.  In modes that send all results again, each
+    batch's are a folder of their own and the last one counts."""
+    path = scratch.new_path(spark, f"stream-{name}")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    last = {"batch": None}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{batch_id}")
+        last["batch"] = batch_id
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/{last['batch']}") if last["batch"] is not None else spark.createDataFrame([], stream.schema)

@@ -1,5 +1,6 @@
 """Values worked out by hand, and invariants."""
 
+import bisect
 import json
 import math
 import random
@@ -8,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.config import AlertThresholds, DatasetConfig, FeatureConfig, RankingConfig, TrainingConfig
+from quillon.config import DENSE_FEATURES, POLICIES, AlertThresholds, DatasetConfig, FeatureConfig, RankingConfig, TrainingConfig
 from quillon.functions import columns as C
-from quillon.operators import calibration, dataset, drift, metrics, monitoring, policy, ranking, training
+from quillon.operators import calibration, dataset, drift, metrics, monitoring, policy, prefix, ranking, training
 from quillon.plans import jobs
 from quillon.sources import files
 from quillon.streaming import serving
@@ -312,6 +313,83 @@ def test_phases(spark, tmp_path):
     assert sorted(r.final_rank for r in ranks) == [1, 2, 3, 4]
 
 
+def test_artifacts_are_read_back(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text(made_rows(60))
+    out = str(tmp_path / "out")
+    config = DatasetConfig(features=FeatureConfig(hash_dimension=256), split_strategy="contiguous", train_ratio=0.5, validation_ratio=0.25, test_ratio=0.25)
+    jobs.build_dataset(files.read_raw_csv(spark, str(tmp_path / "raw.csv")), config, f"{out}/dataset")
+    rows = files.read_splits(spark, f"{out}/dataset/training")
+    model, _ = jobs.train_model(rows, TrainingConfig(max_epochs=2), f"{out}/model")
+    chosen, decided, summary = jobs.calibrate_and_route(rows, model, out=f"{out}/calibration")
+    paths = f"{out}/model/model.json", f"{out}/calibration/calibration.json"
+    bundle = jobs.load_bundle(spark, *paths)
+    assert bundle.model == model and bundle.calibrator == chosen.calibrator and bundle.selection.source == chosen.source
+    document = files.read_document(spark, paths[1])
+    assert set(document["reports"]) == {"platt", "isotonic"} and document["raw"]["example_count"] == 15
+    for name in ("model_version", "feature_set_version", "task_context"):
+        files.write_document(spark, document | {name: "other"}, f"{out}/other.json")
+        with pytest.raises(ValueError, match=name):
+            jobs.load_bundle(spark, paths[0], f"{out}/other.json")
+    with pytest.raises(ValueError):
+        calibration.calibrator_from({"method": "none"})
+    report = files.read_document(spark, f"{out}/calibration/policy_summary.json")
+    assert set(report) == {"validation", "test"} and set(report["test"]) == set(POLICIES)
+    group = report["test"]["fraud_policy"]
+    assert group["decision_count"] == 16 == sum(group["action_counts"].values()) and set(group["action_counts"]) == set(group["action_positive_rates"])
+    split = files.read_document(spark, f"{out}/calibration/calibrated_validation.json")
+    assert split["example_count"] == 15 and math.isclose(split["raw_metrics"]["log_loss"], document["raw"]["log_loss"]) and math.isclose(split["calibrated_metrics"]["ece"], document["reports"][chosen.method]["ece"], abs_tol=1e-12)
+    assert set(files.read_document(spark, f"{out}/model/metrics.json")) == {"train", "validation", "test"}
+    found = jobs.run_experiments(rows, TrainingConfig(max_epochs=2, seed=7), repeats=3, out=out)
+    assert json.loads(json.dumps(found)) == files.read_document(spark, f"{out}/experiment_report.json")
+    assert set(found["ablation_runs"]) == {"baseline", "mse_loss", "oversampling", "no_class_weighting", "no_l2"} and found["ablation_runs"]["baseline"] == found["baseline"]
+    weights = {r["feature"]: r for r in found["stability_report"]["weights"] if r["kind"] == "dense"}
+    assert set(weights) == set(DENSE_FEATURES) and all(r["runs"] == 3 and r["stdev"] > 0 for n, r in weights.items() if n == "age")
+    # Without the context among the groups, the rates are there all the same.
+    whole = policy.summarise(decided, ("split",)).filter("action is null and split = 'test'").first()
+    assert whole.decision_count == 3 * 16 and whole.positive_action_rate > 0
+
+
+def test_summary_rates_unweighted_and_weighted(spark):
+    found = metrics.losses(metrics.score_groups(scored(spark, [1, 0, 0, 1], [0.9, 0.2, 0.4, 0.2], [3.0, 1.0, 1.0, 1.0]))).first()
+    assert math.isclose(found.positive_rate, 0.5) and math.isclose(found.weighted_positive_rate, 4 / 6)
+    assert math.isclose(found.mean_prediction, 1.7 / 4) and math.isclose(found.weighted_mean_score, (2.7 + 0.2 + 0.4 + 0.2) / 6)
+
+
+def test_live_metrics_of_raw_probabilities(spark):
+    predictions = spark.createDataFrame([("p1", 0.9, 0.8), ("p2", 0.2, None), ("p3", 0.6, 0.5)], "prediction_id string, calibrated_score double, raw double")
+    decisions = spark.createDataFrame([("p1", 1), ("p2", 0), ("p3", None), ("p4", 1)], "prediction_id string, realized_label int")
+    found = {r.kind: r for r in monitoring.live_metrics(monitoring.live_rows(predictions, decisions, "raw")).collect()}
+    assert found["calibrated"].example_count == 2 and found["raw"].example_count == 1
+    assert math.isclose(found["raw"].log_loss, -math.log(0.8)) and math.isclose(found["calibrated"].log_loss, -(math.log(0.9) + math.log(0.8)) / 2)
+    only = monitoring.live_metrics(monitoring.live_rows(predictions, decisions)).collect()
+    assert [r.kind for r in only] == ["calibrated"]
+
+
+def test_percentiles_by_group(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([1.0, 2.5, 2.5, rng.random() * 9])) for g in ("a", "b", None) for _ in range(rng.randint(50, 90))] + [("a", None), ("c", 7.0), ("d", None)]
+    found = {r.g: r for r in prefix.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", (0.0, 0.05, 0.5, 0.95, 1.0)).collect()}
+    for g in ("a", "b", None, "c"):
+        values = [v for h, v in rows if h == g and v is not None]
+        assert found[g].n == len(values) and np.allclose([found[g][f"p{i}"] for i in range(5)], np.percentile(values, (0, 5, 50, 95, 100)))
+    assert "d" not in found
+
+
+def test_long_step_functions(spark):
+    rng = random.Random(6)
+    thresholds = sorted({round(rng.random(), 6) for _ in range(3000)})
+    values = sorted(rng.random() for _ in thresholds)
+    scores = [0.0, -1.0, 2.0, thresholds[0], thresholds[-1], None, *thresholds[5:40], *(rng.random() for _ in range(300))]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "i int, s double")
+    found = dict(frame.select("i", C.step_lookup(F.col("s"), thresholds, values)).collect())
+    few = dict(frame.select("i", C.step_lookup(F.col("s"), thresholds[:9], values[:9])).collect())
+    for i, s in enumerate(scores):
+        if s is not None:
+            assert found[i] == values[min(bisect.bisect_left(thresholds, s), len(thresholds) - 1)]
+            assert few[i] == values[min(bisect.bisect_left(thresholds[:9], s), 8)]
+    assert found[5] is None
+
+
 def test_stream_of_requests(spark, tmp_path):
     features = dict(zip(HEADER.strip().split(";")[:-1], CSV.splitlines()[0].split(";")[:-1], strict=True))
     requests = [
@@ -328,6 +406,7 @@ def test_stream_of_requests(spark, tmp_path):
     predictions = spark.read.json(str(tmp_path / "log/predictions")).collect()
     decisions = {r.decision_id: r.action for r in spark.read.json(str(tmp_path / "log/decisions")).collect()}
     rejected = {r.event_id: r.error for r in spark.read.json(str(tmp_path / "log/rejected")).collect()}
+    assert all(p.latency_ms > 0 for p in predictions)
     assert sorted(p.event_id for p in predictions) == ["e1", "e2"] and predictions[0].calibrated_score == predictions[1].calibrated_score
     assert set(decisions) == {"decision_e1", "decision_e2", "decision_e3"} and decisions["decision_e3"] == "block"
     assert set(rejected) == {"e4", "e5"}
