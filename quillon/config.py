@@ -87,6 +87,9 @@ class TrainingConfig:
 class RankingConfig:
     k: int = 25
     exploration_rate: float = 0.15
+    # What rows and model of the second stage are stamped with.
+    feature_set_version: str = "bank_marketing_hybrid_v1"
+    task_context: str = "hybrid_ranking"
     reranker: TrainingConfig = TrainingConfig(max_epochs=10, l2=5e-4, seed=31)
 
     def __post_init__(self):

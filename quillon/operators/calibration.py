@@ -159,3 +159,10 @@ def evaluate(rows: DataFrame, by: Sequence[str] = (), raw: str = "raw_probabilit
     """(by, kind, metrics) of raw and calibrated probabilities."""
     found = [metrics.report(rows, by, label=label, score=c, weight=weight).withColumn("kind", F.lit(kind)) for kind, c in (("raw", raw), ("calibrated", calibrated))]
     return found[0].unionByName(found[1])
+
+
+def method_rows(selection: Selection) -> list[tuple]:
+    """(method, selected, log_loss, brier_score, ece, mce, roc_auc, pr_auc) of the raw probabilities and of each method."""
+    names = ("log_loss", "brier_score", "ece", "mce", "roc_auc", "pr_auc")
+    found = [("raw", selection.raw), *selection.reports.items()]
+    return [(method, method == selection.method, *(report[n] for n in names)) for method, report in found]

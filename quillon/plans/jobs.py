@@ -168,14 +168,16 @@ def rank_candidates(rows: DataFrame, model: training.Model, calibrator, source:
         | {name: F.col("dense_features")[i] for i, name in enumerate(DENSE_FEATURES)}
     )
     hybrid = ranking.with_hybrid_features(staged).withColumn("dense_features", F.array(*ranking.HYBRID_FEATURES))
+    stamps = {"feature_set_version": config.feature_set_version, "task_context": config.task_context}
+    hybrid = hybrid.withColumns({name: F.lit(value) for name, value in stamps.items()})
     empty = {"sparse_feature_ids": F.array().cast("array<bigint>"), "sparse_feature_values": F.array().cast("array<double>")}
-    reranker, history = training.train(hybrid.withColumns(empty), config.reranker, dense_names=list(ranking.HYBRID_FEATURES))
+    reranker, history = training.train(hybrid.withColumns(empty), config.reranker, dense_names=list(ranking.HYBRID_FEATURES), **stamps)
     probability = F.lit(1.0) / (1 + F.exp(-training.score_column(reranker, ranking.HYBRID_FEATURES)))
     candidates = scratch.stage(hybrid.withColumns({"reranker_probability": probability, "candidate_id": F.col("training_row_id")}), "candidates")
     found = ranking.ranking_metrics(candidates, config.k, config.exploration_rate)
     return {
         "candidates": candidates, "shortlist": ranking.shortlist(candidates, config.k, config.exploration_rate), "metrics": found, "overall": ranking.overall(found), "readiness": ranking.readiness(found),
-        "history": rows.sparkSession.createDataFrame(history),
+        "history": rows.sparkSession.createDataFrame(history), "reranker": reranker,
     }
 
 

@@ -307,6 +307,8 @@ def test_phases(spark, tmp_path):
     assert (tmp_path / "out/model/model.json").exists() and (tmp_path / "out/calibration/calibration.json").exists()
     total = found["summary"].filter("action is null").agg(F.sum("decision_count")).first()[0]
     assert total == 3 * (3 + 4)
+    stamps = found["ranking"]["candidates"].select("feature_set_version", "task_context").distinct().collect()
+    assert [tuple(r) for r in stamps] == [("bank_marketing_hybrid_v1", "hybrid_ranking")] and found["ranking"]["reranker"].task_context == "hybrid_ranking"
     short = found["ranking"]["shortlist"].groupBy("split").count().collect()
     assert {r.split: r["count"] for r in short} == {"train": 5, "validation": 3, "test": 4}
     ranks = found["ranking"]["shortlist"].filter("split = 'test'").select("final_rank").collect()
@@ -325,6 +327,7 @@ def test_artifacts_are_read_back(spark, tmp_path):
     bundle = jobs.load_bundle(spark, *paths)
     assert bundle.model == model and bundle.calibrator == chosen.calibrator and bundle.selection.source == chosen.source
     document = files.read_document(spark, paths[1])
+    assert [r[:2] for r in calibration.method_rows(bundle.selection)] == [("raw", False), *((m, m == chosen.method) for m in chosen.reports)]
     assert set(document["reports"]) == {"platt", "isotonic"} and document["raw"]["example_count"] == 15
     for name in ("model_version", "feature_set_version", "task_context"):
         files.write_document(spark, document | {name: "other"}, f"{out}/other.json")
