@@ -89,7 +89,7 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 #: Rows of a shard and of a mini-batch, and the most distinct sparse ids of a model.
-SHARD_ROWS, BATCH_ROWS, MOST_FEATURES = 100_000, 32, 1 << 22
+SHARD_ROWS, BATCH_ROWS, MOST_FEATURES = 25_000, 32, 1 << 22
 #: What a row of a pass's result is about, besides the place of a weight: losses of the model that the pass started from
 #: on train and validation rows, and the train loss on the way.
 ON_TRAIN, ON_VALIDATION, ON_THE_WAY = -3, -2, -1
