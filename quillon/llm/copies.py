@@ -90,7 +90,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
     """(class, shingles) of the wanted classes, from one row of each."""
-    chosen = signed.join(wanted, "class").groupBy("class").agg(F.min(F.struct("h1", "h2")).alias("r")).select("class", F.col("r.h1").alias("__h1"), F.col("r.h2").alias("__h2"))
+    # One row of each class first: a class of very many copies is added up before it meets its name.
+    firsts = signed.groupBy("class").agg(F.min(F.struct("h1", "h2")).alias("r"))
+    chosen = firsts.join(wanted, "class").select("class", F.col("r.h1").alias("__h1"), F.col("r.h2").alias("__h2"))
     texts = docs.select(*_row_hashes(docs.columns), F.col(text_col).alias("text")).join(chosen, ["__h1", "__h2"]).select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
