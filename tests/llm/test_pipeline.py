@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import copies, mixing
-from test_operators import WORD, brute_fingerprint, groups_of
+from test_operators import WORD, brute_fingerprint, brute_targets, groups_of
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -145,3 +145,53 @@ def test_token_stage(steps):
         start += len(tokens)
     assert sorted(map(tuple, after.collect()), key=lambda r: r[1]) == expected
     assert after.agg(F.count("*")).first()[0] == before.count()
+
+
+def test_awkward_rows_go_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, one id with several texts, exact repeats, columns of clashing names, long texts."""
+    rng = random.Random(12)
+    stems = {"en": ["tion", "the", "ing", "er"], "de": ["sch", "ung", "ich", "keit"]}
+    made = lambda lang, n: " ".join("".join(rng.choices(stems[lang], k=3)) for _ in range(n))
+    rows = [(i, made(lang := rng.choice(["en", "de"]), rng.randint(20, 60)), lang, rng.choice(["a", "b", "c", None])) for i in range(80)]
+    rows += [(None, made("en", 30), "en", "a") for _ in range(5)] + [(5, made("de", 25), "de", "b"), (5, made("en", 28), "en", "a")]
+    rows += [rows[3]] * 3 + [(None, rows[4][1], "en", "c"), (200, rows[80][1], "en", "b"), (201, None, None, None), (202, "", "en", "a"), (203, "12 34 !?", None, "b")]
+    rows += [(204, made("en", 20_000), "en", "b")]
+    item = "What does the meter show at noon? It shows exactly forty two units of flow."
+    rows += [(205, made("en", 15) + " " + item + " " + made("en", 15), "en", "a")]
+    rows = [(i, t, lang, src, None if t is None else len(t), n, "x", "y", 7, "z") for n, (i, t, lang, src) in enumerate(rows)]
+    rows += [rows[10]]  # equal in every column
+    schema = "doc_id long, text string, lang string, source string, n_chars long, number long, row string, found_lang string, __h1 long, words string"
+    for name, frame in (("documents", spark.createDataFrame(rows, schema)), ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))):
+        frame.repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    docs, sf_dir = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), f"file://{tmp_path}"
+    key = lambda r: (r.doc_id, r.text, r.number)
+    outs = []
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, outs[-1] if outs else docs, sf_dir).cache()
+        assert out.columns == docs.columns
+        outs.append(out)
+    language, near, clean, mixed = ([*frame.collect()] for frame in outs)
+    assert Counter(map(key, language)) == Counter((r[0], r[1], r[5]) for r in rows if r[0] not in (201, 202, 203))
+    sets = [shingles(r.text) for r in language]
+    part = groups_of(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    texts = {}
+    for r, p in zip(language, part, strict=True):
+        texts.setdefault(p, []).append(r)
+    assert len(near) == len(texts) and all(sum(r.doc_id == n.doc_id and r.text == n.text for n in near for r in group) >= 1 for group in texts.values())
+    least = Counter(min((r.doc_id for r in group if r.doc_id is not None), default=None) for group in texts.values())
+    assert Counter(r.doc_id for r in near) == least and sum(r.doc_id is None for r in near) == 4 and sum(r.doc_id == 5 for r in near) == 3
+    assert Counter(map(key, clean)) == Counter(key(r) for r in near if r.doc_id != 205) and any(r.doc_id == 205 for r in near)
+    sizes = Counter()
+    for r in clean:
+        sizes[r.source] += len(WORD.findall(r.text))
+    taken, source_of = Counter(), {r.number: r for r in clean}
+    for r in mixed:
+        taken[r.source] += len(WORD.findall(r.text))
+        assert source_of[r.number].text.startswith(r.text) and source_of[r.number].doc_id == r.doc_id
+    targets = brute_targets(dict(sizes))
+    assert all(0 <= targets[s] - taken[s] < 1 for s in sizes)
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in mixed)
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
