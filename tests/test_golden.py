@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import DENSE_FEATURES, POLICIES, AlertThresholds, DatasetConfig, FeatureConfig, RankingConfig, TrainingConfig
 from quillon.functions import columns as C
-from quillon.operators import calibration, dataset, drift, metrics, monitoring, policy, prefix, ranking, training
+from quillon.operators import calibration, dataset, drift, metrics, monitoring, policy, prefix, profiling, ranking, training
 from quillon.plans import jobs
 from quillon.sources import files
 from quillon.streaming import serving
@@ -415,6 +415,28 @@ def test_stream_of_requests(spark, tmp_path):
     assert set(rejected) == {"e4", "e5"}
 
 
+def test_small_readers(spark, tmp_path):
+    log = "a string, n int"
+    assert files.head_or_empty(spark, str(tmp_path / "none"), log, 2).count() == 0
+    files.write_json(spark.createDataFrame([("x", 1), ("y", None), ("z", 3)], log), str(tmp_path / "log"), single=True)
+    assert [tuple(r) for r in files.head_or_empty(spark, str(tmp_path / "log"), log, 2).collect()] == [("x", 1), ("y", None)]
+    assert '"n":null' in "".join(p.read_text() for p in (tmp_path / "log").glob("*.json"))
+    (tmp_path / "d").mkdir()
+    for name in ("b", "a", "c"):
+        (tmp_path / "d" / f"{name}.jsonl").write_text(json.dumps({"decision_id": name, "action": "approve"}) + "\n")
+    found = files.read_decision_files(spark, str(tmp_path / "d")).collect()
+    assert [(r.file_name, r.decision_id) for r in found] == [("a.jsonl", "a"), ("b.jsonl", "b"), ("c.jsonl", "c")]
+    (tmp_path / "raw.csv").write_text(made_rows(40))
+    split, whole = (files.read_raw_csv(spark, str(tmp_path / "raw.csv"), quoted_breaks=q).orderBy("row_id").collect() for q in (False, True))
+    assert split == whole and [r.row_id for r in whole] == list(range(40))
+    snapshot = jobs.calibration_snapshot(metrics.report(scored(spark, [1, 0, 1, 0], [0.9, 0.2, 0.8, 0.1])), {"ece": 0.05, "log_loss": 0.1}).first()
+    assert math.isclose(snapshot.ece_delta, 0.15 - 0.05) and math.isclose(snapshot.log_loss_delta, 0.164252033486 - 0.1, rel_tol=1e-9)
+    none = jobs.calibration_snapshot(metrics.report(scored(spark, [1], [0.5]).limit(0)), {"ece": 0.05, "log_loss": 0.1}).first()
+    assert none.ece_delta is None and none.log_loss_delta is None
+    lengths = profiling.preview(spark.createDataFrame([([1.0, 2.0], [3])], "dense_features array<double>, sparse_feature_ids array<bigint>")).first()
+    assert (lengths.dense_features_length, lengths.sparse_feature_ids_length) == (2, 1)
+
+
 def test_alert_thresholds_file(spark, tmp_path):
     (tmp_path / "m.yaml").write_text("other:\n  max_dense_psi: 9\nalerts:\n  max_dense_psi: 0.4  # note\n  unknown: 3\nend:\n  max_live_ece: 1\n")
     found = files.read_alert_thresholds(spark, str(tmp_path / "m.yaml"))
