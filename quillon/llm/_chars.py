@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Code points that are worked on at once (a longer text is a block of its own).
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 SPACE = 32
 
 
