@@ -162,7 +162,7 @@ def evaluate(rows: DataFrame, by: Sequence[str] = (), raw: str = "raw_probabilit
 
 
 def method_rows(selection: Selection) -> list[tuple]:
-    """(method, selected, log_loss, brier_score, ece, mce, roc_auc, pr_auc) of the raw probabilities and of each method."""
+    """(method, selected, log_loss, brier_score, ece, mce, roc_auc, pr_auc) of the raw probabilities and of each method, by name."""
     names = ("log_loss", "brier_score", "ece", "mce", "roc_auc", "pr_auc")
-    found = [("raw", selection.raw), *selection.reports.items()]
+    found = [("raw", selection.raw), *sorted(selection.reports.items())]
     return [(method, method == selection.method, *(report[n] for n in names)) for method, report in found]

@@ -327,7 +327,7 @@ def test_artifacts_are_read_back(spark, tmp_path):
     bundle = jobs.load_bundle(spark, *paths)
     assert bundle.model == model and bundle.calibrator == chosen.calibrator and bundle.selection.source == chosen.source
     document = files.read_document(spark, paths[1])
-    assert [r[:2] for r in calibration.method_rows(bundle.selection)] == [("raw", False), *((m, m == chosen.method) for m in chosen.reports)]
+    assert [r[:2] for r in calibration.method_rows(bundle.selection)] == [("raw", False), *((m, m == chosen.method) for m in sorted(chosen.reports))]
     assert set(document["reports"]) == {"platt", "isotonic"} and document["raw"]["example_count"] == 15
     for name in ("model_version", "feature_set_version", "task_context"):
         files.write_document(spark, document | {name: "other"}, f"{out}/other.json")
