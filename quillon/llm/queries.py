@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _scratch, crf, decontam, itq, kneser_ney, langid, mixing, pii, simhash, tokens, warc
+from . import _scratch, crf, decontam, fim, itq, kneser_ney, langid, linecrf, mixing, pii, simhash, tokens, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", id_remainder(10) == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vafile.compress(_table(spark, sf_dir, "embeddings"))
+    found = vafile.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vafile.digest(books)))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        *("doc_id", "n", "form", "prefix_chars", "middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = linecrf.fit(docs, _table(spark, sf_dir, "labels"))
+    return linecrf.quality(linecrf.label_lines(docs, field)).drop("boilerplate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc": op2_warc,
@@ -83,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _OP1 = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -108,5 +130,29 @@ _OP5 = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(tex
  c AS (SELECT *, least(size, greatest(0, floor(target)::BIGINT - epochs * source_size - before))::BIGINT AS cut FROM o)
  SELECT doc_id, source, size, source_size, target, (epochs * size + cut)::BIGINT AS taken, epochs, cut FROM c"""
 
+_ASSIGN = """a{i} AS MATERIALIZED (SELECT x.vec_id, x.part, arg_min(e.entry, (list_sum(list_transform(list_zip(x.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e.entry)) AS entry,
+  min(list_sum(list_transform(list_zip(x.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS distance FROM parts x JOIN book{i} e USING (part) GROUP BY 1, 2)"""
+_UPDATE = """s{i} AS (SELECT part, entry, place, sum(x)::BIGINT AS total, count(*) AS n FROM (SELECT a.part, a.entry, unnest(p.x) AS x, unnest(range(len(p.x))) AS place FROM a{i} a JOIN parts p USING (vec_id, part)) GROUP BY 1, 2, 3),
+ u{i} AS (SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS x FROM s{i} GROUP BY 1, 2),
+ book{j} AS MATERIALIZED (SELECT part, entry, coalesce(u{i}.x, b.x) AS x FROM book{i} b LEFT JOIN u{i} USING (part, entry))"""
+_OP11 = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ parts AS MATERIALIZED (SELECT vec_id, part, list_slice(v, (part * len(v)) // 16 + 1, ((part + 1) * len(v)) // 16) AS x FROM k, range(16) r(part)),
+ book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts QUALIFY entry < 64),
+ {_ASSIGN.format(i=0)}, {_UPDATE.format(i=0, j=1)}, {_ASSIGN.format(i=1)}, {_UPDATE.format(i=1, j=2)}, {_ASSIGN.format(i=2)},
+ coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error FROM a2 GROUP BY 1),
+ books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), books"""
+
+_H = "('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), {i}, 8))::BIGINT"
+_OP12 = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+  {_H.format(i=1)} AS h1, {_H.format(i=9)} AS h2, {_H.format(i=17)} AS h3, {_H.format(i=25)} AS h4 FROM documents),
+ c AS (SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+ p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
 #: The others are hashes, fitted models and file formats; tests hold them against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op2_warc": _OP2, "op5_mixing": _OP5}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op2_warc": _OP2, "op5_mixing": _OP5, "op11_vector_codes": _OP11, "op12_fill_in_middle": _OP12}
