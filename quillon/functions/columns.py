@@ -131,13 +131,14 @@ def _constant(values: Sequence[float]) -> Column:
 
 
 def step_lookup(score: Column, thresholds: Sequence[float], values: Sequence[float]) -> Column:
-    """Value of the first threshold that is not below the score (the last one above all); 0.5 without any."""
+    """Value of the first threshold that is not below the score (the last one above all); 0.5 without
+    any threshold.  A null score has no value, whatever the number of thresholds."""
     if not thresholds:
-        return F.lit(0.5)
+        return F.when(score.isNotNull(), 0.5)
     steps, last = _constant(thresholds), len(thresholds) - 1
     if len(thresholds) <= FEW_THRESHOLDS:
         below = F.size(F.filter(steps, lambda t: t < score))
-        return F.element_at(_constant(values), F.least(below, F.lit(last)) + 1)
+        return F.when(score.isNotNull(), F.element_at(_constant(values), F.least(below, F.lit(last)) + 1))
     # Binary search: (lo, hi) encloses the place of the first threshold that is not below, or the last.
     start = F.struct(F.lit(0).alias("lo"), F.lit(last).alias("hi"))
 

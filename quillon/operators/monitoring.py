@@ -37,9 +37,23 @@ def sparse_histogram(log: DataFrame, ids: str = "sparse_feature_ids", buckets: i
     return log.select(F.explode(ids).alias("id")).groupBy((F.col("id") % buckets).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def action_counts(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, action_counts): a map from action to its number of decisions; a null action is ``unknown``."""
+    counted = decisions.groupBy(*by, F.coalesce("action", F.lit("unknown")).alias("action")).agg(F.count("*").alias("n"))
+    return counted.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("action_counts"))
+
+
+def _beside(rows: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Both tables have one row for each group; null groups meet too."""
+    if not by:
+        return rows.crossJoin(more)
+    matched = rows.alias("l").join(more.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left")
+    return matched.select("l.*", *(F.col(f"r.{c}") for c in more.columns if c not in by))
+
+
 def decision_summary(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     positive = is_positive_action(F.col("action"), F.col("task_context")).cast("int")
-    return decisions.groupBy(*by).agg(
+    summary = decisions.groupBy(*by).agg(
         F.count("*").alias("decision_count"),
         safe_rate(F.sum(F.col("manual_review_required").cast("int")), F.count("*")).alias("manual_review_rate"),
         safe_rate(F.sum(positive), F.count("*")).alias("positive_action_rate"),
@@ -47,6 +61,7 @@ def decision_summary(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.percentile("outcome_delay_days", F.lit(0.95)), F.lit(0.0)).alias("p95_label_delay_days"),
         F.count_distinct("prediction_id").alias("linked_predictions"),
     )
+    return _beside(summary, action_counts(decisions, by), by)
 
 
 def links(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -73,12 +88,15 @@ def audit_coverage(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def live_rows(predictions: DataFrame, decisions: DataFrame, raw: str | None = None) -> DataFrame:
-    """Labelled decisions with the probability of their prediction, each with weight one; with ``raw``
-    also that column of the predictions, as ``raw_probability``."""
-    scored = predictions.select("prediction_id", F.col("calibrated_score").alias("score"), *([F.col(raw).alias("raw_probability")] if raw else []))
-    kept = [c for c in decisions.columns if c not in {"score", "raw_probability", "label", "weight"}]
-    return decisions.select(*kept).join(scored, "prediction_id").filter("realized_label is not null and score is not null").withColumns({"label": F.col("realized_label"), "weight": F.lit(1.0)})
+def live_rows(decisions: DataFrame, context: str | None = None, probability: str = "calibrated_probability", raw: str | None = "raw_probability") -> DataFrame:
+    """Labelled decisions with the probabilities that they carry themselves, each with weight one.
+
+    A decision without a probability is left out; what the prediction log holds, repeats or has lost
+    does not matter.  ``context`` is the primary one, to which live metrics are confined."""
+    primary = for_context(decisions, context) if context else decisions
+    kept = primary.filter(F.col("realized_label").isNotNull() & F.col(probability).isNotNull())
+    found = {"score": F.col(probability), "label": F.col("realized_label"), "weight": F.lit(1.0)}
+    return kept.withColumns(found | ({"raw_probability": F.col(raw)} if raw else {}))
 
 
 def live_metrics(live: DataFrame) -> DataFrame:
@@ -90,8 +108,9 @@ def live_metrics(live: DataFrame) -> DataFrame:
     return found.unionByName(raw)
 
 
-def governance(decisions: DataFrame, group: str = "task_context", probability: str = "probability", bins: int = 10) -> DataFrame:
-    """One row for each group; null and empty groups are ``unknown``."""
+def governance(decisions: DataFrame, group: str = "task_context", probability: str = "calibrated_probability", bins: int = 10) -> DataFrame:
+    """One row for each group; null and empty groups are ``unknown``.  Probabilities are those that the
+    decisions carry; the calibration error is null without labelled ones."""
     rows = decisions.withColumn("group", F.coalesce(F.nullif(F.col(group), F.lit("")), F.lit("unknown")))
     positive = is_positive_action(F.col("action"), F.col("task_context")).cast("int")
     base = rows.groupBy("group").agg(
@@ -104,7 +123,7 @@ def governance(decisions: DataFrame, group: str = "task_context", probability: s
         "group", F.col("realized_label").alias("label"), F.col(probability).alias("score"), F.lit(1.0).alias("weight")
     )
     errors = metrics.calibration_errors(metrics.score_groups(labelled, ["group"]), ["group"], bins).select("group", "ece")
-    return base.join(errors, "group", "left")
+    return _beside(base, action_counts(rows, ["group"]), ["group"]).join(errors, "group", "left")
 
 
 def gap(column: str) -> Column:

@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from ..config import TrainingConfig
 from ..functions.columns import sigmoid
+from ..sources import scratch
 
-#: Most sparse weights for which scoring looks them up in a literal map; beyond it joins them.
+#: Most sparse weights that scoring takes as a literal map, and as arrays that are broadcast.
 MAP_WEIGHTS = 256
 BROADCAST_WEIGHTS = 2_000_000
 
@@ -59,22 +61,67 @@ class Model:
         return spark.createDataFrame(list(self.sparse.items()) or [(-1, 0.0)], "feature_id long, weight double")
 
 
-def with_logit(rows: DataFrame, model: Model, dense: str = "dense_features", ids: str = "sparse_feature_ids", values: str = "sparse_feature_values", key: str = "training_row_id", name: str = "raw_score") -> DataFrame:
-    """Adds the linear score: bias, dense weights and the weights of the active sparse ids (0 if unknown)."""
-    checked = F.when(F.size(dense) != len(model.dense), F.raise_error(F.lit("dense features and weights differ in length"))).otherwise(F.lit(model.bias))
-    linear = checked
-    for i, weight in enumerate(model.dense):
-        linear = linear + F.col(dense)[i] * F.lit(float(weight))
-    if len(model.sparse) <= MAP_WEIGHTS:
-        pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(values).alias("value"))
-        table = F.create_map(*(F.lit(x) for pair in model.sparse.items() for x in pair)) if model.sparse else F.lit(None).cast("map<bigint,double>")
-        weight = lambda p: F.coalesce(F.try_element_at(table, p["id"]), F.lit(0.0)) * p["value"]
-        return rows.withColumn(name, linear + F.aggregate(F.transform(pairs, weight), F.lit(0.0), lambda a, v: a + v))
-    weights = model.weights_table(rows.sparkSession)
-    weights = F.broadcast(weights) if len(model.sparse) <= BROADCAST_WEIGHTS else weights
-    active = rows.select(key, F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col(values).alias("value"))).alias("f")).select(key, F.col("f.id").alias("feature_id"), F.col("f.value").alias("value"))
-    sums = active.join(weights, "feature_id").groupBy(key).agg(F.sum(F.col("value") * F.col("weight")).alias("__sparse"))
-    return rows.join(sums, key, "left").withColumn(name, linear + F.coalesce("__sparse", F.lit(0.0))).drop("__sparse")
+def _pairs(ids: str, values: str) -> Column:
+    """Array of (id, value) of a row; what is null or lacks its partner has value 0."""
+    zipped = F.arrays_zip(F.col(ids).alias("id"), F.col(values).alias("value"))
+    whole = F.transform(zipped, lambda p: F.struct(F.coalesce(p["id"].cast("long"), F.lit(-1).cast("long")).alias("id"), F.when(p["id"].isNotNull(), F.coalesce(p["value"].cast("double"), F.lit(0.0))).otherwise(0.0).alias("value")))
+    return F.coalesce(whole, F.array().cast("array<struct<id:bigint,value:double>>"))
+
+
+def _looked_up(spark, weights: dict[int, float]):
+    """A function of ids and values that adds up the weighted values inside each row, from sorted arrays that are broadcast."""
+    keys = np.array(sorted(weights), np.int64)
+    shared = spark.sparkContext.broadcast((keys, np.array([weights[k] for k in keys.tolist()])))
+
+    @F.pandas_udf("double")
+    def sums(ids: pd.Series, values: pd.Series) -> pd.Series:
+        keys, amounts = shared.value
+        flat, of = np.concatenate([*ids, []]).astype(np.int64), np.repeat(np.arange(len(ids)), ids.str.len().to_numpy(np.int64))
+        at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+        found = np.where(keys[at] == flat, amounts[at], 0.0) * np.concatenate([*values, []])
+        return pd.Series(np.bincount(of, found, len(ids)))
+
+    return sums
+
+
+def _linear(model_bias: float, weights: Sequence[float], dense: str) -> Column:
+    total = F.when(F.size(dense) != len(weights), F.raise_error(F.lit("dense features and weights differ in length"))).otherwise(F.lit(float(model_bias)))
+    for i, weight in enumerate(weights):
+        total = total + F.col(dense)[i] * F.lit(float(weight))
+    return total
+
+
+def with_logit(rows: DataFrame, model: Model, dense: str = "dense_features", ids: str = "sparse_feature_ids", values: str = "sparse_feature_values", name: str = "raw_score") -> DataFrame:
+    """Adds the linear score: bias, dense weights and the weights of the active sparse ids (0 if unknown).
+
+    Every row is scored by itself whatever its keys and the number of weights: few weights are a
+    literal map, more are arrays that are broadcast, and more than ``BROADCAST_WEIGHTS`` a joined table."""
+    linear = _linear(model.bias, model.dense, dense)
+    if len(model.sparse) > BROADCAST_WEIGHTS:
+        return with_table_logit(rows, model.weights_table(rows.sparkSession), linear, ids, values, name)
+    if len(model.sparse) > MAP_WEIGHTS:
+        pairs = _pairs(ids, values)
+        found = _looked_up(rows.sparkSession, model.sparse)(F.transform(pairs, lambda p: p["id"]), F.transform(pairs, lambda p: p["value"]))
+        return rows.withColumn(name, linear + found)
+    if not model.sparse:
+        return rows.withColumn(name, linear)
+    table = F.create_map(*(F.lit(x) for pair in model.sparse.items() for x in pair))
+    weight = lambda p: F.coalesce(F.try_element_at(table, p["id"]), F.lit(0.0)) * p["value"]
+    return rows.withColumn(name, linear + F.aggregate(F.transform(_pairs(ids, values), weight), F.lit(0.0), lambda a, v: a + v))
+
+
+def with_table_logit(rows: DataFrame, weights: DataFrame, linear: Column | float = 0.0, ids: str = "sparse_feature_ids", values: str = "sparse_feature_values", name: str = "raw_score") -> DataFrame:
+    """``with_logit`` by a table (feature_id, weight) of any size.
+
+    Rows are numbered and written first, so that rows of equal or null keys stay apart; ids are distinct
+    by block of rows before they meet the weights, so an id that many rows hold is looked up once a block."""
+    numbered = scratch.stage(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    block = F.shiftright("__row", 14).alias("__block")
+    active = numbered.select("__row", block, F.explode(_pairs(ids, values)).alias("p")).select("__row", "__block", F.col("p.id").alias("feature_id"), F.col("p.value").alias("value"))
+    needed = active.select("__block", "feature_id").distinct().join(weights.select("feature_id", "weight"), "feature_id")
+    sums = active.join(needed, ["__block", "feature_id"]).groupBy("__row").agg(F.sum(F.col("value") * F.col("weight")).alias("__sparse"))
+    linear = linear if isinstance(linear, Column) else F.lit(float(linear))
+    return numbered.join(sums, "__row", "left").withColumn(name, linear + F.coalesce("__sparse", F.lit(0.0))).drop("__sparse", "__row")
 
 
 def with_probability(rows: DataFrame, model: Model, **names: str) -> DataFrame:

@@ -51,7 +51,8 @@ _BANDS = "VALUES " + ", ".join(
 _ROUTED = f"""{_SCORED}, bands(task_context, lo, hi, action, action_reason, threshold_value, review, positive) AS ({_BANDS}),
   routed AS (SELECT s.*, b.* EXCLUDE (task_context) FROM scored s JOIN bands b ON s.task_context = b.task_context AND s.p >= b.lo AND s.p < b.hi)"""
 _DECIDED = f"""{_ROUTED}, decided AS (SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN 'lost_' || prediction_id ELSE prediction_id END AS prediction_id),
-  CASE WHEN event_id % 7 <> 0 THEN label END AS realized_label, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 30 AS INTEGER) END AS outcome_delay_days FROM routed WHERE event_id % 10 <> 0)"""
+  CASE WHEN event_id % 7 <> 0 THEN label END AS realized_label, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 30 AS INTEGER) END AS outcome_delay_days,
+  CASE WHEN event_id % 11 <> 0 THEN p END AS cal, CASE WHEN event_id % 13 <> 0 THEN p * 0.9::DOUBLE + 0.02::DOUBLE END AS raw FROM routed WHERE event_id % 10 <> 0)"""
 _CONTACTS = """contacts AS (SELECT o.o_orderkey AS row_id, o.o_orderdate AS event_ts, CAST(o_orderstatus = 'F' AS INTEGER) AS label,
   18 + o_custkey % 60 AS age, c_mktsegment AS job, o_orderpriority AS marital, n_name AS education,
   CASE WHEN o.o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS "default", c_acctbal AS balance, CASE WHEN o_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS housing,
@@ -195,7 +196,8 @@ def sparse_score_join(spark, sf_dir):
     model = training.Model(-0.5, [], {i: (i % 17 - 8) / 10 for i in range(1024)})
     ids = C.hashed_tokens(C.sparse_tokens(DATASET.features), 1024)
     rows = tables.contacts(spark, sf_dir).select("row_id", ids.alias("sparse_feature_ids"), F.array_repeat(F.lit(1.0), 9).alias("sparse_feature_values"), F.array().cast("array<double>").alias("dense_features"))
-    return rounded(training.with_logit(rows, model, key="row_id"), "raw_score").select("row_id", (F.col("raw_score") + 0.0).alias("raw_score"))
+    scored = training.with_table_logit(rows, model.weights_table(spark), model.bias)
+    return rounded(scored, "raw_score").select("row_id", (F.col("raw_score") + 0.0).alias("raw_score"))
 
 
 @query(f"""WITH {_SCORED} SELECT task_context, count(*) AS example_count, round(sum(w * -(label * ln(p) + (1 - label) * ln(1 - p))) / sum(w), 6) AS log_loss, round(sum(w * (p - label) * (p - label)) / sum(w), 6) AS brier_score FROM scored GROUP BY 1""")
@@ -287,9 +289,16 @@ def latency_percentiles(spark, sf_dir):
 
 
 @query(f"""WITH {_DECIDED} SELECT count(*) AS decision_count, round(avg(review::INT), 6) AS manual_review_rate, round(avg((action = positive)::INT), 6) AS positive_action_rate, round(avg(outcome_delay_days), 6) AS mean_label_delay_days,
- round(quantile_cont(outcome_delay_days, 0.95), 6) AS p95_label_delay_days, count(DISTINCT prediction_id) AS linked_predictions FROM decided""")
+ round(quantile_cont(outcome_delay_days, 0.95), 6) AS p95_label_delay_days, count(DISTINCT prediction_id) AS linked_predictions,
+ (SELECT string_agg(action || '=' || n, ',' ORDER BY action) FROM (SELECT action, count(*) AS n FROM decided GROUP BY 1)) AS action_counts FROM decided""")
 def decision_log_summary(spark, sf_dir):
-    return rounded(monitoring.decision_summary(tables.decisions(spark, sf_dir)), "manual_review_rate", "positive_action_rate", "mean_label_delay_days", "p95_label_delay_days")
+    found = monitoring.decision_summary(tables.decisions(spark, sf_dir)).withColumn("action_counts", _listed("action_counts"))
+    return rounded(found, "manual_review_rate", "positive_action_rate", "mean_label_delay_days", "p95_label_delay_days")
+
+
+def _listed(counts: str):
+    """A map of counts as text, in order of its keys."""
+    return F.array_join(F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
 
 
 def _drift_rows(spark, sf_dir):
@@ -326,9 +335,11 @@ def link_rates(spark, sf_dir):
     return rounded(monitoring.links(_events(spark, sf_dir), tables.decisions(spark, sf_dir)), *names)
 
 
-@query(f"WITH {_DECIDED} SELECT count(*) FILTER (prediction_id IN (SELECT prediction_id FROM scored)) AS covered, count(*) AS decisions, round(avg((prediction_id IN (SELECT prediction_id FROM scored))::INT), 6) AS audit_log_coverage FROM decided")
+@query(f"WITH {_DECIDED} SELECT count(*) FILTER (prediction_id IN (SELECT prediction_id FROM scored)) AS covered, count(*) AS decisions, round(avg((prediction_id IN (SELECT prediction_id FROM scored))::INT), 6) AS audit_log_coverage FROM decided WHERE task_context = 'bank_marketing'")
 def audit_coverage(spark, sf_dir):
-    return rounded(monitoring.audit_coverage(_events(spark, sf_dir), tables.decisions(spark, sf_dir)), "audit_log_coverage")
+    """Of the decisions in the primary context."""
+    primary = monitoring.for_context(tables.decisions(spark, sf_dir), "bank_marketing")
+    return rounded(monitoring.audit_coverage(_events(spark, sf_dir), primary), "audit_log_coverage")
 
 
 @query(f"WITH {_DECIDED} SELECT d.prediction_id, d.action FROM decided d ANTI JOIN scored s USING (prediction_id)")
@@ -336,14 +347,16 @@ def unlinked_decisions(spark, sf_dir):
     return tables.decisions(spark, sf_dir).join(_events(spark, sf_dir).select("prediction_id"), "prediction_id", "left_anti").select("prediction_id", "action")
 
 
-_GOV = f"""{_DECIDED}, bins AS (SELECT task_context, least(CAST(floor(p * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(realized_label) AS obs FROM decided WHERE realized_label IS NOT NULL GROUP BY 1, 2),
- gov AS (SELECT d.task_context AS "group", count(*) AS decision_count, avg(review::INT) AS manual_review_rate, avg((action = positive)::INT) AS positive_action_rate, avg(p) AS mean_probability, any_value(e.ece) AS ece
+_GOV = f"""{_DECIDED}, bins AS (SELECT task_context, least(CAST(floor(cal * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(cal) AS mp, avg(realized_label) AS obs FROM decided WHERE realized_label IS NOT NULL AND cal IS NOT NULL GROUP BY 1, 2),
+ gov AS (SELECT d.task_context AS "group", count(*) AS decision_count, avg(review::INT) AS manual_review_rate, avg((action = positive)::INT) AS positive_action_rate, avg(cal) AS mean_probability, any_value(e.ece) AS ece
  FROM decided d JOIN (SELECT task_context, sum(abs(mp - obs) * n) / sum(n) AS ece FROM bins GROUP BY 1) e USING (task_context) GROUP BY 1)"""
 
 
-@query(f'WITH {_GOV} SELECT "group", decision_count, round(manual_review_rate, 6) AS manual_review_rate, round(positive_action_rate, 6) AS positive_action_rate, round(mean_probability, 6) AS mean_probability, round(ece, 6) AS ece FROM gov')
+@query(f"""WITH {_GOV} SELECT "group", decision_count, round(manual_review_rate, 6) AS manual_review_rate, round(positive_action_rate, 6) AS positive_action_rate, round(mean_probability, 6) AS mean_probability, round(ece, 6) AS ece,
+ (SELECT string_agg(action || '=' || n, ',' ORDER BY action) FROM (SELECT task_context, action, count(*) AS n FROM decided GROUP BY 1, 2) c WHERE c.task_context = "group") AS action_counts FROM gov""")
 def governance_by_group(spark, sf_dir):
-    return rounded(monitoring.governance(tables.decisions(spark, sf_dir)), "manual_review_rate", "positive_action_rate", "mean_probability", "ece")
+    found = monitoring.governance(tables.decisions(spark, sf_dir)).withColumn("action_counts", _listed("action_counts"))
+    return rounded(found, "manual_review_rate", "positive_action_rate", "mean_probability", "ece")
 
 
 @query(f"WITH {_GOV} SELECT round(max(ece) - min(ece), 6) AS subgroup_calibration_gap, round(max(positive_action_rate) - min(positive_action_rate), 6) AS approval_rate_gap FROM gov")
@@ -351,16 +364,15 @@ def governance_gaps(spark, sf_dir):
     return rounded(monitoring.governance_gaps(monitoring.governance(tables.decisions(spark, sf_dir))), "subgroup_calibration_gap", "approval_rate_gap")
 
 
-_KINDS = "SELECT 'calibrated' AS kind, p AS q, y FROM live UNION ALL SELECT 'raw', p * 0.9::DOUBLE + 0.02::DOUBLE, y FROM live"
+_LIVE = "live AS (SELECT cal, raw, realized_label AS y FROM decided WHERE task_context = 'bank_marketing' AND realized_label IS NOT NULL AND cal IS NOT NULL)"
 
 
-@query(f"""WITH {_DECIDED}, live AS (SELECT s.p, d.realized_label AS y FROM decided d JOIN scored s USING (prediction_id) WHERE d.realized_label IS NOT NULL), k AS ({_KINDS}),
+@query(f"""WITH {_DECIDED}, {_LIVE}, k AS (SELECT 'calibrated' AS kind, cal AS q, y FROM live UNION ALL SELECT 'raw', raw, y FROM live WHERE raw IS NOT NULL),
  b AS (SELECT kind, least(CAST(floor(q * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(q) AS mp, avg(y) AS obs FROM k GROUP BY 1, 2), e AS (SELECT kind, sum(abs(mp - obs) * n) / sum(n) AS ece FROM b GROUP BY 1)
  SELECT kind, count(*) AS example_count, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss, round(any_value(ece), 6) AS ece, round(avg(y), 6) AS positive_rate, round(avg(q), 6) AS mean_prediction FROM k JOIN e USING (kind) GROUP BY 1""")
 def live_metrics(spark, sf_dir):
-    """Of the calibrated and of the raw probabilities."""
-    predictions = _events(spark, sf_dir).withColumn("raw", F.col("calibrated_score") * 0.9 + 0.02)
-    found = monitoring.live_metrics(monitoring.live_rows(predictions, tables.decisions(spark, sf_dir), "raw"))
+    """Of the calibrated and of the raw probabilities that the decisions of the primary context carry."""
+    found = monitoring.live_metrics(monitoring.live_rows(tables.decisions(spark, sf_dir), "bank_marketing"))
     return rounded(found.select("kind", "example_count", "log_loss", "ece", "positive_rate", "mean_prediction"), "log_loss", "ece", "positive_rate", "mean_prediction")
 
 
@@ -385,7 +397,7 @@ _DRIFT = f"""{_DENSE}, dense_long AS (SELECT round(balance, 9) > 8 AS live, unne
  {_PSI.format(bins=32).replace("lim AS", "s_lim AS").replace("FROM long", "FROM sparse_long").replace("JOIN lim", "JOIN s_lim").replace("binned", "s_binned").replace("psi AS (", "s_psi AS (")}"""
 _ALERTS = f"""vals AS (SELECT 0 AS place, 'prediction_p95_latency_ms' AS metric, quantile_cont(latency_ms, 0.95) AS value, 10.0::DOUBLE AS threshold FROM scored
  UNION ALL SELECT 1, 'max_dense_psi', (SELECT max(psi) FROM d_psi), 0.2 UNION ALL SELECT 2, 'sparse_bucket_psi', (SELECT psi FROM s_psi), 0.2
- UNION ALL SELECT 3, 'live_primary_calibrated_metrics.ece', (SELECT sum(abs(mp - obs) * n) / sum(n) FROM (SELECT least(CAST(floor(s.p * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(s.p) AS mp, avg(d.realized_label) AS obs FROM decided d JOIN scored s USING (prediction_id) WHERE d.realized_label IS NOT NULL GROUP BY 1)), 0.03
+ UNION ALL SELECT 3, 'live_primary_calibrated_metrics.ece', (SELECT sum(abs(mp - obs) * n) / sum(n) FROM (SELECT least(CAST(floor(cal * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(cal) AS mp, avg(realized_label) AS obs FROM decided WHERE task_context = 'bank_marketing' AND realized_label IS NOT NULL AND cal IS NOT NULL GROUP BY 1)), 0.03
  UNION ALL SELECT 4, 'manual_review_rate', (SELECT avg(review::INT) FROM decided), 0.85 UNION ALL SELECT 5, 'subgroup_calibration_gap', (SELECT max(ece) - min(ece) FROM gov), 0.05
  UNION ALL SELECT 6, 'approval_rate_gap', (SELECT max(positive_action_rate) - min(positive_action_rate) FROM gov), 0.05),
  fired AS (SELECT * FROM vals WHERE value > threshold UNION ALL SELECT 7, 'audit_log_coverage', linked / predictions, 0.99 FROM l, n WHERE linked / predictions < 0.99)"""

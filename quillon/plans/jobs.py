@@ -82,7 +82,7 @@ def calibrate_and_route(rows: DataFrame, model: training.Model, contexts: Sequen
     decided = policy.simulate(calibrated.drop("task_context"), contexts).withColumns(
         {"decision_id": F.concat(F.lit("decision_"), F.col("event_id")), "prediction_id": F.concat(F.lit("prediction_"), F.col("event_id")), "realized_label": F.col("label"),
          "decision_ts": F.col("event_ts"), "decision_date": F.to_date("event_ts"), "realized_value": F.lit(None).cast("double"),
-         "outcome_delay_days": F.datediff("label_ts", "event_ts")}
+         "outcome_delay_days": F.datediff("label_ts", "event_ts"), "calibrated_probability": F.col("probability")}
     )
     summary = policy.summarise(decided, ("split", "task_context"))
     if out:
@@ -116,19 +116,41 @@ def load_bundle(spark: SparkSession, model_path: str, calibration_path: str) ->
     """Reads both artifacts back; a calibrator of another model, feature set or context is an error."""
     model = training.Model.from_json(json.dumps(files.read_document(spark, model_path)))
     selection = calibration.Selection.from_json(json.dumps(files.read_document(spark, calibration_path)))
-    for name in ("model_version", "feature_set_version", "task_context"):
-        if getattr(model, name) != getattr(selection, name):
-            raise ValueError(f"{name} of the model is {getattr(model, name)!r}, of the calibrator {getattr(selection, name)!r}")
+    check_versions(model, selection)
     return Bundle(model, selection)
 
 
-def monitor(predictions: DataFrame, decisions: DataFrame, dense: DataFrame, sparse: DataFrame, context: str | None = None, thresholds: AlertThresholds = AlertThresholds()) -> dict[str, DataFrame]:
-    """All summaries of the logs; ``dense`` and ``sparse`` are results of ``drift``."""
-    if context:
-        predictions, decisions = monitoring.for_context(predictions, context), monitoring.for_context(decisions, context)
+def check_versions(model: training.Model, selection: calibration.Selection, trained: dict | None = None) -> None:
+    """A calibrator of another model, feature set or context is an error, as is a metrics document
+    without those of the validation split."""
+    for name in ("model_version", "feature_set_version", "task_context"):
+        if getattr(model, name) != getattr(selection, name):
+            raise ValueError(f"{name} of the model is {getattr(model, name)!r}, of the calibrator {getattr(selection, name)!r}")
+    if trained is not None and not trained.get("validation"):
+        raise ValueError("the metrics of the model lack those of the validation split")
+
+
+def monitor(
+    predictions: DataFrame,
+    decisions: DataFrame,
+    dense: DataFrame,
+    sparse: DataFrame,
+    context: str | None = None,
+    thresholds: AlertThresholds = AlertThresholds(),
+    bundle: Bundle | None = None,
+    trained: dict | None = None,
+) -> dict[str, DataFrame]:
+    """All summaries of the logs; ``dense`` and ``sparse`` are results of ``drift``.
+
+    The primary context (that of the bundle's model, unless named) confines live metrics and audit coverage;
+    all other summaries are of the whole logs.  With a bundle its versions are checked first."""
+    if bundle is not None:
+        check_versions(bundle.model, bundle.selection, trained)
+        context = context or bundle.model.task_context
     # Every summary reads the logs: they are joined and narrowed once.
     predictions, decisions = scratch.stage(predictions, "predictions"), scratch.stage(decisions, "decisions")
-    live = monitoring.live_rows(predictions, decisions, "raw_probability" if "raw_probability" in predictions.columns else None)
+    primary = monitoring.for_context(decisions, context) if context else decisions
+    live = monitoring.live_rows(primary)
     groups = monitoring.governance(decisions)
     made = {
         "predictions": monitoring.prediction_summary(predictions),
@@ -138,7 +160,7 @@ def monitor(predictions: DataFrame, decisions: DataFrame, dense: DataFrame, spar
         "governance": groups,
         "gaps": monitoring.governance_gaps(groups),
         "links": monitoring.links(predictions, decisions),
-        "coverage": monitoring.audit_coverage(predictions, decisions),
+        "coverage": monitoring.audit_coverage(predictions, primary),
     }
     wide = (
         made["predictions"].select(F.col("p95_latency_ms").alias("prediction_p95_latency_ms"))
@@ -161,7 +183,12 @@ def calibration_snapshot(live: DataFrame, baseline: dict[str, float]) -> DataFra
 
 
 def rank_candidates(rows: DataFrame, model: training.Model, calibrator, source: str = "score", config: RankingConfig = RankingConfig()) -> dict[str, DataFrame]:
-    """Stage-one scores, a reranker trained on the hybrid features, ranks, shortlist and metrics."""
+    """Stage-one scores, a reranker trained on the hybrid features, ranks, shortlist and metrics.
+
+    ``calibrator`` may be a selection: then its versions must be those of the model, and it tells what it reads."""
+    if isinstance(calibrator, calibration.Selection):
+        check_versions(model, calibrator)
+        calibrator, source = calibrator.calibrator, calibrator.source
     scored = training.with_probability(rows, model)
     staged = scored.withColumns(
         {"stage1_raw_score": F.col("raw_score"), "stage1_probability": F.col("probability"), "stage1_calibrated_probability": calibrator.apply(F.col("raw_score" if source == "score" else "probability"))}
@@ -188,5 +215,5 @@ def run_all(spark: SparkSession, raw_path: str, out: str, dataset_config: Datase
     model, history = train_model(rows, training_config, f"{out}/model")
     chosen, decided, summary = calibrate_and_route(rows, model, out=f"{out}/calibration")
     bundle = load_bundle(spark, f"{out}/model/model.json", f"{out}/calibration/calibration.json")
-    ranked = rank_candidates(rows, bundle.model, bundle.calibrator, bundle.selection.source)
+    ranked = rank_candidates(rows, bundle.model, bundle.selection)
     return {"model": model, "history": history, "selection": chosen, "summary": summary, "ranking": ranked}

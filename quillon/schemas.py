@@ -41,7 +41,7 @@ PREDICTION_LOG = _struct(
 DECISION_OUTCOME = _struct(
     ("decision_id", _S), ("decision_date", T.DateType()), ("decision_ts", T.TimestampType()), ("prediction_id", _S), ("task_context", _S),
     ("action", _S), ("action_reason", _S), ("threshold_value", _D), ("manual_review_required", _B), ("realized_label", _I),
-    ("realized_value", _D), ("outcome_delay_days", _I),
+    ("realized_value", _D), ("outcome_delay_days", _I), ("calibrated_probability", _D), ("raw_probability", _D),
 )
 REQUEST_FEATURES = [name for name in RAW_COLUMNS if name != "y"]
 REQUEST = _struct(

@@ -49,10 +49,12 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision for nine of ten predictions, the label where it is known, and some without a prediction."""
+    """A decision for nine of ten predictions, the label where it is known, some without a prediction and
+    some that carry no probability."""
     events = scored_events(spark, sf_dir).filter("event_id % 10 <> 0")
     decided = decide(events).withColumns({
         "prediction_id": F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("lost_"), F.col("prediction_id"))).otherwise(F.col("prediction_id")),
         "realized_label": F.when(F.col("event_id") % 7 != 0, F.col("label")), "outcome_delay_days": F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 30).cast("int")),
+        "calibrated_probability": F.when(F.col("event_id") % 11 != 0, F.col("probability")), "raw_probability": F.when(F.col("event_id") % 13 != 0, F.col("probability") * 0.9 + 0.02),
     })
     return decided.withColumn("decision_id", F.concat(F.lit("decision_"), F.col("event_id").cast("string")))

@@ -37,9 +37,9 @@ def predict(requests: DataFrame, model: training.Model, calibrator, source: str
             F.when(~F.col("has_features") & F.col("calibrated_probability").isNull(), "features or calibrated_probability required"),
         ),
     )
-    scored = training.with_probability(look_up_features(parsed, config), model, key="request_id")
+    scored = training.with_probability(look_up_features(parsed, config), model)
     own = calibrator.apply(F.col("raw_score" if source == "score" else "probability"))
-    routed = scored.withColumn("probability", F.coalesce("calibrated_probability", F.when(F.col("has_features"), own)))
+    routed = scored.withColumns({"raw_probability": F.when(F.col("has_features"), F.col("probability")), "probability": F.coalesce("calibrated_probability", F.when(F.col("has_features"), own))})
     good = policy.decide(routed.withColumn("task_context", F.when(F.col("error").isNull(), F.col("task_context")).otherwise(F.lit("bank_marketing"))))
     blank = {c: F.when(F.col("error").isNull(), F.col(c)) for c in ("action", "action_reason", "threshold_value", "manual_review_required", "decision_policy_version")}
     return good.withColumns(blank | {"prediction_id": F.concat(F.lit("prediction_"), F.col("event_id")), "decision_id": F.concat(F.lit("decision_"), F.col("event_id"))})
@@ -61,7 +61,7 @@ def prediction_log(rows: DataFrame, model: training.Model, config: FeatureConfig
 
 def decision_log(rows: DataFrame) -> DataFrame:
     ts = F.col("event_ts").cast("timestamp")
-    return rows.filter("error is null").withColumns({"decision_ts": ts, "decision_date": F.to_date(ts), "outcome_delay_days": F.lit(None).cast("int")}).select(*schemas.DECISION_OUTCOME.names)
+    return rows.filter("error is null").withColumns({"decision_ts": ts, "decision_date": F.to_date(ts), "outcome_delay_days": F.lit(None).cast("int"), "calibrated_probability": F.col("probability")}).select(*schemas.DECISION_OUTCOME.names)
 
 
 def serve(spark: SparkSession, folder: str, out: str, checkpoint: str, model: training.Model, calibrator, source: str = "score", config: FeatureConfig = FeatureConfig()):

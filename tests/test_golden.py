@@ -4,6 +4,7 @@ import bisect
 import json
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -358,14 +359,60 @@ def test_summary_rates_unweighted_and_weighted(spark):
     assert math.isclose(found.mean_prediction, 1.7 / 4) and math.isclose(found.weighted_mean_score, (2.7 + 0.2 + 0.4 + 0.2) / 6)
 
 
-def test_live_metrics_of_raw_probabilities(spark):
-    predictions = spark.createDataFrame([("p1", 0.9, 0.8), ("p2", 0.2, None), ("p3", 0.6, 0.5)], "prediction_id string, calibrated_score double, raw double")
-    decisions = spark.createDataFrame([("p1", 1), ("p2", 0), ("p3", None), ("p4", 1)], "prediction_id string, realized_label int")
-    found = {r.kind: r for r in monitoring.live_metrics(monitoring.live_rows(predictions, decisions, "raw")).collect()}
-    assert found["calibrated"].example_count == 2 and found["raw"].example_count == 1
-    assert math.isclose(found["raw"].log_loss, -math.log(0.8)) and math.isclose(found["calibrated"].log_loss, -(math.log(0.9) + math.log(0.8)) / 2)
-    only = monitoring.live_metrics(monitoring.live_rows(predictions, decisions)).collect()
-    assert [r.kind for r in only] == ["calibrated"]
+def test_live_metrics_are_those_of_the_decisions(spark):
+    """Three labelled decisions; the log has one of them twice and has lost another."""
+    schema = "prediction_id string, task_context string, action string, manual_review_required boolean, realized_label int, outcome_delay_days int, calibrated_probability double, raw_probability double"
+    rows = [
+        ("p1", "bank_marketing", "target", False, 1, 1, 0.9, 0.8), ("p2", " Bank_Marketing", "suppress", False, 0, 2, 0.2, None), ("p3", "bank_marketing", "target", True, 1, None, 0.6, 0.5),
+        ("p4", "bank_marketing", None, False, None, None, 0.7, 0.6), ("p5", "bank_marketing", "target", False, 1, None, None, 0.6), ("p6", "loan_policy", "approve", True, 0, None, 0.4, 0.4),
+    ]
+    decisions = spark.createDataFrame(rows, schema)
+    found = {r.kind: r for r in monitoring.live_metrics(monitoring.live_rows(decisions, "bank_marketing")).collect()}
+    assert found["calibrated"].example_count == 3 and found["raw"].example_count == 2
+    assert math.isclose(found["calibrated"].log_loss, -(math.log(0.9) + math.log(0.8) + math.log(0.6)) / 3)
+    assert math.isclose(found["raw"].log_loss, -(math.log(0.8) + math.log(0.5)) / 2)
+    assert [r.kind for r in monitoring.live_metrics(monitoring.live_rows(decisions, "bank_marketing", raw=None).drop("raw_probability")).collect()] == ["calibrated"]
+    predictions = spark.createDataFrame([("p1", 1.0), ("p1", 1.0), ("p2", 2.0)], "prediction_id string, latency_ms double")
+    dense, sparse = spark.createDataFrame([(0.1,)], "psi double"), spark.createDataFrame([(0.0,)], "psi double")
+    model = training.Model(0.0, [], model_version="m1", task_context="bank_marketing")
+    chosen = calibration.Selection(calibration.Platt(1.0, 0.0), "platt", "validation_ece", {}, model_version="m1", task_context="bank_marketing")
+    made = jobs.monitor(predictions, decisions, dense, sparse, bundle=jobs.Bundle(model, chosen), trained={"validation": {"ece": 0.1}})
+    # Live metrics and coverage are of the primary context, the other summaries of the whole logs.
+    assert made["live"].filter("kind = 'calibrated'").first().example_count == 3
+    assert (made["coverage"].first().covered, made["coverage"].first().decisions) == (2, 5)
+    summary = made["decisions"].first()
+    assert summary.decision_count == 6 and summary.action_counts == {"target": 3, "suppress": 1, "approve": 1, "unknown": 1}
+    groups = {r.group: r for r in made["governance"].collect()}
+    assert groups["bank_marketing"].action_counts == {"target": 3, "unknown": 1} and groups["loan_policy"].decision_count == 1
+    assert math.isclose(groups["bank_marketing"].mean_probability, (0.9 + 0.6 + 0.7) / 3)
+    with pytest.raises(ValueError, match="model_version"):
+        jobs.monitor(predictions, decisions, dense, sparse, bundle=jobs.Bundle(replace(model, model_version="m2"), chosen))
+    with pytest.raises(ValueError, match="validation"):
+        jobs.check_versions(model, chosen, {})
+    with pytest.raises(ValueError, match="task_context"):
+        jobs.rank_candidates(predictions, replace(model, task_context="loan_policy"), chosen)
+
+
+@pytest.mark.parametrize("count", [200, 300])
+def test_scores_do_not_depend_on_keys_or_on_the_number_of_weights(spark, count):
+    """Repeated and null keys, unknown, null and unpaired features, with a map, with arrays and with a joined table."""
+    rows = [("r1", [1.0], [5], [1.0]), ("r1", [1.0], [5], [1.0]), (None, [1.0], [6, 5], [2.0, 0.5]), ("r2", [0.0], [10_000, None], [1.0, 1.0]), (None, [0.0], [], []), ("r3", [2.0], None, None), ("r4", [0.0], [7, 7], [None, 1.0]), ("r5", [0.0], [8, 9], [1.0])]
+    frame = spark.createDataFrame(rows, "training_row_id string, dense_features array<double>, sparse_feature_ids array<long>, sparse_feature_values array<double>").repartition(3)
+    model = training.Model(0.5, [0.25], {i: i / 100 for i in range(count)})
+    expected = sorted((str(k), round(0.5 + 0.25 * d[0] + sum((i or 0) / 100 * (v or 0) for i, v in zip(ids or [], values or []) if i is not None and i < count), 9)) for k, d, ids, values in rows)
+    one = training.with_logit(frame, model)
+    linear = F.lit(0.5) + F.col("dense_features")[0] * 0.25
+    for found in (one, training.with_table_logit(frame, model.weights_table(spark), linear)):
+        assert sorted((str(r.training_row_id), round(r.raw_score, 9)) for r in found.collect()) == expected
+    assert training.with_logit(frame.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("count", [1, 32, 33, 500])
+def test_a_null_score_has_no_step(spark, count):
+    frame = spark.createDataFrame([(1, None), (2, 0.0), (3, 9.0)], "i int, s double")
+    steps = [k / count for k in range(count)]
+    found = dict(frame.select("i", C.step_lookup(F.col("s"), steps, [v / 2 + 0.1 for v in steps])).collect())
+    assert found[1] is None and found[2] == 0.1 and found[3] == steps[-1] / 2 + 0.1
 
 
 def test_percentiles_by_group(spark):
