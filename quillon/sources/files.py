@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import LABEL, RAW_COLUMNS, AlertThresholds
-from . import scratch
+from . import quoted, scratch
 
 
 # Delimited raw files
@@ -22,14 +22,15 @@ def read_raw_csv(spark: SparkSession, path: str, on_error: str = "raise", quoted
     width or with a label other than yes/no is an error, or with ``on_error='quarantine'`` keeps its
     place with ``is_bad`` set.  Empty cells are null.
 
-    Cells may hold quoted line breaks, for which each file must be read by one task; files without
-    such cells are split among tasks with ``quoted_breaks`` False."""
-    raw = (
-        spark.read.schema(schemas.RAW_FILE)
-        .options(sep=";", header=False, multiLine=quoted_breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", encoding="UTF-8")
-        .csv(path)
-        .withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()})
-    )
+    Cells may hold quoted line breaks: records are found by a scan that many tasks share (``quoted``).
+    Files without such cells are read faster with ``quoted_breaks`` False."""
+    options = {"sep": ";", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    if quoted_breaks:
+        found = quoted.read_records(spark, path).filter(F.trim("record") != "")
+        raw = found.select(F.from_csv("record", schemas.RAW_FILE.toDDL(), options).alias("r"), F.struct("file", "split", "at").alias("__at")).select("r.*", "__at")
+    else:
+        raw = spark.read.schema(schemas.RAW_FILE).options(header=False, encoding="UTF-8", **options).csv(path)
+        raw = raw.withColumn("__at", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")))
     text = {c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("")) for c in RAW_COLUMNS}
     rows = raw.withColumns(text)
     header = F.lit(True)
@@ -39,11 +40,11 @@ def read_raw_csv(spark: SparkSession, path: str, on_error: str = "raise", quoted
     kept = rows.filter(~header & ~blank)
     label = F.when(F.lower(LABEL) == "yes", 1).when(F.lower(LABEL) == "no", 0)
     bad = F.col("_corrupt").isNotNull() | label.isNull()
-    numbered = with_row_id(kept, ["__file", "__at"])
+    numbered = with_row_id(kept, ["__at"])
     if on_error == "quarantine":
-        return numbered.withColumns({"label": label, "is_bad": bad}).drop("_corrupt", "__file", "__at")
+        return numbered.withColumns({"label": label, "is_bad": bad}).drop("_corrupt", "__at")
     message = F.concat(F.lit("bad row: "), F.coalesce("_corrupt", F.concat(F.lit("label "), F.coalesce(F.col(LABEL), F.lit("null")))))
-    return numbered.withColumn("label", F.when(bad, F.raise_error(message)).otherwise(label)).drop("_corrupt", "__file", "__at")
+    return numbered.withColumn("label", F.when(bad, F.raise_error(message)).otherwise(label)).drop("_corrupt", "__at")
 
 
 def count_raw_rows(spark: SparkSession, path: str) -> int:
