@@ -11,10 +11,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, DatasetConfig, FeatureConfig, TrainingConfig
+from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, RAW_COLUMNS, DatasetConfig, FeatureConfig, TrainingConfig
 from ..functions import columns as C
-from ..operators import calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, training
-from ..sources import scratch, tables
+from ..operators import calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, steps, training
+from ..sources import files, scratch, tables
 from ..streaming import serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,23 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.contacts(spark, sf_dir).select("row_id", "label", *C.dense_columns(DATASET.features))
 
 
+# Files
+@query(f"""WITH {_CONTACTS} SELECT row_id, CASE row_id % 4 WHEN 0 THEN job || chr(10) || '"' || marital || '";' WHEN 1 THEN ';' || job || chr(10) || chr(10) || ';' ELSE job END AS job,
+ CASE WHEN row_id % 3 = 0 THEN education || '"' || chr(10) || contact ELSE education END AS education, poutcome, label FROM contacts""")
+def quoted_csv(spark, sf_dir):
+    """Contacts written as files whose cells hold separators, quotes and line breaks, and read back by the scan of quoted breaks."""
+    rows = tables.contacts(spark, sf_dir)
+    broken = F.concat("job", F.lit('\n"'), "marital", F.lit('";'))
+    odd = {
+        "balance": F.col("row_id").cast("string"), "y": F.when(F.col("label") == 1, "yes").otherwise("no"),
+        "job": F.when(F.col("row_id") % 4 == 0, broken).when(F.col("row_id") % 4 == 1, F.concat(F.lit(";"), "job", F.lit("\n\n;"))).otherwise(F.col("job")),
+        "education": F.when(F.col("row_id") % 3 == 0, F.concat("education", F.lit('"\n'), "contact")).otherwise(F.col("education")),
+    }
+    path = scratch.new_path(spark, "contacts")
+    rows.withColumns(odd).select(*RAW_COLUMNS).write.csv(path, sep=";", quote='"', escape='"', quoteAll=True)
+    return files.read_raw_csv(spark, path).select(F.col("balance").cast("long").alias("row_id"), "job", "education", "poutcome", "label")
+
+
 # Decisions
 @query(f"""WITH {_ROUTED} SELECT task_context, action, count(*) AS decision_count, round(avg(review::INT), 6) AS manual_review_rate, round(sum(label) / count(*), 6) AS positive_rate,
  round(avg(p), 6) AS mean_probability, round(avg((action = positive)::INT), 6) AS positive_action_rate FROM routed GROUP BY GROUPING SETS ((task_context, action), (task_context))""")
@@ -244,10 +261,20 @@ _ISO = f"""{_SCORED}, g AS (SELECT p, sum(CASE WHEN label = 1 THEN w ELSE 0 END)
 
 @query(f"WITH {_ISO} SELECT round(p, 6) AS score, round(value, 6) AS value FROM fit")
 def isotonic_fit(spark, sf_dir):
-    """The fitted step function at every distinct score."""
+    """The fitted step function at every distinct score; its blocks stay in a table that the scores are joined to."""
     groups = metrics.score_groups(_events(spark, sf_dir))
-    fitted = calibration.fit_isotonic(groups)
-    return rounded(groups.select("score", fitted.apply(F.col("score")).alias("value")), "score", "value")
+    found = steps.asof_join(groups.select("score"), calibration.isotonic_table(groups), name="value")
+    return rounded(found, "score", "value")
+
+
+@query("""WITH s AS (SELECT c_acctbal::DOUBLE AS upper, max(c_custkey) AS value FROM customer GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 <> 0 THEN round(l_extendedprice / 10, 1)::DOUBLE - 800 END AS score FROM lineitem)
+ SELECT l_orderkey, l_linenumber, CASE WHEN score IS NOT NULL THEN coalesce(s.value, (SELECT arg_max(value, upper) FROM s))::DOUBLE END AS value FROM l ASOF LEFT JOIN s ON l.score <= s.upper""")
+def asof_step_join(spark, sf_dir):
+    """Every line item with the first balance that is not below its price; ties, nulls and prices above the last balance among them."""
+    ladder = tables.table(spark, sf_dir, "customer").groupBy(F.col("c_acctbal").cast("double").alias("upper")).agg(F.max("c_custkey").alias("value"))
+    price = F.when(F.col("l_linenumber") % 5 != 0, F.round(F.col("l_extendedprice") / 10, 1).cast("double") - 800)
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("score"))
+    return steps.asof_join(rows, ladder).drop("score")
 
 
 @query(f"""WITH RECURSIVE {_SCORED}, g AS MATERIALIZED (SELECT ln(p) - ln(1 - p) AS s, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM scored GROUP BY 1),

@@ -78,7 +78,8 @@ def calibrate_and_route(rows: DataFrame, model: training.Model, contexts: Sequen
     scored = training.with_probability(rows.filter("split <> 'train'"), model).withColumnRenamed("sample_weight", "weight").withColumn("score", F.col("raw_score"))
     stamps = {c: getattr(model, c) for c in ("model_version", "feature_set_version", "task_context")}
     chosen = calibration.select(scored.filter("split = 'validation'"), metric=metric, **stamps)
-    calibrated = scored.withColumns({"raw_probability": F.col("probability"), "probability": chosen.calibrator.apply(F.col(chosen.source))})
+    calibrated = calibration.calibrated(scored, chosen.calibrator, chosen.source, "__calibrated")
+    calibrated = calibrated.withColumns({"raw_probability": F.col("probability"), "probability": F.col("__calibrated")}).drop("__calibrated")
     decided = policy.simulate(calibrated.drop("task_context"), contexts).withColumns(
         {"decision_id": F.concat(F.lit("decision_"), F.col("event_id")), "prediction_id": F.concat(F.lit("prediction_"), F.col("event_id")), "realized_label": F.col("label"),
          "decision_ts": F.col("event_ts"), "decision_date": F.to_date("event_ts"), "realized_value": F.lit(None).cast("double"),
@@ -108,7 +109,7 @@ class Bundle:
     selection: calibration.Selection
 
     @property
-    def calibrator(self) -> calibration.Platt | calibration.Isotonic:
+    def calibrator(self) -> calibration.Platt | calibration.Isotonic | calibration.StepTable:
         return self.selection.calibrator
 
 
@@ -189,9 +190,9 @@ def rank_candidates(rows: DataFrame, model: training.Model, calibrator, source:
     if isinstance(calibrator, calibration.Selection):
         check_versions(model, calibrator)
         calibrator, source = calibrator.calibrator, calibrator.source
-    scored = training.with_probability(rows, model)
+    scored = calibration.calibrated(training.with_probability(rows, model), calibrator, "raw_score" if source == "score" else "probability", "stage1_calibrated_probability")
     staged = scored.withColumns(
-        {"stage1_raw_score": F.col("raw_score"), "stage1_probability": F.col("probability"), "stage1_calibrated_probability": calibrator.apply(F.col("raw_score" if source == "score" else "probability"))}
+        {"stage1_raw_score": F.col("raw_score"), "stage1_probability": F.col("probability")}
         | {name: F.col("dense_features")[i] for i, name in enumerate(DENSE_FEATURES)}
     )
     hybrid = ranking.with_hybrid_features(staged).withColumn("dense_features", F.array(*ranking.HYBRID_FEATURES))

@@ -37,3 +37,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the folder of a table that ``stage`` returned; tables elsewhere stay."""
+    spark = table.sparkSession
+    own = shared_dir(spark).rpartition("/")[2]
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        if folder.split("/")[-2] == own:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import POLICIES, FeatureConfig
 from ..functions import columns as C
-from ..operators import policy, training
+from ..operators import calibration, policy, training
 from ..sources import files, scratch
 
 
@@ -38,8 +38,9 @@ def predict(requests: DataFrame, model: training.Model, calibrator, source: str
         ),
     )
     scored = training.with_probability(look_up_features(parsed, config), model)
-    own = calibrator.apply(F.col("raw_score" if source == "score" else "probability"))
-    routed = scored.withColumns({"raw_probability": F.when(F.col("has_features"), F.col("probability")), "probability": F.coalesce("calibrated_probability", F.when(F.col("has_features"), own))})
+    scored = calibration.calibrated(scored, calibrator, "raw_score" if source == "score" else "probability", "__own")
+    own = F.when(F.col("has_features"), F.col("__own"))
+    routed = scored.withColumns({"raw_probability": F.when(F.col("has_features"), F.col("probability")), "probability": F.coalesce("calibrated_probability", own)}).drop("__own")
     good = policy.decide(routed.withColumn("task_context", F.when(F.col("error").isNull(), F.col("task_context")).otherwise(F.lit("bank_marketing"))))
     blank = {c: F.when(F.col("error").isNull(), F.col(c)) for c in ("action", "action_reason", "threshold_value", "manual_review_required", "decision_policy_version")}
     return good.withColumns(blank | {"prediction_id": F.concat(F.lit("prediction_"), F.col("event_id")), "decision_id": F.concat(F.lit("decision_"), F.col("event_id"))})
