@@ -6,7 +6,9 @@ import hashlib
 from collections.abc import Sequence
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,14 +90,19 @@ def hash_token(token: str, dimension: int) -> int:
 
 
 def hashed_tokens(tokens: Column, dimension: int) -> Column:
-    """Feature ids of an array of tokens.  Spark has no BLAKE2b; tokens come in Arrow batches and
-    each worker remembers those it has hashed, so there is no shuffle and little hashing."""
+    """Feature ids of an array of tokens.  Spark has no BLAKE2b; each Arrow batch is reduced to its distinct
+    tokens, only these are hashed, and the ids are taken by their places."""
     if dimension <= 0:
         raise ValueError("dimension must be positive")
 
-    @F.pandas_udf("array<long>")
-    def ids(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda row: None if row is None else [hash_token(t, dimension) for t in row])
+    @F.arrow_udf("array<long>")
+    def ids(batch: pa.Array) -> pa.Array:
+        found = batch.flatten().dictionary_encode()
+        hashed = pa.array([None if t is None else hash_token(t, dimension) for t in found.dictionary.to_pylist()], pa.int64())
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch), 0).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        flat = hashed.take(found.indices)
+        return pa.ListArray.from_arrays(offsets, flat, mask=batch.is_null())
 
     return ids(tokens)
 

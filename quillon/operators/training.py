@@ -1,6 +1,6 @@
 """Logistic regression on dense and hashed sparse features.
 
-``train_all`` fits any number of configurations together.  Rows are dealt by hash into shards of
+``fit_all`` fits any number of configurations together (``fit_table``, in ``weight_table``, one of any size).  Rows are dealt by hash into shards of
 bounded size.  In each epoch every shard starts from the common model, walks through its rows in
 mini-batches (steps of plain or per-coordinate rates, penalties, either loss) and hands back by how
 much each weight has moved; the moves are averaged by rows in Spark.  With one shard and batches of
@@ -21,9 +21,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import TrainingConfig
 from ..functions.columns import sigmoid
@@ -250,6 +251,29 @@ def _factors(n: int, positives: int, config: TrainingConfig) -> tuple[float, flo
     return zero, one
 
 
+def shard_moves(
+    number: int, train: _Shard, validation: _Shard, w: np.ndarray, squares: np.ndarray, config: TrainingConfig, boot: bool, factors: tuple[float, float], epoch: int, last: bool, batch: int | None
+) -> list[tuple]:
+    """(places, first, second) of one configuration in one shard: the losses of the model it starts from and, but for the
+    last pass, its moves."""
+    own = np.random.default_rng([config.seed, number, 1]).poisson(1.0, len(train.labels)) if boot else np.ones(len(train.labels))
+    out = []
+    for what, rows, weights in ((ON_TRAIN, train, train.weights * own), (ON_VALIDATION, validation, validation.weights)):
+        if len(rows.labels):
+            p = _sigmoid(_raw(rows, w, slice(None))[0])
+            out.append(([what], [float(weights @ _cross_entropy(rows.labels, p))], [float(weights.sum())]))
+    n = len(train.labels)
+    if last or not n:
+        return out
+    order = np.random.default_rng([config.seed + epoch, number]).permutation(n) if config.shuffle else np.arange(n)
+    order = order[own[order] > 0]
+    moved, moved_squares = w.copy(), squares.copy()
+    weights = train.weights * own * np.where(train.labels == 1, factors[1], factors[0])
+    loss, weight = walk(train, weights, order, moved, moved_squares, config, batch or max(1, len(order)))
+    at = np.flatnonzero((moved != w) | (moved_squares != squares))
+    return [*out, (at, (moved - w)[at] * n, (moved_squares - squares)[at] * n), ([ON_THE_WAY], [loss], [weight])]
+
+
 def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live: list[int], configs: list[TrainingConfig], boot: list[bool], factors: list[tuple[float, float]], ids: np.ndarray, d: int, epoch: int, last: bool, batch: int | None) -> DataFrame:
     """(config, place, first, second): moves of weights and squares times rows, and losses with weights."""
     shared = sharded.sparkSession.sparkContext.broadcast((models, ids))
@@ -262,23 +286,8 @@ def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live:
             train, validation = (_parsed(table.filter(pa.array(side)), ids, d) for side in (is_train, ~is_train))
             out = []
             for c in live:
-                config, (w, squares) = configs[c], models[c]
-                own = np.random.default_rng([config.seed, number, 1]).poisson(1.0, len(train.labels)) if boot[c] else np.ones(len(train.labels))
-                for what, rows, weights in ((ON_TRAIN, train, train.weights * own), (ON_VALIDATION, validation, validation.weights)):
-                    if len(rows.labels):
-                        p = _sigmoid(_raw(rows, w, slice(None))[0])
-                        out.append(([c], [what], [float(weights @ _cross_entropy(rows.labels, p))], [float(weights.sum())]))
-                n = len(train.labels)
-                if last or not n:
-                    continue
-                order = np.random.default_rng([config.seed + epoch, number]).permutation(n) if config.shuffle else np.arange(n)
-                order = order[own[order] > 0]
-                moved, moved_squares = w.copy(), squares.copy()
-                weights = train.weights * own * np.where(train.labels == 1, factors[c][1], factors[c][0])
-                loss, weight = walk(train, weights, order, moved, moved_squares, config, batch or max(1, len(order)))
-                at = np.flatnonzero((moved != w) | (moved_squares != squares))
-                out.append((np.full(len(at), c), at, (moved - w)[at] * n, (moved_squares - squares)[at] * n))
-                out.append(([c], [ON_THE_WAY], [loss], [weight]))
+                found = shard_moves(number, train, validation, *models[c], configs[c], boot[c], factors[c], epoch, last, batch)
+                out += [(np.full(len(places), c), places, first, second) for places, first, second in found]
             if out:
                 columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["config", "place", "first", "second"])
@@ -292,6 +301,30 @@ class Fit:
     history: list[dict]
 
 
+def _checked(rows: DataFrame) -> tuple[int, int, int]:
+    """Training rows, positive ones and dense features; none, or vectors that differ in length, are errors."""
+    train = rows.filter("split = 'train'")
+    n, positives, most, least = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.max(F.size("dense_features")), F.min(F.size("dense_features"))).first()
+    if not n:
+        raise ValueError("no training rows")
+    if most != least:
+        raise ValueError("dense features differ in length")
+    return n, int(positives), int(most)
+
+
+def _sharded(rows: DataFrame, order: str, shards: int) -> DataFrame:
+    """Train and validation rows by shard; ``order`` should tell rows apart, as equal ones share a shard."""
+    return (
+        rows.filter("split in ('train', 'validation')")
+        .select(
+            F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), (F.col("split") == "train").alias("train"), F.col("label").cast("double").alias("label"),
+            F.col("sample_weight").cast("double").alias("weight"), F.col("dense_features").cast("array<double>").alias("dense"),
+            F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
+        )
+        .repartition("shard").sortWithinPartitions("shard")
+    )
+
+
 def fit_all(
     rows: DataFrame,
     configs: dict[str, TrainingConfig],
@@ -306,28 +339,15 @@ def fit_all(
     rows).  ``history`` has the weighted train loss on the way and the log losses of the epoch's model.
     Configurations named in ``bootstrap`` weigh each training row by a Poisson draw, by their seed.
     ``batch_rows`` None takes a shard as one batch."""
+    n, positives, dense_size = _checked(rows)
     train = rows.filter("split = 'train'")
-    n, positives, dense_size, narrow = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.max(F.size("dense_features")), F.min(F.size("dense_features"))).first()
-    if not n:
-        raise ValueError("no training rows")
-    if dense_size != narrow:
-        raise ValueError("dense features differ in length")
     distinct = train.select(F.explode("sparse_feature_ids").alias("id")).distinct()
     found = [r.id for r in distinct.limit(MOST_FEATURES + 1).collect()]
     if len(found) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} distinct sparse ids; hash them into fewer")
-    ids, d, names, settings = np.array(sorted(found), np.int64), int(dense_size), list(configs), list(configs.values())
-    shards = max(1, -(-n // shard_rows))
-    sharded = (
-        rows.filter("split in ('train', 'validation')")
-        .select(
-            F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), (F.col("split") == "train").alias("train"), F.col("label").cast("double").alias("label"),
-            F.col("sample_weight").cast("double").alias("weight"), F.col("dense_features").cast("array<double>").alias("dense"),
-            F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
-        )
-        .repartition("shard").sortWithinPartitions("shard").persist(StorageLevel.DISK_ONLY)
-    )
-    size, factors, boot = 1 + d + max(1, len(ids)), [_factors(n, int(positives), c) for c in settings], [name in set(bootstrap) for name in names]
+        raise ValueError(f"more than {MOST_FEATURES} distinct sparse ids; fit_table holds any number")
+    ids, d, names, settings = np.array(sorted(found), np.int64), dense_size, list(configs), list(configs.values())
+    sharded = _sharded(rows, order, max(1, -(-n // shard_rows))).persist(StorageLevel.DISK_ONLY)
+    size, factors, boot = 1 + d + max(1, len(ids)), [_factors(n, positives, c) for c in settings], [name in set(bootstrap) for name in names]
     models = [(np.zeros(size), np.zeros(size)) for _ in settings]
     best: list[tuple[float, int, np.ndarray]] = [(math.inf, 0, m[0]) for m in models]
     waited, histories, live = [0] * len(settings), [[] for _ in settings], list(range(len(settings)))
@@ -418,12 +438,32 @@ def train_distributed(rows: DataFrame, config: TrainingConfig = TrainingConfig()
         raise ValueError("no training rows")
     weights = class_weights(train_rows).first() if config.class_weighting else None
     share = F.when(F.col("label") == 1, weights.weight_positive).otherwise(weights.weight_negative) if weights else F.lit(1.0)
-    hashed = F.aggregate(
-        F.arrays_zip(F.col("sparse_feature_ids").alias("id"), F.col("sparse_feature_values").alias("value")),
-        F.array_repeat(F.lit(0.0), hash_dimension),
-        lambda a, p: F.transform(a, lambda x, i: x + F.when(i == p["id"] % hash_dimension, p["value"]).otherwise(0.0)),
-    )
-    vectors = train_rows.select(F.col("label").cast("double").alias("label"), (F.col("sample_weight") * share).alias("w"), array_to_vector(F.concat("dense_features", hashed) if hash_dimension else F.col("dense_features")).alias("features"))
+    d, size = dense_size.n, dense_size.n + hash_dimension
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dense, ids, values = (batch.column(c) for c in (2, 3, 4))
+            flat = dense.flatten().to_numpy().reshape(-1, d)
+            n, counts = len(flat), ids.value_lengths().to_numpy()
+            # Dense and hashed places of each row, in order and added up where they meet.
+            place = np.concatenate([np.add.outer(np.arange(n) * size, np.arange(d)).ravel(), np.repeat(np.arange(n) * size + d, counts) + ids.flatten().to_numpy() % max(1, hash_dimension)])
+            amount = np.concatenate([flat.ravel(), values.flatten().to_numpy()])
+            if not hash_dimension:
+                place, amount = place[: n * d], amount[: n * d]
+            at, which = np.unique(place, return_inverse=True)
+            offsets = pa.array(np.searchsorted(at, np.arange(n + 1) * size).astype(np.int32))
+            parts = [
+                pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(offsets, pa.array((at % size).astype(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(np.bincount(which, amount, len(at)))),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], ["label", "w", "features"])
+
+    narrow = train_rows.select(
+        F.col("label").cast("double").alias("label"), (F.col("sample_weight") * share).alias("w"), F.col("dense_features").cast("array<double>").alias("dense"),
+        F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
+    )
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("w", T.DoubleType()), T.StructField("features", VectorUDT())])
+    vectors = narrow.mapInArrow(vectors, schema)
     penalty = config.l1 + config.l2
     fitted = LogisticRegression(weightCol="w", maxIter=max_iterations, regParam=penalty, elasticNetParam=config.l1 / penalty if penalty else 0.0, standardization=False).fit(vectors)
     w = [float(x) for x in fitted.coefficients.toArray()]

@@ -11,10 +11,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, RAW_COLUMNS, DatasetConfig, FeatureConfig, TrainingConfig
+from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, DatasetConfig, FeatureConfig, TrainingConfig
 from ..functions import columns as C
-from ..operators import calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, steps, training
-from ..sources import files, scratch, tables
+from ..operators import calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, steps, training, weight_table
+from ..sources import quoted, scratch, tables
 from ..streaming import serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,20 +86,16 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Files
-@query(f"""WITH {_CONTACTS} SELECT row_id, CASE row_id % 4 WHEN 0 THEN job || chr(10) || '"' || marital || '";' WHEN 1 THEN ';' || job || chr(10) || chr(10) || ';' ELSE job END AS job,
- CASE WHEN row_id % 3 = 0 THEN education || '"' || chr(10) || contact ELSE education END AS education, poutcome, label FROM contacts""")
+@query("""SELECT doc_id, source, length(text) AS chars, sha256(text) AS digest FROM documents""")
 def quoted_csv(spark, sf_dir):
-    """Contacts written as files whose cells hold separators, quotes and line breaks, and read back by the scan of quoted breaks."""
-    rows = tables.contacts(spark, sf_dir)
-    broken = F.concat("job", F.lit('\n"'), "marital", F.lit('";'))
-    odd = {
-        "balance": F.col("row_id").cast("string"), "y": F.when(F.col("label") == 1, "yes").otherwise("no"),
-        "job": F.when(F.col("row_id") % 4 == 0, broken).when(F.col("row_id") % 4 == 1, F.concat(F.lit(";"), "job", F.lit("\n\n;"))).otherwise(F.col("job")),
-        "education": F.when(F.col("row_id") % 3 == 0, F.concat("education", F.lit('"\n'), "contact")).otherwise(F.col("education")),
-    }
-    path = scratch.new_path(spark, "contacts")
-    rows.withColumns(odd).select(*RAW_COLUMNS).write.csv(path, sep=";", quote='"', escape='"', quoteAll=True)
-    return files.read_raw_csv(spark, path).select(F.col("balance").cast("long").alias("row_id"), "job", "education", "poutcome", "label")
+    """Documents, whose texts hold line breaks, quotes and separators, written as delimited files and read back by the scan of
+    quoted breaks."""
+    columns = ["doc_id", "text", "source"]
+    path = scratch.new_path(spark, "documents")
+    tables.table(spark, sf_dir, "documents").select(*columns).write.csv(path, sep=";", quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    options = {"sep": ";", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "emptyValue": "", "nullValue": "\\N"}
+    rows = quoted.read_records(spark, path).select(F.from_csv("record", "doc_id long, text string, source string", options).alias("r")).select("r.*")
+    return rows.select("doc_id", "source", F.char_length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
 # Decisions
@@ -267,13 +263,26 @@ def isotonic_fit(spark, sf_dir):
     return rounded(found, "score", "value")
 
 
-@query("""WITH s AS (SELECT c_acctbal::DOUBLE AS upper, max(c_custkey) AS value FROM customer GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 <> 0 THEN round(l_extendedprice / 10, 1)::DOUBLE - 800 END AS score FROM lineitem)
- SELECT l_orderkey, l_linenumber, CASE WHEN score IS NOT NULL THEN coalesce(s.value, (SELECT arg_max(value, upper) FROM s))::DOUBLE END AS value FROM l ASOF LEFT JOIN s ON l.score <= s.upper""")
+_LENGTHS = """g AS (SELECT n_chars::DOUBLE AS p, sum(quality)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM documents JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1) USING (doc_id) WHERE n_chars IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH {_LENGTHS}, {_ISO.split("FROM scored GROUP BY 1),", 1)[1]} SELECT p AS n_chars, round(value, 6) AS quality FROM fit""")
+def isotonic_by_length(spark, sf_dir):
+    """The share of good documents as a rising function of their length, at every length."""
+    docs, labels = (tables.table(spark, sf_dir, name) for name in ("documents", "labels"))
+    marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    rows = docs.filter("n_chars is not null").select("doc_id", F.col("n_chars").cast("double").alias("score")).join(marks, "doc_id").withColumn("weight", F.lit(1.0))
+    groups = scratch.stage(metrics.score_groups(rows), "lengths")
+    found = steps.asof_join(groups.select("score"), calibration.isotonic_table(groups), name="quality")
+    return rounded(found.withColumnRenamed("score", "n_chars"), "quality")
+
+
+@query("""WITH s AS (SELECT length(html)::DOUBLE / 2 AS upper, max(page_id) AS value FROM pages WHERE html IS NOT NULL GROUP BY 1), d AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN (n_chars // 4)::DOUBLE END AS score FROM documents)
+ SELECT doc_id, CASE WHEN score IS NOT NULL THEN coalesce(s.value, (SELECT arg_max(value, upper) FROM s))::DOUBLE END AS value FROM d ASOF LEFT JOIN s ON d.score <= s.upper""")
 def asof_step_join(spark, sf_dir):
-    """Every line item with the first balance that is not below its price; ties, nulls and prices above the last balance among them."""
-    ladder = tables.table(spark, sf_dir, "customer").groupBy(F.col("c_acctbal").cast("double").alias("upper")).agg(F.max("c_custkey").alias("value"))
-    price = F.when(F.col("l_linenumber") % 5 != 0, F.round(F.col("l_extendedprice") / 10, 1).cast("double") - 800)
-    rows = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("score"))
+    """Every document with the shortest page that is not below its size; ties, nulls and sizes above the last page among them."""
+    ladder = tables.table(spark, sf_dir, "pages").filter("html is not null").groupBy((F.char_length("html") / 2).alias("upper")).agg(F.max("page_id").alias("value"))
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("n_chars") / 4).cast("double")).alias("score"))
     return steps.asof_join(rows, ladder).drop("score")
 
 
@@ -635,12 +644,44 @@ def top_coefficients(spark, sf_dir):
     return rounded(spark.createDataFrame(model.top(5), "feature string, weight double"), "weight")
 
 
+_TOKEN_IDS = 1 << 20
+
+
+def _table_steps(steps: int) -> str:
+    """Gradient descent on all features alike, as one long table of (row, feature, value)."""
+    known = ", ".join(f"('{t}', 'sparse_{C.hash_token(t, _TOKEN_IDS)}')" for t in _known_tokens())
+    out = f"""{_CONTACTS.replace("contacts AS (", "contacts AS MATERIALIZED (", 1)}, {_DENSE.split("FROM contacts)")[0].split(", dense AS")[1].join([" dense AS", "FROM contacts)"])}, kept AS (SELECT * FROM dense WHERE {_FRACTION} < 0.8::DOUBLE),
+ t AS MATERIALIZED (SELECT row_id, label, CASE WHEN label = 1 THEN (SELECT count(*) / (2.0::DOUBLE * sum(label)) FROM kept) ELSE (SELECT count(*) / (2.0::DOUBLE * (count(*) - sum(label))) FROM kept) END AS share FROM kept),
+ ids(token, feature) AS (VALUES {known}),
+ slots AS (SELECT row_id, unnest([{", ".join(f"'{n}=' || coalesce({chr(34)}{n}{chr(34)}, '{MISSING}')" for n in CATEGORICAL)}]) AS token FROM contacts),
+ feats AS MATERIALIZED (SELECT row_id, 'bias' AS feature, 1.0::DOUBLE AS x FROM kept UNION ALL SELECT row_id, unnest([{", ".join(f"'{n}'" for n in DENSE_FEATURES)}]), unnest([{", ".join(DENSE_FEATURES)}]) FROM kept
+  UNION ALL SELECT row_id, feature, 1.0::DOUBLE FROM slots JOIN ids USING (token) JOIN kept USING (row_id)),
+ w0 AS MATERIALIZED (SELECT DISTINCT feature, 0.0::DOUBLE AS w FROM feats)"""
+    for k in range(steps):
+        out += f""",
+ e{k} AS MATERIALIZED (SELECT row_id, share * (1 / (1 + exp(-z)) - label) AS e FROM t JOIN (SELECT row_id, sum(w * x) AS z FROM feats JOIN w{k} USING (feature) GROUP BY 1) USING (row_id)),
+ w{k + 1} AS MATERIALIZED (SELECT feature, any_value(w) - {_RATE} * sum(e * x) / (SELECT count(*) FROM t) AS w FROM feats JOIN e{k} USING (row_id) JOIN w{k} USING (feature) GROUP BY 1)"""
+    return f"WITH {out} SELECT feature, round(w, 6) AS weight FROM w{steps}"
+
+
+@query(_table_steps(3))
+def lr_weights_table(spark, sf_dir):
+    """Gradient descent on dense and hashed sparse features (of 2^20 ids) with the weights in a table."""
+    data = replace(DATASET, features=replace(DATASET.features, hash_dimension=_TOKEN_IDS))
+    rows = dataset.training_rows(_contacts(spark, sf_dir), data).filter("split = 'train'")
+    config = TrainingConfig(max_epochs=3, learning_rate=_RATE, l2=0.0, optimizer="sgd", patience=0)
+    fitted = weight_table.fit_table(rows, config, batch_rows=None)
+    dense = F.array(*map(F.lit, DENSE_FEATURES))
+    name = F.when(F.col("kind") == weight_table.BIAS, "bias").when(F.col("kind") == weight_table.DENSE, F.get(dense, F.col("id").cast("int"))).otherwise(F.concat(F.lit("sparse_"), F.col("id").cast("string")))
+    return rounded(fitted.weights.select(name.alias("feature"), "weight"), "weight")
+
+
 def _runs(runs: DataFrame) -> DataFrame:
     return runs.select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), F.get_json_object("model", "$.best_epoch").cast("int").alias("best_epoch"), "history")
 
 
 @query()
-def lr_train_exact(spark, sf_dir):
+def lr_train_minibatch(spark, sf_dir):
     """The baseline with the default settings: mini-batches in shuffled order, so no SQL."""
     return _runs(training.train_all(_training_table(spark, sf_dir), {"baseline": TrainingConfig()}))
 

@@ -47,7 +47,7 @@ def test_fits_are_whole(spark, monkeypatch):
     used = []
     fit = catalog.training.train_all
     monkeypatch.setattr(catalog.training, "train_all", lambda rows, configs, **k: used.extend(configs.values()) or fit(rows, configs, **k))
-    for name in ("lr_train_exact", "ablation_suite", "bootstrap_stability"):
+    for name in ("lr_train_minibatch", "ablation_suite", "bootstrap_stability"):
         catalog.QUERIES[name](spark, str(DATA))
     assert len(used) == 10 and {c.max_epochs for c in used} == {catalog.TrainingConfig().max_epochs}
     found = [r.feature for r in catalog.QUERIES["lr_train_distributed"](spark, str(DATA)).collect()]
