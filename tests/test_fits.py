@@ -5,7 +5,6 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.config import DENSE_FEATURES, TrainingConfig
@@ -155,7 +154,7 @@ def test_weights_in_a_table_equal_those_in_memory(spark, config, sizes):
 
 def test_many_ids_never_reach_the_driver(spark, monkeypatch):
     rows = made_rows(spark, 6000, 1 << 20)
-    sizes, collect = [], DataFrame.collect
+    sizes, collect = [], type(rows).collect
     monkeypatch.setattr(type(rows), "collect", lambda self: sizes.append(len(out := collect(self))) or out)
     fitted = weight_table.fit_table(rows, TrainingConfig(max_epochs=2), shard_rows=1000)
     assert fitted.weights.count() > 12_000 and max(sizes) <= 3
