@@ -207,6 +207,44 @@ def test_vectors(spark):
     assert itq.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["all null", "half null"])
+def test_vectors_without_ids_above_the_sample(spark, ids):
+    """Vectors of one label whose ids are null or equal are spread over the sample like any others."""
+    rng = np.random.default_rng(12)
+    rows = [(None if ids == "all null" or i % 2 else 5, rng.normal(size=16).tolist(), 0, i) for i in range(600)]
+    rows += [(None, rows[3][1], 0, 600), (None, [2 * x for x in rows[4][1]], 0, 601)]
+    found = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, i int"), fit_rows=20).collect()
+    assert len(found) == 602 and sorted(r.n_links for r in found)[-4:] == [1, 1, 1, 1] and sum(r.n_links for r in found) == 4
+
+
+def test_pairs_belong_to_one_bucket():
+    """Two codes belong together in exactly one of the buckets that both are entered in, if they meet at all."""
+    rng = np.random.default_rng(9)
+    masks = itq.windows(64, 5000, 0.98)
+    for _ in range(400):
+        a = int(rng.integers(0, 1 << 63))
+        b = a
+        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
+            b ^= 1 << int(bit)
+        entered = lambda c, m: {c & m, *((c & m) ^ (1 << k) for k in range(64) if m >> k & 1)}
+        x, y = np.array([a], np.uint64), np.array([b], np.uint64)
+        buckets = [(slot, sub) for slot, m in enumerate(masks) for sub in entered(a, m) & entered(b, m)]
+        mine = [itq.belongs(x ^ y, x, slot, sub, masks)[0] for slot, sub in buckets]
+        other = [itq.belongs(x ^ y, y, slot, sub, masks)[0] for slot, sub in buckets]
+        assert mine == other and sum(mine) == bool(buckets)
+        assert bool(buckets) == any(bin((a ^ b) & m).count("1") <= 2 for m in masks)
+
+
+def test_windows_widen_with_the_vectors():
+    """A thousand times the vectors: a few times the entries and the meetings of each."""
+    costs = {}
+    for n in (1000, 10_000, 100_000, 1_000_000):
+        masks = itq.windows(64, n, 0.98)
+        width = bin(masks[0]).count("1")
+        costs[n] = (len(masks) * (width + 1), len(masks) * n * (width + 1) ** 2 / 2 ** (width + 1))
+    assert costs[1_000_000][0] < 8 * costs[1000][0] and all(meetings < 170 for _, meetings in costs.values())
+
+
 def test_vectors_at_the_threshold(spark):
     """Pairs planted just above (and just below) the threshold, in directions of no structure."""
     rng = np.random.default_rng(21)
