@@ -4,8 +4,8 @@ Whether a line starts inside a quoted cell depends on all lines before it.  So e
 function of that state: what the state is after it, if it starts outside and if it starts inside.
 A function of two states is constant, the identity or a swap; along a split the state is that of
 the last constant, turned by the swaps since.  Splits are composed the same way over the splits of
-their file, and then each split emits its records.  Lines move once, by split; only lines of
-records that span several are gathered, by record.
+their file, and then each split emits its records.  Lines move once, by split; of the records only
+the pieces of those that span several splits move again.
 
 A record is what one task can hold; a quote that is never closed makes the rest of its file one
 record, as it does for any reader.
@@ -77,10 +77,13 @@ def read_records(spark: SparkSession, path: str, sep: str = ";", quote: str = '"
     placed = entered.join(opened, SPLIT).withColumn("state", F.when(F.col("open") == 0, F.col("in0")).otherwise(F.col("in1")))
     following = F.coalesce(F.col("const"), F.pmod(F.col("state") + F.col("swap"), F.lit(2)))
     own = F.last(F.when(F.col("state") == 0, F.struct("split", "at")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    # A file that starts a record always has one; the first line of a file starts outside.
-    placed = placed.select("file", "split", "at", "line", "state", following.alias("after"), F.coalesce(own, F.col("carried")).alias("first"))
-    single = (F.col("state") == 0) & (F.col("after") == 0)
-    whole = placed.filter(single).select(*SPLIT, "at", F.col("line").alias("record"))
-    spread = placed.filter(~single).groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("lines"))
-    joined = spread.select("file", "first.split", "first.at", F.array_join(F.transform("lines", lambda p: p["line"]), "\n").alias("record"))
+    # The first line of a file starts outside, so every line has a record that it is part of.
+    placed = placed.select("file", "split", "at", "line", following.alias("after"), F.coalesce(own, F.col("carried")).alias("first"))
+    # Inside a split its lines are together already; only pieces of records that go on in another one move.
+    piece = F.array_sort(F.collect_list(F.struct("at", "line")))
+    pieces = placed.groupBy(*SPLIT, "first").agg(F.array_join(F.transform(piece, lambda p: p["line"]), "\n").alias("text"), F.max_by("after", "at").alias("after"))
+    ended = (F.col("first.split") == F.col("split")) & (F.col("after") == 0)
+    whole = pieces.filter(ended).select("file", "split", "first.at", F.col("text").alias("record"))
+    spread = pieces.filter(~ended).groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("texts"))
+    joined = spread.select("file", "first.split", "first.at", F.array_join(F.transform("texts", lambda p: p["text"]), "\n").alias("record"))
     return whole.unionByName(joined)
