@@ -20,8 +20,8 @@ from ..functions.columns import sigmoid, step_lookup
 from ..sources import scratch
 from . import metrics, prefix, steps
 
-#: Most steps of an isotonic fit that is held as a literal.
-MOST_STEPS = 10_000
+#: Most steps of an isotonic fit that is held as a literal, and most blocks that one task pools.
+MOST_STEPS, FEW_BLOCKS = 10_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def _pooled_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array([number] * len(stack), pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], ["range", "upper", "positive", "weight"])
 
 
-def isotonic_table(groups: DataFrame, ranges: int | None = None) -> DataFrame:
+def isotonic_table(groups: DataFrame, ranges: int | None = None, few_blocks: int = FEW_BLOCKS) -> DataFrame:
     """(upper, value, weight) of the isotonic fit, a row for each block, in a table from first to last.
 
     Scores are cut into ranges (at quantiles that Spark samples) and each is pooled by itself.  Then
@@ -113,12 +113,18 @@ def isotonic_table(groups: DataFrame, ranges: int | None = None) -> DataFrame:
     higher than the right one begins, one block arises: that of the value m for which what the left blocks exceed m
     weighs as much as what the right blocks fall short of it.  Its members are the left blocks above m and
     the right blocks below; the balance is found from sums over the blocks between both ends in order of
-    their values.  Only those blocks move; all others stay as they are."""
+    their values.  Only those blocks move; all others stay as they are.  What ``few_blocks`` bounds is pooled
+    by one task, with the same result."""
     kept = groups.filter("pos + neg > 0").select(F.col("score").cast("double").alias("score"), "pos", (F.col("pos") + F.col("neg")).alias("weight"))
     ranged = kept.repartitionByRange(ranges, "score") if ranges else kept.repartitionByRange("score")
     local = ranged.sortWithinPartitions("score").select(F.spark_partition_id().alias("range"), "score", "pos", "weight").mapInArrow(_pooled_ranges, BLOCKS)
     blocks = scratch.stage(local, "isotonic-blocks")
-    last = blocks.agg(F.max("range")).first()[0] or 0
+    last, count = blocks.agg(F.coalesce(F.max("range"), F.lit(0)), F.count("*")).first()
+    if last and count <= few_blocks:
+        one = blocks.coalesce(1).sortWithinPartitions("upper").select(F.lit(0).alias("range"), "upper", "positive", "weight").mapInArrow(_pooled_ranges, BLOCKS)
+        pooled = scratch.stage(one, "isotonic-blocks")
+        scratch.drop_table(blocks)
+        blocks, last = pooled, 0
     level = 0
     while last >> level:
         merged = _merge_level(blocks, level)
