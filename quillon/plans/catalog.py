@@ -11,9 +11,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, DatasetConfig, FeatureConfig, TrainingConfig
+from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, RAW_COLUMNS, DatasetConfig, FeatureConfig, TrainingConfig
 from ..functions import columns as C
-from ..operators import calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, steps, training, weight_table
+from ..operators import bands, calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, rolling, steps, training, weight_table
 from ..sources import quoted, scratch, tables
 from ..streaming import serving
 
@@ -117,6 +117,23 @@ def policy_simulation(spark, sf_dir):
     return policy.simulate(_events(spark, sf_dir)).groupBy("task_context", "action").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 
 
+_SHIFT, _FROM = 0.05, "2024-01-16 12:00:00"
+
+
+@query(f"""WITH {_SCORED}, bands(task_context, lo, hi, action, reason, threshold_value, review, positive) AS ({_BANDS}),
+ versions AS (SELECT *, 0.0::DOUBLE AS shift, '' AS suffix, TIMESTAMP '1970-01-01' AS since, TIMESTAMP '{_FROM}' AS until FROM bands UNION ALL SELECT *, {_SHIFT}, '_next', TIMESTAMP '{_FROM}', TIMESTAMP '9999-01-01' FROM bands WHERE task_context <> 'fraud_policy'
+  UNION ALL SELECT *, 0.0::DOUBLE, '', TIMESTAMP '{_FROM}', TIMESTAMP '9999-01-01' FROM bands WHERE task_context = 'fraud_policy')
+ SELECT prediction_id, s.task_context, b.action, reason AS action_reason, threshold_value, review AS manual_review_required, suffix AS version FROM scored s JOIN versions b ON s.task_context = b.task_context AND ts >= since AND ts < until AND p >= lo + shift AND p < hi + shift""")
+def versioned_decisions(spark, sf_dir):
+    """Decisions by the bands in force at their time; two of the contexts take other thresholds half-way."""
+    first = bands.fixed_bands(spark)
+    moved = {"lower": F.col("lower") + _SHIFT, "below": F.col("below") + _SHIFT, "valid_from": F.lit(_FROM).cast("timestamp"), "version": F.concat("version", F.lit("_next"))}
+    table = first.unionByName(first.filter("task_context <> 'fraud_policy'").withColumns(moved))
+    found = bands.decide_by_version(_events(spark, sf_dir), table, at="ts")
+    suffix = F.when(F.col("decision_policy_version").endswith("_next"), "_next").otherwise("")
+    return found.select("prediction_id", "task_context", "action", "action_reason", "threshold_value", "manual_review_required", suffix.alias("version"))
+
+
 # Contacts, features, contracts, splits
 @query(f"""WITH {_CONTACTS} SELECT row_id, label, age::BIGINT AS age, job, marital, education, "default", balance, housing, loan, contact, day::BIGINT AS day, month, campaign::BIGINT AS campaign, pdays::BIGINT AS pdays, previous::BIGINT AS previous, poutcome FROM contacts""")
 def contacts_base(spark, sf_dir):
@@ -317,6 +334,21 @@ def calibrator_selection(spark, sf_dir):
     return table.withColumns({c: F.round(c, 5) for c in ("ece", "log_loss", "brier_score")})
 
 
+@query(f"""WITH RECURSIVE {_SCORED}, daily AS MATERIALIZED (SELECT task_context, ts::DATE AS day, ln(p) - ln(1 - p) AS s, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM scored GROUP BY 1, 2, 3),
+ g AS MATERIALIZED (SELECT task_context, day + (3 + k)::INTEGER AS as_of, s, sum(pos) AS pos, sum(n) AS n FROM daily, range(14) r(k) WHERE day + (3 + k)::INTEGER <= (SELECT max(day) + 3 FROM daily) GROUP BY 1, 2, 3),
+ t AS MATERIALIZED (SELECT task_context, as_of, sum(pos) AS pos, sum(n) AS n, ln((sum(pos) + 1) / (sum(n) + 2)) - ln(1 - (sum(pos) + 1) / (sum(n) + 2)) AS prior FROM g GROUP BY 1, 2),
+ newton(i, task_context, as_of, a, b) AS (SELECT 0, task_context, as_of, 0.0::DOUBLE, prior FROM t WHERE pos > 0 AND pos < n UNION ALL
+  SELECT i + 1, task_context, as_of, a - ((1e-6 + h00) * ga - h01 * gb) / ((1e-6 + h11) * (1e-6 + h00) - h01 * h01), b - ((1e-6 + h11) * gb - h01 * ga) / ((1e-6 + h11) * (1e-6 + h00) - h01 * h01) FROM (
+   SELECT i, task_context, as_of, a, b, sum(n * q * (1 - q) * s * s) AS h11, sum(n * q * (1 - q) * s) AS h01, sum(n * q * (1 - q)) AS h00, 1e-6 * a + sum((n * q - pos) * s) AS ga, 1e-6 * b + sum(n * q - pos) AS gb
+   FROM (SELECT *, 1 / (1 + exp(-(a * s + b))) AS q FROM newton JOIN g USING (task_context, as_of) WHERE i < 12) GROUP BY i, task_context, as_of, a, b))
+ SELECT t.task_context, t.as_of::VARCHAR AS as_of, round(coalesce(a, 0), 4) AS slope, round(coalesce(b, prior), 4) AS intercept, pos, n - pos AS neg FROM t LEFT JOIN (SELECT * FROM newton WHERE i = 12) f ON f.task_context = t.task_context AND f.as_of = t.as_of""")
+def rolling_platt(spark, sf_dir):
+    """Platt's curve of every context as of every day, over the fourteen days before the last two."""
+    rows = _events(spark, sf_dir).withColumn("score", C.logit(F.col("probability")))
+    fits = rolling.fit_rolling(rows, ["task_context"], at="ts")
+    return fits.select("task_context", F.col("as_of").cast("string").alias("as_of"), F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "pos", "neg")
+
+
 # Monitoring
 @query(f"WITH {_SCORED} SELECT task_context, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM scored GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
@@ -728,3 +760,28 @@ def stream_score_route(spark, sf_dir):
     return serving.run_to_files(spark, policy.decide(scored).select("prediction_id", "action", "manual_review_required"), "route")
 
 
+@query("""WITH lab AS (SELECT event_id, ts, ts + to_hours((event_id % 40)::INTEGER) AS label_ts, (event_type = 'purchase')::INTEGER AS label FROM events WHERE event_id % 5 <> 0),
+ mark AS (SELECT least((SELECT max(ts) FROM events), (SELECT max(label_ts) FROM lab)) - INTERVAL 1 HOUR AS at)
+ SELECT e.event_id, l.label FROM events e LEFT JOIN lab l ON l.event_id = e.event_id AND l.label_ts <= e.ts + INTERVAL 24 HOUR, mark WHERE l.event_id IS NOT NULL OR e.ts + INTERVAL 24 HOUR < mark.at""")
+def stream_label_maturity(spark, sf_dir):
+    """Every event with its label, or without one once the attribution window of a day has passed; labels come up to 39 hours
+    late, and some never."""
+    stream = lambda: serving.as_stream(spark, sf_dir, tables.table(spark, sf_dir, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = stream().select("event_id", F.col("ts").alias("event_ts"))
+    label_ts = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 40).cast("int"))
+    labels = stream().filter("event_id % 5 <> 0").select(F.col("event_id").alias("parent_event_id"), label_ts.alias("label_ts"), (F.col("event_type") == "purchase").cast("int").alias("label"), F.col("event_id").alias("label_event_id"))
+    found = serving.matched_labels(events, labels, unlabelled=True).select("event_id", "label")
+    return serving.run_to_files(spark, found, "maturity")
+
+
+@query(f"WITH {_CONTACTS} SELECT unnest([1, 2, 3, 4, 5]) AS place, unnest(['lookup', 'score', 'calibrate', 'route', 'log']) AS stage, count(*) AS requests, true AS timed FROM contacts")
+def stream_stage_latency(spark, sf_dir):
+    """A stream of requests, a contact each, scored and routed with every step timed."""
+    rows = tables.contacts(spark, sf_dir)
+    names = [n for n in RAW_COLUMNS if n != "y"]
+    ids = {"request_id": F.concat(F.lit("req_"), F.col("row_id").cast("string")), "event_id": F.col("row_id").cast("string"), "event_ts": F.lit("2026-01-01T00:00:00Z")}
+    folder, out = scratch.new_path(spark, "requests"), scratch.new_path(spark, "served")
+    rows.select(F.to_json(F.struct(*(c.alias(n) for n, c in ids.items()), F.struct(*names).alias("features"))).alias("value")).write.text(folder)
+    serving.serve(spark, folder, out, f"{out}/checkpoint", replace(WEIGHTS, model_version="fixed"), calibration.Platt(1.0, 0.0), timed=True).awaitTermination()
+    found = serving.stage_percentiles(serving.stage_latencies(spark, out))
+    return found.select("place", "stage", "requests", ((F.col("p50_ms") > 0) & (F.col("p50_ms") <= F.col("p95_ms")) & (F.col("p95_ms") <= F.col("p99_ms"))).alias("timed"))
