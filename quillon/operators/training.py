@@ -274,7 +274,7 @@ def shard_moves(
     return [*out, (at, (moved - w)[at] * n, (moved_squares - squares)[at] * n), ([ON_THE_WAY], [loss], [weight])]
 
 
-def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live: list[int], configs: list[TrainingConfig], boot: list[bool], factors: list[tuple[float, float]], ids: np.ndarray, d: int, epoch: int, last: bool, batch: int | None) -> DataFrame:
+def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live: list[int], configs: list[TrainingConfig], boot: list[bool], factors: list[tuple[float, float]], folds: list[int], ids: np.ndarray, d: int, epoch: int, last: bool, batch: int | None) -> DataFrame:
     """(config, place, first, second): moves of weights and squares times rows, and losses with weights."""
     shared = sharded.sparkSession.sparkContext.broadcast((models, ids))
 
@@ -282,11 +282,11 @@ def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live:
         models, ids = shared.value
         for number, table in _shards(batches):
             table = table.sort_by("order")
-            is_train = table["train"].to_numpy()
-            train, validation = (_parsed(table.filter(pa.array(side)), ids, d) for side in (is_train, ~is_train))
+            period, whole = table["period"].to_numpy(), _parsed(table, ids, d)
+            sides = {fold: (_part(whole, np.flatnonzero(period < fold)), _part(whole, np.flatnonzero(period == fold))) for fold in {folds[c] for c in live}}
             out = []
             for c in live:
-                found = shard_moves(number, train, validation, *models[c], configs[c], boot[c], factors[c], epoch, last, batch)
+                found = shard_moves(number, *sides[folds[c]], *models[c], configs[c], boot[c], factors[c], epoch, last, batch)
                 out += [(np.full(len(places), c), places, first, second) for places, first, second in found]
             if out:
                 columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(4)]
@@ -313,11 +313,10 @@ def _checked(rows: DataFrame) -> tuple[int, int, int]:
 
 
 def _sharded(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    """Train and validation rows by shard; ``order`` should tell rows apart, as equal ones share a shard."""
+    """Rows with a period (``__period``) by shard; ``order`` should tell rows apart, as equal ones share a shard."""
     return (
-        rows.filter("split in ('train', 'validation')")
-        .select(
-            F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), (F.col("split") == "train").alias("train"), F.col("label").cast("double").alias("label"),
+        rows.select(
+            F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), F.col("__period").cast("int").alias("period"), F.col("label").cast("double").alias("label"),
             F.col("sample_weight").cast("double").alias("weight"), F.col("dense_features").cast("array<double>").alias("dense"),
             F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
         )
@@ -325,6 +324,19 @@ def _sharded(rows: DataFrame, order: str, shards: int) -> DataFrame:
     )
 
 
+def by_split(rows: DataFrame) -> DataFrame:
+    """Training rows are of period 0 and validation rows of period 1."""
+    return rows.filter("split in ('train', 'validation')").withColumn("__period", F.when(F.col("split") == "train", 0).otherwise(1))
+
+
+def _part(shard: _Shard, rows: np.ndarray) -> _Shard:
+    """Some rows of a shard."""
+    counts = np.diff(shard.starts)[rows]
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(shard.starts[:-1][rows] - starts[:-1], counts) + np.arange(starts[-1])
+    return _Shard(shard.labels[rows], shard.weights[rows], shard.dense[rows], shard.places[at], shard.values[at], starts)
+
+
 def fit_all(
     rows: DataFrame,
     configs: dict[str, TrainingConfig],
@@ -339,15 +351,44 @@ def fit_all(
     rows).  ``history`` has the weighted train loss on the way and the log losses of the epoch's model.
     Configurations named in ``bootstrap`` weigh each training row by a Poisson draw, by their seed.
     ``batch_rows`` None takes a shard as one batch."""
-    n, positives, dense_size = _checked(rows)
-    train = rows.filter("split = 'train'")
-    distinct = train.select(F.explode("sparse_feature_ids").alias("id")).distinct()
+    return _fit(by_split(rows), configs, dict.fromkeys(configs, 1), bootstrap, order, shard_rows, batch_rows)
+
+
+def fit_folds(
+    rows: DataFrame, config: TrainingConfig, origins: Sequence, at: str = "event_ts", order: str = "training_row_id", shard_rows: int = SHARD_ROWS, batch_rows: int | None = BATCH_ROWS
+) -> dict[int, Fit]:
+    """Time-aware validation with rolling origins: for each origin (ascending times) a model that has learnt from the rows before
+    it and is stopped by those up to the next origin, all fitted in the same passes.
+
+    Rows from the last origin on are the last fold's validation rows; rows without a time take no part."""
+    if list(origins) != sorted(set(origins)) or not len(origins):
+        raise ValueError("origins must ascend")
+    period = sum(((F.col(at) >= F.lit(o)).cast("int") for o in origins), F.lit(0))
+    folds = {k + 1: k + 1 for k in range(len(origins))}
+    return _fit(rows.filter(F.col(at).isNotNull()).withColumn("__period", period), dict.fromkeys(folds, config), folds, (), order, shard_rows, batch_rows)
+
+
+def _fit(rows: DataFrame, configs: dict, folds: dict, bootstrap: Sequence[str], order: str, shard_rows: int, batch_rows: int | None) -> dict:
+    """A configuration learns from the rows of periods below its fold and is stopped by those of its fold."""
+    rows = rows.filter(F.col("__period") <= max(folds.values()))
+    early = rows.filter(F.col("__period") < max(folds.values()))
+    size_of = F.size("dense_features")
+    periods = early.groupBy("__period").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones"), F.max(size_of).alias("most"), F.min(size_of).alias("least")).collect()
+    names, settings = list(configs), list(configs.values())
+    counts, ones = ([sum(r[c] for r in periods if r["__period"] < folds[name]) for name in names] for c in ("n", "ones"))
+    if not all(counts):
+        raise ValueError("no training rows")
+    d = max(r.most for r in periods)
+    if d != min(r.least for r in periods):
+        raise ValueError("dense features differ in length")
+    distinct = early.select(F.explode("sparse_feature_ids").alias("id")).distinct()
     found = [r.id for r in distinct.limit(MOST_FEATURES + 1).collect()]
     if len(found) > MOST_FEATURES:
         raise ValueError(f"more than {MOST_FEATURES} distinct sparse ids; fit_table holds any number")
-    ids, d, names, settings = np.array(sorted(found), np.int64), dense_size, list(configs), list(configs.values())
-    sharded = _sharded(rows, order, max(1, -(-n // shard_rows))).persist(StorageLevel.DISK_ONLY)
-    size, factors, boot = 1 + d + max(1, len(ids)), [_factors(n, positives, c) for c in settings], [name in set(bootstrap) for name in names]
+    ids = np.array(sorted(found), np.int64)
+    sharded = _sharded(rows, order, max(1, -(-max(counts) // shard_rows))).persist(StorageLevel.DISK_ONLY)
+    size, boot = 1 + d + max(1, len(ids)), [name in set(bootstrap) for name in names]
+    factors = [_factors(n, int(k), c) for n, k, c in zip(counts, ones, settings, strict=True)]
     models = [(np.zeros(size), np.zeros(size)) for _ in settings]
     best: list[tuple[float, int, np.ndarray]] = [(math.inf, 0, m[0]) for m in models]
     waited, histories, live = [0] * len(settings), [[] for _ in settings], list(range(len(settings)))
@@ -355,7 +396,7 @@ def fit_all(
         for epoch in range(1, max(c.max_epochs for c in settings) + 2):
             going = [c for c in live if len(histories[c]) == epoch - 1]
             last = all(settings[c].max_epochs < epoch for c in going)
-            result = {(r.config, r.place): (r.first, r.second) for r in _pass(sharded, models, going, settings, boot, factors, ids, d, epoch, last, batch_rows).collect()} if going else {}
+            result = {(r.config, r.place): (r.first, r.second) for r in _pass(sharded, models, going, settings, boot, factors, [folds[name] for name in names], ids, d, epoch, last, batch_rows).collect()} if going else {}
             share = lambda pair: pair[0] / pair[1] if pair and pair[1] else 0.0
             for c in going:
                 config = settings[c]
@@ -378,8 +419,8 @@ def fit_all(
                 moves = [(place, *pair) for (k, place), pair in result.items() if k == c and place >= 0]
                 if moves:
                     at, first, second = (np.array(column) for column in zip(*moves, strict=True))
-                    w[at] += first / n
-                    squares[at] += second / n
+                    w[at] += first / counts[c]
+                    squares[at] += second / counts[c]
                 models[c] = (w, squares)
                 histories[c].append({"epoch": epoch, "train_loss": share(result.get((c, ON_THE_WAY)))})
             if not live:

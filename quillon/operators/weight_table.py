@@ -46,7 +46,7 @@ class TableFit:
 def fit_table(rows: DataFrame, config: TrainingConfig = TrainingConfig(), order: str = "training_row_id", shard_rows: int = training.SHARD_ROWS, batch_rows: int | None = training.BATCH_ROWS) -> TableFit:
     """One configuration fitted as ``training.fit_all`` does, with any number of sparse ids."""
     n, positives, d = training._checked(rows)
-    sharded = training._sharded(rows, order, max(1, -(-n // shard_rows))).persist(StorageLevel.DISK_ONLY)
+    sharded = training._sharded(training.by_split(rows), order, max(1, -(-n // shard_rows))).persist(StorageLevel.DISK_ONLY)
     factors = training._factors(n, positives, config)
     try:
         held = scratch.stage(_held(sharded, d), "held-ids")
@@ -84,7 +84,7 @@ def fit_table(rows: DataFrame, config: TrainingConfig = TrainingConfig(), order:
 
 def _held(sharded: DataFrame, d: int) -> DataFrame:
     """(shard, kind, id, learnt): what each shard needs of the model; ``learnt`` where its training rows hold the id."""
-    ids = sharded.select("shard", "train", F.explode("ids").alias("id")).filter("id is not null").groupBy("shard", F.lit(SPARSE).alias("kind"), "id").agg(F.max("train").alias("learnt"))
+    ids = sharded.select("shard", (F.col("period") == 0).alias("train"), F.explode("ids").alias("id")).filter("id is not null").groupBy("shard", F.lit(SPARSE).alias("kind"), "id").agg(F.max("train").alias("learnt"))
     fixed = F.array(F.struct(F.lit(BIAS).alias("kind"), F.lit(0).cast("long").alias("id")), *(F.struct(F.lit(DENSE).alias("kind"), F.lit(j).cast("long").alias("id")) for j in range(d)))
     return sharded.select("shard").distinct().select("shard", F.inline(fixed)).withColumn("learnt", F.lit(True)).unionByName(ids)
 
@@ -100,8 +100,8 @@ def _moves(sharded: DataFrame, held: DataFrame, weights: DataFrame, d: int, conf
         # Bias, dense and sparse weights, in this order; one more place where a shard has no sparse id.
         pad = np.zeros(1 if len(ids) == 1 + d else 0)
         w, squares = (np.concatenate([model[c].to_numpy(), pad]) for c in ("weight", "squares"))
-        is_train = rows["train"].to_numpy()
-        sides = (training._parsed(rows.filter(pa.array(side)), ids[1 + d :], d) for side in (is_train, ~is_train))
+        period, whole = rows["period"].to_numpy(), training._parsed(rows, ids[1 + d :], d)
+        sides = (training._part(whole, np.flatnonzero(period == k)) for k in (0, 1))
         out = []
         for places, first, second in training.shard_moves(number, *sides, w, squares, config, False, factors, epoch, last, batch):
             places = np.asarray(places)

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL, DENSE_FEATURES, MISSING, POLICIES, RAW_COLUMNS, DatasetConfig, FeatureConfig, TrainingConfig
 from ..functions import columns as C
-from ..operators import bands, calibration, dataset, drift, metrics, monitoring, policy, profiling, quality, ranking, rolling, steps, training, weight_table
+from ..operators import bands, calibration, dataset, draws, drift, metrics, monitoring, policy, profiling, quality, ranking, rolling, steps, training, weight_table
 from ..sources import quoted, scratch, tables
 from ..streaming import serving
 
@@ -708,6 +709,45 @@ def lr_weights_table(spark, sf_dir):
     return rounded(fitted.weights.select(name.alias("feature"), "weight"), "weight")
 
 
+_ORIGINS = ("1996-08-01", "1998-04-01", "1999-12-01")
+
+
+def _fold_steps() -> str:
+    out = f"WITH RECURSIVE {_DENSE}, dated AS MATERIALIZED (SELECT dense.*, contacts.event_ts::DATE AS on_day FROM dense JOIN contacts USING (row_id))"
+    weights = ", ".join(f"w{j}" for j in range(7))
+    for k, origin in enumerate(_ORIGINS):
+        until = f"DATE '{_ORIGINS[k + 1]}'" if k + 1 < len(_ORIGINS) else "DATE '9999-01-01'"
+        step = _descent(f"fold{k}", "(q - label)").replace("t.*", f"t{k}.*").replace(" s, t WHERE", f" s, t{k} WHERE").replace(f" + {_L2} * w", " + 0.0 * w")
+        out += f""",
+ t{k} AS MATERIALIZED (SELECT label, {", ".join(DENSE_FEATURES)}, CASE WHEN label = 1 THEN count(*) OVER () / (2.0::DOUBLE * sum(label) OVER ()) ELSE count(*) OVER () / (2.0::DOUBLE * (count(*) OVER () - sum(label) OVER ())) END AS share FROM dated WHERE on_day < DATE '{origin}'),
+ {step},
+ v{k} AS (SELECT i, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS loss FROM (SELECT i, label, 1 / (1 + exp(-(b + {_X}))) AS q FROM fold{k}, dated WHERE i > 0 AND on_day >= DATE '{origin}' AND on_day < {until}) GROUP BY 1),
+ r{k} AS (SELECT {k + 1} AS fold, i AS best_epoch, round(loss, 6) AS validation_log_loss, unnest([{", ".join(repr(n) for n in ("bias", *DENSE_FEATURES))}]) AS feature, round(unnest([b, {weights}]), 6) AS weight FROM fold{k} JOIN v{k} USING (i) WHERE i = (SELECT arg_min(i, loss) FROM v{k}))"""
+    return out + " UNION ALL ".join(f" SELECT * FROM r{k}" for k in range(len(_ORIGINS)))
+
+
+@query(_fold_steps())
+def rolling_origin_folds(spark, sf_dir):
+    """Gradient descent on the contacts before each of three days, stopped by those up to the next day."""
+    none = {"sparse_feature_ids": F.array().cast("array<bigint>"), "sparse_feature_values": F.array().cast("array<double>")}
+    config = TrainingConfig(max_epochs=_STEPS, learning_rate=_RATE, l2=0.0, optimizer="sgd", patience=0)
+    origins = [datetime.fromisoformat(day) for day in _ORIGINS]
+    fits = training.fit_folds(_training_table(spark, sf_dir).withColumns(none), config, origins, batch_rows=None)
+    found = [
+        (fold, fit.model.best_epoch, min(h["validation_log_loss"] for h in fit.history), name, float(w))
+        for fold, fit in fits.items() for name, w in zip(("bias", *DENSE_FEATURES), (fit.model.bias, *fit.model.dense), strict=True)
+    ]
+    return rounded(spark.createDataFrame(found, "fold int, best_epoch int, validation_log_loss double, feature string, weight double"), "validation_log_loss", "weight")
+
+
+@query("SELECT count(*) AS rows, count(*) AS draws, true AS spread FROM documents")
+def exact_draws(spark, sf_dir):
+    """A bootstrap sample of the documents: exactly as many draws as documents, about a third of which are not drawn."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "source")
+    drawn = draws.with_draws(docs, None, ["doc_id"], seed=3)
+    return drawn.agg(F.count("*").alias("rows"), F.sum("draws").alias("draws"), (F.avg((F.col("draws") == 0).cast("int")).between(0.3, 0.44) & (F.max("draws") < 20)).alias("spread"))
+
+
 def _runs(runs: DataFrame) -> DataFrame:
     return runs.select("config", F.get_json_object("model", "$.bias").cast("double").alias("bias"), F.get_json_object("model", "$.best_epoch").cast("int").alias("best_epoch"), "history")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DENSE_FEATURES, POLICIES, AlertThresholds, DatasetConfig, RankingConfig, TrainingConfig
-from ..operators import calibration, dataset, drift, metrics, monitoring, policy, ranking, training
+from ..operators import calibration, dataset, draws, drift, metrics, monitoring, policy, ranking, training
 from ..sources import files, scratch
 
 
@@ -56,16 +56,29 @@ def _by_split(rows: DataFrame, model: training.Model) -> dict[str, dict]:
     return {r.split: r.asDict() for r in metrics.report(scored, ["split"], score="probability").collect()}
 
 
-def run_experiments(rows: DataFrame, config: TrainingConfig = TrainingConfig(), repeats: int = 0, out: str | None = None) -> dict:
+def run_experiments(rows: DataFrame, config: TrainingConfig = TrainingConfig(), repeats: int = 0, out: str | None = None, exact_draws: bool = False) -> dict:
     """The baseline and its ablations, all fitted together, with their metrics by split; with more than one
-    repeat also how stable the weights are over bootstrap draws."""
+    repeat also how stable the weights are over bootstrap draws.
+
+    Oversampling and bootstrap are weights and Poisson draws in the common passes, or with ``exact_draws`` rows drawn with
+    replacement, exactly as many as asked for, each sample fitted by itself."""
     stamps, spark = check_uniform(rows), rows.sparkSession
-    fits = training.fit_all(rows, training.suite(config))
+    configs = training.suite(config)
+    fits = training.fit_all(rows, configs)
+    if exact_draws:
+        drawn = scratch.stage(draws.oversampled(rows, seed=config.seed), "oversampled")
+        fits["oversampling"] = training.fit_all(drawn, {"oversampling": replace(configs["oversampling"], oversample=False)})["oversampling"]
+        scratch.drop_table(drawn)
     runs = {name: {"best_epoch": f.model.best_epoch, "history": f.history, "metrics": _by_split(rows, f.model), "top": f.model.top(10), "top_sparse": f.model.top(10, sparse=True)} for name, f in fits.items()}
     report = {**stamps, "baseline": runs["baseline"], "ablation_runs": runs, "stability_report": None}
     if repeats > 1:
-        draws = {f"run{i}": replace(config, seed=config.seed + i, patience=0) for i in range(repeats)}
-        found = training.stability(training.train_all(rows.filter("split = 'train'"), draws, bootstrap=list(draws)), DENSE_FEATURES)
+        runs_of, train = {f"run{i}": replace(config, seed=config.seed + i, patience=0) for i in range(repeats)}, rows.filter("split = 'train'")
+        if exact_draws:
+            models = [(name, training.fit_all(draws.resampled(train, seed=c.seed), {name: c})[name].model.to_json(), "[]") for name, c in runs_of.items()]
+            fitted = spark.createDataFrame(models, training.RUN)
+        else:
+            fitted = training.train_all(train, runs_of, bootstrap=list(runs_of))
+        found = training.stability(fitted, DENSE_FEATURES)
         report["stability_report"] = {"repeats": repeats, "weights": [r.asDict() for r in found.collect()]}
     if out:
         files.write_document(spark, report, f"{out}/experiment_report.json")

@@ -1,6 +1,7 @@
 """The registered fits against plain loops, and the weights held in a table against those held in memory."""
 
 import json
+from datetime import datetime
 from pathlib import Path
 
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.config import DENSE_FEATURES, TrainingConfig
-from quillon.operators import training, weight_table
-from quillon.plans import catalog
+from quillon.operators import draws, training, weight_table
+from quillon.plans import catalog, jobs
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -168,3 +169,64 @@ def test_rows_without_features_and_lone_splits(spark):
     assert np.isclose({r.kind: r.weight for r in two.weights.collect()}[weight_table.BIAS], one.bias)
     with pytest.raises(ValueError, match="no training rows"):
         weight_table.fit_table(rows.limit(0))
+
+
+def test_folds_equal_fits_on_their_rows(spark):
+    """Each origin's model is the one that a fit on its own rows gives, whatever other folds hold."""
+    days = F.expr("timestamp '2026-01-01' + make_interval(0, 0, 0, cast(substring(training_row_id, 2) as int) % 40)")
+    rows = made_rows(spark, 400, 30).withColumn("event_ts", F.when(F.col("training_row_id") != "r000007", days))
+    origins = [datetime(2026, 1, 10), datetime(2026, 1, 20), datetime(2026, 2, 5)]
+    config = TrainingConfig(max_epochs=4, patience=2)
+    found = training.fit_folds(rows, config, origins)
+    assert list(found) == [1, 2, 3]
+    for k, origin in enumerate(origins):
+        until = F.lit(origins[k + 1]) if k + 1 < len(origins) else F.lit(datetime(2100, 1, 1))
+        own = rows.withColumn("split", F.when(F.col("event_ts") < F.lit(origin), "train").when(F.col("event_ts") < until, "validation"))
+        one = training.fit_all(own, {"x": config})["x"]
+        mine = found[k + 1]
+        assert mine.model.best_epoch == one.model.best_epoch and np.isclose(mine.model.bias, one.model.bias) and np.allclose(mine.model.dense, one.model.dense)
+        assert all(np.isclose(mine.model.sparse.get(i, 0.0), one.model.sparse.get(i, 0.0)) for i in range(30))
+        assert np.allclose([h.get("validation_log_loss", 0) for h in mine.history], [h.get("validation_log_loss", 0) for h in one.history])
+    for wrong in ([], origins[::-1], [datetime(2020, 1, 1)]):
+        with pytest.raises(ValueError, match="ascend|no training rows"):
+            training.fit_folds(rows, config, wrong)
+
+
+@pytest.mark.parametrize("n", [None, 0, 10, 50_000])
+def test_draws_are_exact_and_repeat(spark, n):
+    rows = spark.range(5300).select(F.format_string("k%06d", "id").alias("key"), F.when(F.col("id") % 3 == 0, 1.5).alias("draws"), F.lit("x").alias("other"))
+    one, two = (dict(draws.with_draws(part, n, ["key"], seed=4).select("key", "draws").collect()) for part in (rows.repartition(3), rows.repartition(7, "key")))
+    assert one == two and len(one) == 5300 and sum(one.values()) == (5300 if n is None else n) and min(one.values()) >= 0
+    assert one != dict(draws.with_draws(rows, n, ["key"], seed=5).select("key", "draws").collect()) or n == 0
+    if n == 50_000:
+        values = np.array(list(one.values()))
+        # Variance of a multinomial draw, within and between leaves of a thousand rows.
+        assert abs(values.var() / values.mean() - 1) < 0.1
+        leaves = values[np.argsort(list(one))][:5000].reshape(5, 1000).sum(axis=1)
+        assert np.abs(leaves - 50_000 * 1000 / 5300).max() < 5 * np.sqrt(50_000 * 0.19 * 0.81)
+
+
+def test_draws_over_many_branches(spark, monkeypatch):
+    monkeypatch.setattr(draws, "LEAF", 10)
+    monkeypatch.setattr(draws, "BRANCH", 7)
+    found = draws.with_draws(spark.range(733).repartition(4), 4000, ["id"]).collect()
+    assert len(found) == 733 and sum(r.draws for r in found) == 4000
+    assert draws.with_draws(spark.range(0), 4, ["id"]).count() == 0
+    repeated = spark.createDataFrame([(None, i) for i in range(40)], "id long, i int")
+    assert sum(r.draws for r in draws.with_draws(repeated, 100, ["id"]).collect()) == 100
+
+
+def test_resampled_and_oversampled_rows(spark):
+    rows = made_rows(spark, 600, 9)
+    train = rows.filter("split = 'train'")
+    n, ones = train.count(), train.filter("label = 1").count()
+    unit = rows.withColumn("sample_weight", F.lit(1.0))
+    total = lambda frame, where: frame.filter(where).agg(F.sum("sample_weight")).first()[0]
+    again = draws.resampled(unit, seed=2)
+    assert total(again, "split = 'train'") == n and again.filter("split = 'train'").count() < 0.75 * n and total(again, "split = 'validation'") == 600 - n
+    level = draws.oversampled(unit, seed=2)
+    assert total(level, "split = 'train' and label = 1") == total(level, "split = 'train' and label = 0") == max(ones, n - ones)
+    assert level.count() == 600 and draws.oversampled(unit.filter("label = 1")).count() == unit.filter("label = 1").count()
+    report = jobs.run_experiments(rows.withColumns({"feature_set_version": F.lit("f"), "task_context": F.lit("t")}), TrainingConfig(max_epochs=1), repeats=2, exact_draws=True)
+    assert {r["runs"] for r in report["stability_report"]["weights"] if r["kind"] == "dense"} == {2}
+    assert report["ablation_runs"]["oversampling"]["history"] != report["baseline"]["history"]
