@@ -1,7 +1,8 @@
 """Personal data in texts, with DataFrame operations only.
 
 Regular expressions propose spans, checks confirm them (part sizes, digit counts, Luhn,
-mod 97), and words that stand near a span raise its score.  Offsets are code points: a text
+mod 97), and words that stand near a span, before or after it up to the next match of its kind, raise
+its score; they count as whole words only.  Offsets are code points: a text
 split by a pattern gives the gaps between its matches, so starts are running sums of gap and
 match lengths.  Patterns are written with possessive quantifiers where that changes no match,
 which keeps the matcher's stack flat on very long runs.  A run of characters that may open a
@@ -22,18 +23,18 @@ from pyspark.sql import functions as F
 
 #: Kind, pattern, character or class that must occur at all, score without and with context, context words.
 BASE = (
-    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.99, "e-?mail|contact|write to|correo|courriel|kontakt"),
-    ("ip", r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", ".", 0.6, 0.9, "ip|address|host|server|login|adresse|direcci"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.7, 0.99, "card|visa|credit|pay|karte|carte|tarjeta"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, 0.95, "phone|call|tel|mobile|fax|anruf|appel"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.99, "e-?mails?|contact|write to|correo|courriel|kontakt"),
+    ("ip", r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", ".", 0.6, 0.9, "ip|address(?:es)?|hosts?|servers?|login|adresse|direcci[oó]n"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.7, 0.99, "cards?|visa|credit|pay|paid|payments?|karte|kreditkarte|carte|tarjeta"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, 0.95, "(?:tele)?phones?|call|tel|mobile|fax|telefon|anruf|appel"),
 )
 ADDED = (
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.9, 0.99, "iban|account|bank|konto|compte|cuenta"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.9, 0.99, "iban|accounts?|bank|konto|compte|cuenta"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, 0.8, "ssn|social security|taxpayer"),
 )
 #: Matches whose places are summed at once.
 BLOCK = 256
-#: Code points before a span in which its context words count.
+#: Code points before and after a span in which its context words count.
 CONTEXT = 40
 
 
@@ -79,33 +80,31 @@ def _running(items: Column, length, entry, kind: str) -> Column:
 def _placed(pairs: Column) -> Column:
     """Start, end, value and context of each match.  Sums run inside blocks and over blocks, as an
     array is copied whenever it grows."""
-    kind = "struct<start:int,end:int,value:string,before:string>"
-    entry = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["length"]).alias("end"), p["value"].alias("value"), p["before"].alias("before"))
+    kind = "struct<start:int,end:int,value:string,near:string>"
+    entry = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["length"]).alias("end"), p["value"].alias("value"), p["near"].alias("near"))
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor(F.size(pairs) / BLOCK).cast("int")),
         lambda b: _running(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), lambda p: p["gap"] + p["length"], entry, kind),
     )
     based = _running(blocks, lambda b: b["at"], lambda b, at: F.struct(at.alias("base"), b["out"].alias("out")), f"struct<base:int,out:array<{kind}>>")["out"]
-    moved = lambda s, base: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["value"].alias("value"), s["before"].alias("before"))
+    moved = lambda s, base: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["value"].alias("value"), s["near"].alias("near"))
     return F.flatten(F.transform(based, lambda b: F.transform(b["out"], lambda s: moved(s, b["base"]))))
 
 
 def _matches(text: Column, kind: str, pattern: str, needs: str | None, *_) -> Column:
-    """Array of (gap before, length, value, text before) of all matches; empty where none is possible."""
+    """Array of (gap before, length, value, text around) of all matches; empty where none is possible."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(matches)),
-        matches,
-        lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("length"), m.alias("value"), F.lower(F.right(g, F.lit(CONTEXT))).alias("before")),
-    )
+    near = lambda g, after: F.lower(F.concat(F.right(g, F.lit(CONTEXT)), F.lit("\n"), F.left(after, F.lit(CONTEXT))))
+    around = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.slice(gaps, F.lit(2), F.size(matches)), lambda g, after: F.struct(F.char_length(g).alias("gap"), near(g, after).alias("near")))
+    pairs = F.zip_with(around, matches, lambda a, m: F.struct(a["gap"].alias("gap"), F.char_length(m).alias("length"), m.alias("value"), a["near"].alias("near")))
     possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    return F.when(possible, pairs).otherwise(F.array().cast("array<struct<gap:int,length:int,value:string,before:string>>"))
+    return F.when(possible, pairs).otherwise(F.array().cast("array<struct<gap:int,length:int,value:string,near:string>>"))
 
 
 def _spans(pairs: Column, kind: str, pattern: str, needs: str | None, alone: float, near: float, words: str) -> Column:
     """Array of (kind, start, end, score) of the valid matches, in order of start."""
     valid = F.filter(_placed(pairs), lambda s: _valid(kind, s["value"]))
-    score = lambda s: F.when(s["before"].rlike(rf"\b(?:{words})"), near).otherwise(alone)
+    score = lambda s: F.when(s["near"].rlike(rf"\b(?:{words})\b"), near).otherwise(alone)
     found = F.transform(valid, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
     return F.when(F.size(pairs) > 0, found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 

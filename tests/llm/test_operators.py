@@ -349,6 +349,19 @@ def brute_spans(text):
     return out
 
 
+def test_pii_context_on_both_sides_and_whole_words(spark):
+    texts = [
+        "123-45-6789 (SSN)", "123-45-6789 is lessn", "my SSN: 123-45-6789", "4111 1111 1111 1111 is my credit card", "4111 1111 1111 1111 is discredited", "I shall tell +1 555 123 4567", "tel +1 555 123 4567",
+        "+1 555 123 4567 (Phone)", "a@b.co, c@d.co e-mail", "ship to 10.0.0.1", "10.0.0.1 is the server", "x" * 45 + " 123-45-6789 " + "y" * 41 + " ssn", "dirección 10.0.0.1",
+    ]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(found[i].added) for i in (0, 1, 2, 11)] == [1, 0, 1, 0]
+    score = lambda i: [s.score for s in found[i].base]
+    assert score(3) == [0.99] and score(4) == [0.7] and score(5) == [0.7] and score(6) == [0.95] and score(7) == [0.95]
+    # The text between two matches of a kind belongs to both.
+    assert score(8) == [0.9, 0.99] and score(9) == [0.6] and score(10) == [0.9] and score(12) == [0.9]
+
+
 def test_pii(spark, docs, none):
     texts = [
         "mail a.b+c@x-y.example.com, a@b.c@d.ef_g@h.ij; 😀 10.0.0.1 1.2.3.4.5 256.1.1.1 0001.02.003.255 99999999999.1.1.1",
