@@ -23,8 +23,12 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that have no letter or whose language is not sure."""
+    """Rejects texts that have no letter or whose language is not sure.
+
+    Where no row tells its language nothing is learnt, and only texts without a letter go."""
     model = langid.fit(docs, id_remainder(5) != 0)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = (_free(docs, name) for name in ("found_lang", "found_score"))
     named = langid.predict(docs, model, lang_name=lang, score_name=score)
     return named.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
