@@ -195,3 +195,10 @@ def test_awkward_rows_go_through_all_stages(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
+
+
+def test_language_stage_without_languages(spark):
+    """Where no row tells its language, only texts without a letter go."""
+    rows = [(1, "some words here", None, "s"), (2, "123 !!", None, "s"), (3, None, None, "s"), (4, "é", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
