@@ -49,6 +49,31 @@ def uncertainty(p: Column) -> Column:
     return 1 - F.abs(2 * p - 1)
 
 
+# Display
+MISSING_TEXT = "—"
+
+
+def _shown(value: Column, pattern: str, number: Column) -> Column:
+    """Text that is no number stands as it is."""
+    return F.when(value.isNull(), MISSING_TEXT).when(number.isNull(), value.cast("string")).otherwise(F.format_string(pattern, number))
+
+
+def show_float(value: Column) -> Column:
+    """Four decimals."""
+    return _shown(value, "%.4f", value.cast("string").try_cast("double"))
+
+
+def show_int(value: Column) -> Column:
+    """Whole thousands apart, fractions cut off."""
+    number = value.cast("string").try_cast("double")
+    return _shown(value, "%,d", F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
+
+
+def show_percent(value: Column) -> Column:
+    """One decimal of a percentage."""
+    return _shown(value, "%.1f%%", value.cast("string").try_cast("double") * 100)
+
+
 # Features
 def dense_value(name: str, raw: Column, config: FeatureConfig) -> Column:
     """A numeric string as a model input; null is 0 and text that is no number is an error.

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_rate, sparse_bucket
+from ..sources.scratch import stage
+
+#: Most groups whose ranges are broadcast.
+MOST_GROUPS = 100_000
 
 
 def psi(rows: DataFrame, by: Sequence[str] = (), value: str = "value", live: str = "live", bins: int = 10, floor: float = 1e-6) -> DataFrame:
@@ -15,15 +19,17 @@ def psi(rows: DataFrame, by: Sequence[str] = (), value: str = "value", live: str
 
     Bins are of equal width over the range of both populations and closed on the right.  A
     constant column and an empty population have index 0."""
-    x, is_live = F.col(value), F.col(live)
-    # Distinct values first: what follows works on them, and the range is one row for each group.
-    counted = rows.filter(x.isNotNull()).groupBy(*by, x.alias("value")).agg(F.count_if(~is_live).alias("e"), F.count_if(is_live).alias("a"))
-    limits = counted.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("e").alias("all_e"), F.sum("a").alias("all_a"))
+    x, is_live = F.col(value).cast("double"), F.col(live)
+    known = rows.filter(x.isNotNull()).select(*by, x.alias("value"), is_live.alias("live"))
+    # One row for each group, then counts by bin: nothing but these moves.
+    limits = known.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(~F.col("live")).alias("all_e"), F.count_if("live").alias("all_a"))
     edges = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
-    joined = counted.join(F.broadcast(limits), list(by)) if by else counted.crossJoin(F.broadcast(limits))
-    binned = joined.withColumn("bin", F.size(F.filter(edges, lambda e: F.col("value") > e))).groupBy(*by, "bin").agg(
-        F.sum("e").alias("e"), F.sum("a").alias("a"), F.first("all_e").alias("all_e"), F.first("all_a").alias("all_a"), F.first("lo").alias("lo"), F.first("hi").alias("hi")
-    )
+    limits = stage(limits.withColumn("edges", edges), "limits")
+    few = F.broadcast(limits) if limits.count() <= MOST_GROUPS else limits
+    joined = known.join(few, list(by)) if by else known.crossJoin(F.broadcast(limits))
+    binned = joined.withColumn("bin", F.size(F.filter("edges", lambda e: F.col("value") > e))).groupBy(*by, "bin").agg(
+        F.count_if(~F.col("live")).alias("e"), F.count_if("live").alias("a"), *(F.first(c).alias(c) for c in ("all_e", "all_a", "lo", "hi"))
+    )
     e, a = (F.greatest(F.try_divide(F.col(c), F.col(f"all_{c}")), F.lit(floor)) for c in ("e", "a"))
     term = F.when((F.col("all_e") == 0) | (F.col("all_a") == 0) | (F.col("lo") == F.col("hi")), 0.0).otherwise((a - e) * F.log(a / e))
     return binned.groupBy(*by).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("psi"))

@@ -69,10 +69,12 @@ def bin_of(score: Column, bins: int) -> Column:
 
 
 def calibration_bins(groups: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
-    """(by, bin, weight, count, mean_score, observed, gap) of the bins with weight."""
+    """(by, bin, weight, count, mean_score, observed, gap) of the bins with weight; ``groups`` as from ``score_groups``
+    or ``bins_of_rows``."""
     w = F.col("pos") + F.col("neg")
+    placed = groups if "bin" in groups.columns else groups.withColumn("bin", bin_of(F.col("score"), bins))
     return (
-        groups.withColumn("bin", bin_of(F.col("score"), bins))
+        placed
         .groupBy(*by, "bin")
         .agg(F.sum(w).alias("weight"), F.sum(w * F.col("score")).alias("s"), F.sum("pos").alias("p"))
         .filter("weight > 0")
@@ -81,6 +83,13 @@ def calibration_bins(groups: DataFrame, by: Sequence[str] = (), bins: int = 10)
     )
 
 
+def bins_of_rows(rows: DataFrame, by: Sequence[str] = (), bins: int = 10, label: str = "label", score: str = "score", weight: str = "weight") -> DataFrame:
+    """What ``calibration_bins`` needs, added up by bin instead of by score: a row for each bin."""
+    w, y, p = F.col(weight).cast("double"), F.col(label), F.col(score)
+    share = F.try_divide(F.sum(w * p), F.sum(w))
+    return rows.groupBy(*by, bin_of(p, bins).alias("bin")).agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 1, 0.0).otherwise(w)).alias("neg"), share.alias("score"))
+
+
 def calibration_errors(groups: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """Expected and maximal calibration error."""
     table = calibration_bins(groups, by, bins)

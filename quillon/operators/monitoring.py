@@ -122,7 +122,7 @@ def governance(decisions: DataFrame, group: str = "task_context", probability: s
     labelled = rows.filter(F.col("realized_label").isNotNull() & F.col(probability).isNotNull()).select(
         "group", F.col("realized_label").alias("label"), F.col(probability).alias("score"), F.lit(1.0).alias("weight")
     )
-    errors = metrics.calibration_errors(metrics.score_groups(labelled, ["group"]), ["group"], bins).select("group", "ece")
+    errors = metrics.calibration_errors(metrics.bins_of_rows(labelled, ["group"], bins), ["group"], bins).select("group", "ece")
     return _beside(base, action_counts(rows, ["group"]), ["group"]).join(errors, "group", "left")
 
 

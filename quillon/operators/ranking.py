@@ -54,14 +54,22 @@ EXPLORE_ORDER = ("uncertainty_score", "reranker_probability")
 LISTS = {"stage1": (STAGE1_ORDER, 1), "reranker": (RERANKER_ORDER, 1), "explore": (EXPLORE_ORDER, 2)}
 
 
+#: Most rows of lists that are broadcast to the candidates.
+MOST_BROADCAST = 1_000_000
+
+
 def top_lists(candidates: DataFrame, k: int = 25, lists: Sequence[str] = tuple(LISTS)) -> DataFrame:
-    """(list, place, candidate columns): the first entries of each split in each order, in one pass over
-    the candidates; each task keeps no more than these of its own rows."""
+    """(list, place, candidate columns): the first entries of each split in each order.
+
+    Orders are taken over keys and ids alone, in one pass, in which each task keeps no more than these of its own
+    rows; the chosen few then fetch their columns by id."""
     keys = [F.struct(F.lit(name).alias("list"), F.lit(k * LISTS[name][1]).alias("most"), *(F.col(c).cast("double").alias(f"key{i}") for i, c in enumerate(LISTS[name][0]))) for name in lists]
-    entered = candidates.withColumn("__in", F.explode(F.array(*keys)))
-    order = Window.partitionBy("split", F.col("__in.list")).orderBy(F.col("__in.key0").desc(), F.col("__in.key1").desc(), F.col("candidate_id").asc())
-    found = entered.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k * max(LISTS[name][1] for name in lists)).filter(F.col("place") <= F.col("__in.most"))
-    return found.withColumn("list", F.col("__in.list")).drop("__in")
+    entered = candidates.select("split", "candidate_id", F.inline(F.array(*keys)))
+    order = Window.partitionBy("split", "list").orderBy(F.col("key0").desc(), F.col("key1").desc(), F.col("candidate_id").asc())
+    found = entered.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k * max(LISTS[name][1] for name in lists)).filter(F.col("place") <= F.col("most"))
+    found = stage(found.select("split", "candidate_id", "list", "place"), "top-lists")
+    few = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    return candidates.join(few, ["split", "candidate_id"]).select(*candidates.columns, "place", "list")
 
 
 def exploration_slots(k: Column, rate: float) -> Column:

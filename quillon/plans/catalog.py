@@ -564,6 +564,14 @@ def profile_numeric(spark, sf_dir):
     return rounded(profiling.numeric_summary(tables.contacts(spark, sf_dir), ("age", "balance", "campaign", "previous")), "mean", "p05", "median", "p95")
 
 
+@query("""SELECT doc_id, printf('%.4f', n_chars / 7.0::DOUBLE) AS float_text, format('{:,}', n_chars) AS int_text, printf('%.1f%%', 100 * (doc_id % 997) / 1000.0::DOUBLE) AS percent_text, coalesce(lang, '—') AS lang_text FROM documents""")
+def display_texts(spark, sf_dir):
+    """Numbers as they are shown; a null is a dash and text that is no number stands as it is."""
+    docs = tables.table(spark, sf_dir, "documents")
+    shown = {"float_text": C.show_float(F.col("n_chars") / 7.0), "int_text": C.show_int(F.col("n_chars")), "percent_text": C.show_percent((F.col("doc_id") % 997) / 1000.0), "lang_text": C.show_float(F.col("lang"))}
+    return docs.select("doc_id", *(c.alias(name) for name, c in shown.items()))
+
+
 @query("WITH l AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) SELECT CAST(least(floor((c_acctbal - lo) / ((hi - lo) / 12)), 11) AS INTEGER) AS bin, count(*) AS n FROM customer, l GROUP BY 1")
 def histogram12(spark, sf_dir):
     return profiling.histogram(tables.table(spark, sf_dir, "customer"), "c_acctbal")
@@ -589,7 +597,7 @@ def missing_counts(spark, sf_dir):
  UNION ALL SELECT 'decision_outcome', unnest(['action_known', 'review_present']), unnest([count(*) FILTER (event_id % 14 = 0), count(*) FILTER (event_id % 15 = 0)]) FROM decided""")
 def dq_rules(spark, sf_dir):
     """Every rule is broken by some rows: repeated and missing ids, missing times, orphans, wrong values."""
-    rows = _contacts(spark, sf_dir)
+    rows = scratch.stage(_contacts(spark, sf_dir), "contacts")
     lost = lambda c, n, key="row_id": F.when(F.col(key) % n != 0, F.col(c))
     events = dataset.contact_events(rows, DATASET)
     number = F.regexp_extract("request_id", r"(\d+)", 1).cast("long")

@@ -19,6 +19,9 @@ from ..sources import files, scratch
 
 def build_dataset(contacts: DataFrame, config: DatasetConfig = DatasetConfig(), out: str | None = None) -> dict[str, DataFrame]:
     rows = dataset.with_identity(contacts, config)
+    if out:
+        # Every sink below reads the rows: the source is read and parsed once.
+        rows = scratch.stage(rows, "contacts")
     made = {"events": dataset.contact_events(rows, config), "labels": dataset.subscription_labels(rows, config), "training": dataset.training_rows(rows, config)}
     made["summary"] = dataset.summary(made["training"])
     if out:
@@ -222,6 +225,47 @@ def rank_candidates(rows: DataFrame, model: training.Model, calibrator, source:
     }
 
 
+#: What each phase leaves under the folder of ``run_all``.
+REQUIRED = {
+    "dataset": ("dataset/dataset_summary.json", "dataset/events", "dataset/labels", "dataset/training"),
+    "training": ("model/model.json", "model/metrics.json", "model/history.json"),
+    "calibration": ("calibration/calibration.json", "calibration/policy_summary.json", "calibration/decisions"),
+    "serving": ("serving/predictions", "serving/decisions"),
+    "monitoring": ("monitoring/report.json", "monitoring/alerts"),
+    "ranking": ("ranking/metrics.json", "ranking/shortlist", "ranking/reranker.json", "ranking/history.json"),
+}
+
+
+def artifact_status(spark: SparkSession, out: str, required: dict[str, Sequence[str]] = REQUIRED) -> DataFrame:
+    """(place, phase, ready, required, missing): which artifacts of each phase are there, in order of the phases."""
+    rows = []
+    for place, (phase, names) in enumerate(required.items(), 1):
+        missing = [name for name in names if not files.exists(spark, f"{out}/{name}")]
+        rows.append((place, phase, not missing, list(names), missing))
+    return spark.createDataFrame(rows, "place int, phase string, ready boolean, required array<string>, missing array<string>")
+
+
+def write_monitoring(made: dict[str, DataFrame], out: str) -> None:
+    """The report of ``monitor``: one document, and the alerts as lines."""
+    spark = made["alerts"].sparkSession
+    single = ("predictions", "decisions", "drift", "gaps", "links", "coverage", "readiness")
+    report = {name: made[name].first().asDict(recursive=True) for name in single}
+    report["live"] = {r.kind: r.asDict() for r in made["live"].collect()}
+    report["governance"] = {r.group: r.asDict(recursive=True) for r in made["governance"].collect()}
+    files.write_document(spark, report, f"{out}/report.json")
+    files.write_json(made["alerts"], f"{out}/alerts", single=True)
+
+
+def write_ranking(ranked: dict[str, DataFrame], out: str) -> None:
+    """Metrics by split and overall, the shortlists by split, the reranker and its history."""
+    spark = ranked["metrics"].sparkSession
+    splits = {r.split: r.asDict() for r in ranked["metrics"].collect()}
+    files.write_document(spark, {"splits": splits, "overall": ranked["overall"].first().asDict(), "readiness": ranked["readiness"].first().asDict()}, f"{out}/metrics.json")
+    files.write_json(ranked["shortlist"], f"{out}/shortlist", by="split")
+    files.write_document(spark, asdict(ranked["reranker"]), f"{out}/reranker.json")
+    files.write_document(spark, {"history": [r.asDict() for r in ranked["history"].collect()]}, f"{out}/history.json")
+
+
 def run_all(spark: SparkSession, raw_path: str, out: str, dataset_config: DatasetConfig = DatasetConfig(), training_config: TrainingConfig = TrainingConfig()) -> dict:
     """All batch phases in one session, each reading what the one before it wrote."""
     build_dataset(files.read_raw_csv(spark, raw_path), dataset_config, f"{out}/dataset")
@@ -230,4 +274,5 @@ def run_all(spark: SparkSession, raw_path: str, out: str, dataset_config: Datase
     chosen, decided, summary = calibrate_and_route(rows, model, out=f"{out}/calibration")
     bundle = load_bundle(spark, f"{out}/model/model.json", f"{out}/calibration/calibration.json")
     ranked = rank_candidates(rows, bundle.model, bundle.selection)
+    write_ranking(ranked, f"{out}/ranking")
     return {"model": model, "history": history, "selection": chosen, "summary": summary, "ranking": ranked}

@@ -489,3 +489,27 @@ def test_alert_thresholds_file(spark, tmp_path):
     found = files.read_alert_thresholds(spark, str(tmp_path / "m.yaml"))
     assert found.max_dense_psi == 0.4 and found.max_live_ece == AlertThresholds().max_live_ece
     assert files.read_alert_thresholds(spark, str(tmp_path / "none.yaml")) == AlertThresholds()
+
+
+def test_displayed_numbers(spark):
+    rows = [(0.123456, "1234567.9", -0.256), (None, None, None), (2.0, "abc", 1.0), (-1.5, "-1234.9", 0.0)]
+    found = spark.createDataFrame(rows, "a double, b string, c double").select(C.show_float(F.col("a")), C.show_int(F.col("b")), C.show_percent(F.col("c"))).collect()
+    assert [tuple(r) for r in found] == [("0.1235", "1,234,567", "-25.6%"), ("—", "—", "—"), ("2.0000", "abc", "100.0%"), ("-1.5000", "-1,234", "0.0%")]
+
+
+def test_artifacts_by_phase(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    assert not any(r.ready for r in jobs.artifact_status(spark, out).collect())
+    for name in jobs.REQUIRED["training"]:
+        files.write_document(spark, {}, f"{out}/{name}")
+    files.write_document(spark, {}, f"{out}/ranking/metrics.json")
+    found = {r.phase: r for r in jobs.artifact_status(spark, out).orderBy("place").collect()}
+    assert list(found) == list(jobs.REQUIRED) and found["training"].ready and not found["training"].missing
+    assert found["ranking"].missing == list(jobs.REQUIRED["ranking"][1:])
+
+
+def test_bins_of_rows_and_of_scores_agree(spark):
+    rng = random.Random(3)
+    rows = scored(spark, [rng.randint(0, 1) for _ in range(400)], [0.0, 1.0, 0.1, *(rng.random() for _ in range(397))], [rng.choice([0.0, 1.0, 2.5]) for _ in range(400)])
+    one, two = (metrics.calibration_errors(g).first() for g in (metrics.score_groups(rows), metrics.bins_of_rows(rows)))
+    assert math.isclose(one.ece, two.ece) and math.isclose(one.mce, two.mce)
