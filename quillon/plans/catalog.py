@@ -748,12 +748,15 @@ def rolling_origin_folds(spark, sf_dir):
     return rounded(spark.createDataFrame(found, "fold int, best_epoch int, validation_log_loss double, feature string, weight double"), "validation_log_loss", "weight")
 
 
-@query("SELECT count(*) AS rows, count(*) AS draws, true AS spread FROM documents")
+@query("SELECT doc_id, source, count(*) OVER () AS all_rows, count(*) OVER () AS all_draws, true AS spread FROM documents")
 def exact_draws(spark, sf_dir):
-    """A bootstrap sample of the documents: exactly as many draws as documents, about a third of which are not drawn."""
+    """A bootstrap sample of the documents, a row for each: exactly as many draws as documents in all, about a third of which
+    are not drawn."""
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "source")
-    drawn = draws.with_draws(docs, None, ["doc_id"], seed=3)
-    return drawn.agg(F.count("*").alias("rows"), F.sum("draws").alias("draws"), (F.avg((F.col("draws") == 0).cast("int")).between(0.3, 0.44) & (F.max("draws") < 20)).alias("spread"))
+    drawn = scratch.stage(draws.with_draws(docs, None, ["doc_id"], seed=3), "drawn")
+    spread = F.avg((F.col("draws") == 0).cast("int")).between(0.3, 0.44) & (F.max("draws") < 20)
+    totals = drawn.agg(F.count("*").alias("all_rows"), F.sum("draws").alias("all_draws"), spread.alias("spread"))
+    return drawn.filter("draws >= 0").select("doc_id", "source").crossJoin(totals)
 
 
 def _runs(runs: DataFrame) -> DataFrame:
