@@ -36,19 +36,20 @@ def _windows_of(days: DataFrame, window_days: int, maturity_days: int) -> DataFr
 
 
 def fit_rolling(
-    rows: DataFrame, by: Sequence[str] = (), window_days: int = WINDOW_DAYS, maturity_days: int = MATURITY_DAYS, max_iterations: int = 100, tolerance: float = 1e-6, l2: float = 1e-6, **names: str
+    rows: DataFrame, by: Sequence[str] = (), window_days: int = WINDOW_DAYS, maturity_days: int = MATURITY_DAYS, max_iterations: int = 100, tolerance: float = 1e-6, l2: float = 1e-6, least: float = 0.0, **names: str
 ) -> DataFrame:
     """(by, as_of, slope, intercept, pos, neg, iterations): each as ``calibration.fit_platt`` on the rows of its window.
 
     There is a window for every day up to the first on which the last event has matured, unless it holds no rows.
-    With one label only the slope is 0 and the intercept that of the smoothed share."""
+    Unless the weights of both labels exceed ``least``, which keeps curves from chasing a few labels, the slope is 0
+    and the intercept that of the smoothed share."""
     keys = [*by, "as_of"]
     groups = scratch.stage(daily_groups(rows, by, **names), "daily-scores")
     end = F.date_add(F.lit(groups.agg(F.max("day")).first()[0]).cast("date"), maturity_days + 1)
     totals = _windows_of(groups.groupBy(*by, "day").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), window_days, maturity_days)
     totals = totals.filter(F.col("as_of") <= end).groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     prior = (F.col("pos") + 1) / (F.col("pos") + F.col("neg") + 2)
-    start = {"slope": F.lit(0.0), "intercept": F.log(prior) - F.log1p(-prior), "moving": (F.col("pos") > 0) & (F.col("neg") > 0), "iterations": F.lit(0)}
+    start = {"slope": F.lit(0.0), "intercept": F.log(prior) - F.log1p(-prior), "moving": (F.col("pos") > least) & (F.col("neg") > least), "iterations": F.lit(0)}
     fits = scratch.stage(totals.withColumns(start), "rolling-fits")
     if fits.count() > MOST_WINDOWS:
         raise ValueError(f"more than {MOST_WINDOWS} windows; fit fewer groups at once")

@@ -338,15 +338,16 @@ def calibrator_selection(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_SCORED}, daily AS MATERIALIZED (SELECT task_context, ts::DATE AS day, ln(p) - ln(1 - p) AS s, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM scored GROUP BY 1, 2, 3),
  g AS MATERIALIZED (SELECT task_context, day + (3 + k)::INTEGER AS as_of, s, sum(pos) AS pos, sum(n) AS n FROM daily, range(14) r(k) WHERE day + (3 + k)::INTEGER <= (SELECT max(day) + 3 FROM daily) GROUP BY 1, 2, 3),
  t AS MATERIALIZED (SELECT task_context, as_of, sum(pos) AS pos, sum(n) AS n, ln((sum(pos) + 1) / (sum(n) + 2)) - ln(1 - (sum(pos) + 1) / (sum(n) + 2)) AS prior FROM g GROUP BY 1, 2),
- newton(i, task_context, as_of, a, b) AS (SELECT 0, task_context, as_of, 0.0::DOUBLE, prior FROM t WHERE pos > 0 AND pos < n UNION ALL
+ newton(i, task_context, as_of, a, b) AS (SELECT 0, task_context, as_of, 0.0::DOUBLE, prior FROM t WHERE pos > 20 AND n - pos > 20 UNION ALL
   SELECT i + 1, task_context, as_of, a - ((1e-6 + h00) * ga - h01 * gb) / ((1e-6 + h11) * (1e-6 + h00) - h01 * h01), b - ((1e-6 + h11) * gb - h01 * ga) / ((1e-6 + h11) * (1e-6 + h00) - h01 * h01) FROM (
    SELECT i, task_context, as_of, a, b, sum(n * q * (1 - q) * s * s) AS h11, sum(n * q * (1 - q) * s) AS h01, sum(n * q * (1 - q)) AS h00, 1e-6 * a + sum((n * q - pos) * s) AS ga, 1e-6 * b + sum(n * q - pos) AS gb
    FROM (SELECT *, 1 / (1 + exp(-(a * s + b))) AS q FROM newton JOIN g USING (task_context, as_of) WHERE i < 12) GROUP BY i, task_context, as_of, a, b))
  SELECT t.task_context, t.as_of::VARCHAR AS as_of, round(coalesce(a, 0), 4) AS slope, round(coalesce(b, prior), 4) AS intercept, pos, n - pos AS neg FROM t LEFT JOIN (SELECT * FROM newton WHERE i = 12) f ON f.task_context = t.task_context AND f.as_of = t.as_of""")
 def rolling_platt(spark, sf_dir):
-    """Platt's curve of every context as of every day, over the fourteen days before the last two."""
+    """Platt's curve of every context as of every day, over the fourteen days before the last two; where either label
+    weighs 20 at most, the smoothed share alone."""
     rows = _events(spark, sf_dir).withColumn("score", C.logit(F.col("probability")))
-    fits = rolling.fit_rolling(rows, ["task_context"], at="ts")
+    fits = rolling.fit_rolling(rows, ["task_context"], at="ts", least=20.0)
     return fits.select("task_context", F.col("as_of").cast("string").alias("as_of"), F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "pos", "neg")
 
 
