@@ -731,7 +731,7 @@ def _fold_steps() -> str:
  t{k} AS MATERIALIZED (SELECT label, {", ".join(DENSE_FEATURES)}, CASE WHEN label = 1 THEN count(*) OVER () / (2.0::DOUBLE * sum(label) OVER ()) ELSE count(*) OVER () / (2.0::DOUBLE * (count(*) OVER () - sum(label) OVER ())) END AS share FROM dated WHERE on_day < DATE '{origin}'),
  {step},
  v{k} AS (SELECT i, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS loss FROM (SELECT i, label, 1 / (1 + exp(-(b + {_X}))) AS q FROM fold{k}, dated WHERE i > 0 AND on_day >= DATE '{origin}' AND on_day < {until}) GROUP BY 1),
- r{k} AS (SELECT {k + 1} AS fold, i AS best_epoch, round(loss, 6) AS validation_log_loss, unnest([{", ".join(repr(n) for n in ("bias", *DENSE_FEATURES))}]) AS feature, round(unnest([b, {weights}]), 6) AS weight FROM fold{k} JOIN v{k} USING (i) WHERE i = (SELECT arg_min(i, loss) FROM v{k}))"""
+ r{k} AS (SELECT {k + 1} AS fold, i AS best_epoch, round(loss, 6) AS validation_log_loss, unnest([{", ".join(repr(n) for n in ("bias", *DENSE_FEATURES))}]) AS feature, round(unnest([b, {weights}]), 6) + 0.0::DOUBLE AS weight FROM fold{k} JOIN v{k} USING (i) WHERE i = (SELECT arg_min(i, loss) FROM v{k}))"""
     return out + " UNION ALL ".join(f" SELECT * FROM r{k}" for k in range(len(_ORIGINS)))
 
 
@@ -746,7 +746,9 @@ def rolling_origin_folds(spark, sf_dir):
         (fold, fit.model.best_epoch, min(h["validation_log_loss"] for h in fit.history), name, float(w))
         for fold, fit in fits.items() for name, w in zip(("bias", *DENSE_FEATURES), (fit.model.bias, *fit.model.dense), strict=True)
     ]
-    return rounded(spark.createDataFrame(found, "fold int, best_epoch int, validation_log_loss double, feature string, weight double"), "validation_log_loss", "weight")
+    table = rounded(spark.createDataFrame(found, "fold int, best_epoch int, validation_log_loss double, feature string, weight double"), "validation_log_loss", "weight")
+    # The first step of the bias is 0 but for rounding, on either side of it.
+    return table.withColumn("weight", F.col("weight") + 0.0)
 
 
 @query("SELECT doc_id, source, count(*) OVER () AS all_rows, count(*) OVER () AS all_draws, true AS spread FROM documents")
@@ -814,15 +816,15 @@ def stream_score_route(spark, sf_dir):
 
 @query("""WITH lab AS (SELECT event_id, ts, ts + to_hours((event_id % 40)::INTEGER) AS label_ts, (event_type = 'purchase')::INTEGER AS label FROM events WHERE event_id % 5 <> 0),
  mark AS (SELECT least((SELECT max(ts) FROM events), (SELECT max(label_ts) FROM lab)) - INTERVAL 1 HOUR AS at)
- SELECT e.event_id, l.label FROM events e LEFT JOIN lab l ON l.event_id = e.event_id AND l.label_ts <= e.ts + INTERVAL 24 HOUR, mark WHERE l.event_id IS NOT NULL OR e.ts + INTERVAL 24 HOUR < mark.at""")
+ SELECT e.event_id, coalesce(l.label, -1) AS label FROM events e LEFT JOIN lab l ON l.event_id = e.event_id AND l.label_ts <= e.ts + INTERVAL 24 HOUR, mark WHERE l.event_id IS NOT NULL OR e.ts + INTERVAL 24 HOUR < mark.at""")
 def stream_label_maturity(spark, sf_dir):
-    """Every event with its label, or without one once the attribution window of a day has passed; labels come up to 39 hours
-    late, and some never."""
+    """Every event with its label, or with -1 once the attribution window of a day has passed without one; labels come up to
+    39 hours late, and some never."""
     stream = lambda: serving.as_stream(spark, sf_dir, tables.table(spark, sf_dir, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events = stream().select("event_id", F.col("ts").alias("event_ts"))
     label_ts = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 40).cast("int"))
     labels = stream().filter("event_id % 5 <> 0").select(F.col("event_id").alias("parent_event_id"), label_ts.alias("label_ts"), (F.col("event_type") == "purchase").cast("int").alias("label"), F.col("event_id").alias("label_event_id"))
-    found = serving.matched_labels(events, labels, unlabelled=True).select("event_id", "label")
+    found = serving.matched_labels(events, labels, unlabelled=True).select("event_id", F.coalesce("label", F.lit(-1)).alias("label"))
     return serving.run_to_files(spark, found, "maturity")
 
 
