@@ -25,6 +25,9 @@ Edge cases: a null text counts as empty; a text without words has fingerprint ze
 links like any other; repeated rows are kept and get equal fingerprints; a null ``doc_id``
 is never a component's name unless no other id is there (then the component is null); an
 empty table gives an empty result; columns other than the two named are not read.
+
+``near_duplicates`` returns a table of the shared folder, which ``_scratch.drop_table(result)`` deletes; its
+working tables are deleted at once.
 """
 
 from __future__ import annotations
@@ -259,6 +262,10 @@ def components(classes: DataFrame, k: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id): links run between fingerprints that differ in at most
     ``k`` bits; ``component_id`` is the smallest id reachable over links."""
+    return _scratch.staged_in(docs.sparkSession, "fingerprint-components", lambda: _near_duplicates(docs, id_col, text_col, k, width, seed))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, seed: int) -> DataFrame:
     of_doc = _scratch.stage(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     classes = _scratch.stage(of_doc.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     named = classes.join(components(classes, k), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
