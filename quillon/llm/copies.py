@@ -7,7 +7,8 @@ that loses none of these must meet nearly every pair.  So MinHash bands of the s
 buckets too (24 bands of 5: a pair at exactly 0.8 is missed once in 13,000).  Each candidate pair is
 confirmed by the exact similarity of the two sets before it becomes a link.
 
-Texts with equal sets are one class and need no candidates.  In a bucket, members are first compared
+Texts with equal sets are one class and need no candidates.  A class is named by one hash of its set;
+where a second hash tells that two sets share a name, they are named anew by both.  In a bucket, members are first compared
 with its leader, the member that meets most others over all its buckets.  Those that are then not in
 the leader's component are compared with all members of the bucket.  That is done inside tasks,
 by exact counts of common shingles, in groups of bounded size: a bucket's members are cut into parts
@@ -72,20 +73,31 @@ def _row_hashes(columns: list[str]) -> list[Column]:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2, class, n, fp, bands) of every row."""
+    """(id, h1, h2, class, second, n, fp, bands) of every row; ``class`` and ``second`` are hashes of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(3)]
-            names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            names, seconds = (np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64) for seed in (0, 1))
             sizes = np.array([len(s) for s in sets], np.int64)
             fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
             signed = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
             signed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names), pa.array(sizes), pa.array(fps), signed], ["id", "h1", "h2", "class", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names), pa.array(seconds), pa.array(sizes), pa.array(fps), signed], ["id", "h1", "h2", "class", "second", "n", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *_row_hashes(docs.columns), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, h1 long, h2 long, class long, n long, fp long, bands array<long>")
+    return rows.mapInArrow(run, "id long, h1 long, h2 long, class long, second long, n long, fp long, bands array<long>")
+
+
+def told_apart(signed: DataFrame) -> DataFrame:
+    """``signed`` without ``second``; sets that share a ``class`` are named by both hashes instead."""
+    shared = signed.groupBy("class").agg(F.min("second").alias("least"), F.max("second").alias("most")).filter("least <> most").select("class", F.lit(True).alias("shared"))
+    shared = _scratch.stage(shared, "copy-shared-names")
+    if shared.isEmpty():
+        return signed.drop("second")
+    name = F.when(F.col("shared"), F.xxhash64("class", "second")).otherwise(F.col("class"))
+    renamed = signed.join(shared, "class", "left").withColumn("class", name).drop("shared", "second")
+    return _scratch.stage(renamed, "copy-renamed")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
@@ -194,7 +206,7 @@ def class_links(signed: DataFrame, docs: DataFrame, text_col: str = "text", leas
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row of each group of copies: that of the smallest id (a null id is the largest)."""
-    signed = _scratch.stage(_signatures(docs, id_col, text_col), "copy-signatures")
+    signed = told_apart(_scratch.stage(_signatures(docs, id_col, text_col), "copy-signatures"))
     parts = class_links(signed, docs, text_col, least).withColumnRenamed("node", "class")
     # The best row of each class, then of each group: a text with very many copies is added up first.
     rows = signed.groupBy("h1", "h2").agg(F.first("id").alias("id"), F.first("class").alias("class"), F.count("*").alias("times"))

@@ -64,6 +64,17 @@ def test_near_copies_stage(steps):
     assert ids(after) == Counter(least.values())
 
 
+def test_sets_that_share_a_hash_are_told_apart(spark):
+    """Two sets under one name become two classes; copies of one set stay one, other names are kept."""
+    rows = [(1, 7, 10), (2, 7, 11), (3, 7, 10), (4, 8, 10), (5, 8, 10), (6, 9, 12)]
+    signed = spark.createDataFrame(rows, "id long, class long, second long")
+    found = {r.id: r["class"] for r in copies.told_apart(signed).collect()}
+    assert found[1] == found[3] != found[2] and {found[1], found[2]}.isdisjoint({7, 8, 9})
+    assert [found[i] for i in (4, 5, 6)] == [8, 8, 9]
+    assert {r.id: r["class"] for r in copies.told_apart(signed.filter("class > 7")).collect()} == {4: 8, 5: 8, 6: 9}
+    assert copies.told_apart(signed.limit(0)).count() == 0
+
+
 def test_common():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 4000, 8000, 3000)]
