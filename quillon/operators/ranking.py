@@ -54,8 +54,8 @@ EXPLORE_ORDER = ("uncertainty_score", "reranker_probability")
 LISTS = {"stage1": (STAGE1_ORDER, 1), "reranker": (RERANKER_ORDER, 1), "explore": (EXPLORE_ORDER, 2)}
 
 
-#: Most rows of lists that are broadcast to the candidates.
-MOST_BROADCAST = 1_000_000
+#: Most rows of lists, and most splits' chosen keys, that are broadcast to the candidates.
+MOST_BROADCAST, MOST_SPLITS = 1_000_000, 10_000
 
 
 def top_lists(candidates: DataFrame, k: int = 25, lists: Sequence[str] = tuple(LISTS)) -> DataFrame:
@@ -82,7 +82,7 @@ def _sizes(candidates: DataFrame, k: int, rate: float) -> DataFrame:
 
 
 def _chosen(tops: DataFrame, sizes: DataFrame, rate: float) -> DataFrame:
-    placed = tops.join(F.broadcast(sizes), "split")
+    placed = tops.join(sizes, "split")
     exploit = placed.filter("list = 'reranker' and place <= k - slots").withColumn("was_explored", F.lit(False))
     rest = placed.filter("list = 'explore'").join(exploit.select("split", "candidate_id"), ["split", "candidate_id"], "left_anti")
     rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("place"))).filter("place <= slots").withColumn("was_explored", F.lit(True))
@@ -149,7 +149,9 @@ def with_ranks_of(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
     orders = {"stage1_rank": STAGE1_ORDER, "reranker_rank": RERANKER_ORDER}
     key = lambda order: F.struct(*((-F.col(c).cast("double")).alias(f"k{i}") for i, c in enumerate(order)), F.col("candidate_id").alias("id"))
     keys = chosen.groupBy("split").agg(*(F.array_sort(F.collect_list(key(order))).alias(f"__{name}") for name, order in orders.items()))
-    placed = candidates.select("split", *(key(order).alias(f"__row_{name}") for name, order in orders.items())).join(F.broadcast(keys), "split")
+    keys = stage(keys, "chosen-keys")
+    few = F.broadcast(keys) if keys.count() <= MOST_SPLITS else keys
+    placed = candidates.select("split", *(key(order).alias(f"__row_{name}") for name, order in orders.items())).join(few, "split")
     # Counted by the number of chosen keys in front: those with no more than j stand at or before the j-th key.
     before = lambda name: lambda x: x < F.col(f"__row_{name}")
     fronts = [F.size(F.filter(f"__{name}", before(name))).alias(name) for name in orders]

@@ -38,6 +38,14 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows(mine) == rows(theirs)
 
 
+@pytest.mark.parametrize("name", ["ranking_metrics", "topk_explore"])
+def test_ranking_of_many_splits(spark, duck, monkeypatch, name):
+    """Lists and keys that are too many for a broadcast give the same rows."""
+    monkeypatch.setattr(catalog.ranking, "MOST_SPLITS", 0)
+    monkeypatch.setattr(catalog.ranking, "MOST_BROADCAST", 0)
+    test_agrees_with_sql(spark, duck, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
