@@ -405,11 +405,10 @@ def link_rates(spark, sf_dir):
     return rounded(monitoring.links(_events(spark, sf_dir), tables.decisions(spark, sf_dir)), *names)
 
 
-@query(f"WITH {_DECIDED} SELECT count(*) FILTER (prediction_id IN (SELECT prediction_id FROM scored)) AS covered, count(*) AS decisions, round(avg((prediction_id IN (SELECT prediction_id FROM scored))::INT), 6) AS audit_log_coverage FROM decided WHERE task_context = 'bank_marketing'")
+@query(f"WITH {_DECIDED} SELECT count(*) FILTER (prediction_id IN (SELECT prediction_id FROM scored)) AS covered, count(*) AS decisions, round(avg((prediction_id IN (SELECT prediction_id FROM scored))::INT), 6) AS audit_log_coverage FROM decided")
 def audit_coverage(spark, sf_dir):
-    """Of the decisions in the primary context."""
-    primary = monitoring.for_context(tables.decisions(spark, sf_dir), "bank_marketing")
-    return rounded(monitoring.audit_coverage(_events(spark, sf_dir), primary), "audit_log_coverage")
+    """Of the decisions in all contexts."""
+    return rounded(monitoring.audit_coverage(_events(spark, sf_dir), tables.decisions(spark, sf_dir)), "audit_log_coverage")
 
 
 @query(f"WITH {_DECIDED} SELECT d.prediction_id, d.action FROM decided d ANTI JOIN scored s USING (prediction_id)")
