@@ -18,3 +18,10 @@ def test_audit_coverage_is_of_the_decisions_of_all_contexts(spark):
     lost = decided.filter(F.col("prediction_id").startswith("lost_")).count()
     found = catalog.QUERIES["audit_coverage"](spark, DATA).first()
     assert lost and (found.decisions, found.covered) == (decided.count(), decided.count() - lost)
+
+
+def test_live_metrics_are_of_the_decisions_of_all_contexts(spark):
+    labelled = tables.decisions(spark, DATA).filter("realized_label is not null and calibrated_probability is not null")
+    found = {r.kind: r.example_count for r in catalog.QUERIES["live_metrics"](spark, DATA).collect()}
+    assert labelled.select("task_context").distinct().count() == 3
+    assert found == {"calibrated": labelled.count(), "raw": labelled.filter("raw_probability is not null").count()}
