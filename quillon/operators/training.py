@@ -175,36 +175,70 @@ def _cross_entropy(labels: np.ndarray, p: np.ndarray) -> np.ndarray:
     return -np.log(np.clip(np.where(labels == 1, p, 1 - p), 1e-15, 1 - 1e-15))
 
 
-def walk(shard: _Shard, row_weights: np.ndarray, order: np.ndarray, w: np.ndarray, squares: np.ndarray, config: TrainingConfig, batch: int) -> tuple[float, float]:
+@dataclass
+class _Layout:
+    """The rows of an epoch in their order, cut into batches: entry i of ``starts``, ``active_starts`` is where the sparse
+    values, the distinct places of batch i begin.  ``of`` is an entry's row inside its batch, ``which`` its place among the
+    distinct ones of the batch."""
+
+    rows: np.ndarray
+    dense: np.ndarray
+    labels: np.ndarray
+    values: np.ndarray
+    of: np.ndarray
+    which: np.ndarray
+    starts: np.ndarray
+    active: np.ndarray
+    active_starts: np.ndarray
+
+
+def laid_out(shard: _Shard, order: np.ndarray, batch: int) -> _Layout:
+    """What the batches of an epoch need besides the weights, for all of them at once."""
+    counts = (shard.starts[1:] - shard.starts[:-1])[order]
+    ends = np.cumsum(counts)
+    at = np.repeat(shard.starts[:-1][order] - ends + counts, counts) + np.arange(counts.sum())
+    row = np.repeat(np.arange(len(order)), counts)
+    edges = np.arange(0, len(order) + batch, batch)
+    starts = np.concatenate([[0], ends])[np.minimum(edges, len(order))]
+    width = int(shard.places.max(initial=0)) + 1
+    found, which = np.unique(row // batch * width + shard.places[at], return_inverse=True)
+    active_starts = np.searchsorted(found, np.arange(len(edges)) * width)
+    return _Layout(order, shard.dense[order], shard.labels[order], shard.values[at], row % batch, which - active_starts[row // batch], starts, found % width, active_starts)
+
+
+def walk(laid: _Layout, row_weights: np.ndarray, w: np.ndarray, squares: np.ndarray, config: TrainingConfig, batch: int) -> tuple[float, float]:
     """One epoch over the rows, in mini-batches; changes ``w`` and ``squares``.  Returns the weighted sum of
     the losses before each step, and the weights."""
-    d = shard.dense.shape[1]
+    n, d = laid.dense.shape
+    fixed, weights, seen = slice(1, 1 + d), row_weights[laid.rows], np.empty(n)
 
-    def step(at, gradient: np.ndarray) -> None:
+    def step(at, gradient: np.ndarray, held: np.ndarray) -> None:
         if config.optimizer == "adagrad":
-            squares[at] += gradient * gradient
-            gradient = gradient / np.sqrt(squares[at] + config.epsilon)
-        w[at] -= config.learning_rate * gradient
-
-    def penalised(at, gradient: np.ndarray) -> np.ndarray:
-        return gradient + config.l2 * w[at] + config.l1 * np.sign(w[at])
-
-    total = 0.0
-    for lo in range(0, len(order), batch):
-        rows = order[lo : lo + batch]
-        raw, places, values, of = _raw(shard, w, rows)
-        p, y, rw = _sigmoid(raw), shard.labels[rows], row_weights[rows]
-        error = p - y
-        loss = _cross_entropy(y, p) if config.loss == "cross_entropy" else 0.5 * error * error
-        total += float(rw @ loss)
-        scale = rw * error * (p * (1 - p) if config.loss == "mse" else 1.0) / len(rows)
-        active, place_of = np.unique(places, return_inverse=True)
-        moves = [(np.array([0]), np.array([scale.sum()]))]
-        moves.append((np.arange(1, 1 + d), penalised(slice(1, 1 + d), scale @ shard.dense[rows])))
-        moves.append((active, penalised(active, np.bincount(place_of, scale[of] * values, len(active)))))
-        for at, gradient in moves:
-            step(at, gradient)
-    return total, float(row_weights[order].sum())
+            sums = squares[at] + gradient * gradient
+            squares[at] = sums
+            gradient = gradient / np.sqrt(sums + config.epsilon)
+        w[at] = held - config.learning_rate * gradient
+
+    def penalised(held: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        if config.l2:
+            gradient = gradient + config.l2 * held
+        return gradient + config.l1 * np.sign(held) if config.l1 else gradient
+
+    for i, lo in enumerate(range(0, n, batch)):
+        rows, entries = slice(lo, min(lo + batch, n)), slice(laid.starts[i], laid.starts[i + 1])
+        size, dense, of, which, values = rows.stop - lo, laid.dense[rows], laid.of[entries], laid.which[entries], laid.values[entries]
+        active = laid.active[laid.active_starts[i] : laid.active_starts[i + 1]]
+        held, of_dense = w[active], w[fixed].copy()
+        p = _sigmoid(w[0] + dense @ of_dense + np.bincount(of, held[which] * values, size))
+        seen[rows] = p
+        scale = weights[rows] * (p - laid.labels[rows]) / size
+        if config.loss == "mse":
+            scale = scale * (p * (1 - p))
+        step(slice(0, 1), scale.sum(keepdims=True), w[:1].copy())
+        step(fixed, penalised(of_dense, scale @ dense), of_dense)
+        step(active, penalised(held, np.bincount(which, scale[of] * values, len(active))), held)
+    loss = _cross_entropy(laid.labels, seen) if config.loss == "cross_entropy" else 0.5 * (seen - laid.labels) ** 2
+    return float(weights @ loss), float(weights.sum())
 
 
 def _parsed(table: pa.Table, ids: np.ndarray, d: int) -> _Shard:
@@ -252,10 +286,10 @@ def _factors(n: int, positives: int, config: TrainingConfig) -> tuple[float, flo
 
 
 def shard_moves(
-    number: int, train: _Shard, validation: _Shard, w: np.ndarray, squares: np.ndarray, config: TrainingConfig, boot: bool, factors: tuple[float, float], epoch: int, last: bool, batch: int | None
+    number: int, train: _Shard, validation: _Shard, w: np.ndarray, squares: np.ndarray, config: TrainingConfig, boot: bool, factors: tuple[float, float], epoch: int, last: bool, batch: int | None, laid: dict | None = None
 ) -> list[tuple]:
     """(places, first, second) of one configuration in one shard: the losses of the model it starts from and, but for the
-    last pass, its moves."""
+    last pass, its moves.  ``laid`` keeps the layouts that configurations of one seed and the same rows share."""
     own = np.random.default_rng([config.seed, number, 1]).poisson(1.0, len(train.labels)) if boot else np.ones(len(train.labels))
     out = []
     for what, rows, weights in ((ON_TRAIN, train, train.weights * own), (ON_VALIDATION, validation, validation.weights)):
@@ -265,11 +299,14 @@ def shard_moves(
     n = len(train.labels)
     if last or not n:
         return out
-    order = np.random.default_rng([config.seed + epoch, number]).permutation(n) if config.shuffle else np.arange(n)
-    order = order[own[order] > 0]
+    laid, key, size = {} if laid is None else laid, (config.seed, config.shuffle, boot), batch or n
+    if key not in laid:
+        order = np.random.default_rng([config.seed + epoch, number]).permutation(n) if config.shuffle else np.arange(n)
+        # Without a batch size a shard is one batch of the rows that take part.
+        laid[key] = laid_out(train, order[own[order] > 0], size)
     moved, moved_squares = w.copy(), squares.copy()
     weights = train.weights * own * np.where(train.labels == 1, factors[1], factors[0])
-    loss, weight = walk(train, weights, order, moved, moved_squares, config, batch or max(1, len(order)))
+    loss, weight = walk(laid[key], weights, moved, moved_squares, config, size)
     at = np.flatnonzero((moved != w) | (moved_squares != squares))
     return [*out, (at, (moved - w)[at] * n, (moved_squares - squares)[at] * n), ([ON_THE_WAY], [loss], [weight])]
 
@@ -284,9 +321,9 @@ def _pass(sharded: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], live:
             table = table.sort_by("order")
             period, whole = table["period"].to_numpy(), _parsed(table, ids, d)
             sides = {fold: (_part(whole, np.flatnonzero(period < fold)), _part(whole, np.flatnonzero(period == fold))) for fold in {folds[c] for c in live}}
-            out = []
+            out, laid = [], {fold: {} for fold in sides}
             for c in live:
-                found = shard_moves(number, *sides[folds[c]], *models[c], configs[c], boot[c], factors[c], epoch, last, batch)
+                found = shard_moves(number, *sides[folds[c]], *models[c], configs[c], boot[c], factors[c], epoch, last, batch, laid[folds[c]])
                 out += [(np.full(len(places), c), places, first, second) for places, first, second in found]
             if out:
                 columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(4)]
@@ -301,27 +338,36 @@ class Fit:
     history: list[dict]
 
 
-def _checked(rows: DataFrame) -> tuple[int, int, int]:
-    """Training rows, positive ones and dense features; none, or vectors that differ in length, are errors."""
-    train = rows.filter("split = 'train'")
-    n, positives, most, least = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.max(F.size("dense_features")), F.min(F.size("dense_features"))).first()
-    if not n:
+def narrow(rows: DataFrame, order: str) -> DataFrame:
+    """What a fit reads of rows with a period (``__period``), written once: every later pass is over this table, not over
+    what the rows are made from.  To be dropped after the fit."""
+    return scratch.stage(
+        rows.select(
+            F.col(order).alias("order"), F.col("__period").cast("int").alias("period"), F.col("label").cast("double").alias("label"), F.col("sample_weight").cast("double").alias("weight"),
+            F.col("dense_features").cast("array<double>").alias("dense"), F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
+        ),
+        "training",
+    )
+
+
+def _checked(table: DataFrame, until: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """Rows and positive ones of each period before ``until``, and the number of dense features; none, or vectors that differ
+    in length, are errors."""
+    size_of = F.size("dense")
+    found = table.filter(F.col("period") < until).groupBy("period").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones"), F.max(size_of).alias("most"), F.min(size_of).alias("least")).collect()
+    if not found:
         raise ValueError("no training rows")
-    if most != least:
+    d = max(r.most for r in found)
+    if d != min(r.least for r in found):
         raise ValueError("dense features differ in length")
-    return n, int(positives), int(most)
+    return {r.period: (r.n, int(r.ones)) for r in found}, d
 
 
-def _sharded(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    """Rows with a period (``__period``) by shard; ``order`` should tell rows apart, as equal ones share a shard."""
-    return (
-        rows.select(
-            F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("order"), F.col("__period").cast("int").alias("period"), F.col("label").cast("double").alias("label"),
-            F.col("sample_weight").cast("double").alias("weight"), F.col("dense_features").cast("array<double>").alias("dense"),
-            F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
-        )
-        .repartition("shard").sortWithinPartitions("shard")
-    )
+def sharded_rows(table: DataFrame, shards: int) -> DataFrame:
+    """Rows of ``narrow`` with their shard, a partition for each shard, so that a task holds one shard whatever their number;
+    ``order`` should tell rows apart, as equal ones share a shard."""
+    shard = F.pmod(F.xxhash64("order"), F.lit(shards)).cast("int")
+    return table.select(shard.alias("shard"), *table.columns).repartitionById(shards, "shard")
 
 
 def by_split(rows: DataFrame) -> DataFrame:
@@ -371,62 +417,67 @@ def fit_folds(
 def _fit(rows: DataFrame, configs: dict, folds: dict, bootstrap: Sequence[str], order: str, shard_rows: int, batch_rows: int | None) -> dict:
     """A configuration learns from the rows of periods below its fold and is stopped by those of its fold."""
     rows = rows.filter(F.col("__period") <= max(folds.values()))
-    early = rows.filter(F.col("__period") < max(folds.values()))
-    size_of = F.size("dense_features")
-    periods = early.groupBy("__period").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones"), F.max(size_of).alias("most"), F.min(size_of).alias("least")).collect()
+    names, table, sharded = list(configs), None, None
+    try:
+        table = narrow(rows, order)
+        periods, d = _checked(table, max(folds.values()))
+        counts, ones = ([sum(pair[i] for period, pair in periods.items() if period < folds[name]) for name in names] for i in (0, 1))
+        if not all(counts):
+            raise ValueError("no training rows")
+        distinct = table.filter(F.col("period") < max(folds.values())).select(F.explode("ids").alias("id")).distinct()
+        found = [r.id for r in distinct.limit(MOST_FEATURES + 1).collect()]
+        if len(found) > MOST_FEATURES:
+            raise ValueError(f"more than {MOST_FEATURES} distinct sparse ids; fit_table holds any number")
+        ids = np.array(sorted(found), np.int64)
+        sharded = sharded_rows(table, max(1, -(-max(counts) // shard_rows))).persist(StorageLevel.DISK_ONLY)
+        return _fitted(sharded, configs, folds, bootstrap, batch_rows, counts, ones, ids, d)
+    finally:
+        if sharded is not None:
+            sharded.unpersist()
+        if table is not None:
+            scratch.drop_table(table)
+
+
+def _fitted(sharded: DataFrame, configs: dict, folds: dict, bootstrap: Sequence[str], batch_rows: int | None, counts: list[int], ones: list[int], ids: np.ndarray, d: int) -> dict:
+    """The epochs, over rows that are dealt into shards."""
     names, settings = list(configs), list(configs.values())
-    counts, ones = ([sum(r[c] for r in periods if r["__period"] < folds[name]) for name in names] for c in ("n", "ones"))
-    if not all(counts):
-        raise ValueError("no training rows")
-    d = max(r.most for r in periods)
-    if d != min(r.least for r in periods):
-        raise ValueError("dense features differ in length")
-    distinct = early.select(F.explode("sparse_feature_ids").alias("id")).distinct()
-    found = [r.id for r in distinct.limit(MOST_FEATURES + 1).collect()]
-    if len(found) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} distinct sparse ids; fit_table holds any number")
-    ids = np.array(sorted(found), np.int64)
-    sharded = _sharded(rows, order, max(1, -(-max(counts) // shard_rows))).persist(StorageLevel.DISK_ONLY)
     size, boot = 1 + d + max(1, len(ids)), [name in set(bootstrap) for name in names]
     factors = [_factors(n, int(k), c) for n, k, c in zip(counts, ones, settings, strict=True)]
     models = [(np.zeros(size), np.zeros(size)) for _ in settings]
     best: list[tuple[float, int, np.ndarray]] = [(math.inf, 0, m[0]) for m in models]
     waited, histories, live = [0] * len(settings), [[] for _ in settings], list(range(len(settings)))
-    try:
-        for epoch in range(1, max(c.max_epochs for c in settings) + 2):
-            going = [c for c in live if len(histories[c]) == epoch - 1]
-            last = all(settings[c].max_epochs < epoch for c in going)
-            result = {(r.config, r.place): (r.first, r.second) for r in _pass(sharded, models, going, settings, boot, factors, [folds[name] for name in names], ids, d, epoch, last, batch_rows).collect()} if going else {}
-            share = lambda pair: pair[0] / pair[1] if pair and pair[1] else 0.0
-            for c in going:
-                config = settings[c]
-                if epoch > 1:
-                    # The losses of the model that this pass started from: that of the epoch before.
-                    seen, entry = result.get((c, ON_VALIDATION)), histories[c][-1]
-                    entry["train_log_loss"] = share(result.get((c, ON_TRAIN)))
-                    if seen:
-                        entry["validation_log_loss"] = share(seen)
-                        if share(seen) < best[c][0]:
-                            best[c], waited[c] = (share(seen), epoch - 1, models[c][0]), 0
-                        else:
-                            waited[c] += 1
+    for epoch in range(1, max(c.max_epochs for c in settings) + 2):
+        going = [c for c in live if len(histories[c]) == epoch - 1]
+        last = all(settings[c].max_epochs < epoch for c in going)
+        result = {(r.config, r.place): (r.first, r.second) for r in _pass(sharded, models, going, settings, boot, factors, [folds[name] for name in names], ids, d, epoch, last, batch_rows).collect()} if going else {}
+        share = lambda pair: pair[0] / pair[1] if pair and pair[1] else 0.0
+        for c in going:
+            config = settings[c]
+            if epoch > 1:
+                # The losses of the model that this pass started from: that of the epoch before.
+                seen, entry = result.get((c, ON_VALIDATION)), histories[c][-1]
+                entry["train_log_loss"] = share(result.get((c, ON_TRAIN)))
+                if seen:
+                    entry["validation_log_loss"] = share(seen)
+                    if share(seen) < best[c][0]:
+                        best[c], waited[c] = (share(seen), epoch - 1, models[c][0]), 0
                     else:
-                        best[c] = (math.inf, epoch - 1, models[c][0])
-                if epoch > config.max_epochs or (config.patience and waited[c] >= config.patience):
-                    live.remove(c)
-                    continue
-                w, squares = models[c][0].copy(), models[c][1].copy()
-                moves = [(place, *pair) for (k, place), pair in result.items() if k == c and place >= 0]
-                if moves:
-                    at, first, second = (np.array(column) for column in zip(*moves, strict=True))
-                    w[at] += first / counts[c]
-                    squares[at] += second / counts[c]
-                models[c] = (w, squares)
-                histories[c].append({"epoch": epoch, "train_loss": share(result.get((c, ON_THE_WAY)))})
-            if not live:
-                break
-    finally:
-        sharded.unpersist()
+                        waited[c] += 1
+                else:
+                    best[c] = (math.inf, epoch - 1, models[c][0])
+            if epoch > config.max_epochs or (config.patience and waited[c] >= config.patience):
+                live.remove(c)
+                continue
+            w, squares = models[c][0].copy(), models[c][1].copy()
+            moves = [(place, *pair) for (k, place), pair in result.items() if k == c and place >= 0]
+            if moves:
+                at, first, second = (np.array(column) for column in zip(*moves, strict=True))
+                w[at] += first / counts[c]
+                squares[at] += second / counts[c]
+            models[c] = (w, squares)
+            histories[c].append({"epoch": epoch, "train_loss": share(result.get((c, ON_THE_WAY)))})
+        if not live:
+            break
     fits = {}
     for name, (_, epoch, w), history in zip(names, best, histories, strict=True):
         sparse = {int(i): float(x) for i, x in zip(ids, w[1 + d :], strict=False) if x}

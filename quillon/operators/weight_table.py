@@ -45,10 +45,15 @@ class TableFit:
 
 def fit_table(rows: DataFrame, config: TrainingConfig = TrainingConfig(), order: str = "training_row_id", shard_rows: int = training.SHARD_ROWS, batch_rows: int | None = training.BATCH_ROWS) -> TableFit:
     """One configuration fitted as ``training.fit_all`` does, with any number of sparse ids."""
-    n, positives, d = training._checked(rows)
-    sharded = training._sharded(training.by_split(rows), order, max(1, -(-n // shard_rows))).persist(StorageLevel.DISK_ONLY)
-    factors = training._factors(n, positives, config)
+    table = training.narrow(training.by_split(rows), order)
+    sharded = None
     try:
+        periods, d = training._checked(table, 1)
+        n, positives = periods[0]
+        # By the hash of the shard, which the rows' meetings with their weights keep.
+        shard = F.pmod(F.xxhash64("order"), F.lit(max(1, -(-n // shard_rows)))).cast("int")
+        sharded = table.select(shard.alias("shard"), *table.columns).repartition("shard").sortWithinPartitions("shard").persist(StorageLevel.DISK_ONLY)
+        factors = training._factors(n, positives, config)
         held = scratch.stage(_held(sharded, d), "held-ids")
         # Ids that only validation rows hold are no part of the model.
         weights = scratch.stage(held.filter("learnt").select(*KEY).distinct().withColumns({"weight": F.lit(0.0), "squares": F.lit(0.0)}), "weights")
@@ -78,7 +83,9 @@ def fit_table(rows: DataFrame, config: TrainingConfig = TrainingConfig(), order:
         for table in (held, *([weights] if weights is not best else [])):
             scratch.drop_table(table)
     finally:
-        sharded.unpersist()
+        if sharded is not None:
+            sharded.unpersist()
+        scratch.drop_table(table)
     return TableFit(best, history, best_epoch)
 
 
