@@ -836,7 +836,7 @@ def stream_stage_latency(spark, sf_dir):
     names = [n for n in RAW_COLUMNS if n != "y"]
     ids = {"request_id": F.concat(F.lit("req_"), F.col("row_id").cast("string")), "event_id": F.col("row_id").cast("string"), "event_ts": F.lit("2026-01-01T00:00:00Z")}
     folder, out = scratch.new_path(spark, "requests"), scratch.new_path(spark, "served")
-    rows.select(F.to_json(F.struct(*(c.alias(n) for n, c in ids.items()), F.struct(*names).alias("features"))).alias("value")).write.text(folder)
+    rows.select(F.to_json(F.struct(*(c.alias(n) for n, c in ids.items()), F.struct(*names).alias("features"))).alias("value")).write.text(folder, compression="gzip")
     serving.serve(spark, folder, out, f"{out}/checkpoint", replace(WEIGHTS, model_version="fixed"), calibration.Platt(1.0, 0.0), timed=True).awaitTermination()
     found = serving.stage_percentiles(serving.stage_latencies(spark, out))
     return found.select("place", "stage", "requests", ((F.col("p50_ms") > 0) & (F.col("p50_ms") <= F.col("p95_ms")) & (F.col("p95_ms") <= F.col("p99_ms"))).alias("timed"))

@@ -87,7 +87,8 @@ STAGE_LATENCY = "batch_id long, stage string, requests long, batch_ms double"
 
 def serve(spark: SparkSession, folder: str, out: str, checkpoint: str, model: training.Model, calibrator, source: str = "score", config: FeatureConfig = FeatureConfig(), timed: bool = False, files_per_batch: int | None = None):
     """Start a stream over files of request lines; each batch is appended to both logs and to the
-    rejected requests, under its batch id, so that a repeated batch replaces its own files.
+    rejected requests, under its batch id, so that a repeated batch replaces its own files.  The logs repeat names in every
+    line, so they are compressed.
 
     With ``timed`` each step of a batch is carried out by itself and its time appended to ``stages``, which costs a pass
     over the batch for each step; without, a batch is one plan."""
@@ -105,12 +106,16 @@ def serve(spark: SparkSession, folder: str, out: str, checkpoint: str, model: tr
             if timed:
                 held.append(rows := rows.persist())
                 times.append((batch_id, stage, rows.count(), (time.perf_counter() - at) * 1000))
+                # The step before has been read.
+                for table in held[:-1]:
+                    table.unpersist()
+                held = held[-1:]
         if not timed:
             held.append(rows := rows.persist())
             rows.count()
         took, at = (time.perf_counter() - began) * 1000, time.perf_counter()
         for name, part in (("predictions", prediction_log(rows, model, config, took)), ("decisions", decision_log(rows)), ("rejected", rows.filter("error is not null").select("request_id", "event_id", "error"))):
-            part.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}/batch={batch_id}")
+            part.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip").json(f"{out}/{name}/batch={batch_id}")
         if timed:
             times.append((batch_id, "log", times[-1][2], (time.perf_counter() - at) * 1000))
             spark.createDataFrame(times, STAGE_LATENCY).coalesce(1).write.mode("overwrite").json(f"{out}/stages/batch={batch_id}")

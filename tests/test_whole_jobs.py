@@ -25,3 +25,15 @@ def test_live_metrics_are_of_the_decisions_of_all_contexts(spark):
     found = {r.kind: r.example_count for r in catalog.QUERIES["live_metrics"](spark, DATA).collect()}
     assert labelled.select("task_context").distinct().count() == 3
     assert found == {"calibrated": labelled.count(), "raw": labelled.filter("raw_probability is not null").count()}
+
+
+def test_timed_requests_write_little(spark, monkeypatch):
+    """Requests and logs, which repeat names in every line, take less than 400 bytes a request (1,800 as plain text)."""
+    paths, original = {}, catalog.scratch.new_path
+    monkeypatch.setattr(catalog.scratch, "new_path", lambda spark, name: paths.setdefault(name, original(spark, name)))
+    found = catalog.QUERIES["stream_stage_latency"](spark, DATA).collect()
+    rows = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert [(r.requests, r.timed) for r in found] == [(rows, True)] * 5
+    folders = [Path(paths[name].removeprefix("file://")) for name in ("requests", "served")]
+    assert spark.read.json(f"{paths['served']}/predictions/batch=*").count() == rows
+    assert sum(p.stat().st_size for folder in folders for p in folder.rglob("part-*")) < 400 * rows
