@@ -111,18 +111,41 @@ def with_logit(rows: DataFrame, model: Model, dense: str = "dense_features", ids
     return rows.withColumn(name, linear + F.aggregate(F.transform(_pairs(ids, values), weight), F.lit(0.0), lambda a, v: a + v))
 
 
+#: Rows that are scored together against a table of weights, and blocks of them to a partition.
+BLOCK_BITS, BLOCKS = 14, 8
+
+
 def with_table_logit(rows: DataFrame, weights: DataFrame, linear: Column | float = 0.0, ids: str = "sparse_feature_ids", values: str = "sparse_feature_values", name: str = "raw_score") -> DataFrame:
     """``with_logit`` by a table (feature_id, weight) of any size.
 
-    Rows are numbered and written first, so that rows of equal or null keys stay apart; ids are distinct
-    by block of rows before they meet the weights, so an id that many rows hold is looked up once a block."""
+    Rows are numbered and written first, so that rows of equal or null keys stay apart.  They meet the weights by
+    blocks of at most 2^14: the distinct ids of a block are joined to the weights, and the block's rows are added
+    up against what it fetched.  No row is copied for its ids, and the partitions grow in number with the rows, so a
+    task sorts the same amount whatever the table."""
+    spark = rows.sparkSession
     numbered = scratch.stage(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
-    block = F.shiftright("__row", 14).alias("__block")
-    active = numbered.select("__row", block, F.explode(_pairs(ids, values)).alias("p")).select("__row", "__block", F.col("p.id").alias("feature_id"), F.col("p.value").alias("value"))
-    needed = active.select("__block", "feature_id").distinct().join(weights.select("feature_id", "weight"), "feature_id")
-    sums = active.join(needed, ["__block", "feature_id"]).groupBy("__row").agg(F.sum(F.col("value") * F.col("weight")).alias("__sparse"))
+    block = F.shiftright("__row", BLOCK_BITS).alias("__block")
+    active = numbered.select("__row", block, _pairs(ids, values).alias("__pairs"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbered.count() // (BLOCKS << BLOCK_BITS)))
+    needed = active.select("__block", F.explode(F.array_distinct(F.transform("__pairs", lambda p: p["id"]))).alias("feature_id")).distinct()
+    fetched = needed.join(weights.select("feature_id", "weight"), "feature_id").select(F.col("__block").alias("__for"), "feature_id", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+
+    def add_up(rows: pa.Table, fetched: pa.Table) -> pa.Table:
+        keys, which = np.unique(fetched["feature_id"].to_numpy(), return_inverse=True)
+        amounts = np.bincount(which, fetched["weight"].to_numpy(), len(keys))
+        pairs = rows["__pairs"].combine_chunks()
+        of, flat = np.repeat(np.arange(len(pairs)), pairs.value_lengths().to_numpy()), pairs.flatten()
+        held, value = (flat.field(n).to_numpy() for n in ("id", "value"))
+        at = np.searchsorted(keys, held)
+        known = np.flatnonzero(np.append(keys, -1)[at] == held) if len(keys) else np.array([], np.int64)
+        known = known[at[known] < len(keys)]
+        sums = np.bincount(of[known], amounts[at[known]] * value[known], len(pairs))
+        return pa.table({"__row": rows["__row"], "__sparse": pa.array(sums)})
+
+    active, fetched = (table.repartition(parts, key).groupBy(key) for table, key in ((active, "__block"), (fetched, "__for")))
+    sums = active.cogroup(fetched).applyInArrow(add_up, "__row long, __sparse double").repartition(parts, "__row")
     linear = linear if isinstance(linear, Column) else F.lit(float(linear))
-    return numbered.join(sums, "__row", "left").withColumn(name, linear + F.coalesce("__sparse", F.lit(0.0))).drop("__sparse", "__row")
+    return numbered.repartition(parts, "__row").join(sums, "__row", "left").withColumn(name, linear + F.coalesce("__sparse", F.lit(0.0))).drop("__sparse", "__row")
 
 
 def with_probability(rows: DataFrame, model: Model, **names: str) -> DataFrame:
