@@ -233,7 +233,8 @@ def stable_fraction(text: Column) -> Column:
 
 
 def split_of(fraction: Column, train: float, validation: float) -> Column:
-    return F.when(fraction < train, "train").when(fraction < train + validation, "validation").otherwise("test")
+    # Inside ``transform`` the fraction is computed once, not for each branch.
+    return F.transform(F.array(fraction), lambda f: F.when(f < train, "train").when(f < train + validation, "validation").otherwise("test"))[0]
 
 
 def contiguous_split(row_id: Column, total: Column, train: float, validation: float) -> Column:

@@ -361,12 +361,12 @@ class Fit:
     history: list[dict]
 
 
-def narrow(rows: DataFrame, order: str) -> DataFrame:
+def narrow(rows: DataFrame, order: str | None) -> DataFrame:
     """What a fit reads of rows with a period (``__period``), written once: every later pass is over this table, not over
     what the rows are made from.  To be dropped after the fit."""
     return scratch.stage(
         rows.select(
-            F.col(order).alias("order"), F.col("__period").cast("int").alias("period"), F.col("label").cast("double").alias("label"), F.col("sample_weight").cast("double").alias("weight"),
+            (F.col(order) if order else F.lit(None).cast("string")).alias("order"), F.col("__period").cast("int").alias("period"), F.col("label").cast("double").alias("label"), F.col("sample_weight").cast("double").alias("weight"),
             F.col("dense_features").cast("array<double>").alias("dense"), F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
         ),
         "training",
@@ -547,13 +547,19 @@ def stability(runs: DataFrame, dense_names: Sequence[str], top: int = 20) -> Dat
 def train_distributed(rows: DataFrame, config: TrainingConfig = TrainingConfig(), hash_dimension: int = 1024, max_iterations: int = 50) -> Model:
     """The same model over the whole cluster.  Penalties apply to all weights alike; sparse ids are
     taken modulo ``hash_dimension``, which bounds the size of the model."""
-    train_rows = rows.filter("split = 'train'")
-    dense_size = train_rows.select(F.size("dense_features").alias("n")).first()
-    if dense_size is None:
-        raise ValueError("no training rows")
-    weights = class_weights(train_rows).first() if config.class_weighting else None
+    table = narrow(rows.filter("split = 'train'").withColumn("__period", F.lit(0)), None)
+    try:
+        return _minimised(table, config, hash_dimension, max_iterations)
+    finally:
+        scratch.drop_table(table)
+
+
+def _minimised(table: DataFrame, config: TrainingConfig, hash_dimension: int, max_iterations: int) -> Model:
+    """``train_distributed`` on training rows that are written."""
+    _, d = _checked(table, 1)
+    weights = class_weights(table).first() if config.class_weighting else None
     share = F.when(F.col("label") == 1, weights.weight_positive).otherwise(weights.weight_negative) if weights else F.lit(1.0)
-    d, size = dense_size.n, dense_size.n + hash_dimension
+    size = d + hash_dimension
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -573,16 +579,13 @@ def train_distributed(rows: DataFrame, config: TrainingConfig = TrainingConfig()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], ["label", "w", "features"])
 
-    narrow = train_rows.select(
-        F.col("label").cast("double").alias("label"), (F.col("sample_weight") * share).alias("w"), F.col("dense_features").cast("array<double>").alias("dense"),
-        F.col("sparse_feature_ids").cast("array<bigint>").alias("ids"), F.col("sparse_feature_values").cast("array<double>").alias("values"),
-    )
+    weighed = table.select("label", (F.col("weight") * share).alias("w"), "dense", "ids", "values")
     schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("w", T.DoubleType()), T.StructField("features", VectorUDT())])
-    vectors = narrow.mapInArrow(vectors, schema)
+    vectors = weighed.mapInArrow(vectors, schema)
     penalty = config.l1 + config.l2
     fitted = LogisticRegression(weightCol="w", maxIter=max_iterations, regParam=penalty, elasticNetParam=config.l1 / penalty if penalty else 0.0, standardization=False).fit(vectors)
     w = [float(x) for x in fitted.coefficients.toArray()]
-    return Model(float(fitted.intercept), w[: dense_size.n], {i: x for i, x in enumerate(w[dense_size.n :]) if x})
+    return Model(float(fitted.intercept), w[:d], {i: x for i, x in enumerate(w[d:]) if x})
 
 
 def score_column(model: Model, names: Sequence[str]) -> Column:

@@ -24,15 +24,18 @@ def counted_rows(spark, seen):
     )
 
 
-@pytest.mark.parametrize("fit", ["fit_all", "fit_table"])
+@pytest.mark.parametrize("fit", ["fit_all", "fit_table", "train_distributed"])
 def test_rows_of_a_fit_are_made_once(spark, fit):
     seen = spark.sparkContext.accumulator(0)
     rows, config = counted_rows(spark, seen), TrainingConfig(max_epochs=2)
     if fit == "fit_all":
         training.fit_all(rows, {"a": config, "b": TrainingConfig(max_epochs=3, seed=4)}, bootstrap=["b"], shard_rows=50)
+    elif fit == "train_distributed":
+        training.train_distributed(rows, config, hash_dimension=16)
     else:
         weight_table.fit_table(rows, config, shard_rows=50)
-    assert seen.value == N
+    # The distributed fit has no validation rows.
+    assert seen.value == (rows.filter("split = 'train'").count() if fit == "train_distributed" else N)
 
 
 def test_a_task_of_a_fit_holds_one_shard(spark):
